@@ -45,4 +45,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if stats == last or not stats[0]:
             break
         last = stats
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    named = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

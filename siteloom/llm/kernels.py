@@ -55,9 +55,9 @@ class Words(NamedTuple):
     separators: int  # number of separator bytes
 
 
-def words(raw: bytes) -> Words:
+def words(raw: bytes, separator: np.ndarray = SEPARATOR) -> Words:
     data = np.frombuffer(raw, dtype=np.uint8)
-    sep = SEPARATOR[data]
+    sep = separator[data]
     edge = np.empty(len(data) + 1, dtype=bool)
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
@@ -91,6 +91,16 @@ def word_digests(raw: bytes) -> np.ndarray:
 _SHIFTS = seeded(64, 29) | _U(1)
 
 
+def run_digests(digests: np.ndarray, first: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A digest of each run of words; the runs begin at ``first`` and cover all words."""
+    if not len(digests):
+        return digests
+    size = np.diff(first, append=len(digests))
+    inside = np.arange(len(digests)) - np.repeat(first, size)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(mix(digests) * _power_table(int(size.max()))[inside], first) + size.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(kind))
+
+
 def window_digests(digests: np.ndarray, n: int) -> np.ndarray:
     """A digest of each n consecutive words; of all of them as one window where there are fewer."""
     if not len(digests):

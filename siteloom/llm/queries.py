@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_text, quality, urls
+from . import bpe, chat, html_text, minhash, quality, sharding, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,29 @@ FROM s LEFT JOIN fit USING (page_id) LEFT JOIN w USING (page_id)
 )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "text_path")
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span that repeats an earlier line or passage, with its offsets and the document that keeps it."""
+    return substring.removed_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document along a Hilbert curve of its metadata."""
+    rows = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -99,7 +116,10 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
+    "op4_minhash": op4_minhash,
     "op5_html_text": op5_html_text,
+    "op7_substring": op7_substring,
+    "op8_hilbert_shards": op8_hilbert_shards,
     "op10_chat": op10_chat,
 }
 
