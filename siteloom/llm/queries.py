@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_text, minhash, quality, sharding, substring, urls
+from . import bpe, chat, decontaminate, html_text, minhash, quality, sharding, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "text_path")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds."""
+    return decontaminate.leaked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span that repeats an earlier line or passage, with its offsets and the document that keeps it."""
     return substring.removed_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -86,6 +91,13 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdicts of every document along the chain of labelled categories."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    chain = toxicity.fit_chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    return toxicity.classify(docs, chain).drop("text")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -118,8 +130,10 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_minhash": op4_minhash,
     "op5_html_text": op5_html_text,
+    "op6_decontaminate": op6_decontaminate,
     "op7_substring": op7_substring,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
 }
 
