@@ -24,8 +24,15 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_oracle)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import audit_queries, core_queries  # noqa: F401
