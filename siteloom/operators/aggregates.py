@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as U
 from .audit import header
@@ -62,9 +62,14 @@ def health_v1(issues: DataFrame, pages: DataFrame) -> Column:
 
 
 def distribution(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Counts and shares of a value; the total is a window over the few groups."""
+    """Counts and shares of a value; the total is one row, counted from file metadata where the source has it."""
     g = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
-    return g.withColumn("pct", share(F.col("n"), F.sum("n").over(Window.partitionBy())))
+    return with_total(g, df.agg(F.count("*").alias("_total"))).select(name, "n", share(F.col("n"), F.col("_total")).alias("pct"))
+
+
+def with_total(df: DataFrame, total: DataFrame) -> DataFrame:
+    """Every row beside a frame of one row."""
+    return df.crossJoin(F.broadcast(total))
 
 
 def response_bucket(ms: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import drop_materialized, materialize
 
 
 def internal_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -28,14 +28,16 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     n = state.count()
     if not n:
         return state.select("node", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
-    ranks = state.withColumn("rank", F.lit(1.0 / n))
+    ranks, written = state.withColumn("rank", F.lit(1.0 / n)), state
     for k in range(rounds):
         lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]
         received = edges.join(ranks.select(F.col("node").alias("s"), "rank"), "s").groupBy(F.col("t").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         new = ranks.join(received, "node", "left").select("node", "dangling", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
         new = materialize(new, "ranks")
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("x")).first()["x"]
-        ranks = new.drop("old")
+        if k:
+            drop_materialized(written)
+        written, ranks = new, new.drop("old")
         if tolerance is not None and moved < tolerance:
             break
     ends = ranks.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()

@@ -67,10 +67,11 @@ def enrich(t: dict[str, DataFrame], domain: str) -> DataFrame:
     return d.unionByName(extra, allowMissingColumns=True)
 
 
-def _count_of(column: str) -> Column:
-    """Occurrences of a value; counted over its partition, empty values apart."""
+def with_occurrences(df: DataFrame, column: str, out: str = "occurrences") -> DataFrame:
+    """How many rows share a value: counted with partial aggregation and joined back; empty values count 0."""
     value = F.trim(F.coalesce(column, F.lit("")))
-    return F.when(value == "", 0).otherwise(F.count("*").over(Window.partitionBy(value)))
+    sizes = df.select(value.alias("_v")).where("_v <> ''").groupBy("_v").agg(F.count("*").alias(out))
+    return df.withColumn("_v", value).join(sizes, "_v", "left").withColumn(out, F.coalesce(out, F.lit(0))).drop("_v")
 
 
 def _html_or(column: str) -> Column:
@@ -78,7 +79,13 @@ def _html_or(column: str) -> Column:
 
 
 def _occurrences(column: str):
-    return lambda d: d.where(_html_or(column)).withColumn("occurrences", _count_of(column))
+    return lambda d: with_occurrences(d.where(_html_or(column)), column)
+
+
+def _inlink_shares(d: DataFrame) -> DataFrame:
+    pages = d.where("page_id is not null")
+    total = pages.agg(F.coalesce(F.sum("inlinks"), F.lit(0)).alias("_all"))
+    return pages.crossJoin(F.broadcast(total)).withColumn("inlink_share", F.round(100.0 * F.col("inlinks") / F.greatest("_all", F.lit(1)), 2)).drop("_all")
 
 
 #: Tabs by key: what they keep and add. Any other key returns all rows.
@@ -94,7 +101,7 @@ TABS = {
     "images": lambda d: d.where("images > 0 or kind = 'image'"),
     "canonicals": _occurrences("canonical"),
     "javascript": lambda d: d.where("coalesce(raw_hash, '') <> '' or coalesce(rendered_hash, '') <> ''"),
-    "links": lambda d: d.where("page_id is not null").withColumn("inlink_share", F.round(100.0 * F.col("inlinks") / F.greatest(F.sum("inlinks").over(Window.partitionBy()), F.lit(1)), 2)),
+    "links": _inlink_shares,
     "structured_data": lambda d: d.where("schema_blocks > 0"),
     "pagespeed": lambda d: d.where("lcp_ms is not null or response_time_ms is not null"),
     "mobile": lambda d: d.where("page_id is not null"),

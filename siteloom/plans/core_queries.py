@@ -157,10 +157,10 @@ def response_buckets(spark, sf_dir):
 
 @register(
     "occurrences",
-    rf"WITH t AS (SELECT page_id, trim({_TITLE}) AS title FROM pages) SELECT page_id, title, CASE WHEN title = '' THEN 0 ELSE count(*) OVER (PARTITION BY title) END AS occurrences FROM t",
+    rf"WITH t AS (SELECT page_id, trim({_TITLE}) AS title FROM pages) SELECT page_id, title, CASE WHEN title = '' THEN 0::BIGINT ELSE count(*) OVER (PARTITION BY title) END AS occurrences FROM t",
 )
 def occurrences(spark, sf_dir):
-    return page_features(table(spark, sf_dir, "pages")).select("page_id", "title", views._count_of("title").alias("occurrences"))
+    return views.with_occurrences(page_features(table(spark, sf_dir, "pages")), "title").select("page_id", "title", "occurrences")
 
 
 @register(
@@ -453,8 +453,7 @@ def upsert_latest(spark, sf_dir):
 @register("resource_totals", f"WITH {values_sql('fx_resources')} SELECT resource_type, count(*) AS n, count(*) FILTER (is_render_blocking) AS blocking, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM fx_resources GROUP BY resource_type")
 def resource_totals(spark, sf_dir):
     g = tables(spark)["fx_resources"].groupBy("resource_type").agg(F.count("*").alias("n"), F.count_if("is_render_blocking").alias("blocking"))
-    from pyspark.sql import Window
-
-    return g.withColumn("pct", aggregates.share(F.col("n"), F.sum("n").over(Window.partitionBy())))
+    total = tables(spark)["fx_resources"].agg(F.count("*").alias("_total"))
+    return aggregates.with_total(g, total).withColumn("pct", aggregates.share(F.col("n"), F.col("_total"))).drop("_total")
 
 
