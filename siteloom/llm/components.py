@@ -1,8 +1,9 @@
 """Connected components of an edge table: the smallest node reachable from each node.
 
 Alternates two star steps until no edge changes. A step sends every node's neighbours to the smallest of them,
-so the number of rounds grows with the logarithm of the longest chain. Minima are aggregated before they are
-joined back, so a node with very many neighbours costs no more than its edges; each round is a written table.
+so the number of rounds grows with the logarithm of the longest chain. Minima are aggregated, written and
+joined back from the table, so both sides of the join are plain exchanges and AQE can split the edges of a node with
+very many neighbours; each round is a written table.
 """
 
 from __future__ import annotations
@@ -32,15 +33,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # Large star: each node sends its larger neighbours to the smallest of its neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # Small star: each node and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = materialize(small.where("u <> v").distinct(), "small")
         stats = _stats(new)
-        drop_materialized(now)
-        drop_materialized(large)
+        for used in (now, large, low, least):
+            drop_materialized(used)
         now = new
         if stats == last or not stats[0]:
             break
