@@ -1,13 +1,15 @@
 """Substring deduplication by line and passage hashing.
 
-Units are lines and, inside longer lines, passages cut at content-defined places (before a word where the digest of
-it and the word ahead says so), so that a passage has the same inner units wherever it stands in a line. Units are
-normalised (A-Z lower-cased, white space collapsed), their digests are grouped over all documents, and the occurrence
-in the document with the smallest id, first in it, is kept. What is removed keeps its offsets in the original text.
+Units are lines and, inside longer lines, windows. Texts are cut at content-defined words (before a word where the
+digest of it and the word ahead says so), and a window runs from each cut over two pieces and ``MIN_LINE_WORDS`` words
+at least, so that a passage has the same inner windows wherever it stands in a line. Units are normalised (A-Z
+lower-cased, white space collapsed), their digests are grouped over all documents, and the occurrence in the document
+with the smallest id, first in it, is kept. What is removed keeps its offsets in the original text.
 
-A line of ``MIN_LINE_WORDS`` words or more is removed when it was met before. Inside other lines a run of passages
-that were met before is removed when it spans ``MIN_RUN_WORDS`` words and most of it was first met in one document;
-its first and last unit, which share words with their surroundings, may stay.
+A line of ``MIN_LINE_WORDS`` words or more is removed when it was met before. A run of windows that were met before is
+removed when it spans ``MIN_RUN_WORDS`` words. Windows next to each other share a piece, so a run holds only words whose
+order was met too, be it in one document or in several; each part of it is a span with the document that it was first met
+in. Words before the first cut of a passage and behind its last may stay.
 
 A document sends each of its digests once, and digests are counted with partial aggregation, so a line that stands in
 a third of all documents costs one row for each task. Flags go back by a join that AQE can split.
@@ -24,12 +26,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.materialize import materialize
 from .batches import map_rows
-from .kernels import char_offsets, lower_utf8, mix, run_digests, span_digests, words
+from .kernels import char_offsets, lower_utf8, mix, run_digests, seeded, span_digests, words
 
 MIN_LINE_WORDS, MIN_RUN_WORDS = 6, 20
-#: Lines of this many words or more have passages; one word in CUT begins one; shorter than MIN_PASSAGE_WORDS tells nothing.
-LONG_LINE, CUT, MIN_PASSAGE_WORDS = 16, 4, 3
+#: Lines of this many words or more have windows; one word in CUT begins one.
+LONG_LINE, CUT = 16, 4
 _U = np.uint64
+_PIECE = seeded(MIN_LINE_WORDS, 31) | _U(1)
 
 SPAN = T.StructType(
     [
@@ -43,7 +46,7 @@ SPAN = T.StructType(
 
 
 class Units:
-    """The units of a text: word spans, line and passage of each word, digests."""
+    """The units of a text: word spans, lines, windows, digests."""
 
     def __init__(self, text: str | None):
         w = words(lower_utf8(text))
@@ -61,18 +64,28 @@ class Units:
         if n:
             with np.errstate(over="ignore"):
                 cut[1:] |= mix(d[:-1] * _U(3) + d[1:]) % _U(CUT) == 0
-        self.passage_first = np.flatnonzero(cut)
-        self.passage_size = np.diff(self.passage_first, append=n)
-        self.passage_digest = run_digests(d, self.passage_first, 2)
-        long_line = np.repeat(self.line_size >= LONG_LINE, self.line_size)
-        self.passage_used = (self.passage_size >= MIN_PASSAGE_WORDS) & (long_line[self.passage_first] if n else np.zeros(0, dtype=bool))
+        piece = np.flatnonzero(cut)
+        digest = run_digests(d, piece, 2)
+        bound = np.append(piece, n)
+        # A window ends at the first cut that leaves it two pieces and MIN_LINE_WORDS words.
+        behind = np.maximum(np.arange(len(piece)) + 2, np.searchsorted(bound, piece + MIN_LINE_WORDS))
+        whole = int(np.searchsorted(behind, len(piece), side="right"))
+        self.window_first, self.window_end = piece[:whole], bound[behind[:whole]]
+        size = behind[:whole] - np.arange(whole)
+        self.window_digest = size.astype(_U) + _U(3)
+        with np.errstate(over="ignore"):
+            for k in range(int(size.max(initial=0))):
+                at = np.flatnonzero(size > k)
+                self.window_digest[at] += digest[at + k] * _PIECE[k]
+            self.window_digest = mix(self.window_digest)
+        self.window_used = np.repeat(self.line_size >= LONG_LINE, self.line_size)[self.window_first]
 
     def digests(self) -> np.ndarray:
         """The distinct digests of the units that count."""
-        return np.unique(np.concatenate([self.line_digest[self.line_used], self.passage_digest[self.passage_used]])).view(np.int64)
+        return np.unique(np.concatenate([self.line_digest[self.line_used], self.window_digest[self.window_used]])).view(np.int64)
 
 
-def _repeats(digest: np.ndarray, used: np.ndarray, known: np.ndarray, source: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(digest: np.ndarray, used: np.ndarray, first: np.ndarray, end: np.ndarray, known: np.ndarray, source: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
     """Which units were met before, in another document or earlier in this one, and the document they were met in."""
     flag, origin = np.zeros(len(digest), dtype=bool), np.full(len(digest), own, dtype=np.int64)
     if len(known) and len(digest):
@@ -80,10 +93,10 @@ def _repeats(digest: np.ndarray, used: np.ndarray, known: np.ndarray, source: np
         hit = used & (known[at] == digest.view(np.int64))
         flag |= hit
         origin[hit] = source[at[hit]]
-    if len(digest):
-        first = np.zeros(len(digest), dtype=bool)
-        first[np.unique(digest, return_index=True)[1]] = True
-        flag |= used & ~first
+    # In this document the kept occurrence ends before the next one begins.
+    at = np.flatnonzero(used)
+    _, kept, which = np.unique(digest[at], return_index=True, return_inverse=True)
+    flag[at] |= first[at] >= end[at[kept]][which]
     return flag, origin
 
 
@@ -92,48 +105,25 @@ def removals(u: Units, known: np.ndarray, source: np.ndarray, own: int) -> list[
     n = len(u.start)
     if not n:
         return []
-    line, line_from = _repeats(u.line_digest, u.line_used, known, source, own)
-    passage, passage_from = _repeats(u.passage_digest, u.passage_used, known, source, own)
+    line, line_from = _repeats(u.line_digest, u.line_used, u.line_first, u.line_first + u.line_size, known, source, own)
+    window, window_from = _repeats(u.window_digest, u.window_used, u.window_first, u.window_end, known, source, own)
     out = [("line", int(u.line_first[k]), int(u.line_first[k] + u.line_size[k]), int(u.line_size[k]), int(line_from[k])) for k in np.flatnonzero(line)]
-    if passage.any():
-        gone = np.repeat(line, u.line_size)[u.passage_first]
-        # A unit too short to tell anything neither ends a run nor counts in it.
-        hit = passage | gone
-        open_ = hit | ~u.passage_used & (u.passage_size < MIN_PASSAGE_WORDS)
-        k, count = 0, len(hit)
-        while k < count:
-            if not hit[k]:
-                k += 1
-                continue
-            end = k + 1
-            while end < count and open_[end]:
-                end += 1
-            last = end - 1
-            while not hit[last]:
-                last -= 1
-            run = range(k, last + 1)
-            told = [j for j in run if passage[j] and not gone[j]]
-            if told and int(u.passage_size[k : last + 1].sum()) >= MIN_RUN_WORDS:
-                votes: dict[int, int] = {}
-                for j in told:
-                    votes[int(passage_from[j])] = votes.get(int(passage_from[j]), 0) + int(u.passage_size[j])
-                best = max(votes, key=lambda s: (votes[s], -s))
-                held = int(sum(u.passage_size[j] for j in run if not gone[j]))
-                of_best = [j for j in told if passage_from[j] == best]
-                if 2 * votes[best] >= held and (len(of_best) > 1 or gone[k : last + 1].any()):
-                    lo, hi = of_best[0], of_best[-1]
-                    j = lo
-                    while j <= hi:  # the lines inside are out already
-                        if gone[j]:
-                            j += 1
-                            continue
-                        e = j
-                        while e <= hi and not gone[e]:
-                            e += 1
-                        a, b = int(u.passage_first[j]), int(u.passage_first[e - 1] + u.passage_size[e - 1])
-                        out.append(("passage", a, b, b - a, best))
-                        j = e
-            k = end
+    met = np.flatnonzero(window)
+    if len(met):
+        taken, origin, done = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), 0
+        for run in np.split(met, np.flatnonzero(np.diff(met) > 1) + 1):
+            lo, hi = int(u.window_first[run[0]]), int(u.window_end[run[-1]])
+            if hi - lo >= MIN_RUN_WORDS:
+                begin = max(lo, done)
+                origin[begin:hi] = np.repeat(window_from[run], np.diff(u.window_first[run], append=hi))[begin - lo :]
+                taken[begin:hi] = True
+                done = hi
+        taken &= ~np.repeat(line, u.line_size)  # these lines are out already
+        first = taken.copy()
+        first[1:] &= ~taken[:-1] | (origin[1:] != origin[:-1])
+        last = taken.copy()
+        last[:-1] &= ~taken[1:] | (origin[1:] != origin[:-1])
+        out += [("passage", a, b + 1, b + 1 - a, int(origin[a])) for a, b in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist())]
     return sorted(out, key=lambda x: x[1])
 
 

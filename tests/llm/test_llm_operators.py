@@ -320,6 +320,30 @@ def test_substring_null_ids_and_copies(spark):
         substring.dedup(frame(spark, rows).withColumn("removed", F.lit(1)))
 
 
+def test_substring_grown_quotes(spark):
+    """A quote that grew: its parts were first met in two documents, and both go from the third."""
+    rng = random.Random(12)
+    for _ in range(3):
+        p, q = sentence(rng, 55), sentence(rng, 55)
+        own = [sentence(rng, 60) for _ in range(6)]
+        rows = [(1, f"{own[0]} {p} {own[1]}"), (2, f"{own[2]} {p} {q} {own[3]}"), (3, f"{own[4]} {p} {q} {own[5]}")]
+        got = {r.doc_id: r for r in substring.dedup(frame(spark, rows)).collect()}
+        assert got[1].text == rows[0][1] and {s.kept_doc for s in got[2].removed} == {1} and {s.kept_doc for s in got[3].removed} == {1, 2}
+        assert len(got[2].text.split()) < 120 + 55 + 25 and len(got[3].text.split()) < 120 + 30
+        assert got[3].text.startswith(own[4]) and got[3].text.endswith(own[5])
+
+
+def test_substring_needs_order():
+    """Windows met apart from each other are no repeated passage, unless one alone has the words."""
+    rng = random.Random(13)
+    u = substring.Units(sentence(rng, 400))
+    odd = np.argsort(d := u.window_digest[::2].view(np.int64))
+    alone = [("passage", a, b, b - a, 0) for a, b in zip(u.window_first[::2].tolist(), u.window_end[::2].tolist()) if b - a >= substring.MIN_RUN_WORDS]
+    assert substring.removals(u, d[odd], np.zeros(len(d), dtype=np.int64), 5) == alone
+    every = np.sort(u.window_digest.view(np.int64))
+    assert substring.removals(u, every, np.zeros(len(every), dtype=np.int64), 5) == [("passage", 0, int(u.window_end[-1]), int(u.window_end[-1]), 0)]
+
+
 # 8
 
 
