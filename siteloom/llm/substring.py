@@ -1,8 +1,8 @@
 """Substring deduplication by line and passage hashing.
 
-Units are lines and, inside longer lines, windows. Texts are cut at content-defined words (before a word where the
+Units are lines and windows over all words, whatever lines they stand in. Texts are cut at content-defined words (before a word where the
 digest of it and the word ahead says so), and a window runs from each cut over two pieces and ``MIN_LINE_WORDS`` words
-at least, so that a passage has the same inner windows wherever it stands in a line. Units are normalised (A-Z
+at least, so that a passage has the same inner windows wherever it stands and however it is wrapped. Units are normalised (A-Z
 lower-cased, white space collapsed), their digests are grouped over all documents, and the occurrence in the document
 with the smallest id, first in it, is kept. What is removed keeps its offsets in the original text.
 
@@ -29,8 +29,8 @@ from .batches import map_rows
 from .kernels import char_offsets, lower_utf8, mix, run_digests, seeded, span_digests, words
 
 MIN_LINE_WORDS, MIN_RUN_WORDS = 6, 20
-#: Lines of this many words or more have windows; one word in CUT begins one.
-LONG_LINE, CUT = 16, 4
+#: One word in CUT begins a window.
+CUT = 4
 _U = np.uint64
 _PIECE = seeded(MIN_LINE_WORDS, 31) | _U(1)
 
@@ -60,8 +60,9 @@ class Units:
         self.line_size = np.diff(self.line_first, append=n)
         self.line_digest = run_digests(d, self.line_first, 1)
         self.line_used = self.line_size >= MIN_LINE_WORDS
-        cut = new_line.copy()
+        cut = np.zeros(n, dtype=bool)
         if n:
+            cut[0] = True
             with np.errstate(over="ignore"):
                 cut[1:] |= mix(d[:-1] * _U(3) + d[1:]) % _U(CUT) == 0
         piece = np.flatnonzero(cut)
@@ -78,7 +79,7 @@ class Units:
                 at = np.flatnonzero(size > k)
                 self.window_digest[at] += digest[at + k] * _PIECE[k]
             self.window_digest = mix(self.window_digest)
-        self.window_used = np.repeat(self.line_size >= LONG_LINE, self.line_size)[self.window_first]
+        self.window_used = np.ones(whole, dtype=bool)
 
     def digests(self) -> np.ndarray:
         """The distinct digests of the units that count."""

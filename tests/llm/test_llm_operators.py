@@ -344,6 +344,20 @@ def test_substring_needs_order():
     assert substring.removals(u, every, np.zeros(len(every), dtype=np.int64), 5) == [("passage", 0, int(u.window_end[-1]), int(u.window_end[-1]), 0)]
 
 
+def test_substring_ignores_newlines(spark):
+    """Passages in short lines, and wrapped otherwise in each document."""
+    rng = random.Random(14)
+    verse, prose = sentence(rng, 70).split(), sentence(rng, 70).split()
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    own = [sentence(rng, 60) for _ in range(6)]
+    rows = [(1, f"{own[0]}\n{wrap(verse, 4)}\n{own[1]} {' '.join(prose)}"), (2, f"{own[2]}\n{wrap(verse, 4)}\n{own[3]}"), (3, f"{own[4]}\n{wrap(prose, 12)}\n{own[5]}")]
+    got = {r.doc_id: r for r in substring.dedup(frame(spark, rows)).collect()}
+    assert got[1].text == rows[0][1]
+    for k in (2, 3):
+        assert len(got[k].text.split()) < 120 + 25 and {s.kept_doc for s in got[k].removed} == {1}
+        assert got[k].text.startswith(own[2 * k - 2]) and got[k].text.endswith(own[2 * k - 1])
+
+
 # 8
 
 
