@@ -9,8 +9,8 @@ Retrieval is block-max WAND with blocks of adjacent items. A passage whose words
 is left at once; then the words' block maxima are summed for each block, and only blocks that can reach the threshold
 are searched with WAND's pivots. All items at or above the threshold are retrieved, none is cut off.
 
-A retrieved item counts as leaked when ``MIN_OVERLAP`` of the five-word shingles of its question and of its answer stand
-in the passage. The answer is the item's own column where there is one, else its last quarter (five words at least).
+A retrieved item counts as leaked when ``MIN_OVERLAP`` of the five-word shingles of its text and, where there is a column of
+answers, of its answer stand in the passage. The overlap of an answer that is not given is null.
 
 The index is broadcast only in shards of bounded size: items are dealt to as many shards as their measured bytes need,
 each of which is one pass over the documents.
@@ -53,17 +53,12 @@ class Index:
         parsed = []
         for item, text, answer in items:
             d, _ = _digests(text)
-            if answer is not None and len(a := _digests(answer)[0]):
-                question = d
-            else:
-                at = max(0, min(len(d) - SHINGLE_WORDS, len(d) - max(SHINGLE_WORDS, len(d) // 4)))
-                question, a = d[:at], d[at:]
             if len(d):
-                parsed.append((item, d, question if len(question) else a, a))
+                parsed.append((item, d, _digests(answer)[0]))
         self.items = [p[0] for p in parsed]
-        self.question = [window_digests(p[2], SHINGLE_WORDS) for p in parsed]
-        self.answer = [window_digests(p[3], SHINGLE_WORDS) for p in parsed]
-        self.windows = [(min(SHINGLE_WORDS, len(p[2])), min(SHINGLE_WORDS, len(p[3]))) for p in parsed]
+        self.question = [window_digests(p[1], SHINGLE_WORDS) for p in parsed]
+        self.answer = [window_digests(p[2], SHINGLE_WORDS) for p in parsed]
+        self.windows = [(min(SHINGLE_WORDS, len(p[1])), min(SHINGLE_WORDS, len(p[2]))) for p in parsed]
         bags = [Counter(p[1].tolist()) for p in parsed]
         df = df if df is not None else Counter(t for b in bags for t in b)
         n, mean = n or max(1, len(bags)), mean or max(1.0, float(np.mean([len(p[1]) for p in parsed]))) if parsed else 1.0
@@ -181,9 +176,9 @@ class Index:
         best: dict[int, tuple] = {}
         for p, item, score in self.retrieve(d):
             lo, hi = p * self.half, min(len(d), (p + 2) * self.half)
-            overlap = [float(np.isin(x, window_digests(d[lo:hi], n)).mean()) for x, n in zip((self.question[item], self.answer[item]), self.windows[item])]
+            overlap = [float(np.isin(x, window_digests(d[lo:hi], n)).mean()) for x, n in zip((self.question[item], self.answer[item]), self.windows[item]) if len(x)]
             if min(overlap) >= MIN_OVERLAP and (sum(overlap), score, -p) > best.get(item, ((-1, 0, 0), 0))[0]:
-                best[item] = ((sum(overlap), score, -p), (lo, hi, score, *overlap))
+                best[item] = ((sum(overlap), score, -p), (lo, hi, score, overlap[0], overlap[1] if len(overlap) > 1 else None))
         if not best:
             return []
         at = char_offsets(w.data)

@@ -286,6 +286,20 @@ def test_leaks_in_shards(spark, monkeypatch):
     assert got == {(k + 100, k) for k in range(30)}
 
 
+def test_leaks_of_edited_items(spark):
+    """Without a column of answers an edit near the end, or a missing end, hides nothing; a given answer must stand in the passage."""
+    rng = random.Random(15)
+    items = [(k, sentence(rng, n)) for k, n in enumerate((20, 38, 59))]
+    a, b, c = (t.split() for _, t in items)
+    rows = [(1, " ".join([*a[:17], "edited", *a[18:]])), (2, " ".join([*b[:33], "edited", *b[34:]])), (3, " ".join(c[:41]))]
+    docs, tests = frame(spark, [(k, f"{sentence(rng, 90)} {t} {sentence(rng, 90)}") for k, t in rows]), frame(spark, items, "item_id long, text string")
+    got = decontaminate.leaked(docs, tests).collect()
+    assert {(r.doc_id, r.item_id, r.answer_overlap) for r in got} == {(1, 0, None), (2, 1, None), (3, 2, None)}
+    assert decontaminate.keep_clean(docs, tests).count() == 0
+    given = tests.withColumn("answer", F.when(F.col("item_id") == 0, F.lit("never said in any text")).otherwise(F.lit(" ".join(b[:9]))))
+    assert {(r.doc_id, r.item_id, r.answer_overlap) for r in decontaminate.leaked(docs, given, answer_col="answer").collect()} == {(2, 1, 1.0)}
+
+
 # 7
 
 
