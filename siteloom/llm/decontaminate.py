@@ -2,8 +2,8 @@
 
 Items are the indexed documents. Their BM25 weights are divided by the item's own total, so that a passage holding all
 words of an item scores 1 for it, and one threshold serves all items. A passage is the bag of distinct words of two
-adjacent halves, each as long as the longest item (``MIN_HALF`` to ``MAX_HALF`` words), so an item of up to a half lies
-whole in one passage wherever it stands.
+adjacent halves of ``MIN_HALF`` words or, for longer items, twice that and so on: each class of lengths has an index and
+halves of its own, so that an item lies whole in one passage wherever it stands, however long it is.
 
 Retrieval is block-max WAND with blocks of adjacent items. A passage whose words' upper bounds sum below the threshold
 is left at once; then the words' block maxima are summed for each block, and only blocks that can reach the threshold
@@ -32,8 +32,8 @@ from .batches import map_rows
 from .kernels import SEPARATOR, char_offsets, lower_utf8, span_digests, window_digests, words
 
 K1, B, THRESHOLD, MIN_OVERLAP, SHINGLE_WORDS = 1.2, 0.75, 0.5, 0.5, 5
-#: Items in a block; passage halves in words; bytes of item texts in one broadcast index.
-BLOCK, MIN_HALF, MAX_HALF, SHARD_BYTES = 4, 64, 256, 16 << 20
+#: Items in a block; the shortest passage half in words; bytes of item texts in one broadcast index.
+BLOCK, MIN_HALF, SHARD_BYTES = 4, 64, 16 << 20
 _U = np.uint64
 
 #: Words end at white space and ASCII punctuation, so that marks beside a word don't hide it.
@@ -62,7 +62,7 @@ class Index:
         bags = [Counter(p[1].tolist()) for p in parsed]
         df = df if df is not None else Counter(t for b in bags for t in b)
         n, mean = n or max(1, len(bags)), mean or max(1.0, float(np.mean([len(p[1]) for p in parsed]))) if parsed else 1.0
-        self.half = int(min(MAX_HALF, max([MIN_HALF, *(len(p[1]) for p in parsed)])))
+        self.half = max([MIN_HALF, *(len(p[1]) + len(p[2]) for p in parsed)])
         postings: dict[int, list[tuple[int, float]]] = {}
         for k, bag in enumerate(bags):
             size = sum(bag.values())
@@ -170,19 +170,41 @@ class Index:
             out += [(int(key[a]) // self.n_blocks, item, score) for item, score in self.wand(where[a:b].tolist(), threshold)]
         return out
 
-    def leaks(self, text: str | None) -> list[tuple]:
-        """item id, first and last character of the passage, score, question and answer overlap: the best passage of each leaked item."""
-        d, w = _digests(text)
+    def leaks(self, d: np.ndarray) -> list[tuple]:
+        """item id, first word and word behind the passage, score, question and answer overlap: the best passage of each leaked item."""
         best: dict[int, tuple] = {}
         for p, item, score in self.retrieve(d):
             lo, hi = p * self.half, min(len(d), (p + 2) * self.half)
             overlap = [float(np.isin(x, window_digests(d[lo:hi], n)).mean()) for x, n in zip((self.question[item], self.answer[item]), self.windows[item]) if len(x)]
             if min(overlap) >= MIN_OVERLAP and (sum(overlap), score, -p) > best.get(item, ((-1, 0, 0), 0))[0]:
                 best[item] = ((sum(overlap), score, -p), (lo, hi, score, overlap[0], overlap[1] if len(overlap) > 1 else None))
-        if not best:
+        return [(self.items[k], *hit) for k, (_, hit) in sorted(best.items())]
+
+
+class Indexes:
+    """An index for each class of item lengths (question and answer; up to MIN_HALF words, twice that and so on), with the statistics of all."""
+
+    def __init__(self, items: list[tuple], df: Counter | None = None, n: int | None = None, mean: float | None = None):
+        classes: dict[int, list[tuple]] = {}
+        sizes, counts = [], Counter()
+        for row in items:
+            d = _digests(row[1])[0]
+            if len(d):
+                sizes.append(len(d))
+                counts.update(set(d.tolist()))
+                long = max(0, -(-(len(d) + len(_digests(row[2])[0])) // MIN_HALF) - 1).bit_length()
+                classes.setdefault(long, []).append(row)
+        df, n, mean = (df, n, mean) if df is not None else (counts, len(sizes), float(np.mean(sizes)) if sizes else 1.0)
+        self.parts = [Index(rows, df, n, mean) for _, rows in sorted(classes.items())]
+
+    def leaks(self, text: str | None) -> list[tuple]:
+        """item id, first and last character of the passage, score, question and answer overlap: the best passage of each leaked item."""
+        d, w = _digests(text)
+        found = [hit for part in self.parts for hit in part.leaks(d)]
+        if not found:
             return []
         at = char_offsets(w.data)
-        return [(self.items[k], int(at[w.start[lo]]), int(at[w.end[hi - 1]]), score, q, a) for k, (_, (lo, hi, score, q, a)) in sorted(best.items())]
+        return [(item, int(at[w.start[lo]]), int(at[w.end[hi - 1]]), *rest) for item, lo, hi, *rest in found]
 
 
 def shards(items: DataFrame, id_col: str, text_col: str, answer_col: str | None = None):
@@ -192,7 +214,7 @@ def shards(items: DataFrame, id_col: str, text_col: str, answer_col: str | None
     sizes = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0))), F.lit(0)).alias("bytes")).first()
     count = int(sizes["bytes"] // SHARD_BYTES) + 1
     if count == 1:
-        yield Index([tuple(r) for r in rows.collect()])
+        yield Indexes([tuple(r) for r in rows.collect()])
         return
     # Document frequencies of all items, for the words of one shard at a time.
     schema = T.StructType([T.StructField("term", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("size", T.LongType())])
@@ -214,7 +236,7 @@ def shards(items: DataFrame, id_col: str, text_col: str, answer_col: str | None
     for k in range(count):
         own = terms.where(F.col("shard") == k).select("term").distinct()
         counts = Counter({int(np.int64(r["term"]).view(_U)): r["n"] for r in df.join(own, "term").toLocalIterator()})
-        yield Index([(r["item"], r["text"], r["answer"]) for r in dealt.where(F.col("shard") == k).collect()], counts, whole["n"], whole["words"] / max(1, whole["n"]))
+        yield Indexes([(r["item"], r["text"], r["answer"]) for r in dealt.where(F.col("shard") == k).collect()], counts, whole["n"], whole["words"] / max(1, whole["n"]))
 
 
 def leaked(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:

@@ -300,6 +300,19 @@ def test_leaks_of_edited_items(spark):
     assert {(r.doc_id, r.item_id, r.answer_overlap) for r in decontaminate.leaked(docs, given, answer_col="answer").collect()} == {(2, 1, 1.0)}
 
 
+def test_leaks_of_long_items(spark):
+    """Items of any length are found wherever they stand, next to short ones."""
+    rng = random.Random(16)
+    items = [(k, sentence(rng, n)) for k, n in enumerate((30, 500, 700, 1100, 3000))]
+    rows = [(10 * k + j, f"{sentence(rng, n)} {t} {sentence(rng, 40)}") for k, t in items for j, n in enumerate((1, 130, 257, 700))]
+    docs, tests = frame(spark, rows), frame(spark, items, "item_id long, text string")
+    got = decontaminate.leaked(docs, tests).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(10 * k + j, k) for k in range(5) for j in range(4)]
+    assert all(r.question_overlap == 1 and items[r.item_id][1] in dict(rows)[r.doc_id][r.passage_start : r.passage_end] for r in got)
+    given = tests.select("item_id", F.substring_index("text", " ", 15).alias("text"), F.expr("substring(text, length(substring_index(text, ' ', 15)) + 2)").alias("answer"))
+    assert {r.item_id for r in decontaminate.leaked(docs, given, answer_col="answer").collect()} == set(range(5))
+
+
 # 7
 
 
