@@ -1,7 +1,7 @@
 """HTML main-text extraction by consensus paths of a host.
 
-Each page's containers are scored by the text of their blocks; the best container votes, with its score, for its
-generalised path of tags and classes. Spark sums the votes of each host, and every page is extracted again with
+Each page's containers are scored by the text of their blocks; the best container, or the ``article`` or ``main`` around
+it, votes with that score for its generalised path of tags and classes. Spark sums the votes of each host, and every page is extracted again with
 the path that won on its host; a page without that path uses its own best container.
 
 Defined results: a null or empty page has the empty text; a page without a container of text has the text of its
@@ -45,11 +45,13 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "score", "link", "key")
+    __slots__ = ("tag", "path", "dropped", "score", "link", "key", "whole")
 
-    def __init__(self, tag, path, dropped, link, key):
+    def __init__(self, tag, path, dropped, link, key, whole=None):
         self.tag, self.path, self.dropped, self.link, self.key = tag, path, dropped, link, key
         self.score = 0.0
+        #: The article or main that this is or stands in.
+        self.whole = self if tag in ("article", "main") else whole
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -156,7 +158,7 @@ def scan(html: str, wanted: str | None = None) -> tuple[list[Node], str, bool]:
         key = top.key
         if tag in CONTAINER and not dropped and wanted is not None and path == wanted:
             key = met = True
-        node = Node(tag, path, dropped, top.link or tag == "a", key and not dropped)
+        node = Node(tag, path, dropped, top.link or tag == "a", key and not dropped, top.whole)
         if tag in CONTAINER and not dropped:
             words = set(WORD.findall(attrs.get("class", "").lower() + " " + attrs.get("id", "").lower())) if attrs else ()
             node.score = 25.0 * (tag in ("article", "main")) + 10.0 * bool(words and words & KEEP_WORDS)
@@ -166,7 +168,12 @@ def scan(html: str, wanted: str | None = None) -> tuple[list[Node], str, bool]:
 
 
 def best_container(containers: list[Node]) -> Node | None:
-    return max(containers, key=lambda n: n.score, default=None)
+    """The container with the highest score, lifted to the article or main around it, which takes its score."""
+    best = max(containers, key=lambda n: n.score, default=None)
+    if best is not None and best.whole is not None:
+        best.whole.score = best.score
+        return best.whole
+    return best
 
 
 def host_votes(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -230,6 +230,15 @@ def test_html_consensus(spark):
     assert got[9] == "short story"
 
 
+def test_html_body_inside_article(spark):
+    """The heading, lead and last words around the longest part of an article stay."""
+    page = lambda tag, inner: f"<body><nav>menu</nav><div><{tag}><h1>Title</h1><p>lead</p><{inner} class='body'>{'<p>long text</p>' * 40}</{inner}><div class='share'>no</div><p>end</p></{tag}></div><div>other</div>"
+    cases = [(t, i) for t in ("article", "main") for i in ("div", "section", "table><tr><td")]
+    rows = [(10 * k + j, f"http://h{k}/x", page(t, i)) for k, (t, i) in enumerate(cases) for j in range(3)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 18 and {r.text for r in got} == {f"Title lead {' '.join(['long text'] * 40)} end"}
+
+
 def test_html_pages(spark, sf_dir):
     from html import unescape
 
