@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.materialize import drop_materialized, materialize
@@ -45,18 +47,20 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     return ranks.select("node", "rank", F.round((F.col("rank") - ends["lo"]) / spread * 100, 2).alias("score"))
 
 
-def click_depth(nodes: DataFrame, links: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
-    """node and depth: the fewest links from a seed; null where none leads. One join for each level."""
+def click_depth(nodes: DataFrame, links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """node and depth: the fewest links from a seed; null where none leads, or none of up to ``most`` links. One join for each level."""
     nodes = nodes.select("node").distinct()
     edges = materialize(internal_edges(links, nodes), "edges")
     seen = materialize(seeds.select("node").distinct().join(nodes, "node", "left_semi").withColumn("depth", F.lit(0)), "seen")
     frontier = seen
-    for level in range(1, most + 1):
+    for level in itertools.count(1) if most is None else range(1, most + 1):
         step = edges.join(frontier.select(F.col("node").alias("s")), "s").select(F.col("t").alias("node")).distinct()
         frontier = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if level % 16 == 0:  # a long chain does not grow the plan
+            seen = materialize(seen, "seen")
     return nodes.join(seen, "node", "left")
 
 

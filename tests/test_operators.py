@@ -42,6 +42,13 @@ def test_pagerank_and_depth(spark):
     assert graph.pagerank(nodes.limit(0), links).count() == 0
 
 
+def test_depth_of_a_long_chain(spark):
+    nodes = spark.range(56).select(F.col("id").alias("node"))
+    links = nodes.where("node < 54").select(F.col("node").alias("s"), (F.col("node") + 1).alias("t"))
+    d = {x.node: x.depth for x in graph.click_depth(nodes, links, nodes.where("node = 0")).collect()}
+    assert d == {k: k for k in range(55)} | {55: None}
+
+
 def test_simhash_bands_equal_all_pairs(spark):
     rows = [(k, f"{(0x123456789ABCDEF0 ^ (1 << (k * 7 % 64)) ^ (k % 9)):016x}") for k in range(60)] + [(100, "0" * 16), (101, None), (102, f"{0x123456789ABCDEF0:016x}"), (103, f"{0x123456789ABCDEF0:016x}")]
     got = {(r.a, r.b, r.distance) for r in similarity.simhash_pairs(spark.createDataFrame(rows, "doc_id long, simhash string")).collect()}
