@@ -6,18 +6,21 @@ loses its rows. Nothing is kept on one machine's disk: ``localCheckpoint`` and t
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Used only where the session names no checkpoint folder and all its tasks run on this machine, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``."""
+    """The folder that the cluster shares: the session's ``spark.checkpoint.dir``. A cluster without one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return (named or FALLBACK_DIR).rstrip("/")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
