@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,16 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Input text of one slice, in bytes; a single longer text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+def release() -> None:
+    """Give memory that the worker holds but doesn't use back to the system: workers are reused by other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -24,20 +34,37 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int
             at += step
 
 
+def _arrow(columns: dict, target: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := columns[f.name], pa.Array | pa.ChunkedArray) else pa.array(x, type=f.type) for f in target], schema=target)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType, most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with slices of bounded size; ``fn`` returns columns, each a list, numpy or Arrow array."""
     target = to_arrow_schema(schema)
 
     def run(batches):
         for part in slices(batches, most):
-            out = fn(part)
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := out[f.name], pa.Array | pa.ChunkedArray) else pa.array(x, type=f.type) for f in target], schema=target)
+            if (out := fn(part)) is not None:
+                yield _arrow(out, target)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
-def texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
-    """The column's texts; null is the empty text."""
-    for x in batch.column(name):
-        yield x.as_py() or ""
+def map_groups(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: T.StructType, most: int = SLICE_BYTES, weight: Callable[[tuple], int] = lambda row: 64) -> DataFrame:
+    """``mapInArrow`` where ``fn`` turns a partition's slices into rows, which leave in batches of about ``most`` bytes."""
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        held, size = [], 0
+        for row in fn(slices(batches, most)):
+            held.append(row)
+            size += weight(row)
+            if size >= most or len(held) >= 8192:
+                yield _arrow(dict(zip(schema.names, zip(*held))), target)
+                held, size = [], 0
+        if held:
+            yield _arrow(dict(zip(schema.names, zip(*held))), target)
+        release()
+
+    return df.mapInArrow(run, schema)

@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.materialize import drop_materialized, materialize
 
-MAX_ROUNDS = 60
-
-
 def _stats(edges: DataFrame) -> tuple:
     """Changes with any changed edge: the count, and two sums over digests of the edges."""
     h = F.xxhash64("u", "v").cast("decimal(20,0)")
@@ -30,7 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     now = materialize(now, "edges")
     last = None
-    for _ in range(MAX_ROUNDS):
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    while True:
         # Large star: each node sends its larger neighbours to the smallest of its neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")

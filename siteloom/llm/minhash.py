@@ -5,15 +5,22 @@ evaluation, both unbiased for the Jaccard similarity. ``ROWS`` values make a ban
 are candidates. With 48 bands of 6 values a pair at similarity 0.75 misses every band with probability 8e-5, a pair
 at 0.2 shares one with 0.3 %.
 
-Copies of one shingle set are one node from the start. Candidates that share bands, directly or by others, form a
-family; a family is cut into blocks and each pair of blocks is a tile, in which all pairs are compared on their full
-sets at once as a matrix product. A tile returns a spanning forest of its links, never its pairs, so a large group of
-near copies spreads over many tasks and emits rows in proportion to its documents. Connected components of the links
-give the classes.
-
-Defined results: a null or empty text, or one without words, has an empty set and is a class of its own; equal ids are
-one document given twice and share a class; a row with a null id can be in a class but never names it; the class id is
-the smallest id, and the document with that id is kept; an empty table gives no rows. Only the id and text columns are read.
+Equal shingle sets are one node from the start. Candidates are verified inside their buckets, on full sets:
+
+1. Stars. Each bucket has a pivot, the node with the smallest number, and every member is compared with it. A pivot with many
+   members is sent to as many tasks as they need. Work and rows are linear in the members; a group of near copies becomes
+   one class here, however large it is.
+2. Leftovers. Only buckets whose members besides the pivot still stand in two classes or more hold pairs that were not compared.
+   Their members meet in tiles as sketches (one byte of each signature value); pairs of different classes whose sketches agree
+   in ``PLAUSIBLE`` of the values join classes to families, which no chance collision of a band can do.
+3. Families are cut into blocks bounded by documents and by bytes, and all pairs of blocks are compared on full sets by a
+   product of incidence matrices.
+
+Every step returns a forest of links, never pairs. Connected components of the links give the classes.
+
+Defined results: a null or empty text, or one without words, has an empty set and is a class of its own; rows with equal ids
+are one document and share a class, whatever their texts; a row with a null id can be in a class but never names it; the class id is
+the smallest id, and rows with that id are kept; an empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,10 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.materialize import drop_materialized, materialize
-from .batches import map_rows, slices
+from .batches import map_groups, map_rows
 from .components import connected_components
 from .kernels import lower_utf8, mix, seeded, shingle_set
 
@@ -36,8 +42,12 @@ SHINGLE_WORDS = 5
 LINK_PERCENT = 75
 BANDS, ROWS = 48, 6
 PERMUTATIONS = BANDS * ROWS // 2
-#: Documents of a block on average; a tile holds two blocks.
-BLOCK = 192
+#: Members of a star in one task; documents of a block of sketches.
+STAR, SKETCHES = 4096, 512
+#: Share of equal signature values from which a pair is compared: a pair at 0.75 falls below with probability 1e-8.
+PLAUSIBLE = 0.6
+#: Documents, and bytes of packed sets, of a block on average; a tile holds two blocks.
+BLOCK, BLOCK_BYTES = 192, 4 << 20
 #: Shingles whose incidence is held at once in a tile.
 COLUMNS_AT_ONCE = 8192
 _U = np.uint64
@@ -47,8 +57,8 @@ _XOR, _MUL, _ROW = seeded(PERMUTATIONS, 101), seeded(PERMUTATIONS, 211) | _U(1),
 def min_max(shingles: np.ndarray) -> np.ndarray:
     """The minimum and maximum under each permutation, as rows."""
     low, high = np.full(PERMUTATIONS, ~_U(0)), np.zeros(PERMUTATIONS, dtype=_U)
-    for at in range(0, len(shingles), 4096):
-        h = (shingles[None, at : at + 4096] ^ _XOR[:, None]) * _MUL[:, None]
+    for at in range(0, len(shingles), 1024):
+        h = (shingles[None, at : at + 1024] ^ _XOR[:, None]) * _MUL[:, None]
         np.minimum(low, h.min(axis=1), out=low)
         np.maximum(high, h.max(axis=1), out=high)
     return np.stack([low, high], axis=1)
@@ -60,6 +70,15 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix((rows * _ROW).sum(axis=1, dtype=_U) + np.arange(BANDS, dtype=_U) * _ROW[0]).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """One byte of each signature value."""
+    return (mix(min_max(shingles).ravel()) & _U(255)).astype(np.uint8).tobytes()
+
+
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, n_shingles, a digest of the set and its band keys (both null for an empty set)."""
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
@@ -69,21 +88,39 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for text in part.column("text").to_pylist():
             s = shingle_set(lower_utf8(text), SHINGLE_WORDS)
             sizes.append(len(s))
-            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            digests.append(digest_of(s) if len(s) else None)
             keys.append(band_keys(s) if len(s) else None)
         return {"doc": part.column("doc"), "n_shingles": sizes, "digest": digests, "keys": keys}
 
     return map_rows(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), run, schema)
 
 
-def links(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links between sets; with ``side``, of those between side False and side True.
+class Forest:
+    """Union-find over 0..n-1, some of which may be joined from the start by equal labels."""
 
-    Intersections of all pairs come from products of incidence matrices over the shingles that two sets or more hold.
-    """
+    def __init__(self, labels: list):
+        first: dict = {}
+        self.parent = [first.setdefault(x, k) for k, x in enumerate(labels)]
+
+    def top(self, k: int) -> int:
+        parent = self.parent
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        self.parent[b] = a
+        return a != b
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets are linked. Intersections of all pairs come from products of incidence matrices over the shingles
+    that two sets or more hold."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    every, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), size)
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
     new = np.ones(len(every), dtype=bool)
@@ -91,106 +128,180 @@ def links(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None = None
     column = np.cumsum(new) - 1
     shared = np.bincount(column)[column] > 1
     column, owner = column[shared], owner[shared]
-    if not len(column):
-        return
-    column = np.unique(column, return_inverse=True)[1]
     common = np.zeros((n, n), dtype=np.float64)
-    for at in range(0, int(column[-1]) + 1, COLUMNS_AT_ONCE):
-        lo, hi = np.searchsorted(column, [at, at + COLUMNS_AT_ONCE])
-        x = np.zeros((n, min(COLUMNS_AT_ONCE, int(column[-1]) + 1 - at)), dtype=np.float32)
-        x[owner[lo:hi], column[lo:hi] - at] = 1
-        common += x @ x.T
-    linked = np.triu(100 * common >= LINK_PERCENT * (size[:, None] + size[None, :] - common), 1)
-    if side is not None:
-        linked &= side[:, None] != side[None, :]
-    parent = list(range(n))
-
-    def top(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
+    if len(column):
+        column = np.unique(column, return_inverse=True)[1]
+        for at in range(0, int(column[-1]) + 1, COLUMNS_AT_ONCE):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS_AT_ONCE])
+            x = np.zeros((n, min(COLUMNS_AT_ONCE, int(column[-1]) + 1 - at)), dtype=np.float32)
+            x[owner[lo:hi], column[lo:hi] - at] = 1
+            common += x @ x.T
+    return np.triu((common > 0) & (100 * common >= LINK_PERCENT * (size[:, None] + size[None, :] - common)), 1)
 
-    for a, b in np.argwhere(linked).tolist():
-        x, y = top(a), top(b)
-        if x != y:
-            parent[y] = x
-            yield ids[a], ids[b]
 
+def plausible(sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs a < b of sketches that agree in ``PLAUSIBLE`` of their values."""
+    least = int(PLAUSIBLE * sketches.shape[1])
+    for a in range(len(sketches) - 1):
+        for b in (np.flatnonzero((sketches[a + 1 :] == sketches[a]).sum(axis=1) >= least) + a + 1).tolist():
+            yield a, b
 
-def families(reps: DataFrame) -> DataFrame:
-    """node and family of the sets that share a band with another one, directly or by others."""
-    buckets = reps.select("doc", F.explode("keys").alias("key"))
-    shared = materialize(buckets.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "bands")
-    stars = buckets.join(shared, "key").where("doc <> first").select(F.col("doc").alias("u"), F.col("first").alias("v"))
-    found = connected_components(stars)
-    return found.select("node", F.col("component").alias("family"))
 
+SENT = T.StructType([T.StructField("group", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("side", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("label", T.LongType()), T.StructField("packed", T.BinaryType())])
+LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
-def tiles(df: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each member and tile it takes part in: family, lo, hi, block, doc and its packed set."""
-    schema = T.StructType(
-        [T.StructField("family", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("packed", T.BinaryType())]
-    )
 
-    def run(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {n: [] for n in schema.names}
-        met: set[int] = set()
-        for doc, text, family, block, blocks in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "family", "block", "blocks"))):
-            if doc in met:
-                continue
-            met.add(doc)
-            packed = shingle_set(lower_utf8(text), SHINGLE_WORDS).tobytes()
-            for other in range(blocks):
-                for name, value in zip(schema.names, (family, min(block, other), max(block, other), block, doc, packed)):
-                    out[name].append(value)
-        return out
+def send(df: DataFrame, nodes: DataFrame, places: DataFrame, id_col: str, text_col: str, packing=lambda s: s.tobytes()) -> DataFrame:
+    """A row of ``SENT`` with the packed set for each place of a node.
 
+    ``places`` has node and to, an array of structs (group, blocks, side, label). A place with ``blocks`` of 0 gives one row, lo being its
+    side; else the node is sent to every tile of its block (side) with another one. Rows are made as they are sent.
+    """
+    wanted = nodes.select("node", "doc", "digest").join(places, "node")
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return map_rows(texts.join(members, "doc"), run, schema, 2 << 20)
 
+    def run(parts):
+        for part in parts:
+            for text, node, digest, to in zip(*(part.column(c).to_pylist() for c in ("text", "node", "digest", "to"))):
+                s = shingle_set(lower_utf8(text), SHINGLE_WORDS)
+                if digest_of(s) != digest:  # another text with the same id
+                    continue
+                packed = packing(s)
+                for p in to:
+                    if p["blocks"]:
+                        for other in range(p["blocks"]):
+                            yield p["group"], min(p["side"], other), max(p["side"], other), p["side"], node, p["label"], packed
+                    else:
+                        yield p["group"], p["side"], 0, int(p["label"] != node), node, p["label"], packed
+
+    return map_groups(texts.join(wanted, "doc").select("text", "node", "digest", "to"), run, SENT, 2 << 20, lambda row: len(row[-1]) + 48)
 
-def compare(tiled: DataFrame) -> DataFrame:
-    """Links u, v found in each tile; a task holds one tile at a time."""
-    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
-    target = to_arrow_schema(schema)
 
-    def run(batches):
+def grouped(sent: DataFrame, solve) -> DataFrame:
+    """Links found by ``solve`` in each group of (group, lo, hi), whose rows come as (side, node, label, packed)."""
+    schema = LINKS
+
+    def run(parts):
         key, held = None, {}
+        for part in parts:
+            for group, lo, hi, side, node, label, packed in zip(*(part.column(c).to_pylist() for c in SENT.names)):
+                if (group, lo, hi) != key:
+                    yield from solve(key, held)
+                    key, held = (group, lo, hi), {}
+                held[node] = (side, label, packed)
+        yield from solve(key, held)
+
+    return map_groups(sent.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi"), run, schema)
+
+
+def against_pivot(sent: DataFrame) -> DataFrame:
+    """Links of star members with their pivot; a task holds one pivot's set and streams the members'."""
+
+    def run(parts):
+        key = pivot = None
+        for part in parts:
+            for group, lo, side, node, packed in zip(*(part.column(c).to_pylist() for c in ("group", "lo", "side", "node", "packed"))):
+                s = np.frombuffer(packed, dtype=_U)
+                if side == 0:
+                    key, pivot = (group, lo), s
+                elif key == (group, lo):
+                    small, large = (s, pivot) if len(s) <= len(pivot) else (pivot, s)
+                    common = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
+                    if common and 100 * common >= LINK_PERCENT * (len(s) + len(pivot) - common):
+                        yield node, group
+
+    return map_groups(sent.repartition("group", "lo").sortWithinPartitions("group", "lo", "side"), run, LINKS)
+
+
+def _tile_pairs(pairs_of):
+    """A solver of tiles: links between nodes of different labels, no more than join the labels to each other."""
+
+    def solve(key, held):
+        if len(held) < 2:
+            return
+        nodes = sorted(held)
+        labels = [held[n][1] for n in nodes]
+        if len(set(labels)) < 2:
+            return
+        forest = Forest(labels)
+        for a, b in pairs_of([held[n][2] for n in nodes]):
+            if forest.join(a, b):
+                yield nodes[a], nodes[b]
+
+    return solve
+
+
+def _set_pairs(packed: list[bytes]) -> list:
+    return np.argwhere(linked([np.frombuffer(p, dtype=_U) for p in packed])).tolist()
+
+
+def _sketch_pairs(packed: list[bytes]) -> Iterator[tuple[int, int]]:
+    return plausible(np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1))
+
+
+def place(group, blocks, side, label):
+    return F.struct(F.col(group).alias("group"), blocks.cast("int").alias("blocks"), side.cast("int").alias("side"), label.cast("long").alias("label"))
+
+
+def star_places(stars: DataFrame) -> DataFrame:
+    """Where nodes are sent to be compared with pivots: members to one part of the star, pivots to all parts."""
+    parts = stars.groupBy("first").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
+    members = stars.join(parts, "first").select("node", place("first", F.lit(0), F.pmod(F.xxhash64("node"), F.col("parts")), F.col("first")).alias("p"))
+    pivots = parts.select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("first").alias("node"), place("first", F.lit(0), F.col("part"), F.col("first")).alias("p"))
+    return members.unionByName(pivots).groupBy("node").agg(F.collect_list("p").alias("to"))
+
 
-        def solve():
-            if len(held) > 1:
-                ids = sorted(held)
-                sets = [np.frombuffer(held[i][1], dtype=_U) for i in ids]
-                side = None if key[1] == key[2] else np.array([held[i][0] == key[2] for i in ids])
-                found = list(links(ids, sets, side))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*found)], schema=target)
+def tile_places(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Where the nodes of each group are sent: to the tiles of their block. ``members`` has group, node, label and bytes."""
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("bytes") / F.lit(block_bytes))).cast("int").alias("blocks"))
+    return members.join(sizes, "group").select("node", place("group", F.col("blocks"), F.pmod(F.xxhash64("node"), F.col("blocks")), F.col("label")).alias("p")).groupBy("node").agg(F.collect_list("p").alias("to"))
 
-        for part in slices(batches):
-            for family, lo, hi, block, doc, packed in zip(*(part.column(c).to_pylist() for c in part.schema.names)):
-                if (family, lo, hi) != key:
-                    yield from solve()
-                    key, held = (family, lo, hi), {}
-                held[doc] = (block, packed)
-        yield from solve()
 
-    return tiled.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(run, schema)
+def leftovers(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label and n of the members of buckets that hold pairs not yet compared, pivots left out."""
+    rest = met.where("size > 2 and node <> first").select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    mixed = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    return rest.join(mixed, "key", "left_semi")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc, n_shingles, component (the smallest linked id) and kept."""
     sig = materialize(signatures(df, id_col, text_col), "signatures")
-    first = sig.where("digest is not null and doc is not null").groupBy("digest").agg(F.min(F.struct("doc", "keys")).alias("first"), F.count("*").alias("copies"))
-    reps = materialize(first.select("digest", "first.doc", "first.keys", "copies"), "sets")
-    found = materialize(families(reps), "families")
-    sizes = found.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = found.join(materialize(sizes, "sizes"), "family").select(F.col("node").alias("doc"), "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    edges = materialize(compare(tiles(df, members, id_col, text_col)), "links")
-    labels = connected_components(edges)
-    classes = reps.join(labels, reps["doc"] == labels["node"], "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "doc").alias("component"))
-    classes = materialize(classes, "classes")
-    for used in (reps, found, edges):
+    named = sig.where("digest is not null and doc is not null")
+    first = named.groupBy("digest").agg(F.min(F.struct("doc", "n_shingles", "keys")).alias("first"), F.count("*").alias("copies"))
+    # Numbers are fixed once the table is written.
+    nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc", F.col("first.n_shingles").alias("n"), "first.keys", "copies"), "nodes")
+    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = materialize(buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.node").alias("first"), F.col("p.n").alias("first_n"), "size"), "bands")
+    met = materialize(buckets.join(shared, "key"), "buckets")
+    stars = materialize(met.where(f"node <> first and 100 * least(n, first_n) >= {LINK_PERCENT} * greatest(n, first_n)").select("node", "first").distinct(), "stars")
+    links = materialize(against_pivot(send(df, nodes, star_places(stars), id_col, text_col)), "links")
+    # Rows with one id and several sets are one document.
+    twice = named.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc", "a")
+    number = nodes.select("digest", F.col("node"))
+    alike = named.join(twice, "doc").select("digest", "a").distinct().join(number, "digest").select(F.col("node").alias("u"), "a").join(number.select(F.col("digest").alias("a"), F.col("node").alias("v")), "a").select("u", "v")
+    labels = materialize(connected_components(links.unionByName(alike)), "labels")
+    rest = materialize(leftovers(met, labels), "leftovers")
+    more = []
+    if not rest.isEmpty():
+        tiles = rest.select(F.col("key").alias("group"), "node", "label", F.lit(BANDS * ROWS).alias("bytes"))
+        label = labels.select("node", "component")
+        classes = lambda e: e.join(label.toDF("u", "cu"), "u", "left").join(label.toDF("v", "cv"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+        near = grouped(send(df, nodes, tile_places(tiles, SKETCHES, 1 << 40), id_col, text_col, sketch), _tile_pairs(_sketch_pairs))
+        families = materialize(connected_components(classes(near)), "families")
+        if not families.isEmpty():
+            members = rest.select("node", "label", "n").distinct().join(families.select(F.col("node").alias("label"), F.col("component").alias("group")), "label").select("group", "node", "label", (8 * F.col("n")).alias("bytes"))
+            found = grouped(send(df, nodes, tile_places(members, BLOCK, BLOCK_BYTES), id_col, text_col), _tile_pairs(_set_pairs))
+            joined = materialize(connected_components(classes(found)), "joined")
+            labels_new = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+            alone = joined.join(labels, "node", "left_anti")
+            old, labels = labels, materialize(labels_new.unionByName(alone), "labels")
+            more = [old, joined]
+        more.append(families)
+    own = nodes.select("node", "digest", "doc", "copies").join(labels, "node", "left")
+    smallest = own.where("component is not null").groupBy("component").agg(F.min("doc").alias("low"))
+    classes = materialize(own.where("copies > 1 or component is not null").join(smallest, "component", "left").select("digest", F.coalesce("low", "doc").alias("component")), "classes")
+    for used in (nodes, shared, met, stars, links, labels, rest, *more):
         drop_materialized(used)
     out = sig.select("doc", "n_shingles", "digest").join(classes, "digest", "left")
     out = out.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
