@@ -23,12 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_DIR).rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+#: Rows of a file of a small table.
+FILE_ROWS = 500_000
+
+
+def materialize(df: DataFrame, label: str = "stage", rows: int | None = None) -> DataFrame:
     """Write ``df`` once and return a frame that scans the written rows.
 
-    The schema is passed to the reader, so an empty frame reads back with its columns.
+    ``rows`` is about how many rows of a few columns there are at most: where that is little, partitions are written
+    together, so that a small table isn't a thousand files. The schema is passed to the reader, so an empty frame reads back
+    with its columns.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/siteloom-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
