@@ -19,25 +19,26 @@ def _stats(edges: DataFrame) -> tuple:
     return r.n, r.s, r.x
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``edges`` has long columns u and v. Returns node and component, for nodes that have an edge to another.
 
-    Loops, repeated and reversed edges, and nulls (which link nothing) are allowed; no edges give no rows.
+    Loops, repeated and reversed edges, and nulls (which link nothing) are allowed; no edges give no rows. ``rows`` is about how many edges there are at most, if that is known.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now = materialize(now, "edges")
-    last = None
-    if now.isEmpty():
+    now = materialize(now, "edges", rows)
+    last = _stats(now)
+    rows = last[0]
+    if not rows:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         # Large star: each node sends its larger neighbours to the smallest of its neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", rows)
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large", rows)
         # Small star: each node and its smaller neighbours go to the smallest of them.
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low", rows)
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = materialize(small.where("u <> v").distinct(), "small")
+        new = materialize(small.where("u <> v").distinct(), "small", rows)
         stats = _stats(new)
         for used in (now, large, low, least):
             drop_materialized(used)

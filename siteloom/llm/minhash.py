@@ -270,37 +270,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = sig.where("digest is not null and doc is not null")
     first = named.groupBy("digest").agg(F.min(F.struct("doc", "n_shingles", "keys")).alias("first"), F.count("*").alias("copies"))
     # Numbers are fixed once the table is written.
-    nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc", F.col("first.n_shingles").alias("n"), "first.keys", "copies"), "nodes")
+    nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc", F.col("first.n_shingles").alias("n"), "first.keys", "copies"), "nodes", sig.count())
+    total = nodes.count()
     buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = materialize(buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.node").alias("first"), F.col("p.n").alias("first_n"), "size"), "bands")
-    met = materialize(buckets.join(shared, "key"), "buckets")
-    stars = materialize(met.where(f"node <> first and 100 * least(n, first_n) >= {LINK_PERCENT} * greatest(n, first_n)").select("node", "first").distinct(), "stars")
-    links = materialize(against_pivot(send(df, nodes, star_places(stars), id_col, text_col)), "links")
+    shared = materialize(buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.node").alias("first"), F.col("p.n").alias("first_n"), "size"), "bands", BANDS * total // 2)
+    met = materialize(buckets.join(shared, "key"), "buckets", BANDS * total)
+    stars = materialize(met.where(f"node <> first and 100 * least(n, first_n) >= {LINK_PERCENT} * greatest(n, first_n)").select("node", "first").distinct(), "stars", BANDS * total)
+    links = materialize(against_pivot(send(df, nodes, star_places(stars), id_col, text_col)), "links", BANDS * total)
     # Rows with one id and several sets are one document.
     twice = named.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc", "a")
     number = nodes.select("digest", F.col("node"))
     alike = named.join(twice, "doc").select("digest", "a").distinct().join(number, "digest").select(F.col("node").alias("u"), "a").join(number.select(F.col("digest").alias("a"), F.col("node").alias("v")), "a").select("u", "v")
-    labels = materialize(connected_components(links.unionByName(alike)), "labels")
-    rest = materialize(leftovers(met, labels), "leftovers")
+    labels = materialize(connected_components(links.unionByName(alike), BANDS * total), "labels", total)
+    rest = materialize(leftovers(met, labels), "leftovers", BANDS * total)
     more = []
     if not rest.isEmpty():
         tiles = rest.select(F.col("key").alias("group"), "node", "label", F.lit(BANDS * ROWS).alias("bytes"))
         label = labels.select("node", "component")
         classes = lambda e: e.join(label.toDF("u", "cu"), "u", "left").join(label.toDF("v", "cv"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
         near = grouped(send(df, nodes, tile_places(tiles, SKETCHES, 1 << 40), id_col, text_col, sketch), _tile_pairs(_sketch_pairs))
-        families = materialize(connected_components(classes(near)), "families")
+        families = materialize(connected_components(classes(near), total), "families", total)
         if not families.isEmpty():
             members = rest.select("node", "label", "n").distinct().join(families.select(F.col("node").alias("label"), F.col("component").alias("group")), "label").select("group", "node", "label", (8 * F.col("n")).alias("bytes"))
             found = grouped(send(df, nodes, tile_places(members, BLOCK, BLOCK_BYTES), id_col, text_col), _tile_pairs(_set_pairs))
-            joined = materialize(connected_components(classes(found)), "joined")
+            joined = materialize(connected_components(classes(found), total), "joined", total)
             labels_new = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
             alone = joined.join(labels, "node", "left_anti")
-            old, labels = labels, materialize(labels_new.unionByName(alone), "labels")
+            old, labels = labels, materialize(labels_new.unionByName(alone), "labels", total)
             more = [old, joined]
         more.append(families)
     own = nodes.select("node", "digest", "doc", "copies").join(labels, "node", "left")
     smallest = own.where("component is not null").groupBy("component").agg(F.min("doc").alias("low"))
-    classes = materialize(own.where("copies > 1 or component is not null").join(smallest, "component", "left").select("digest", F.coalesce("low", "doc").alias("component")), "classes")
+    classes = materialize(own.where("copies > 1 or component is not null").join(smallest, "component", "left").select("digest", F.coalesce("low", "doc").alias("component")), "classes", total)
     for used in (nodes, shared, met, stars, links, labels, rest, *more):
         drop_materialized(used)
     out = sig.select("doc", "n_shingles", "digest").join(classes, "digest", "left")

@@ -161,18 +161,20 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {"doc": part.column("doc"), "units": [Units(t).digests() for t in part.column("text").to_pylist()]}
 
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    sent = materialize(map_rows(docs, run, schema), "units").select("doc", F.explode("units").alias("digest"))
+    units = materialize(map_rows(docs, run, schema), "units")
+    about = 64 * units.count()
+    sent = units.select("doc", F.explode("units").alias("digest"))
     shared = sent.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
-    shared = materialize(shared, "shared")
+    shared = materialize(shared, "shared", about)
     met = sent.join(shared, "digest").where("doc <> first_doc")
-    return met.groupBy("doc").agg(F.collect_list(F.struct("digest", "first_doc")).alias("met"))
+    return materialize(met.groupBy("doc").agg(F.collect_list(F.struct("digest", "first_doc")).alias("met")), "met", about)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: str = "removed") -> DataFrame:
     """The rows with ``text_col`` without its repeated units, and ``spans``: what was removed, with original offsets."""
     if spans.lower() in {c.lower() for c in df.columns} or "_met" in df.columns or "_doc" in df.columns:
         raise ValueError(f"column {spans} exists already")
-    met = materialize(repeated_units(df, id_col, text_col), "met")
+    met = repeated_units(df, id_col, text_col)
     joined = df.withColumn("_doc", F.col(id_col).cast("long")).join(met.select(F.col("doc").alias("_doc"), F.col("met").alias("_met")), "_doc", "left").select("_doc", *df.columns, "_met")
     names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(spans, T.ArrayType(SPAN))])
