@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate class."""
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = materialize(found.where("not kept").select(F.col("doc").alias("doc_id")), "gone")
+    gone = materialize(found.where("not kept").select(F.col("doc").alias("doc_id")), "gone", found.count())
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
