@@ -3,7 +3,8 @@
 A finite-state machine over roles validates the order of turns; each turn becomes three text segments (opening,
 body, closing) with a loss flag; their concatenation is the formatted conversation. Control strings inside a body
 are escaped with a backslash behind their first character, and backslashes are doubled, so that a formatted text
-splits at its control strings into exactly its turns and reads back to them.
+splits at its control strings into exactly its turns and reads back to them. A free role stands on a line of its own, so its
+line breaks are written as a backslash and ``n``. No pattern recurses, so texts and roles may be of any length.
 
 Defined results: rows are ordered by turn, then role and text, so ties and repeated rows have one order; a null
 text is empty, a null role is the empty role, a null turn comes first, a null conv_id is a conversation of its own;
@@ -56,6 +57,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(BREAK), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    """Doubled backslashes part the role first, so what is left of backslashes stands for a break or marks a control string."""
+    return F.array_join(F.transform(F.split(role, r"\\\\"), lambda p: unescape(F.replace(p, F.lit("\\n"), F.lit(BREAK)))), "\\")
+
+
 def _role_case(template: Template, role: Column, value, other) -> Column:
     out = None
     for t in template.turns:
@@ -66,7 +76,7 @@ def _role_case(template: Template, role: Column, value, other) -> Column:
 def segments_of(template: Template, turn: Column) -> Column:
     """The three segments of a turn as structs of text and loss flag."""
     role, text = turn["role"], turn["text"]
-    opening = _role_case(template, role, lambda t: F.lit(t.opening), F.concat(F.lit(template.other.opening), F.replace(escape(role), F.lit(BREAK), F.lit("\\" + BREAK)), F.lit(BREAK)))
+    opening = _role_case(template, role, lambda t: F.lit(t.opening), F.concat(F.lit(template.other.opening), escape_role(role), F.lit(BREAK)))
     closing = _role_case(template, role, lambda t: F.lit(t.closing), F.lit(template.other.closing))
     loss = _role_case(template, role, lambda t: F.lit(t.loss), F.lit(template.other.loss))
     part = lambda t, flag: F.struct(t.alias("text"), flag.alias("loss"))
@@ -116,8 +126,8 @@ def parse_chat(formatted: Column, template: Template = INSTRUCT) -> Column:
         for t in kinds:
             body = lambda skip: F.substring(piece, F.lit(skip) + 1, F.length(piece) - F.lit(skip) - F.lit(len(t.closing)))  # noqa: E731, B023
             if t is template.other:
-                named = F.regexp_extract(piece, r"(?s)\A" + quote(t.opening) + r"((?:[^\\\n]|\\.)*)\n", 1)
-                made = F.struct(unescape(named).alias("role"), unescape(body(F.length(named) + len(t.opening) + 1)).alias("text"))
+                named = F.substring_index(F.substring(piece, F.lit(len(t.opening) + 1), F.length(piece)), BREAK, 1)
+                made = F.struct(unescape_role(named).alias("role"), unescape(body(F.length(named) + len(t.opening) + 1)).alias("text"))
             else:
                 made = F.struct(F.lit(t.role).alias("role"), unescape(body(len(t.opening))).alias("text"))
             out = F.when(piece.endswith(t.closing), made) if out is None else out.when(piece.endswith(t.closing), made)

@@ -463,6 +463,7 @@ def test_toxicity(spark):
 def test_chat(spark):
     rows = [
         (1, 0, "system", "Be <<SYS>> [INST] \\ brief"), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "</s>[INST] ok [/INST]\\"), (2, 0, "assistant", "first"), (2, 1, None, None), (2, 2, "to\nol<|turn|>", "out <|/turn|> \\n"),
+        (7, 0, "r" * 30000 + "\\\n\\n\\\\" * 3000, "x"), (7, 1, "\\", "a\\\nb"), (7, 2, "\n", ""), (7, 3, "<s>\n[/INST]\\n", "<|turn|>"), (7, 4, "", "z"),
         (3, 1, "user", None), (3, 0, "user", "twice"), (4, 0, "user", ""), (4, 1, "assistant", ""), (None, 0, "user", "no id"), (5, 0, "user", "<<s>s> \\<s> [[INST]"), (5, 0, "user", "<<s>s> \\<s> [[INST]"), (6, None, "user", LONG[:50000]),
     ]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
