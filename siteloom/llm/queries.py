@@ -49,15 +49,15 @@ WITH u AS (
 ), fit AS (
   SELECT s.page_id, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
   FROM s JOIN r ON (s.host = r.host OR s.host LIKE '%.' || r.host) AND starts_with(s.path, r.path) GROUP BY s.page_id
+), m(line, tier, verdict, pattern) AS (
+  VALUES """
+    + ", ".join(f"('{r.name}', {r.tier}, '{r.verdict}', '{r.pattern}')" for r in urls.METHOD_RULES)
+    + """
 ), w AS (
-  SELECT s.page_id, max_by(x.phrase, struct_pack(n := length(x.phrase))) AS phrase
-  FROM s JOIN (SELECT unnest(["""
-    + ", ".join(f"'{p}'" for p in urls.BLOCKED_PHRASES)
-    + """]) AS phrase) x
-  ON regexp_matches(s.host || s.path, '(?i)(^|[^a-z0-9])' || x.phrase || '($|[^a-z0-9])') GROUP BY s.page_id
+  SELECT page_id, min_by(line, {'t': tier, 'n': -length(line), 'l': line}) AS line, min_by(m.verdict, {'t': tier, 'n': -length(line), 'l': line}) AS verdict
+  FROM (SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS url FROM u WHERE p > 0) JOIN m ON regexp_matches(url, pattern, 's') GROUP BY page_id
 )
-SELECT s.page_id, s.host, s.path, fit.rule, coalesce(fit.verdict, CASE WHEN w.phrase IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
-       CASE WHEN fit.rule IS NULL AND w.phrase IS NOT NULL THEN 'word:' || w.phrase END AS method_rule
+SELECT s.page_id, s.host, s.path, fit.rule, coalesce(fit.verdict, w.verdict, 'allow') AS verdict, CASE WHEN fit.rule IS NULL THEN w.line END AS method_rule
 FROM s LEFT JOIN fit USING (page_id) LEFT JOIN w USING (page_id)
 """
 )

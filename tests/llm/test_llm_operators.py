@@ -129,7 +129,7 @@ def test_urls(spark):
     rules = (*(urls.site_rule(s, v) for v, s in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))), *urls.METHOD_RULES)
     rows = [
         (1, "http://A.Example.COM/en/70?x", "a.example.com", "/en/70", "example.com/en/7", "allow"), (2, "https://example.com/en/8", "example.com", "/en/8", "com/en/", "block"), (3, None, "", "", None, "allow"), (4, "no scheme", "", "", None, "allow"),
-        (5, "x://notcom/en/1", "notcom", "/en/1", None, "allow"), (6, "http://b.example.net/de/81#f", "b.example.net", "/de/81", "example.net/de/8", "block"), (7, "http://www.cheap-pills.example.org/fr/1", "www.cheap-pills.example.org", "/fr/1", "word:cheap-pills", "block"),
+        (5, "x://notcom/en/1", "notcom", "/en/1", None, "allow"), (6, "http://b.example.net/de/81#f", "b.example.net", "/de/81", "example.net/de/8", "block"), (7, "http://www.cheap-pills.example.org/fr/1", "www.cheap-pills.example.org", "/fr/1", "^cheap-pills^", "block"),
         (8, "http://example.com/EN/7", "example.com", "/EN/7", None, "allow"), (9, "http://org", "org", "", None, "allow"), (10, "", "", "", None, "allow"), (11, "http://z.net/de/://x.com/en/", "z.net", "/de/://x.com/en/", "net/de/", "allow"),
     ]
     got = urls.judge(spark.createDataFrame([(k, u) for k, u, *_ in rows], "page_id long, url string"), rules)
@@ -139,12 +139,38 @@ def test_urls(spark):
         urls.judge(spark.createDataFrame([], "url string, host string"), rules)
 
 
-def test_url_index_equals_every_rule(spark, sf_dir):
-    rules = urls.METHOD_RULES + tuple(urls.word_rule(w) for w in ("blog", "en", "html", "825"))
+def every_rule(rules, url, place):
+    low = url.translate(LOWER)
+    fits = [x for x in rules if re.search(x.pattern, place if x.place else low, re.S)]
+    return min(fits, key=lambda x: (x.tier, -x.weight, x.name)).name if fits else None
+
+
+def test_url_index_equals_every_rule(spark, sf_dir, monkeypatch):
+    """Thousands of rules of every kind, in one part and in several, against running all of them."""
+    rng = random.Random(31)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    for r in urls.judge(pages, rules).collect():
-        fits = [x for x in rules if re.search(x.pattern, r.host + r.path)]
-        assert r.rule == (min(fits, key=lambda x: (x.tier, -x.weight, x.name)).name if fits else None)
+    words = sorted({t for r in pages.collect() for t in re.findall("[a-z0-9]+", r.url.lower())})
+    extra = ["http://x.org/ca\u017fino", "http://A.B-casino.net/x.EXE", "HTTPS://ADSERVER.a.com", "ftp://u@poker.de:80/?q=anti-spam&a=spam", "casino", "", "http://", "http://a.b/" + "casino/" * 30000, "x://spam\n/casino"]
+    pages = pages.unionByName(spark.createDataFrame([(-k, u) for k, u in enumerate(extra, 1)], "page_id long, url string"))
+    lines = list(urls.METHOD_LINES) + ["! comment", "", "/[0-9]{3}\\.html$/", "@@|http://thther.", ".html|", "*", "||com^", "||org/e*/4"][:-3]
+    for _ in range(3000):
+        a, b = rng.choice(words), rng.choice(words)
+        lines.append(rng.choice(["", "", "", "@@"]) + rng.choice([f"||{a}.{b}^", f"^{a}^{b}^", f"{a[:3]}*{b}", f"/{a}/*.{b}", f"||{a}^", f"{a}.{b}|", f"|http://{a}", f"^{a}-", f"{a}^*={b}"]))
+    rules = urls.parse_list(lines)
+    assert len(rules) > 2000 and urls.parse_rule("! x") is None and urls.parse_rule("^a*b^c").tokens == () and urls.parse_rule("||a.b^c|").tokens == ("a", "b", "c")
+    whole = [(r.page_id, r.rule, r.url, r.host + r.path) for r in urls.judge(pages, rules).collect()]
+    for _, rule, url, place in whole:
+        assert rule == (every_rule(rules, url, place) if "://" in url else None)
+    assert sum(rule is not None for _, rule, _, _ in whole) > 10
+    monkeypatch.setattr(urls, "PART_RULES", 500)
+    assert sorted((r.page_id, r.rule or "") for r in urls.judge(pages, rules).collect()) == sorted((k, rule or "") for k, rule, _, _ in whole)
+
+
+def test_url_exceptions():
+    rules = urls.parse_list(["||bad.org^", "@@||good.bad.org^", "^ads^", "/x[0-9]+y/"])
+    judge = urls.Judge(rules, {})
+    for url, name in (("http://bad.org/", "||bad.org^"), ("http://a.bad.org", "||bad.org^"), ("http://good.bad.org/ads/", "@@||good.bad.org^"), ("http://notbad.org/", None), ("http://q/x12y", "/x[0-9]+y/"), ("http://q/?u=bad.org", None), ("http://q/ads", "^ads^"), ("http://q/loads", None)):
+        assert (found := judge.best(url, "")) is None if name is None else judge.best(url, "").name == name
 
 
 # 4
