@@ -1,19 +1,23 @@
 """HTML main-text extraction by consensus paths of a host.
 
-Each page's containers are scored by the text of their blocks; the best container, or the ``article`` or ``main`` around
-it, votes with that score for its generalised path of tags and classes. Spark sums the votes of each host, and every page is extracted again with
-the path that won on its host; a page without that path uses its own best container.
+A page is read once into containers, each with the size of its text. What is no text (scripts, styles, forms' controls) and what is never
+part of an article (navigation, asides, footers) is left out by its tag; elements whose class or id names such a thing (``comments``,
+``sidebar-left``, but not ``has-sidebar`` or ``comments-open``) are left out too, unless they hold most of the page's text: the text decides
+over the name. Containers are then scored by the text of their blocks, links not counted; the best container, or the ``article`` or ``main``
+around it, votes with that score for its generalised path of tags and classes. Spark sums the votes of each host, and every page is
+extracted again with the path that won on its host; a page without that path uses its own best container.
 
 Defined results: a null or empty page has the empty text; a page without a container of text has the text of its
 body less boilerplate; unclosed, misnested and cut-off markup is read as far as it goes; pages are read whole,
-however long; a null URL, or one without ``://``, votes with the empty host; ties go to the path that sorts first;
-an empty table gives no rows; other columns pass through; clashing names raise ``ValueError``.
+however long; a null URL, or one without ``://``, votes with the empty host; ties go to the path that sorts first; repeated rows vote and are
+extracted each; an empty table gives no rows; other columns pass through; clashing names raise ``ValueError``.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -29,46 +33,73 @@ RAW = frozenset("script style textarea title iframe noembed noframes noscript xm
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 BLOCK = CLOSES_P | frozenset("body html li dt dd tr td th caption thead tbody tfoot br option legend".split())
 #: What may hold a main text.
-CONTAINER = frozenset("body article main section div td".split())
-HEADING_OR_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt figcaption".split())
-#: Never part of a main text.
-DROP_TAGS = frozenset("head nav header footer aside form script style noscript template svg math iframe button select textarea option dialog menu object embed canvas audio video map title".split())
-DROP_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe share sharing social related recommended comment comments disqus replies masthead footer skyscraper toolbar pagination pager widget".split())
+CONTAINER = frozenset("body article main section div td form".split())
+#: Never part of a main text, whatever they hold.
+DROP_TAGS = frozenset("head nav footer aside script style noscript template svg iframe button select textarea option dialog menu object embed canvas audio video map title".split())
+#: Names of what is left out: as a class or id by itself, or as a part of one.
+DROP_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe share sharing social related recommended masthead footer skyscraper toolbar pagination pager widget".split())
+#: Readers' words: left out even if they are longer than the article.
+READER_WORDS = frozenset("comment comments disqus replies responses respond".split())
+#: Parts that make a name one of a state or a layout, not of what the element is.
+STATE_WORDS = frozenset("no not non has have with without free open opened close closed off on enable enabled disable disabled is layout page site theme template full hide hidden show count style allow wrapper container inner outer body".split())
 DROP_CLASSES = frozenset("header site-header page-header top-header global-header site-footer page-footer".split())
-DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 KEEP_WORDS = frozenset("article content post entry story main body text".split())
+#: Shares of the page's text from which an element stays in spite of its name; of readers' words; of a form.
+MOSTLY, NEARLY_ALL = 0.5, 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "score", "link", "key", "whole")
+    __slots__ = ("tag", "parent", "path", "kind", "inside", "link", "own", "below", "score", "bonus", "dropped")
 
-    def __init__(self, tag, path, dropped, link, key, whole=None):
-        self.tag, self.path, self.dropped, self.link, self.key = tag, path, dropped, link, key
+    def __init__(self, tag, parent, path, kind, inside, link, bonus):
+        self.tag, self.parent, self.path, self.kind, self.inside, self.link, self.bonus = tag, parent, path, kind, inside, link, bonus
+        self.own = self.below = 0
         self.score = 0.0
-        #: The article or main that this is or stands in.
-        self.whole = self if tag in ("article", "main") else whole
+        self.dropped = False
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text else {}
 
 
-def boilerplate(tag: str, attrs: dict[str, str]) -> bool:
+#: How an element may be left out: never, by what it is, by its name, as reader comments.
+PLAIN, HARD, NAMED, READERS = range(4)
+
+
+@lru_cache(maxsize=4096)
+def kind_of_name(name: str) -> int:
+    """What a class or id says."""
+    parts = WORD.findall(name)
+    if name in DROP_CLASSES:
+        return NAMED
+    if not parts or not (found := {p for p in parts if p in DROP_WORDS or p in READER_WORDS}) or any(p in STATE_WORDS for p in parts):
+        return PLAIN
+    return READERS if found & READER_WORDS else NAMED
+
+
+def kind_of(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    """Whether an element may be left out. ``inside``: it stands in an article or main."""
     if tag in DROP_TAGS:
-        return True
-    if not attrs or tag in ("body", "html", "article", "main"):
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROP_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
-        return True
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        if name in DROP_CLASSES or any(w in DROP_WORDS for w in WORD.findall(name)):
-            return True
-    return False
+        return HARD
+    if tag == "header":
+        return PLAIN if inside else HARD
+    if attrs and tag not in ("body", "html"):
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROP_ROLES or NOT_SHOWN.search(attrs.get("style", "")):
+            return HARD
+        if tag != "main":
+            kinds = {kind_of_name(n) for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split() if not (inside and n in DROP_CLASSES)}
+            if READERS in kinds:
+                return READERS
+            if NAMED in kinds and tag != "article":
+                return NAMED
+    return NAMED if tag == "form" else PLAIN
 
 
 def step_of(tag: str, attrs: dict[str, str]) -> str:
@@ -77,103 +108,132 @@ def step_of(tag: str, attrs: dict[str, str]) -> str:
     return tag + "".join(f".{c}" for c in classes)
 
 
-def scan(html: str, wanted: str | None = None) -> tuple[list[Node], str, bool]:
-    """Read a page once. Returns its containers with scores, the text below ``wanted`` (all kept text if that is
-    None) and whether ``wanted`` was met."""
-    root = Node("", "", False, False, False)
-    stack = [root]
-    containers: list[Node] = []
-    out: list[str] = []
-    met = wanted is None
-    root.key = met
-    at, end = 0, len(html)
-    match = TOKEN.match
-    while at < end:
-        m = match(html, at)
-        at = m.end()
-        tag = m[2] or m[5]
-        top = stack[-1]
-        if tag is None:
-            text = m[0]
-            if text[0] == "<" and len(text) > 1:
+class Page:
+    """A page read once: its elements in order, and its texts and block limits with the element they stand in."""
+
+    def __init__(self, html: str):
+        root = Node("", None, "", PLAIN, False, False, 0.0)
+        self.nodes, self.pieces = [root], []
+        stack = [root]
+        at, end = 0, len(html)
+        match, pieces = TOKEN.match, self.pieces
+        while at < end:
+            m = match(html, at)
+            at = m.end()
+            tag = m[2] or m[5]
+            top = stack[-1]
+            if tag is None:
+                text = m[0]
+                if (text[0] != "<" or len(text) == 1) and top.kind != HARD:
+                    pieces.append((top, unescape(text) if "&" in text else text))
+                    top.own += len(text.strip())
+                continue
+            tag = tag.lower()
+            rest = m[3] or m[6]
+            if m[1] or m[4]:
+                if tag in BLOCK:
+                    pieces.append((top, " "))
+                if tag in VOID:
+                    continue
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        del stack[k:]
+                        break
+                    if tag not in BLOCK and stack[k].tag in BLOCK and stack[k].tag != "p":
+                        break
+                    if tag not in CONTAINER and stack[k].tag in CONTAINER:
+                        break
                 continue
-            if not top.dropped:
-                if top.key:
-                    out.append(unescape(text) if "&" in text else text)
-                if not top.link and (size := len(text.strip())):
-                    given = 0
-                    for node in reversed(stack):
-                        if node.tag in CONTAINER:
-                            node.score += size / (1 << given)
-                            given += 1
-                            if given == 3:
-                                break
-            continue
-        tag = tag.lower()
-        rest = m[3] or m[6]
-        if m[1] or m[4]:
-            if tag in BLOCK and top.key:
-                out.append(" ")
+            if tag in CLOSES_P:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p":
+                        del stack[k:]
+                        break
+                    if stack[k].tag in CLOSES_P or stack[k].tag in CONTAINER:
+                        break
+            elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in same:
+                        del stack[k:]
+                        break
+                    if stack[k].tag in ("ul", "ol", "dl", "table", "select", "tbody", "tr" if tag in ("td", "th") else "") or stack[k].tag in CONTAINER and tag not in ("tr", "td", "th"):
+                        break
+            top = stack[-1]
+            if tag in BLOCK:
+                pieces.append((top, " "))
             if tag in VOID:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK and stack[k].tag != "p":
-                    break
-                if tag not in CONTAINER and stack[k].tag in CONTAINER:
-                    break
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in CLOSES_P or stack[k].tag in CONTAINER:
-                    break
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in same:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select", "tbody", "tr" if tag in ("td", "th") else "") or stack[k].tag in CONTAINER and tag not in ("tr", "td", "th"):
-                    break
-        top = stack[-1]
-        if tag in BLOCK and top.key:
-            out.append(" ")
-        if tag in VOID:
-            continue
-        attrs = attributes(rest) if rest else {}
-        dropped = top.dropped or boilerplate(tag, attrs)
-        if tag in RAW:
-            close = RAW_END[tag].search(html, at)
-            at = close.end() if close else end
-            continue
-        if tag in CONTAINER or tag == "html":
-            path = f"{top.path}>{step_of(tag, attrs)}" if tag != "html" else top.path
-        else:
-            path = top.path
-        key = top.key
-        if tag in CONTAINER and not dropped and wanted is not None and path == wanted:
-            key = met = True
-        node = Node(tag, path, dropped, top.link or tag == "a", key and not dropped, top.whole)
-        if tag in CONTAINER and not dropped:
-            words = set(WORD.findall(attrs.get("class", "").lower() + " " + attrs.get("id", "").lower())) if attrs else ()
-            node.score = 25.0 * (tag in ("article", "main")) + 10.0 * bool(words and words & KEEP_WORDS)
-            containers.append(node)
-        stack.append(node)
-    return containers, " ".join("".join(out).split()), met
-
-
-def best_container(containers: list[Node]) -> Node | None:
-    """The container with the highest score, lifted to the article or main around it, which takes its score."""
-    best = max(containers, key=lambda n: n.score, default=None)
-    if best is not None and best.whole is not None:
-        best.whole.score = best.score
-        return best.whole
-    return best
+            if tag in RAW:
+                close = RAW_END[tag].search(html, at)
+                at = close.end() if close else end
+                continue
+            attrs = attributes(rest) if rest else {}
+            kind = HARD if top.kind == HARD else kind_of(tag, attrs, top.inside)
+            if tag in CONTAINER:
+                words = WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()) if attrs else ()
+                node = Node(tag, top, f"{top.path}>{step_of(tag, attrs)}", kind, top.inside or tag in ("article", "main"), top.link, 25.0 * (tag in ("article", "main")) + 10.0 * any(w in KEEP_WORDS for w in words))
+            else:
+                node = Node(tag, top, top.path, kind, top.inside, top.link or tag == "a", 0.0)
+            self.nodes.append(node)
+            stack.append(node)
+        self.judge()
+
+    def judge(self) -> None:
+        """Which elements are left out, and the score of each container."""
+        for node in reversed(self.nodes):
+            node.below += node.own
+            if node.parent is not None:
+                node.parent.below += node.below
+        whole = max(1, self.nodes[0].below)
+        for node in self.nodes[1:]:
+            least = {PLAIN: 0.0, HARD: 2.0, NAMED: MOSTLY, READERS: NEARLY_ALL}[node.kind]
+            node.dropped = node.parent.dropped or node.below < least * whole
+            if node.tag in CONTAINER and not node.dropped:
+                node.score = node.bonus
+        for node in self.nodes:
+            if node.own and not node.dropped and not node.link:
+                given, at = 0, node
+                while at is not None and given < 3:
+                    if at.tag in CONTAINER:
+                        at.score += node.own / (1 << given)
+                        given += 1
+                    at = at.parent
+
+    def best(self) -> Node | None:
+        """The container with the highest score, lifted to the outermost article or main around it, which takes its score."""
+        found = max((n for n in self.nodes if n.tag in CONTAINER and not n.dropped), key=lambda n: n.score, default=None)
+        if found is None or found.score <= 0:
+            return None
+        at, lifted = found, found
+        while at is not None:
+            if at.tag in ("article", "main"):
+                lifted = at
+            at = at.parent
+        # A main that holds much besides its article is the layout, not the text.
+        if lifted.tag == "main" and (inner := self._article(found, lifted)) is not None and inner.below >= MOSTLY * lifted.below:
+            lifted = inner
+        lifted.score = max(lifted.score, found.score)
+        return lifted
+
+    @staticmethod
+    def _article(at: Node, limit: Node) -> Node | None:
+        found = None
+        while at is not limit:
+            if at.tag == "article":
+                found = at
+            at = at.parent
+        return found
+
+    def text(self, path: str | None) -> str | None:
+        """The text below the containers of ``path``, all kept text if that is None; None where no container has it."""
+        wanted: dict[Node, bool] = {}
+        met = path is None
+        for node in self.nodes:
+            own = path is None or node.tag in CONTAINER and node.path == path
+            met |= own and not node.dropped
+            wanted[node] = not node.dropped and (own or node.parent is not None and wanted[node.parent])
+        return " ".join("".join([t if t == " " or wanted[n] else "" for n, t in self.pieces]).split()) if met else None
 
 
 def host_votes(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -184,7 +244,7 @@ def host_votes(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     def run(part: pa.RecordBatch) -> dict:
         pages, score = Counter(), Counter()
         for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-            if page and (best := best_container(scan(page, "")[0])) and best.score > 0:
+            if page and (best := Page(page).best()):
                 pages[host, best.path] += 1
                 score[host, best.path] += round(best.score)
         return {"host": [h for h, _ in pages], "path": [p for _, p in pages], "pages": list(pages.values()), "score": [float(score[k]) for k in pages]}
@@ -210,13 +270,14 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", text: str = "te
     def run(part: pa.RecordBatch) -> dict:
         found, paths = [], []
         for page, path in zip(part.column("_html").to_pylist(), part.column("_path").to_pylist()):
-            body, met = "", False
+            body = ""
             if page:
-                containers, body, met = scan(page, path or "")
-                if not met:
-                    best = best_container(containers)
-                    path = best.path if best and best.score > 0 else None
-                    body = scan(page, path)[1]
+                read = Page(page)
+                body = read.text(path) if path else None
+                if body is None:
+                    best = read.best()
+                    path = best.path if best else None
+                    body = read.text(path)
             found.append(body)
             paths.append(path if page else None)
         return {n: part.column(n) for n in names} | {text: found, "text_path": paths}
