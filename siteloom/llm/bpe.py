@@ -9,7 +9,8 @@ quadratic, so pre-tokens over ``SHORT`` bytes keep the same boundaries in a link
 Text is cut at single spaces first. Where no space meets other white space, a piece with the space before it is cut by the
 pattern alike in any context, so its ids can be kept; a text where spaces meet is cut as a whole. Each Python
 worker keeps pieces and pre-tokens that it has met in a young and an old dictionary; when the young one reaches
-its limit it replaces the old. Memory is bounded whatever the corpus holds.
+its limit, in entries or in bytes, it replaces the old. Pieces longer than ``KEPT_BYTES`` are dropped behind their batch. So memory is
+bounded whatever the corpus holds: by the limits and one batch.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; whole texts are encoded,
 however long; equal texts have equal ids; tables without rows give none; other columns are passed through,
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 SHORT = 100
 #: Pieces, and pre-tokens, that the young dictionary of a worker holds at most.
 PIECES, PRE_TOKENS = 250_000, 150_000
+#: Characters and bytes of ids that the young dictionary of a worker holds at most, and of one entry that is kept.
+YOUNG_BYTES, KEPT_BYTES = 8 << 20, 1024
 NO_RANK = 1 << 40
 #: Texts of one call, in bytes.
 BATCH_BYTES = 2 << 20
@@ -48,13 +51,18 @@ def byte_characters() -> dict[str, int]:
 class Kept:
     """A dictionary of bounded size that keeps what was met lately."""
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int, most_bytes: int = YOUNG_BYTES):
+        self.most, self.most_bytes, self.young, self.old, self.size = most, most_bytes, {}, {}, 0
+        self.long: list[str] = []
 
     def absent(self, keys: set[str]) -> list[str]:
         """Those of ``keys`` that aren't kept; the others are in ``young`` after the call."""
-        if len(self.young) + len(keys) > self.most:
-            self.young, self.old = {}, self.young
+        for k in self.long:
+            self.young.pop(k, None)
+        more = sum(map(len, keys))
+        if len(self.young) + len(keys) > self.most or self.size + more > self.most_bytes:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.long = [k for k in keys if len(k) > KEPT_BYTES] if more > KEPT_BYTES else []
         young, old, out = self.young, self.old, []
         for k in keys:
             if k not in young:
@@ -63,6 +71,7 @@ class Kept:
                     out.append(k)
                 else:
                     young[k] = v
+                self.size += 2 * len(k)
         return out
 
 

@@ -56,6 +56,27 @@ def test_bpe_long_and_short_merges_agree(library):
         assert np.frombuffer(short, dtype="<u4").tolist() == own.merge_long([own.of_byte[b] for b in word])
 
 
+def test_bpe_dictionaries_are_bounded(library, monkeypatch):
+    """Very long pieces and many short ones roll the dictionaries over, and ids stay those of the library."""
+    lib, _ = library
+    monkeypatch.setattr(bpe, "YOUNG_BYTES", 20_000)
+    own = bpe.Codec(bpe.default_path())
+    own.pieces, own.words = bpe.Kept(500, 20_000), bpe.Kept(300, 20_000)
+    rng = random.Random(17)
+    seen = 0
+    for k in range(40):
+        texts = [sentence(rng, 60), "".join(rng.choices("abcdefgh", k=rng.choice([50, 3000, 200_000]))), "tie " * 30, sentence(rng, 60)]
+        seen += sum(map(len, texts))
+        for text, packed in zip(texts, own.encode_batch(texts)):
+            assert np.frombuffer(packed, dtype="<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+        largest = sum(map(len, texts))
+        for kept in (own.pieces, own.words):
+            assert sum(map(len, kept.young)) <= 20_000 + largest and sum(map(len, kept.old)) <= 20_000 + largest
+            own.pieces.absent(set()), own.words.absent(set())
+            assert max(map(len, kept.young), default=0) <= bpe.KEPT_BYTES and len(kept.young) <= kept.most
+    assert seen > 500_000
+
+
 def test_bpe_rows(spark):
     rows = [(1, "Hello there"), (2, None), (3, ""), (4, "Hello there"), (None, "x")]
     out = {r.doc_id: r for r in bpe.digests(bpe.round_trip(frame(spark, rows)), ["doc_id"]).collect()}
