@@ -1,16 +1,17 @@
 """Sharding along a Hilbert curve.
 
-Metadata dimensions (size on a logarithmic scale, source and language by digest) are quantised to 4 bits each; rows are
-sorted by their index on the Hilbert curve through that cube, ties by id, and the order is cut into runs of equal row
-counts. Rows near each other in every dimension share a shard, so a file's ranges are narrow in all of them and a
-reader can skip files by any.
+Metadata dimensions are quantised to 4 bits each: size on a logarithmic scale, source and language by the rank of their value among
+all values in sorted order, so that neighbouring values share a cell and none is put beside an unlike one. Rows are
+sorted by their index on the Hilbert curve through that cube, ties by the text's checksum and then by id, and the order is cut into
+runs of equal row counts. Rows near each other in every dimension share a shard, so a file's minima and maxima are close in all of
+them and a reader can skip files by any. Equal texts with equal metadata lie next to each other and are split where a shard ends only.
 
 The order is built with a range shuffle of small rows (no texts): each range counts its rows, the counts give offsets,
 and a row's rank is its place in its range plus the offset. A metadata value that a third of all rows share is split by
-id over as many ranges as it needs. Law: ``rows``; counts differ by one at most.
+checksum and id over as many ranges as it needs. Law: ``rows``; counts differ by one at most.
 
-Defined results: a null text counts as empty, null metadata as the empty text; a null id sorts first; rows with equal
-ids and texts are interchangeable; an empty table gives no rows; other columns are not read.
+Defined results: a null text counts as empty, null metadata as the empty text; a null id sorts first; rows with
+equal ids and texts are interchangeable; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,11 +71,18 @@ def curve(axes: list) -> F.Column:
     return run(*axes)
 
 
-def metadata_axes(size: F.Column, *labels: F.Column) -> list:
-    """Quantised dimensions: log2 of the size, and a digest of each label."""
-    top = (1 << BITS) - 1
-    scaled = F.least(F.greatest(F.floor(F.log2(size.cast("double"))) - 3, F.lit(0)), F.lit(top)).cast("long")
-    return [scaled, *[F.pmod(F.xxhash64(F.coalesce(x.cast("string"), F.lit(""))), F.lit(1 << BITS)).cast("long") for x in labels]]
+TOP = (1 << BITS) - 1
+
+
+def size_axis(size: F.Column) -> F.Column:
+    """log2 of the size, from 8 bytes on."""
+    return F.least(F.greatest(F.floor(F.log2(size.cast("double"))) - 3, F.lit(0)), F.lit(TOP)).cast("long")
+
+
+def label_cells(df: DataFrame, label: str) -> DataFrame:
+    """label and cell of each distinct value: its rank among all of them, scaled to the cube."""
+    values = ranked(df.select(label).distinct(), [label])
+    return values.select(label, F.expr(f"rank * {TOP + 1} div _total").cast("long").alias("cell"))
 
 
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
@@ -110,16 +118,25 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels
     """id, size, text_crc32, curve index, law, shard and slot of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    small = df.select(F.col(id_col), size.alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(c).alias(f"_label{k}") for k, c in enumerate(labels)])
-    axes = metadata_axes(F.col("size"), *[F.col(f"_label{k}") for k in range(len(labels))])
-    small = materialize(small.withColumn("curve", curve(axes)).drop(*[f"_label{k}" for k in range(len(labels))]), "curve")
-    out = ranked(small, ["curve", id_col, "text_crc32", "size"])
+    named = [f"_label{k}" for k in range(len(labels))]
+    small = df.select(F.col(id_col).alias("_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(labels, named)])
+    small = materialize(small, "small")
+    cells = small
+    for n in named:
+        # Distinct values are few as a rule: Spark broadcasts them by their measured size, else AQE splits a hot value.
+        cells = cells.join(materialize(label_cells(small, n), "cells").select(F.col(n), F.col("cell").alias(f"{n}_cell")), n)
+    cells = cells.withColumn("curve", curve([size_axis(F.col("size")), *[F.col(f"{n}_cell") for n in named]]))
+    out = ranked(cells.select("_id", "size", "text_crc32", "curve"), ["curve", "text_crc32", "_id", "size"]).withColumnRenamed("_id", id_col)
     exact = F.expr(f"cast(rank * {shards} div _total as int)")
     first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
     return out.withColumn("law", F.lit("rows")).withColumn("shard", exact).withColumn("slot", F.col("rank") - first).drop("_total", "rank")
 
 
-def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the rows as one folder of Parquet files for each shard, sorted along the curve."""
-    rows = df.join(assigned.select(id_col, "shard", "slot", "curve"), id_col)
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the rows as one folder of Parquet files for each shard, sorted along the curve. Each row is written once: rows with equal
+    ids and texts that lie on both sides of a limit all go to the first shard."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    places = assigned.groupBy(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")).agg(F.min("shard").alias("shard"), F.min("curve").alias("_curve"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.crc32(text) == F.col("_crc")) & (F.octet_length(text) + 1 == F.col("_size"))
+    rows = df.join(places, same)
+    rows.repartition("shard").sortWithinPartitions("shard", "_curve", "_crc", "_id").select(*df.columns, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -6,11 +6,11 @@ models learn from predictions as they will be at scoring time. The models are lo
 weights on the few words and word stems that tell something.
 
 A text's features are the distinct digests of its words and of the first bytes (``STEM_BYTES``) of longer ones, over the
-whole text. Training takes at most ``MAX_LABELLED`` labelled rows, those with the smallest digest of their id; it gathers the
-features of these rows only. Scoring runs over all rows with weights of fixed size.
+whole text. Training takes at most ``MAX_LABELLED`` labelled rows, those with the smallest digest of their id, and of these as many
+as have ``MAX_FEATURE_BYTES`` of features together; it gathers these only. Scoring runs over all rows with weights of fixed size.
 
 Defined results: a null or empty text has no features and gets the models' bias; rows without a label, with null labels
-or without a document are not trained on; a category whose training rows are of one class gets a constant probability;
+or without a document are not trained on; of several documents with one id the one whose features sort first is trained on; a category whose training rows are of one class gets a constant probability;
 without any labelled row every probability is 0; equal texts have equal results; an empty table gives no rows.
 """
 
@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..plans.materialize import materialize
 from .batches import map_rows
@@ -28,6 +28,8 @@ from .kernels import SEPARATOR, lower_utf8, mix, span_digests, words
 
 #: Labelled rows to train on; folds; size of the feature space.
 MAX_LABELLED, FOLDS, DIMENSIONS = 6000, 3, 1 << 18
+#: Features to train on, four bytes each.
+MAX_FEATURE_BYTES = 64 << 20
 STEM_BYTES, MIN_ROWS, PENALTY, ROUNDS = (4, 6), 4, 4e-4, 200
 #: A feature enters a model when its share differs between the classes by this many standard errors.
 SCREEN = 3.0
@@ -190,7 +192,7 @@ def train(feats: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, categori
     return Chain(categories, tuple(m._replace(weights=m.weights[some]) for m in models), used[some], tuple(cuts))
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, most_bytes: int = MAX_FEATURE_BYTES) -> Chain:
     """Train on at most ``most`` labelled rows. ``categories`` maps names, in chain order, to 0/1 columns of ``labels``."""
     names = tuple(categories)
     marked = labels.select(F.col(id_col).cast("long").alias("doc"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())]).where(" and ".join(["doc is not null", *[f"y{k} is not null" for k in range(len(names))]]))
@@ -202,7 +204,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column
     def run(part: pa.RecordBatch) -> dict:
         return {n: part.column(n) for n in schema.names[:-1]} | {"features": [features(t).tobytes() for t in part.column("text").to_pylist()]}
 
-    found = sorted(((r[0], tuple(r[1:-1]), bytes(r[-1])) for r in map_rows(rows, run, schema).collect()), key=lambda r: (r[0], r[2], r[1]))
+    # One document for each labelled row, so there are at most ``most``; then as many as the bound of bytes admits.
+    each = map_rows(rows, run, schema).groupBy("doc", *schema.names[1:-1]).agg(F.min("features").alias("features"))
+    so_far = F.sum(F.octet_length("features")).over(Window.orderBy(F.xxhash64("doc"), *schema.names))
+    each = each.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).drop("_bytes")
+    found = sorted(((r[0], tuple(r[1:-1]), bytes(r[-1])) for r in each.collect()), key=lambda r: (r[0], r[2], r[1]))
     feats = [np.frombuffer(f, dtype=np.int32) for _, _, f in found]
     return train(feats, np.array([y for _, y, _ in found]).reshape(len(found), len(names)), np.array([i for i, _, _ in found], dtype=np.int64), names)
 

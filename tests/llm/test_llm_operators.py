@@ -468,15 +468,102 @@ def test_shards(spark):
     assert sharding.assign(d.limit(0)).count() == 0 and sharding.assign(d.limit(3)).count() == 3
 
 
+def test_shards_equal_a_plain_sort(spark):
+    """The whole order against a sort in Python; null and repeated ids, repeated rows, null metadata and other columns."""
+    import zlib
+
+    rng = random.Random(23)
+    rows = [(rng.choice([None, *range(200)]), "w" * rng.choice([0, 5, 90, 3000]) if rng.random() < 0.9 else None, rng.choice(["a", "b", "c.org", "d", None]), rng.choice(["en", "de", "fr"]), "x", 1) for _ in range(400)]
+    rows += rows[:30]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, shard string, size int")
+    got = sharding.assign(d).collect()
+    cell = lambda values: {v: k * 16 // len(values) for k, v in enumerate(sorted(values))}
+    source, lang = cell({r[2] or "" for r in rows}), cell({r[3] for r in rows})
+    keys = []
+    for doc, text, s, g, *_ in rows:
+        raw = (text or "").encode()
+        axes = np.array([[min(15, max(0, (len(raw) + 1).bit_length() - 4))], [source[s or ""]], [lang[g]]])
+        keys.append((int(sharding.hilbert_index(axes)[0]), zlib.crc32(raw), -1 if doc is None else doc, len(raw) + 1))
+    order = sorted(keys)
+    assert [(r.curve, r.text_crc32, -1 if r.doc_id is None else r.doc_id, r["size"]) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == order
+    assert [r.shard for r in sorted(got, key=lambda r: (r.shard, r.slot))] == [k * 16 // len(rows) for k in range(len(rows))]
+
+
+def test_shard_ranges_prune(spark, sf_dir):
+    """A reader that looks for one value of any dimension opens clearly fewer shards by their minima and maxima than of shards in order of id."""
+    docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text", "source", "lang")
+    got = {r.doc_id: r for r in sharding.assign(docs).collect()}
+    rows = [(r.source or "", r.lang or "", len((r.text or "").encode()), got[r.doc_id].shard, r.doc_id) for r in docs.collect()]
+
+    def opened(shard_of):
+        total = [0, 0, 0]
+        for k in range(3):
+            limits = {}
+            for r in rows:
+                lo, hi = limits.get(shard_of(r), (r[k], r[k]))
+                limits[shard_of(r)] = (min(lo, r[k]), max(hi, r[k]))
+            values = sorted({r[k] for r in rows}) if k < 2 else [0, 300, 1500, 6000, 50000]
+            total[k] = sum(lo <= v <= hi for v in values for lo, hi in limits.values()) / len(values)
+        return total
+
+    ours, plain = opened(lambda r: r[3]), opened(lambda r: r[4] % 16)
+    assert all(a <= 0.75 * b for a, b in zip(ours, plain)) and sum(ours) < 0.6 * sum(plain), (ours, plain)
+
+
 def test_write_shards(spark, tmp_path):
-    d = spark.createDataFrame([(k, "t" * k, "s", "en") for k in range(40)], "doc_id long, text string, source string, lang string")
+    rows = [(k, "t" * k, "s", "en") for k in range(40)] * 2 + [(None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     sharding.write_shards(d, sharding.assign(d), str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().count() == 16
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.groupBy("shard").count().count() == 16
+    assert sorted(map(tuple, back.select(*d.columns).collect()), key=str) == sorted(rows, key=str)
 
 
 # 9
 
 
+def test_toxicity_edges(spark):
+    """Repeated ids and labels train once, the bound of bytes holds, equal texts have equal results, clashing names are refused."""
+    rng = random.Random(19)
+    rows = [(k, f"{sentence(rng, 30)} {'vileword' if k % 2 else 'kindword'}") for k in range(120)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(120)] * 2, "doc_id long, toxic int")
+    docs = frame(spark, rows * 3 + [(k, "another text with this id") for k in range(5)])
+    chain = toxicity.fit_chain(docs, marks, {"toxic": F.col("toxic")})
+    once = toxicity.fit_chain(frame(spark, rows + [(k, "another text with this id") for k in range(5)]), marks.distinct(), {"toxic": F.col("toxic")})
+    assert np.array_equal(chain.models[0].weights, once.models[0].weights) and chain.cuts == once.cuts
+    got = toxicity.classify(docs, chain).collect()
+    assert len(got) == 365 and len({(r.text, r.p_toxic, r.toxic) for r in got}) == len({r.text for r in got})
+    assert sum(r.toxic == bool(r.doc_id % 2) for r in got if "word" in r.text[-9:]) >= 350
+    few = toxicity.fit_chain(docs, marks, {"toxic": F.col("toxic")}, most_bytes=0)
+    assert toxicity.classify(docs, few).where("toxic").count() == 0
+    with pytest.raises(ValueError):
+        toxicity.classify(docs.withColumn("toxic", F.lit(1)), chain)
+
+
+def brute_chain(texts, chain):
+    """Probabilities from the models by plain Python sums."""
+    import math
+
+    weight = [dict(zip(chain.used.tolist(), m.weights.tolist())) for m in chain.models]
+    out = []
+    for t in texts:
+        p = []
+        for m, w in zip(chain.models, weight):
+            z = m.bias + sum(w.get(f, 0.0) for f in toxicity.features(t).tolist())
+            z += sum(c * math.log(min(max(q, 1e-4), 1 - 1e-4) / (1 - min(max(q, 1e-4), 1 - 1e-4))) for c, q in zip(m.chain, p))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        out.append(p)
+    return out
+
+
+def test_toxicity_query_equals_brute_force(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.fit_chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    got = toxicity.classify(docs, chain).collect()
+    for r, p in zip(got, brute_chain([r.text for r in got], chain)):
+        assert abs(r.p_low_quality - p[0]) < 1e-6 and abs(r.p_toxic - p[1]) < 1e-6 and r.toxic == (r.p_toxic >= chain.cuts[1])
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     common = [sentence(rng, 1) for _ in range(200)]
