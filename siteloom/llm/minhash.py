@@ -13,7 +13,7 @@ Equal shingle sets are one node from the start. Candidates are verified inside t
 2. Leftovers. Only buckets whose members besides the pivot still stand in two classes or more hold pairs that were not compared.
    Their members meet in tiles as sketches (one byte of each signature value); pairs of different classes whose sketches agree
    in ``PLAUSIBLE`` of the values join classes to families, which no chance collision of a band can do.
-3. Families are cut into blocks bounded by documents and by bytes, and all pairs of blocks are compared on full sets by a
+3. Families are cut into blocks bounded by documents and by bytes, and pairs of blocks that aren't of one class are compared on full sets by a
    product of incidence matrices.
 
 Every step returns a forest of links, never pairs. Connected components of the links give the classes.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..plans.materialize import drop_materialized, materialize
 from .batches import map_groups, map_rows
@@ -70,9 +70,9 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix((rows * _ROW).sum(axis=1, dtype=_U) + np.arange(BANDS, dtype=_U) * _ROW[0]).view(np.int64)
 
 
-def sketch(shingles: np.ndarray) -> bytes:
+def sketch(packed: bytes) -> bytes:
     """One byte of each signature value."""
-    return (mix(min_max(shingles).ravel()) & _U(255)).astype(np.uint8).tobytes()
+    return (mix(min_max(np.frombuffer(packed, dtype=_U)).ravel()) & _U(255)).astype(np.uint8).tobytes()
 
 
 def digest_of(shingles: np.ndarray) -> bytes:
@@ -151,30 +151,42 @@ SENT = T.StructType([T.StructField("group", T.LongType()), T.StructField("lo", T
 LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def send(df: DataFrame, nodes: DataFrame, places: DataFrame, id_col: str, text_col: str, packing=lambda s: s.tobytes()) -> DataFrame:
+def packed_sets(df: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and packed set of the nodes in ``wanted``: the only time that texts are shuffled."""
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("packed", T.BinaryType())])
+
+    def run(parts):
+        for part in parts:
+            for text, node, digest in zip(*(part.column(c).to_pylist() for c in ("text", "node", "digest"))):
+                s = shingle_set(lower_utf8(text), SHINGLE_WORDS)
+                if digest_of(s) == digest:  # else another text with the same id
+                    yield node, s.tobytes()
+
+    chosen = nodes.select("node", "doc", "digest").join(wanted, "node", "left_semi")
+    return map_groups(texts.join(chosen, "doc").select("text", "node", "digest"), run, schema, 2 << 20, lambda row: len(row[1]) + 16)
+
+
+def send(sets: DataFrame, places: DataFrame, packing=None) -> DataFrame:
     """A row of ``SENT`` with the packed set for each place of a node.
 
-    ``places`` has node and to, an array of structs (group, blocks, side, label). A place with ``blocks`` of 0 gives one row, lo being its
-    side; else the node is sent to every tile of its block (side) with another one. Rows are made as they are sent.
+    ``places`` has node and to, an array of structs (group, blocks, side, label, skip, behind). A place with ``blocks`` of 0 gives one row, lo being
+    its side; else the node is sent to the tile of its block (side) with every block that isn't in skip..behind-1. Rows are made as they are sent.
     """
-    wanted = nodes.select("node", "doc", "digest").join(places, "node")
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     def run(parts):
         for part in parts:
-            for text, node, digest, to in zip(*(part.column(c).to_pylist() for c in ("text", "node", "digest", "to"))):
-                s = shingle_set(lower_utf8(text), SHINGLE_WORDS)
-                if digest_of(s) != digest:  # another text with the same id
-                    continue
-                packed = packing(s)
+            for node, packed, to in zip(*(part.column(c).to_pylist() for c in ("node", "packed", "to"))):
+                packed = packing(packed) if packing else packed
                 for p in to:
-                    if p["blocks"]:
-                        for other in range(p["blocks"]):
-                            yield p["group"], min(p["side"], other), max(p["side"], other), p["side"], node, p["label"], packed
-                    else:
+                    if not p["blocks"]:
                         yield p["group"], p["side"], 0, int(p["label"] != node), node, p["label"], packed
+                        continue
+                    for other in range(p["blocks"]):
+                        if not p["skip"] <= other < p["behind"]:
+                            yield p["group"], min(p["side"], other), max(p["side"], other), p["side"], node, p["label"], packed
 
-    return map_groups(texts.join(wanted, "doc").select("text", "node", "digest", "to"), run, SENT, 2 << 20, lambda row: len(row[-1]) + 48)
+    return map_groups(sets.join(places, "node").select("node", "packed", "to"), run, SENT, 2 << 20, lambda row: len(row[-1]) + 48)
 
 
 def grouped(sent: DataFrame, solve) -> DataFrame:
@@ -239,22 +251,38 @@ def _sketch_pairs(packed: list[bytes]) -> Iterator[tuple[int, int]]:
     return plausible(np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1))
 
 
-def place(group, blocks, side, label):
-    return F.struct(F.col(group).alias("group"), blocks.cast("int").alias("blocks"), side.cast("int").alias("side"), label.cast("long").alias("label"))
+def place(group, blocks, side, label, skip=0, behind=0):
+    value = lambda x, kind: (x if isinstance(x, F.Column) else F.col(x) if isinstance(x, str) else F.lit(x)).cast(kind)
+    return F.struct(value(group, "long").alias("group"), value(blocks, "int").alias("blocks"), value(side, "int").alias("side"), value(label, "long").alias("label"), value(skip, "int").alias("skip"), value(behind, "int").alias("behind"))
 
 
 def star_places(stars: DataFrame) -> DataFrame:
     """Where nodes are sent to be compared with pivots: members to one part of the star, pivots to all parts."""
     parts = stars.groupBy("first").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
-    members = stars.join(parts, "first").select("node", place("first", F.lit(0), F.pmod(F.xxhash64("node"), F.col("parts")), F.col("first")).alias("p"))
-    pivots = parts.select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("first").alias("node"), place("first", F.lit(0), F.col("part"), F.col("first")).alias("p"))
+    members = stars.join(parts, "first").select("node", place("first", 0, F.pmod(F.xxhash64("node"), F.col("parts")), "first").alias("p"))
+    pivots = parts.select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("first").alias("node"), place("first", 0, "part", "first").alias("p"))
     return members.unionByName(pivots).groupBy("node").agg(F.collect_list("p").alias("to"))
 
 
 def tile_places(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
-    """Where the nodes of each group are sent: to the tiles of their block. ``members`` has group, node, label and bytes."""
-    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("bytes") / F.lit(block_bytes))).cast("int").alias("blocks"))
-    return members.join(sizes, "group").select("node", place("group", F.col("blocks"), F.pmod(F.xxhash64("node"), F.col("blocks")), F.col("label")).alias("p")).groupBy("node").agg(F.collect_list("p").alias("to"))
+    """Where the nodes of each group are sent: to the tiles of their block with others. ``members`` has group, node, label and bytes.
+
+    A label with half a block of nodes or more has blocks of its own, which are not compared with each other; so a group of one large class and a
+    few strangers costs a tile for each block of the class, not for each pair of blocks. The other labels share blocks by hash.
+    """
+    full = lambda n, size: F.greatest(F.ceil(n / F.lit(block)), F.ceil(size / F.lit(block_bytes))).cast("int")
+    labels = members.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    large = labels.where(f"2 * n >= {block}").select("group", "label", full(F.col("n"), F.col("size")).alias("own"))
+    # Rows here are large labels of one group: at most its nodes over half a block.
+    large = large.withColumn("behind", F.sum("own").over(Window.partitionBy("group").orderBy("label")))
+    shared = labels.groupBy("group").agg(full(F.coalesce(F.sum(F.when(2 * F.col("n") < block, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(2 * F.col("n") < block, F.col("size"))), F.lit(0))).alias("shared"))
+    sizes = shared.join(large.groupBy("group").agg(F.max("behind").alias("large")), "group", "left").select("group", "shared", (F.col("shared") + F.coalesce("large", F.lit(0))).alias("blocks"))
+    dealt = members.join(sizes, "group").join(large, ["group", "label"], "left")
+    h = F.xxhash64("node")
+    first = F.col("shared") + F.col("behind") - F.col("own")
+    side = F.when(F.col("own").isNull(), F.pmod(h, F.col("shared"))).otherwise(first + F.pmod(h, F.col("own")))
+    skip, behind = F.when(F.col("own").isNull(), 0).otherwise(first), F.when(F.col("own").isNull(), 0).otherwise(F.col("shared") + F.col("behind"))
+    return dealt.select("node", place("group", "blocks", side, "label", skip, behind).alias("p")).groupBy("node").agg(F.collect_list("p").alias("to"))
 
 
 def leftovers(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,7 +304,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = materialize(buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.node").alias("first"), F.col("p.n").alias("first_n"), "size"), "bands", BANDS * total // 2)
     met = materialize(buckets.join(shared, "key"), "buckets", BANDS * total)
     stars = materialize(met.where(f"node <> first and 100 * least(n, first_n) >= {LINK_PERCENT} * greatest(n, first_n)").select("node", "first").distinct(), "stars", BANDS * total)
-    links = materialize(against_pivot(send(df, nodes, star_places(stars), id_col, text_col)), "links", BANDS * total)
+    wanted = stars.select(F.explode(F.array("node", "first")).alias("node")).unionByName(met.where("size > 2").select("node")).distinct()
+    sets = materialize(packed_sets(df, nodes, wanted, id_col, text_col), "sets")
+    links = materialize(against_pivot(send(sets, star_places(stars))), "links", BANDS * total)
     # Rows with one id and several sets are one document.
     twice = named.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc", "a")
     number = nodes.select("digest", F.col("node"))
@@ -288,11 +318,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tiles = rest.select(F.col("key").alias("group"), "node", "label", F.lit(BANDS * ROWS).alias("bytes"))
         label = labels.select("node", "component")
         classes = lambda e: e.join(label.toDF("u", "cu"), "u", "left").join(label.toDF("v", "cv"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-        near = grouped(send(df, nodes, tile_places(tiles, SKETCHES, 1 << 40), id_col, text_col, sketch), _tile_pairs(_sketch_pairs))
+        near = grouped(send(sets, tile_places(tiles, SKETCHES, 1 << 40), sketch), _tile_pairs(_sketch_pairs))
         families = materialize(connected_components(classes(near), total), "families", total)
         if not families.isEmpty():
             members = rest.select("node", "label", "n").distinct().join(families.select(F.col("node").alias("label"), F.col("component").alias("group")), "label").select("group", "node", "label", (8 * F.col("n")).alias("bytes"))
-            found = grouped(send(df, nodes, tile_places(members, BLOCK, BLOCK_BYTES), id_col, text_col), _tile_pairs(_set_pairs))
+            found = grouped(send(sets, tile_places(members, BLOCK, BLOCK_BYTES)), _tile_pairs(_set_pairs))
             joined = materialize(connected_components(classes(found), total), "joined", total)
             labels_new = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
             alone = joined.join(labels, "node", "left_anti")
@@ -302,7 +332,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = nodes.select("node", "digest", "doc", "copies").join(labels, "node", "left")
     smallest = own.where("component is not null").groupBy("component").agg(F.min("doc").alias("low"))
     classes = materialize(own.where("copies > 1 or component is not null").join(smallest, "component", "left").select("digest", F.coalesce("low", "doc").alias("component")), "classes", total)
-    for used in (nodes, shared, met, stars, links, labels, rest, *more):
+    for used in (nodes, shared, met, stars, sets, links, labels, rest, *more):
         drop_materialized(used)
     out = sig.select("doc", "n_shingles", "digest").join(classes, "digest", "left")
     out = out.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))

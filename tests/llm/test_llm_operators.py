@@ -241,6 +241,54 @@ def test_minhash_edges(spark):
     assert got == [(0, 0, True), (0, 5, False), (5, 5, True), (5, 5, True), (7, 5, False)]
 
 
+def test_minhash_equal_ids_link(spark):
+    """Rows with one id are one document, whatever their texts: 7 and 8 are near different texts of 5, and 3 is near a text of 8."""
+    rng = random.Random(18)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    near = lambda t, w: " ".join([*t.split()[:-1], w])
+    rows = [(5, a), (5, b), (7, near(a, "x")), (8, near(b, "y")), (8, c), (8, c), (3, near(c, "z")), (9, sentence(rng, 60))]
+    got = sorted((r.doc, r.component, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 3, False), (8, 3, False), (8, 3, False), (9, 9, True)]
+
+
+def edited(rng, words, share):
+    """A copy with so many words replaced that about ``share`` of all five-word shingles are equal."""
+    w = list(words)
+    for _ in range(100 * len(w)):
+        at = rng.randrange(len(w))
+        w[at] = sentence(rng, 1)
+        same = len(set(zip(w, w[1:], w[2:], w[3:], w[4:])) & set(zip(words, words[1:], words[2:], words[3:], words[4:])))
+        if same / (2 * (len(w) - 4) - same) <= share:
+            break
+    return w
+
+
+def test_minhash_many_half_alike(spark, monkeypatch):
+    """Many texts at similarity 0.4 to 0.8 of one another: bands chain nearly all of them, links do not. Small blocks, so that stars, sketches
+    and tiles are all cut."""
+    rng = random.Random(20)
+    rows, base = [], sentence(rng, 120).split()
+    for k in range(60):
+        half = edited(rng, base, rng.choice([0.5, 0.65, 0.75]))
+        rows += [(10 * k + j, " ".join(edited(rng, half, rng.choice([0.7, 0.76, 0.8, 0.9])))) for j in range(rng.randint(1, 4))]
+    rows += [(5000 + k, " ".join(edited(rng, base, rng.uniform(0.8, 0.95)))) for k in range(60)]
+    for name, value in (("STAR", 16), ("SKETCHES", 12), ("BLOCK", 8)):
+        monkeypatch.setattr(minhash, name, value)
+    got = {r.doc: (r.n_shingles, r.component, r.kept) for r in minhash.near_duplicates(frame(spark, rows).repartition(4)).collect()}
+    assert got == brute_classes(rows)
+    assert 20 < len({c for _, c, _ in got.values()}) < len(rows) - 50
+
+
+def test_minhash_long_and_clashing(spark):
+    """Very long texts, other columns whose names the operator uses itself, ties of ids."""
+    rng = random.Random(22)
+    long = sentence(rng, 120_000)
+    rows = [(2, long), (1, long + " end"), (3, LONG), (4, "word"), (6, "word word")]
+    d = frame(spark, rows).selectExpr("doc_id", "text", "doc_id as doc", "1 as node", "'x' as key", "text as component", "2 as kept", "3 as digest")
+    got = sorted((r.doc, r.component, r.kept) for r in minhash.near_duplicates(d).collect())
+    assert got == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (6, 6, True)]
+
+
 def test_min_max_is_unbiased():
     rng = np.random.default_rng(5)
     a = kernels.mix(rng.integers(0, 2**62, 400).astype(np.uint64))
