@@ -1,13 +1,14 @@
-"""Substring deduplication by line and passage hashing.
+"""Substring deduplication by line and paragraph hashing.
 
-Units are lines and windows over all words, whatever lines they stand in. Texts are cut at content-defined words (before a word where the
-digest of it and the word ahead says so), and a window runs from each cut over two pieces and ``MIN_LINE_WORDS`` words
-at least, so that a passage has the same inner windows wherever it stands and however it is wrapped. Units are normalised (A-Z
-lower-cased, white space collapsed), their digests are grouped over all documents, and the occurrence in the document
-with the smallest id, first in it, is kept. What is removed keeps its offsets in the original text.
+Units are lines and paragraphs (lines up to an empty one, whatever they are wrapped at). They are normalised (A-Z lower-cased, white space
+collapsed), their digests are grouped over all documents, the occurrence in the document with the smallest id, first in it, is kept,
+and each later one of ``MIN_WORDS`` words or more is removed. What is removed keeps its offsets in the original text.
 
-A line of ``MIN_LINE_WORDS`` words or more is removed when it was met before. A run of windows that were met before is
-removed when it spans ``MIN_RUN_WORDS`` words. Windows next to each other share a piece, so a run holds only words whose
+Passages that stand inside lines, in the middle of other words, equal no line. For these there is a third kind of unit, hashed, grouped and kept like
+the others: windows over all words, whatever lines they stand in. Texts are cut at content-defined words (before a word where the
+digest of it and the word ahead says so), and a window runs from each cut over two pieces and ``WINDOW_WORDS`` words
+at least, so that a passage has the same inner windows wherever it stands and however it is wrapped. A run of windows that were met before is
+removed when it spans ``MIN_WORDS`` words. Windows next to each other share a piece, so a run holds only words whose
 order was met too, be it in one document or in several; each part of it is a span with the document that it was first met
 in. Words before the first cut of a passage and behind its last may stay.
 
@@ -15,11 +16,14 @@ A document sends each of its digests once, and digests are counted with partial
 a third of all documents costs one row for each task. Flags go back by a join that AQE can split.
 
 Defined results: a null or empty text has no units and stays as it is; rows with a null id are compared with
-themselves only; rows with equal ids count as one document; ties go to the smallest id; an empty table gives no rows.
+themselves only, and what they repeat has a null ``kept_doc``; rows with equal ids count as one document; ties go to the smallest id; an empty table
+gives no rows; other columns pass through; clashing names raise ``ValueError``.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -28,11 +32,14 @@ from ..plans.materialize import materialize
 from .batches import map_rows
 from .kernels import char_offsets, lower_utf8, mix, run_digests, seeded, span_digests, words
 
-MIN_LINE_WORDS, MIN_RUN_WORDS = 6, 20
+#: Words of what is removed at least, and of a window.
+MIN_WORDS, WINDOW_WORDS = 20, 6
+#: Stands for a null id.
+NO_DOC = -(1 << 63)
 #: One word in CUT begins a window.
 CUT = 4
 _U = np.uint64
-_PIECE = seeded(MIN_LINE_WORDS, 31) | _U(1)
+_PIECE = seeded(WINDOW_WORDS, 31) | _U(1)
 
 SPAN = T.StructType(
     [
@@ -45,8 +52,17 @@ SPAN = T.StructType(
 )
 
 
+class Runs(NamedTuple):
+    """Units of one kind: first word, word behind the last, digest and whether they count."""
+
+    first: np.ndarray
+    end: np.ndarray
+    digest: np.ndarray
+    used: np.ndarray
+
+
 class Units:
-    """The units of a text: word spans, lines, windows, digests."""
+    """The units of a text: word spans, lines, paragraphs of several lines, windows."""
 
     def __init__(self, text: str | None):
         w = words(lower_utf8(text))
@@ -54,12 +70,14 @@ class Units:
         n = len(w.start)
         d = span_digests(w.data, w.start, w.end)
         line = np.searchsorted(np.flatnonzero(w.data == 10), w.start) if n else np.zeros(0, dtype=np.int64)
-        new_line = np.ones(n, dtype=bool)
-        new_line[1:] = line[1:] != line[:-1]
-        self.line_first = np.flatnonzero(new_line)
-        self.line_size = np.diff(self.line_first, append=n)
-        self.line_digest = run_digests(d, self.line_first, 1)
-        self.line_used = self.line_size >= MIN_LINE_WORDS
+        step = np.diff(line, prepend=-2)
+        first = np.flatnonzero(step > 0)
+        size = np.diff(first, append=n)
+        self.lines = Runs(first, first + size, run_digests(d, first, 1), size >= MIN_WORDS)
+        first = np.flatnonzero(step > 1)
+        size = np.diff(first, append=n)
+        several = line[first + size - 1] > line[first] if n else np.zeros(0, dtype=bool)
+        self.paragraphs = Runs(first, first + size, run_digests(d, first, 2), (size >= MIN_WORDS) & several)
         cut = np.zeros(n, dtype=bool)
         if n:
             cut[0] = True
@@ -68,26 +86,26 @@ class Units:
         piece = np.flatnonzero(cut)
         digest = run_digests(d, piece, 2)
         bound = np.append(piece, n)
-        # A window ends at the first cut that leaves it two pieces and MIN_LINE_WORDS words.
-        behind = np.maximum(np.arange(len(piece)) + 2, np.searchsorted(bound, piece + MIN_LINE_WORDS))
+        # A window ends at the first cut that leaves it two pieces and WINDOW_WORDS words.
+        behind = np.maximum(np.arange(len(piece)) + 2, np.searchsorted(bound, piece + WINDOW_WORDS))
         whole = int(np.searchsorted(behind, len(piece), side="right"))
-        self.window_first, self.window_end = piece[:whole], bound[behind[:whole]]
         size = behind[:whole] - np.arange(whole)
-        self.window_digest = size.astype(_U) + _U(3)
+        windows = size.astype(_U) + _U(3)
         with np.errstate(over="ignore"):
             for k in range(int(size.max(initial=0))):
                 at = np.flatnonzero(size > k)
-                self.window_digest[at] += digest[at + k] * _PIECE[k]
-            self.window_digest = mix(self.window_digest)
-        self.window_used = np.ones(whole, dtype=bool)
+                windows[at] += digest[at + k] * _PIECE[k]
+            windows = mix(windows)
+        self.windows = Runs(piece[:whole], bound[behind[:whole]], windows, np.ones(whole, dtype=bool))
 
     def digests(self) -> np.ndarray:
         """The distinct digests of the units that count."""
-        return np.unique(np.concatenate([self.line_digest[self.line_used], self.window_digest[self.window_used]])).view(np.int64)
+        return np.unique(np.concatenate([r.digest[r.used] for r in (self.lines, self.paragraphs, self.windows)])).view(np.int64)
 
 
-def _repeats(digest: np.ndarray, used: np.ndarray, first: np.ndarray, end: np.ndarray, known: np.ndarray, source: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(runs: Runs, known: np.ndarray, source: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
     """Which units were met before, in another document or earlier in this one, and the document they were met in."""
+    digest, used = runs.digest, runs.used
     flag, origin = np.zeros(len(digest), dtype=bool), np.full(len(digest), own, dtype=np.int64)
     if len(known) and len(digest):
         at = np.minimum(np.searchsorted(known, digest.view(np.int64)), len(known) - 1)
@@ -97,7 +115,7 @@ def _repeats(digest: np.ndarray, used: np.ndarray, first: np.ndarray, end: np.nd
     # In this document the kept occurrence ends before the next one begins.
     at = np.flatnonzero(used)
     _, kept, which = np.unique(digest[at], return_index=True, return_inverse=True)
-    flag[at] |= first[at] >= end[at[kept]][which]
+    flag[at] |= runs.first[at] >= runs.end[at[kept]][which]
     return flag, origin
 
 
@@ -106,25 +124,31 @@ def removals(u: Units, known: np.ndarray, source: np.ndarray, own: int) -> list[
     n = len(u.start)
     if not n:
         return []
-    line, line_from = _repeats(u.line_digest, u.line_used, u.line_first, u.line_first + u.line_size, known, source, own)
-    window, window_from = _repeats(u.window_digest, u.window_used, u.window_first, u.window_end, known, source, own)
-    out = [("line", int(u.line_first[k]), int(u.line_first[k] + u.line_size[k]), int(u.line_size[k]), int(line_from[k])) for k in np.flatnonzero(line)]
-    met = np.flatnonzero(window)
+    out, taken = [], np.zeros(n, dtype=bool)
+    for kind, runs in (("paragraph", u.paragraphs), ("line", u.lines)):
+        flag, origin = _repeats(runs, known, source, own)
+        for k in np.flatnonzero(flag).tolist():
+            a, b = int(runs.first[k]), int(runs.end[k])
+            if not taken[a]:  # else its paragraph is out already
+                out.append((kind, a, b, b - a, int(origin[k])))
+                taken[a:b] = True
+    flag, origin = _repeats(u.windows, known, source, own)
+    met = np.flatnonzero(flag)
     if len(met):
-        taken, origin, done = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), 0
+        cut, from_doc, done = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), 0
         for run in np.split(met, np.flatnonzero(np.diff(met) > 1) + 1):
-            lo, hi = int(u.window_first[run[0]]), int(u.window_end[run[-1]])
-            if hi - lo >= MIN_RUN_WORDS:
+            lo, hi = int(u.windows.first[run[0]]), int(u.windows.end[run[-1]])
+            if hi - lo >= MIN_WORDS:
                 begin = max(lo, done)
-                origin[begin:hi] = np.repeat(window_from[run], np.diff(u.window_first[run], append=hi))[begin - lo :]
-                taken[begin:hi] = True
+                from_doc[begin:hi] = np.repeat(origin[run], np.diff(u.windows.first[run], append=hi))[begin - lo :]
+                cut[begin:hi] = True
                 done = hi
-        taken &= ~np.repeat(line, u.line_size)  # these lines are out already
-        first = taken.copy()
-        first[1:] &= ~taken[:-1] | (origin[1:] != origin[:-1])
-        last = taken.copy()
-        last[:-1] &= ~taken[1:] | (origin[1:] != origin[:-1])
-        out += [("passage", a, b + 1, b + 1 - a, int(origin[a])) for a, b in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist())]
+        cut &= ~taken
+        first = cut.copy()
+        first[1:] &= ~cut[:-1] | (from_doc[1:] != from_doc[:-1])
+        last = cut.copy()
+        last[:-1] &= ~cut[1:] | (from_doc[1:] != from_doc[:-1])
+        out += [("passage", a, b + 1, b + 1 - a, int(from_doc[a])) for a, b in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist())]
     return sorted(out, key=lambda x: x[1])
 
 
@@ -137,9 +161,10 @@ def cut(u: Units, text: str, removed: list[tuple[str, int, int, int, int]]) -> t
     kept, spans, done = [], [], 0
     for kind, first, behind, n, source in removed:
         lo, hi = int(u.start[first]), int(u.end[behind - 1])
-        if kind == "line":
+        if kind != "passage":  # whole lines, with their ends
             k = int(np.searchsorted(newline, lo))
             lo = int(newline[k - 1]) + 1 if k else 0
+            k = int(np.searchsorted(newline, hi))
             hi = int(newline[k]) + 1 if k < len(newline) else len(u.data)
         elif behind < len(u.start):
             rest = int(u.start[behind])
@@ -147,7 +172,7 @@ def cut(u: Units, text: str, removed: list[tuple[str, int, int, int, int]]) -> t
             hi = rest if k == len(newline) or newline[k] >= rest else int(newline[k])
         a, b = int(at[lo]), int(at[hi])
         kept.append(text[done:a])
-        spans.append({"kind": kind, "start": a, "end": b, "n_words": n, "kept_doc": source})
+        spans.append({"kind": kind, "start": a, "end": b, "n_words": n, "kept_doc": source if source != NO_DOC else None})
         done = b
     kept.append(text[done:])
     return "".join(kept), spans
@@ -188,7 +213,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans:
                 order = np.argsort(digest)
                 digest, source = digest[order], source[order]
             u = Units(text)
-            own = doc if doc is not None else -1
+            own = doc if doc is not None else NO_DOC
             new, cuts = cut(u, text or "", removals(u, digest, source, own))
             texts.append(new if text is not None else None)
             found.append(cuts)
