@@ -23,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_DIR).rstrip("/")
 
 
+_live: dict[str, list[str]] = {}
 #: Rows of a file of a small table.
 FILE_ROWS = 500_000
 
@@ -38,16 +39,34 @@ def materialize(df: DataFrame, label: str = "stage", rows: int | None = None) ->
     if rows is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/siteloom-{label}-{uuid.uuid4().hex}"
+    _live.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files of a frame that ``materialize`` returned, once nothing reads it any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
+    live = _live.get(spark.sparkContext.applicationId, [])
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "siteloom-" in path.getName() and path.toString().split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in [p for p in live if f"/{p.rsplit('/', 1)[-1]}/" in file]:
+            _delete(spark, path)
+            live.remove(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """The tables that this session has materialised and not yet dropped, oldest first."""
+    return list(_live.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, tables: list[str] | None = None) -> None:
+    """Delete tables of ``written``, all by default: those behind results that have been written or are no longer needed."""
+    live = _live.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in live if tables is None or p in tables]:
+        _delete(spark, path)
+        live.remove(path)
