@@ -1,7 +1,11 @@
 """A training corpus in five stages, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's
-documents. All but the last return the columns of ``documents``.
+documents. All but the last return the columns of ``documents``, whatever other columns the table has.
+
+Defined results: null and empty texts fail the quality rules; rows with a null id pass every stage on their own text and are never removed as a
+copy of another row; of rows with one id that the quality rules keep, one stays, that whose text (then language, source, count) sorts first; a
+document left without a word by the substring stage goes; empty tables give no rows. ``materialize.release`` frees the tables that a run has written.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siteloom.llm import bpe, decontaminate, minhash, quality, substring
-from siteloom.plans.materialize import materialize
+from siteloom.plans.materialize import materialize, release, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,9 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate class."""
+    docs = docs.select(*COLUMNS)
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = materialize(found.where("not kept").select(F.col("doc").alias("doc_id")), "gone", found.count())
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    marks = found.where("doc is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
+    marks = materialize(marks, "marks", found.count())
+    once = docs.join(marks, "doc_id", "left_anti")
+    # Ids are repeated by mistake only, so the texts of these few rows are compared, not those of all.
+    repeated = docs.join(marks.where("kept").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("first")).select("doc_id", "first.*")
+    return once.unionByName(repeated.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents. What a stage needed is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, [t for t in written(spark)[:-1] if t not in others])
     return STAGES[-1][1](spark, docs, sf_dir)
