@@ -16,7 +16,8 @@ The index is broadcast only in shards of bounded size: items are dealt to as man
 each of which is one pass over the documents.
 
 Defined results: null or empty texts and items match nothing; items without five words in a part are compared as one
-shingle; equal items are all reported; rows with equal ids are searched each; empty tables give no rows.
+shingle; equal items are all reported; rows with equal ids are searched each, so repeated rows have repeated results; of equally good passages of a
+document the first is reported; other columns are not read; equal names of the two ids, or of an id and a result, raise ``ValueError``; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -244,6 +245,8 @@ def leaked(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     doc_type, item_type = docs.schema[doc_col].dataType, items.schema[item_col].dataType
     names = ("passage_start", "passage_end", "bm25", "question_overlap", "answer_overlap")
+    if doc_col == item_col or {doc_col, item_col} & set(names):
+        raise ValueError(f"the result can't name {doc_col} and {item_col} beside {names}")
     types = (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([T.StructField("doc", doc_type), T.StructField("item", item_type), *map(T.StructField, names, types)])
     out = None

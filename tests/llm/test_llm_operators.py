@@ -381,6 +381,20 @@ def test_leaks(spark):
     assert decontaminate.leaked(docs, tests.limit(0)).count() == 0 and decontaminate.leaked(docs.limit(0), tests).count() == 0
 
 
+def test_leaks_ties_and_names(spark):
+    """Equal items, an item that stands twice in a document, repeated rows, items of one word, clashing names."""
+    rng = random.Random(26)
+    item, gap = sentence(rng, 30), sentence(rng, 400)
+    docs = frame(spark, [(1, f"{item} {gap} {item}"), (1, f"{item} {gap} {item}"), (2, gap), (None, item)]).selectExpr("*", "'x' as item", "2 as doc", "3 as bm25")
+    tests = frame(spark, [(7, item), (8, item), (9, "single")], "item_id long, text string").selectExpr("*", "1 as term", "2 as shard")
+    got = sorted((r.doc_id or 0, r.item_id, r.passage_start) for r in decontaminate.leaked(docs, tests).collect())
+    assert got == [(0, 7, 0), (0, 8, 0), (1, 7, 0), (1, 7, 0), (1, 8, 0), (1, 8, 0)]
+    assert decontaminate.keep_clean(docs, tests).collect() == docs.where("doc_id = 2").collect()
+    for a, b in (("item_id", "item_id"), ("bm25", "item_id")):
+        with pytest.raises(ValueError):
+            decontaminate.leaked(docs.withColumn("item_id", F.lit(1)), tests, doc_col=a, item_col=b)
+
+
 def test_leaks_in_shards(spark, monkeypatch):
     rng = random.Random(8)
     items = frame(spark, [(k, sentence(rng, 25)) for k in range(30)], "item_id long, text string")
