@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..plans.materialize import materialize
+from ..plans.materialize import drop_materialized, materialize
 from .batches import map_rows
 from .kernels import char_offsets, lower_utf8, mix, run_digests, seeded, span_digests, words
 
@@ -179,11 +179,16 @@ def cut(u: Units, text: str, removed: list[tuple[str, int, int, int, int]]) -> t
 
 
 def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document that holds units first met in another one: doc and an array of digest and first document."""
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("units", T.ArrayType(T.LongType()))])
+    """doc and an array of digest and first document, for each document that holds units first met in another one or repeats its own.
+
+    Only these have to be read again.
+    """
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("own", T.BooleanType()), T.StructField("units", T.ArrayType(T.LongType()))])
+    none = np.zeros(0, dtype=np.int64)
 
     def run(part: pa.RecordBatch) -> dict:
-        return {"doc": part.column("doc"), "units": [Units(t).digests() for t in part.column("text").to_pylist()]}
+        found = [Units(t) for t in part.column("text").to_pylist()]
+        return {"doc": part.column("doc"), "own": [bool(removals(u, none, none, 0)) for u in found], "units": [u.digests() for u in found]}
 
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     units = materialize(map_rows(docs, run, schema), "units")
@@ -191,8 +196,12 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = units.select("doc", F.explode("units").alias("digest"))
     shared = sent.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
     shared = materialize(shared, "shared", about)
-    met = sent.join(shared, "digest").where("doc <> first_doc")
-    return materialize(met.groupBy("doc").agg(F.collect_list(F.struct("digest", "first_doc")).alias("met")), "met", about)
+    met = sent.join(shared, "digest").where("doc <> first_doc").select("doc", F.struct("digest", "first_doc").alias("unit"))
+    own = units.where("own").select("doc", F.lit(None).cast(met.schema["unit"].dataType).alias("unit"))
+    found = materialize(met.unionByName(own).groupBy("doc").agg(F.collect_list("unit").alias("met")), "met", about)
+    for used in (units, shared):
+        drop_materialized(used)
+    return found
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: str = "removed") -> DataFrame:
@@ -207,6 +216,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans:
     def run(part: pa.RecordBatch) -> dict:
         texts, found = [], []
         for doc, text, seen in zip(part.column("_doc").to_pylist(), part.column(text_col).to_pylist(), part.column("_met")):
+            if not text or not seen.is_valid and doc is not None:
+                texts.append(text)
+                found.append([])
+                continue
             digest = source = np.zeros(0, dtype=np.int64)
             if seen.is_valid and len(seen):
                 digest, source = (seen.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -214,8 +227,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans:
                 digest, source = digest[order], source[order]
             u = Units(text)
             own = doc if doc is not None else NO_DOC
-            new, cuts = cut(u, text or "", removals(u, digest, source, own))
-            texts.append(new if text is not None else None)
+            new, cuts = cut(u, text, removals(u, digest, source, own))
+            texts.append(new)
             found.append(cuts)
         return {n: part.column(n) for n in names} | {text_col: texts, spans: found}
 
