@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Widths of Arial at 20 and 14 pixels by character, from U+0020 to U+007E in order.
 WIDTHS_20 = (6, 7, 9, 12, 12, 19, 15, 5, 7, 7, 9, 13, 6, 7, 6, 6, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 6, 6, 13, 13, 13, 12, 22, 15, 15, 16, 16, 15, 13, 17, 16, 6, 11, 15, 12, 19, 16, 17, 15, 17, 16, 15, 13, 16, 15, 21, 15, 15, 13, 6, 6, 6, 10, 12, 7, 12, 12, 11, 12, 12, 6, 12, 12, 5, 5, 11, 5, 18, 12, 12, 12, 12, 7, 11, 6, 12, 11, 16, 11, 11, 11, 7, 6, 7, 13)
@@ -58,6 +65,73 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(groups - less, F.lit(1)))
 
 
+VOWELS, NOT_LETTER = re.compile("[aeiouy]+"), re.compile("[^a-z]")
+WHITE = re.compile(r"[ \t\n\x0B\f\r]+")
+LETTER_WORD = re.compile(r"\w+")
+
+
+@lru_cache(maxsize=100_000)
+def word_syllables(word: str) -> int:
+    """``syllables`` of one word for batch functions."""
+    w = word.lower()
+    if len(w) <= 3:
+        return 1
+    bare = NOT_LETTER.sub("", w)
+    less = bare.endswith("e") and not bare.endswith("le") or bare.endswith("ed") and not bare.endswith(("ted", "ded"))
+    return max(1, len(VOWELS.findall(bare)) - less)
+
+
+def text_syllables(text: str) -> int:
+    """The syllables of all words of a text; each distinct word is split once."""
+    return sum(n * word_syllables(w) for w, n in Counter(WHITE.split(text)).items() if w)
+
+
+def plain_words(text: str, least: int) -> list[str]:
+    """``letters`` of one text for batch functions."""
+    return [w for w in LETTER_WORD.findall(text.lower()) if len(w) >= least and w.isascii() and w.isalpha()]
+
+
+@lru_cache(maxsize=100_000)
+def _word_hash(word: str) -> bytes:
+    return hashlib.md5(word.encode()).digest()[:8]
+
+
+def simhash_of(text: str) -> str:
+    counts = Counter(plain_words(text, 3))
+    if not counts:
+        return "0" * 16
+    bits = np.unpackbits(np.frombuffer(b"".join(map(_word_hash, counts)), dtype=np.uint8).reshape(-1, 8), axis=1)
+    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    return np.packbits(2 * (n @ bits) > n.sum()).tobytes().hex()
+
+
+def per_text(df: DataFrame, key: str, text: str, fn: Callable[[str], object], kind: T.DataType, out: str) -> DataFrame:
+    """key and ``fn`` of each row's text, in Arrow batches cut by bytes; a null text counts as empty."""
+    schema = T.StructType([df.schema[key], T.StructField(out, kind)])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for part in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array([fn(t or "") for t in part.column(text).to_pylist()], type=target.field(out).type)], schema=target)
+
+    return df.select(key, text).mapInArrow(run, schema)
+
+
+def text_batches(batches, most: int = 4 << 20):
+    """Slices of Arrow batches of about ``most`` bytes; a longer row is a slice of its own."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            step = min(1024, batch.num_rows - at)
+            while step > 1 and batch.slice(at, step).nbytes > most:
+                step //= 2
+            yield batch.slice(at, step)
+            at += step
+
+
 def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
     score = 206.835 - 1.015 * (n_words / n_sentences) - 84.6 * (n_syllables / n_words)
     return F.when((n_words > 0) & (n_sentences > 0), F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 1)).otherwise(0.0)
@@ -82,20 +156,12 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def simhash(df: DataFrame, key: str, text: str, out: str = "simhash") -> DataFrame:
-    """key and a 16-digit hex simhash: +1 or -1 by each bit of the MD5 prefix of each word, summed over the text.
+    """A row with key and a 16-digit hex simhash for each row: +1 or -1 by each bit of the MD5 prefix of each word, summed over the text.
 
-    A word's count is aggregated before its bits are, so votes are added once for each distinct word; bits are
-    summed with partial aggregation. A text without a word has the hash 0.
+    All votes belong to one row, so nothing is shuffled: a batch function hashes the distinct words and adds up their bits. A null text,
+    or one without a word of three letters, has the hash 0.
     """
-    counts = df.select(key, F.explode(letters(F.col(text), 3)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    bits = counts.select(key, "n", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 16), 16, -10).cast("bigint").alias("h"))
-    votes = bits.groupBy(key).agg(*[F.sum(F.when(F.expr(f"(h >> {b}) & 1") == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(64)])
-    value = F.lit(0).cast("bigint")
-    parts = [F.when(F.col(f"b{b}") > 0, F.lit(-(1 << 63) if b == 63 else 1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
-    for p in parts:
-        value = value.bitwiseOR(p)
-    found = votes.select(F.col(key).alias("_key"), F.lower(F.lpad(F.hex(value), 16, "0")).alias("_hash"))
-    return df.select(key).distinct().join(found, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("_hash", F.lit("0" * 16)).alias(out))
+    return per_text(df, key, text, simhash_of, T.StringType(), out)
 
 
 def hamming(a: Column, b: Column) -> Column:

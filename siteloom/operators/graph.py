@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.materialize import drop_materialized, materialize
+from ..plans.materialize import discard, drop_materialized, materialize, shared_dir
 
 
 def internal_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -15,53 +16,80 @@ def internal_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(nodes.select(F.col("node").alias("s")), "s", "left_semi").join(nodes.select(F.col("node").alias("t")), "t", "left_semi")
 
 
+def bucketed(edges: DataFrame, column: str, label: str) -> tuple[DataFrame, str]:
+    """``edges`` written once in buckets of ``column``, so that no round shuffles them; the frame and the name of its table."""
+    spark = edges.sparkSession
+    name, count = f"siteloom_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}"
+    edges.repartition(count, column).write.bucketBy(count, column).option("path", path).saveAsTable(name)
+    return spark.table(name), name
+
+
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """node, rank (sums to 1) and score (scaled to 0..100 and rounded).
 
     ``nodes`` has node, ``links`` s and t. The mass of nodes without outgoing edges is spread evenly. Stops after ``rounds`` or,
-    with a tolerance, when ranks change by less in sum. Edges are written once with their weight, partitioned as the join
-    needs them; each round is one join and one aggregation, and only two sums come to the driver.
+    with a tolerance, when ranks change by less in sum. Edges are written once with their weight in buckets of their source, so that a round
+    shuffles ranks and partial sums only; a round is one written table and one aggregate, of which two sums come to the driver.
     """
     nodes = nodes.select("node").distinct()
-    edges = internal_edges(links, nodes)
-    degree = edges.groupBy("s").agg(F.count("*").alias("d"))
-    edges = materialize(edges.join(degree, "s").select("s", "t", (1.0 / F.col("d")).alias("w")), "edges")
+    links = internal_edges(links, nodes)
+    degree = links.groupBy("s").agg(F.count("*").alias("d"))
+    edges, name = bucketed(links.join(degree, "s").select("s", "t", (1.0 / F.col("d")).alias("w")), "s", "edges")
     state = materialize(nodes.join(degree.select(F.col("s").alias("node"), F.lit(False).alias("dangling")), "node", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))), "nodes")
-    n = state.count()
+    begun = state.agg(F.count("*").alias("n"), F.count_if("dangling").alias("lost")).first()
+    n = begun["n"]
     if not n:
         return state.select("node", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
-    ranks, written = state.withColumn("rank", F.lit(1.0 / n)), state
-    for k in range(rounds):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]
+    ranks, lost, written = state.withColumn("rank", F.lit(1.0 / n)), begun["lost"] / n, state
+    for _ in range(rounds):
         received = edges.join(ranks.select(F.col("node").alias("s"), "rank"), "s").groupBy(F.col("t").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         new = ranks.join(received, "node", "left").select("node", "dangling", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
-        new = materialize(new, "ranks")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("x")).first()["x"]
-        if k:
-            drop_materialized(written)
-        written, ranks = new, new.drop("old")
-        if tolerance is not None and moved < tolerance:
+        new = materialize(new, "ranks", n)
+        sums = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
+        drop_materialized(written)
+        written, ranks, lost = new, new.drop("old"), sums["lost"]
+        if tolerance is not None and sums["moved"] < tolerance:
             break
-    ends = ranks.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
-    spread = (ends["hi"] - ends["lo"]) or 1.0
-    return ranks.select("node", "rank", F.round((F.col("rank") - ends["lo"]) / spread * 100, 2).alias("score"))
+    nodes.sparkSession.sql(f"DROP TABLE {name}")
+    discard(nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/{name}")
+    if rounds < 1:
+        return ranks.select("node", "rank", F.lit(0.0).alias("score"))
+    spread = (sums["hi"] - sums["lo"]) or 1.0
+    return ranks.select("node", "rank", F.round((F.col("rank") - sums["lo"]) / spread * 100, 2).alias("score"))
 
 
-def click_depth(nodes: DataFrame, links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """node and depth: the fewest links from a seed; null where none leads, or none of up to ``most`` links. One join for each level."""
+def click_depth(nodes: DataFrame, links: DataFrame, seeds: DataFrame, most: int | None = None, unreached: int | None = None) -> DataFrame:
+    """node and depth: the fewest links from a seed; ``unreached`` where none leads, or none of up to ``most`` links.
+
+    Without a seed among the nodes the one with the most links to it is the seed, the smallest of equals. Edges are written once in
+    buckets of their source; each level is one join and one small written table. Levels so far are folded into one table now and then, so
+    that a long chain grows neither the plan nor the number of scans.
+    """
+    spark = nodes.sparkSession
     nodes = nodes.select("node").distinct()
-    edges = materialize(internal_edges(links, nodes), "edges")
-    seen = materialize(seeds.select("node").distinct().join(nodes, "node", "left_semi").withColumn("depth", F.lit(0)), "seen")
-    frontier = seen
+    edges, name = bucketed(internal_edges(links, nodes), "s", "edges")
+    seen = materialize(seeds.select("node").distinct().join(nodes, "node", "left_semi").withColumn("depth", F.lit(0)), "seen", 1)
+    if seen.isEmpty():
+        best = edges.groupBy("t").agg(F.count("*").alias("n")).agg(F.max_by("t", F.struct("n", -F.col("t")) if dict(edges.dtypes)["t"] != "string" else F.struct("n")).alias("node"))
+        seen = materialize(best.where("node is not null").withColumn("depth", F.lit(0)), "seen", 1)
+    frontier, parts = seen, [seen]
     for level in itertools.count(1) if most is None else range(1, most + 1):
         step = edges.join(frontier.select(F.col("node").alias("s")), "s").select(F.col("t").alias("node")).distinct()
         frontier = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "frontier")
         if frontier.isEmpty():
             break
+        parts.append(frontier)
         seen = seen.unionByName(frontier)
-        if level % 16 == 0:  # a long chain does not grow the plan
+        if len(parts) > 16:
             seen = materialize(seen, "seen")
-    return nodes.join(seen, "node", "left")
+            for used in parts[:-1]:
+                drop_materialized(used)
+            parts = [seen, frontier]
+    spark.sql(f"DROP TABLE {name}")
+    discard(spark, f"{shared_dir(spark)}/{name}")
+    out = nodes.join(seen, "node", "left")
+    return out if unreached is None else out.withColumn("depth", F.coalesce("depth", F.lit(unreached)))
 
 
 def redirect_chains(hops: DataFrame, most: int = 10) -> DataFrame:

@@ -1,39 +1,65 @@
-"""Keywords: n-gram frequencies of a page and over all pages."""
+"""Keywords: n-gram frequencies of a page and over all pages.
+
+All n-grams of a page are counted within its row, so no single word is ever shuffled. Rows are pages: repeated rows are counted each.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections import Counter
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.text import keywords, ngrams
+from ..functions.text import STOP_WORDS, plain_words, text_batches
 
 TOP = {1: 10, 2: 10, 3: 5}
+_STOP = frozenset(STOP_WORDS)
 
 
-def page_ngrams(df: DataFrame, key: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """key, ngram_size, keyword, frequency, first position and density in percent of the kept words."""
-    words = df.select(key, keywords(F.col(text)).alias("_w"))
+def counted(text: str, sizes: tuple[int, ...], top: dict[int, int] | None = None) -> Iterator[tuple]:
+    """ngram_size, keyword, frequency, first position, density in percent of the kept words and rank by frequency, then first position."""
+    words = [w for w in plain_words(text, 2) if w not in _STOP]
+    for n in sizes:
+        grams = words if n == 1 else list(map(" ".join, zip(*(words[k:] for k in range(n)))))
+        first: dict[str, int] = {}
+        for at, g in enumerate(grams):
+            first.setdefault(g, at)
+        # Counter keeps the order of first occurrence and sorts stably, so ties go to the first.
+        for rank, (g, count) in enumerate(Counter(grams).most_common(top[n] if top else None), 1):
+            yield n, g, count, first[g], count, len(words), rank
+
 
+def _rows(df: DataFrame, key: str, text: str, sizes: tuple[int, ...], top: dict[int, int] | None) -> DataFrame:
+    shape = [("ngram_size", T.IntegerType()), ("keyword", T.StringType()), ("frequency", T.LongType()), ("first_position", T.IntegerType()), ("_f", T.LongType()), ("_n", T.LongType()), ("rank", T.IntegerType())]
+    schema = T.StructType([df.schema[key], *[T.StructField(n, t) for n, t in shape]])
 
-    def placed(n: int):
-        return F.transform(ngrams(F.col("_w"), n), lambda g, i: F.struct(F.lit(n).alias("ngram_size"), g.alias("keyword"), i.alias("_at")))
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    grams = F.flatten(F.array(*[placed(n) for n in sizes]))
-    rows = words.select(key, F.size("_w").alias("_n"), F.explode(grams).alias("_g")).select(key, "_n", "_g.*")
-    return rows.groupBy(key, "ngram_size", "keyword").agg(F.count("*").alias("frequency"), F.min("_at").alias("first_position"), F.round(100.0 * F.count("*") / F.max("_n"), 2).alias("density"))
+        target = to_arrow_schema(schema)
+        for part in text_batches(batches, 1 << 20):
+            rows = [(k, *x) for k, t in zip(part.column(key).to_pylist(), part.column(text).to_pylist()) for x in counted(t or "", sizes, top)]
+            for at in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 50_000]), target)], schema=target)
+
+    return df.select(key, text).mapInArrow(run, schema).select(key, "ngram_size", "keyword", "frequency", "first_position", F.round(100.0 * F.col("_f") / F.col("_n"), 2).alias("density"), "rank")
+
+
+def page_ngrams(df: DataFrame, key: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """All n-grams of each page: key, ngram_size, keyword, frequency, first_position, density and rank."""
+    return _rows(df, key, text, sizes, None)
 
 
-def top_ngrams(grams: DataFrame, key: str = "doc_id", top: dict[int, int] | None = None) -> DataFrame:
-    """The most frequent of each page and size, by first occurrence among equals."""
+def top_ngrams(df: DataFrame, key: str = "doc_id", text: str = "text", top: dict[int, int] | None = None) -> DataFrame:
+    """The most frequent n-grams of each page and size, by first occurrence among equals."""
     top = top or TOP
-    rank = F.row_number().over(Window.partitionBy(key, "ngram_size").orderBy(F.desc("frequency"), "first_position", "keyword"))
-    limit = F.coalesce(*[F.when(F.col("ngram_size") == n, k) for n, k in top.items()], F.lit(0))
-    return grams.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return _rows(df, key, text, tuple(sorted(top)), top)
 
 
-def target_keywords(grams: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The page's most frequent single word, as one aggregate instead of a window."""
-    one = grams.where("ngram_size = 1")
-    return one.groupBy(key).agg(F.min_by("keyword", F.struct(-F.col("frequency"), "first_position", "keyword")).alias("target"), F.max("frequency").alias("frequency"))
+def target_keywords(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The page's most frequent single word."""
+    return _rows(df, key, text, (1,), {1: 1}).select(key, F.col("keyword").alias("target"), "frequency")
 
 
 def cannibalised(targets: DataFrame, key: str = "doc_id") -> DataFrame:

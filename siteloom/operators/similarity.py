@@ -1,40 +1,74 @@
-"""Near-duplicates by simhash: bands turn the theta join on Hamming distance into equi joins."""
+"""Near-duplicates by simhash: combinations of blocks turn the theta join on Hamming distance into equi joins."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import hamming, similarity
 
 
-def simhash_pairs(hashes: DataFrame, key: str = "doc_id", most: int = 6) -> DataFrame:
-    """Pairs a < b with a Hamming distance of ``most`` or less; zero hashes are left out.
+def members(hashes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, simhash and representative: the smallest key with the same hash. Zero hashes are left out."""
+    rows = hashes.where("simhash is not null and simhash <> '0000000000000000'")
+    return rows.join(rows.groupBy("simhash").agg(F.min(key).alias("representative"), F.count("*").alias("copies")), "simhash").select(key, "simhash", "representative", "copies")
+
+
+def blocks_for(n: int, most: int = 6) -> int:
+    """How many blocks must agree so that a key has about as many values as there are hashes."""
+    agree = 1
+    while agree < most and agree * 64 // (most + agree) < max(n, 2).bit_length():
+        agree += 1
+    return agree
+
+
+def simhash_pairs(hashes: DataFrame, key: str = "doc_id", most: int = 6, agree: int | None = None) -> DataFrame:
+    """Pairs a < b of representatives of different hashes with a Hamming distance of ``most`` or less, and how many rows each stands for.
+
+    The 64 bits are cut into ``most + agree`` blocks; two hashes within ``most`` bits agree on ``agree`` blocks at least, so they
+    meet under the key of those blocks. ``agree`` follows the number of hashes: keys grow with the data, so that a bucket holds a few
+    hashes at any size, and the result is the same for every value. A pair that meets under several keys is compared under the
+    first of them only, without a distinct. Equal hashes are one node with a count, so copies make no pairs.
+    """
+    rows = hashes.where("simhash is not null and simhash <> '0000000000000000'")
+    nodes = rows.groupBy("simhash").agg(F.min(key).alias("id"), F.count("*").alias("copies")).withColumn("h", F.conv("simhash", 16, -10).cast("bigint"))
+    agree = agree or blocks_for(nodes.count(), most)
+    count = most + agree
+    width = [64 // count + (k < 64 % count) for k in range(count)]
+    starts = [sum(width[:k]) for k in range(count)]
+    mask = lambda k: ((1 << width[k]) - 1) << starts[k]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    keys = [(sum(1 << k for k in c), signed(sum(mask(k) for k in c))) for c in combinations(range(count), agree)]
+    cut = nodes.select("id", "simhash", "copies", "h", F.explode(F.array(*[F.struct(F.lit(c).alias("band"), F.col("h").bitwiseAND(F.lit(m).cast("bigint")).alias("value")) for c, m in keys])).alias("k")).select("id", "simhash", "copies", "h", "k.*")
+    a, b = (cut.select(F.col("id").alias(f"{x}_id"), F.col("simhash").alias(f"{x}_hash"), F.col("copies").alias(f"{x}_copies"), F.col("h").alias(f"{x}_h"), "band", "value") for x in "xy")
+    differ = F.col("x_h").bitwiseXOR(F.col("y_h"))
+    equal = F.lit(0)
+    for k in range(count):
+        equal = equal.bitwiseOR(F.when(differ.bitwiseAND(F.lit(signed(mask(k))).cast("bigint")) == 0, 1 << k).otherwise(0))
+    near = a.join(b, ["band", "value"]).where((F.col("x_h") < F.col("y_h")) & (F.bit_count(differ) <= most)).withColumn("_equal", equal)
+    rest = F.col("_equal")
+    for _ in range(agree):
+        rest = rest.bitwiseAND(rest - 1)
+    near = near.where(F.col("_equal").bitwiseXOR(rest) == F.col("band"))
+    first = F.col("x_id") < F.col("y_id")
+    distance = hamming(F.col("x_hash"), F.col("y_hash"))
+    return near.select(
+        F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), distance.alias("distance"), similarity(distance).alias("similarity"),
+        F.when(first, F.col("x_copies")).otherwise(F.col("y_copies")).alias("copies_a"), F.when(first, F.col("y_copies")).otherwise(F.col("x_copies")).alias("copies_b"),
+    )
+
+
+def closest(hashes: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """For each document that has one its most similar partner, and its number of partners.
 
-    The 64 bits are cut into most + 1 blocks; two hashes within ``most`` bits agree on a block at least. Equal hashes are
-    joined as one node first, so a large group of copies does not fill a block, and a pair that agrees on several
-    blocks is compared in the first of them only, without a distinct.
+    A copy's partner is the representative of its hash (the representative's: the smallest other copy), any other document's the representative of the
+    nearest hash, the smallest of equals.
     """
-    bands = most + 1
-    width = [64 // bands + (k < 64 % bands) for k in range(bands)]
-    starts = [sum(width[:k]) for k in range(bands)]
-    h = F.conv("simhash", 16, -10).cast("bigint")
-    rows = hashes.where("simhash is not null and simhash <> '0000000000000000'").withColumn("_h", h)
-    nodes = rows.select("_h", "simhash").distinct()
-    block = lambda c, k: F.shiftrightunsigned(c, starts[k]).bitwiseAND(F.lit((1 << width[k]) - 1).cast("bigint"))
-    cut = nodes.select("_h", "simhash", F.posexplode(F.array(*[block(F.col("_h"), k) for k in range(bands)])).alias("band", "value"))
-    a, b = cut.select(F.col("_h").alias("x"), F.col("simhash").alias("xs"), "band", "value"), cut.select(F.col("_h").alias("y"), F.col("simhash").alias("ys"), "band", "value")
-    earlier = F.lit(False)
-    for k in range(bands):
-        earlier = earlier | ((F.col("band") > k) & (block(F.col("x"), k) == block(F.col("y"), k)))
-    near = a.join(b, ["band", "value"]).where((F.col("x") < F.col("y")) & (hamming(F.col("xs"), F.col("ys")) <= most) & ~earlier).select("x", "y", hamming(F.col("xs"), F.col("ys")).alias("distance"))
-    same = nodes.select(F.col("_h").alias("x"), F.col("_h").alias("y"), F.lit(0).alias("distance"))
-    left, right = rows.select(F.col(key).alias("a"), F.col("_h").alias("x")), rows.select(F.col(key).alias("b"), F.col("_h").alias("y"))
-    pairs = near.unionByName(same).join(left, "x").join(right, "y")
-    pairs = pairs.where((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", similarity(F.col("distance")).alias("similarity"))
-
-
-def closest(pairs: DataFrame) -> DataFrame:
-    """For each document its most similar partner, the smallest id of equals, and its number of partners."""
-    both = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("partner"), "similarity").unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("partner"), "similarity"))
-    return both.groupBy("doc_id").agg(F.max_by("partner", F.struct("similarity", -F.col("partner"))).alias("closest"), F.max("similarity").alias("similarity"), F.count("*").alias("partners"))
+    both = pairs.select("a", "b", "similarity", F.col("copies_b").alias("n")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("copies_a").alias("n")))
+    near = both.groupBy(F.col("a").alias("representative")).agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("near"), F.max("similarity").alias("near_similarity"), F.sum("n").alias("others"))
+    rows = members(hashes, key)
+    second = rows.where(f"{key} <> representative").groupBy("representative").agg(F.min(key).alias("second"))
+    all_of = rows.join(near, "representative", "left").join(second, "representative", "left")
+    partner = F.when(F.col("copies") > 1, F.when(F.col(key) == F.col("representative"), F.coalesce("second", "representative")).otherwise(F.col("representative"))).otherwise(F.col("near"))
+    return all_of.select(key, partner.alias("closest"), F.when(F.col("copies") > 1, 1.0).otherwise(F.col("near_similarity")).alias("similarity"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("partners")).where("closest is not null")

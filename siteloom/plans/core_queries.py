@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as X, urls as U
 from ..operators import aggregates, compare, graph, keywords, similarity, views
 from ..sources import html as H, text_files as S
 from ..streaming import ingest
 from .fixtures import tables, values_sql
+from .materialize import materialize
 from .registry import register
 
 
@@ -193,11 +194,11 @@ def text_stats(spark, sf_dir):
     "pixel_widths",
     "WITH w(c, a, b) AS (VALUES "
     + ", ".join(f"({'chr(39)' if chr(32 + k) == chr(39) else chr(39) + chr(32 + k) + chr(39)}, {a}, {b})" for k, (a, b) in enumerate(zip(X.WIDTHS_20, X.WIDTHS_14)))
-    + "), s AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), '')) AS c FROM documents) SELECT doc_id, CAST(sum(coalesce(w.a, 12)) AS BIGINT) AS width_20, CAST(sum(coalesce(w.b, 8)) AS BIGINT) AS width_14 FROM s LEFT JOIN w USING (c) GROUP BY doc_id",
+    + "), s AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) SELECT doc_id, CAST(sum(coalesce(w.a, 12)) AS BIGINT) AS width_20, CAST(sum(coalesce(w.b, 8)) AS BIGINT) AS width_14 FROM s LEFT JOIN w USING (c) GROUP BY doc_id",
 )
 def pixel_widths(spark, sf_dir):
-    head = F.substring("text", 1, 200)
-    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", X.pixel_width(head).cast("long").alias("width_20"), X.pixel_width(head, 14).cast("long").alias("width_14"))
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", X.pixel_width(text).cast("long").alias("width_20"), X.pixel_width(text, 14).cast("long").alias("width_14"))
 
 
 _SYLLABLES = """s AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS w FROM documents), y AS (SELECT doc_id, lower(w) AS w, regexp_replace(lower(w), '[^a-z]', '', 'g') AS b FROM s),
@@ -211,9 +212,10 @@ f AS (SELECT doc_id, CAST(syllables AS BIGINT) AS syllables, CASE WHEN sentences
 SELECT *, CASE WHEN flesch >= 90 THEN 'Very Easy' WHEN flesch >= 80 THEN 'Easy' WHEN flesch >= 60 THEN 'Standard' WHEN flesch >= 30 THEN 'Difficult' ELSE 'Very Difficult' END AS label FROM f""",
 )
 def readability(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", X.white_words(F.col("text")).alias("w"), X.sentence_count(F.col("text")).alias("sentences")).where("size(w) > 0")
-    d = d.withColumn("syllables", F.aggregate(F.transform("w", X.syllables), F.lit(0).cast("bigint"), lambda a, x: a + x))
-    d = d.withColumn("flesch", X.flesch(F.size("w"), F.col("sentences"), F.col("syllables")))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    counted = X.per_text(docs.select(F.struct("doc_id", X.word_count(F.col("text")).alias("words"), X.sentence_count(F.col("text")).alias("sentences")).alias("k"), "text"), "k", "text", X.text_syllables, T.LongType(), "syllables")
+    d = counted.select("k.*", "syllables").where("words > 0")
+    d = d.withColumn("flesch", X.flesch(F.col("words"), F.col("sentences"), F.col("syllables")))
     return d.select("doc_id", "syllables", "flesch", X.readability(F.col("flesch")).alias("label"))
 
 
@@ -232,12 +234,36 @@ def simhash(spark, sf_dir):
     return X.simhash(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+_HASHES = f"""{_SIMHASH}, z AS (SELECT simhash, min(doc_id) AS id, count(*) AS copies, CAST('0x' || simhash AS UBIGINT) AS h FROM sh WHERE simhash <> repeat('0', 16) GROUP BY simhash),
+q AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance, round(1 - bit_count(xor(a.h, b.h)) / 64, 3) AS similarity, a.copies AS copies_a, b.copies AS copies_b FROM z a JOIN z b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 6)"""
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once: pairs and partners read the hashes several times."""
+    return materialize(X.simhash(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "hashes")
+
+
+@register("simhash_pairs", f"WITH {_HASHES} SELECT * FROM q")
+def simhash_pairs(spark, sf_dir):
+    """Pairs between representatives of equal hashes; ``simhash_members`` has who they stand for."""
+    return similarity.simhash_pairs(hashes(spark, sf_dir))
+
+
+@register("simhash_members", f"WITH {_HASHES} SELECT doc_id, simhash, id AS representative, copies FROM sh JOIN z USING (simhash)")
+def simhash_members(spark, sf_dir):
+    return similarity.members(hashes(spark, sf_dir))
+
+
 @register(
-    "simhash_pairs",
-    f"WITH {_SIMHASH}, z AS (SELECT doc_id, CAST('0x' || simhash AS UBIGINT) AS h FROM sh WHERE simhash <> repeat('0', 16)) SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance, round(1 - bit_count(xor(a.h, b.h)) / 64, 3) AS similarity FROM z a JOIN z b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 6",
+    "simhash_closest",
+    f"""WITH {_HASHES}, ab AS (SELECT a, b, similarity, copies_b AS n FROM q UNION ALL SELECT b, a, similarity, copies_a FROM q), mem AS (SELECT doc_id, id, copies FROM sh JOIN z USING (simhash)),
+nr AS (SELECT a AS id, max(similarity) AS similarity, sum(n) AS others, arg_min(b, (-similarity, b)) AS near FROM ab GROUP BY a), oth AS (SELECT id, min(doc_id) AS second FROM mem WHERE doc_id <> id GROUP BY id)
+SELECT doc_id, CASE WHEN copies = 1 THEN near WHEN doc_id = mem.id THEN second ELSE mem.id END AS closest, CASE WHEN copies > 1 THEN 1.0::DOUBLE ELSE similarity END AS similarity, CAST(copies - 1 + coalesce(others, 0) AS BIGINT) AS partners
+FROM mem LEFT JOIN nr USING (id) LEFT JOIN oth USING (id) WHERE copies > 1 OR near IS NOT NULL""",
 )
-def simhash_pairs(spark, sf_dir):
-    return similarity.simhash_pairs(X.simhash(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"))
+def simhash_closest(spark, sf_dir):
+    h = hashes(spark, sf_dir)
+    return similarity.closest(h, similarity.simhash_pairs(h))
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
@@ -251,14 +277,12 @@ f AS (SELECT doc_id, ngram_size, keyword, count(*) AS frequency, min(i) AS first
     f"WITH {_GRAMS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ngram_size ORDER BY frequency DESC, first_position, keyword) AS rank FROM f) SELECT doc_id, ngram_size, keyword, frequency, CAST(rank AS INTEGER) AS rank, round(100.0 * frequency / len(w), 2) AS density FROM r JOIN k USING (doc_id) WHERE rank <= CASE ngram_size WHEN 3 THEN 5 ELSE 10 END",
 )
 def top_ngrams(spark, sf_dir):
-    grams = keywords.page_ngrams(table(spark, sf_dir, "documents"))
-    return keywords.top_ngrams(grams).select("doc_id", "ngram_size", "keyword", "frequency", "rank", "density")
+    return keywords.top_ngrams(table(spark, sf_dir, "documents")).select("doc_id", "ngram_size", "keyword", "frequency", "rank", "density")
 
 
 @register("cannibalised_keywords", f"WITH {_GRAMS}, t AS (SELECT doc_id, keyword AS target FROM f WHERE ngram_size = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, first_position, keyword) = 1) SELECT target, count(*) AS pages, min(doc_id) AS first_page FROM t GROUP BY target HAVING count(*) > 1")
 def cannibalised_keywords(spark, sf_dir):
-    grams = keywords.page_ngrams(table(spark, sf_dir, "documents"), sizes=(1,))
-    return keywords.cannibalised(keywords.target_keywords(grams))
+    return keywords.cannibalised(keywords.target_keywords(table(spark, sf_dir, "documents")))
 
 
 @register("global_keywords", f"WITH {_GRAMS} SELECT keyword, CAST(sum(frequency) AS BIGINT) AS frequency, count(*) AS pages FROM f WHERE ngram_size = 1 GROUP BY keyword ORDER BY frequency DESC, keyword LIMIT 20")
@@ -274,30 +298,35 @@ def duplicate_content(spark, sf_dir):
 
 # Link graph on the edge list of line items
 
-_EDGES = "l AS (SELECT l_suppkey AS s, (l_partkey * 7 + l_linenumber) % (SELECT count(*) FROM supplier) + 1 AS t FROM lineitem WHERE l_suppkey % 7 <> 3), n AS (SELECT s_suppkey AS node FROM supplier), e AS (SELECT DISTINCT s, t FROM l WHERE s <> t AND s IN (SELECT node FROM n) AND t IN (SELECT node FROM n))"
+_EDGES = "n AS (SELECT s_suppkey AS node FROM supplier UNION ALL SELECT -1 - n_nationkey FROM nation), l AS (SELECT l_suppkey AS s, (l_partkey * 7 + l_linenumber) % (SELECT count(*) FROM supplier) + 1 AS t FROM lineitem UNION ALL SELECT s_suppkey, -1 - s_nationkey FROM supplier), e AS (SELECT DISTINCT s, t FROM l WHERE s <> t AND s IN (SELECT node FROM n) AND t IN (SELECT node FROM n))"
 
 
 def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
-    n = nodes.agg(F.count("*").alias("n"))
-    items = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 3").select("l_suppkey", "l_partkey", "l_linenumber")
-    return nodes, items.crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("s"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % F.col("n") + 1).alias("t"))
+    """Suppliers link to suppliers by their line items and to their nation, which has no link of its own."""
+    suppliers = table(spark, sf_dir, "supplier")
+    n = suppliers.agg(F.count("*").alias("n"))
+    nodes = suppliers.select(F.col("s_suppkey").alias("node")).unionByName(table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("bigint").alias("node")))
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber").crossJoin(F.broadcast(n))
+    links = items.select(F.col("l_suppkey").alias("s"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % F.col("n") + 1).alias("t"))
+    return nodes, links.unionByName(suppliers.select(F.col("s_suppkey").alias("s"), (-1 - F.col("s_nationkey")).cast("bigint").alias("t")))
 
 
 def _pagerank_sql(rounds: int) -> str:
-    steps = [f"WITH {_EDGES}, d AS MATERIALIZED (SELECT s, count(*) AS d FROM e GROUP BY s), c AS (SELECT count(*) AS c FROM n), p0 AS (SELECT node, 1.0 / c AS r FROM n, c)"]
+    """Rounds are unrolled further than they take; the first that moves less than the tolerance is chosen."""
+    steps = [f"WITH {_EDGES}, d AS MATERIALIZED (SELECT s, count(*) AS d FROM e GROUP BY s), c AS (SELECT count(*) AS c FROM n), w AS MATERIALIZED (SELECT e.s, e.t, 1.0::DOUBLE / d.d AS w FROM e JOIN d ON d.s = e.s), p0 AS (SELECT node, 1.0::DOUBLE / c AS r FROM n, c)"]
     for k in range(rounds):
         steps.append(
-            f"p{k + 1} AS MATERIALIZED (SELECT n.node, 0.15 / c + 0.85 * (coalesce(g.x, 0) + (SELECT coalesce(sum(r), 0) FROM p{k} WHERE node NOT IN (SELECT s FROM d)) / c) AS r FROM n CROSS JOIN c LEFT JOIN (SELECT e.t AS node, sum(p.r / d.d) AS x FROM e JOIN p{k} p ON p.node = e.s JOIN d ON d.s = e.s GROUP BY e.t) g ON g.node = n.node)"
+            f"p{k + 1} AS MATERIALIZED (SELECT n.node, 0.15 / c + 0.85 * (coalesce(g.x, 0) + (SELECT coalesce(sum(r), 0) FROM p{k} WHERE node NOT IN (SELECT s FROM d)) / c) AS r FROM n CROSS JOIN c LEFT JOIN (SELECT w.t AS node, sum(p.r * w.w) AS x FROM w JOIN p{k} p ON p.node = w.s GROUP BY w.t) g ON g.node = n.node)"
         )
-    return ", ".join(steps) + f" SELECT node, round(1000 * r, 6) AS rank, round((r - (SELECT min(r) FROM p{rounds})) / (SELECT max(r) - min(r) FROM p{rounds}) * 100, 1) AS score FROM p{rounds}"
+    steps.append("u AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k + 1} AS k, node, p{k + 1}.r AS r, abs(p{k + 1}.r - p{k}.r) AS moved FROM p{k + 1} JOIN p{k} USING (node)" for k in range(rounds)) + ")")
+    steps.append("f AS MATERIALIZED (SELECT node, r FROM u WHERE k = (SELECT min(k) FROM (SELECT k, sum(moved) AS m FROM u GROUP BY k) WHERE m < 1e-6))")
+    return ", ".join(steps) + " SELECT node, round(1000 * r, 6) AS rank, round((r - (SELECT min(r) FROM f)) / (SELECT max(r) - min(r) FROM f) * 100, 1) AS score FROM f"
 
 
-@register("pagerank", _pagerank_sql(8))
+@register("pagerank", _pagerank_sql(24))
 def pagerank(spark, sf_dir):
     nodes, links = supplier_graph(spark, sf_dir)
-    r = graph.pagerank(nodes, links, rounds=8, tolerance=None)
-    return r.select("node", F.round(1000 * F.col("rank"), 6).alias("rank"), F.round("score", 1).alias("score"))
+    return graph.pagerank(nodes, links).select("node", F.round(1000 * F.col("rank"), 6).alias("rank"), F.round("score", 1).alias("score"))
 
 
 @register("click_depth", f"WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT CAST(4 AS BIGINT), 0 UNION SELECT e.t, depth + 1 FROM w JOIN e ON e.s = w.node WHERE depth < 12) SELECT n.node, CAST(min(depth) AS INTEGER) AS depth FROM n LEFT JOIN w USING (node) GROUP BY n.node")
@@ -336,14 +365,16 @@ def redirect_chains(spark, sf_dir):
 
 # Snapshots
 
-_BASE = "b AS (SELECT c_custkey AS k, c_name AS title, c_mktsegment AS h1, c_nationkey AS status_code FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN c_name || ' new' ELSE ' ' || c_name END AS title, c_mktsegment AS h1, c_nationkey + CASE WHEN c_custkey % 3 = 0 THEN 400 ELSE 0 END AS status_code FROM customer WHERE c_custkey % 5 <> 0)"
+_BASE = "b AS (SELECT c_custkey AS k, c_name AS title, c_mktsegment AS h1, c_nationkey AS status_code FROM customer), o AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN c_name || ' new' ELSE ' ' || c_name END AS title, c_mktsegment AS h1, c_nationkey + CASE WHEN c_custkey % 3 = 1 THEN 400 ELSE 0 END AS status_code FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT -1 - s_suppkey, s_name, '', s_nationkey FROM supplier)"
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All customers against those that have orders, some changed, and all suppliers as new pages."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    base = c.where(k % 7 != 0).select(k.alias("url"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("h1"), F.col("c_nationkey").alias("status_code"))
-    other = c.where(k % 5 != 0).select(k.alias("url"), F.when(k % 11 == 0, F.concat("c_name", F.lit(" new"))).otherwise(F.concat(F.lit(" "), "c_name")).alias("title"), F.col("c_mktsegment").alias("h1"), (F.col("c_nationkey") + F.when(k % 3 == 0, 400).otherwise(0)).alias("status_code"))
-    return base, other
+    base = c.select(k.alias("url"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("h1"), F.col("c_nationkey").alias("status_code"))
+    buyers = c.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    changed = buyers.select(k.alias("url"), F.when(k % 11 == 0, F.concat("c_name", F.lit(" new"))).otherwise(F.concat(F.lit(" "), "c_name")).alias("title"), F.col("c_mktsegment").alias("h1"), (F.col("c_nationkey") + F.when(k % 3 == 1, 400).otherwise(0)).alias("status_code"))
+    return base, changed.unionByName(table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("url"), F.col("s_name").alias("title"), F.lit("").alias("h1"), F.col("s_nationkey").alias("status_code")))
 
 
 _DIFF = f"""{_BASE}, d AS (SELECT o.k AS url, 'added' AS change, '' AS before, '' AS after FROM o WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT b.k, 'removed', '', '' FROM b WHERE k NOT IN (SELECT k FROM o)
@@ -369,7 +400,7 @@ _AGENTS = ("Mozilla/5.0 (compatible; Googlebot/2.1)", "Googlebot Mobile Safari",
     "access_log",
     r"""WITH l AS (SELECT event_id, '10.0.0.' || user_id || ' - - [10/Oct/2000:13:55:' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || ' +0000] "GET /' || event_type || ' HTTP/1.0" ' || (200 + 100 * (event_id % 4)) || ' ' || (event_id * 10) || ' "-" "' || ['"""
     + "', '".join(_AGENTS)
-    + r"""'][1 + event_id % 5] || '"' AS v FROM events WHERE event_id % 9 <> 0)
+    + r"""'][1 + event_id % 5] || '"' AS v FROM events)
 SELECT regexp_extract(v, '"GET ([^ ]+)', 1) AS path, CAST(regexp_extract(v, '" ([0-9]{3}) ', 1) AS INTEGER) AS status, CASE WHEN lower(v) LIKE '%googlebot%mobile%' THEN 'Googlebot Smartphone' WHEN lower(v) LIKE '%googlebot%' THEN 'Googlebot Desktop' WHEN lower(v) LIKE '%bingbot%' THEN 'Bingbot' WHEN lower(v) LIKE '%duckduckbot%' THEN 'DuckDuckBot' END AS bot,
   count(*) AS hits, CAST(sum(CAST(regexp_extract(v, '" [0-9]{3} ([0-9]+) ', 1) AS BIGINT)) AS BIGINT) AS bytes FROM l GROUP BY ALL""",
 )
@@ -378,7 +409,7 @@ def access_log(spark, sf_dir):
     k = F.col("event_id")
     agent = F.element_at(F.array(*[F.lit(a) for a in _AGENTS]), (k % 5 + 1).cast("int"))
     line = F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"), F.lit(" - - [10/Oct/2000:13:55:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(' +0000] "GET /'), F.col("event_type"), F.lit(' HTTP/1.0" '), (200 + 100 * (k % 4)).cast("string"), F.lit(" "), (k * 10).cast("string"), F.lit(' "-" "'), agent, F.lit('"'))
-    lines = e.select(F.when(k % 9 == 0, F.lit("not a log line")).otherwise(line).alias("value"))
+    lines = e.select(F.explode(F.array(line, F.concat(F.lit("not a log line "), k.cast("string")))).alias("value"))
     return S.parse_log(lines).groupBy("path", "status", "bot").agg(F.count("*").alias("hits"), F.sum("bytes").alias("bytes"))
 
 

@@ -44,7 +44,8 @@ def materialize(df: DataFrame, label: str = "stage", rows: int | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -55,7 +56,7 @@ def drop_materialized(df: DataFrame) -> None:
     live = _live.get(spark.sparkContext.applicationId, [])
     for file in df.inputFiles()[:1]:
         for path in [p for p in live if f"/{p.rsplit('/', 1)[-1]}/" in file]:
-            _delete(spark, path)
+            discard(spark, path)
             live.remove(path)
 
 
@@ -68,5 +69,5 @@ def release(spark: SparkSession, tables: list[str] | None = None) -> None:
     """Delete tables of ``written``, all by default: those behind results that have been written or are no longer needed."""
     live = _live.get(spark.sparkContext.applicationId, [])
     for path in [p for p in live if tables is None or p in tables]:
-        _delete(spark, path)
+        discard(spark, path)
         live.remove(path)
