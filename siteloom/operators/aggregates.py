@@ -49,7 +49,7 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 def issue_summary(issues: DataFrame, total_pages: DataFrame) -> DataFrame:
     """Distinct URLs and share of pages for each issue type, ranked by severity and count; ``total_pages`` has one row, ``pages``."""
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "warning", 2).when(F.col("severity") == "medium", 3).otherwise(6)
-    grouped = issues.groupBy("issue_type").agg(F.min_by("category", rank).alias("category"), F.min_by("severity", rank).alias("severity"), F.countDistinct("url").alias("urls"), F.count("*").alias("n"))
+    grouped = issues.groupBy("issue_type").agg(F.min_by("category", F.struct(rank, "category")).alias("category"), F.min_by("severity", rank).alias("severity"), F.countDistinct("url").alias("urls"), F.count("*").alias("n"))
     return grouped.crossJoin(F.broadcast(total_pages)).select("issue_type", "category", "severity", rank.alias("priority"), "urls", "n", share(F.col("urls"), F.col("pages")).alias("pct_of_total"))
 
 

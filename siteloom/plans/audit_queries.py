@@ -71,15 +71,14 @@ for _name in dict.fromkeys(r.pack for r in rules.PAGE_RULES):
     _pack_query(_name)
 
 
-@register(
-    "rules_link_targets",
-    f"""WITH {values_sql("fx_pages", "fx_links", "fx_status")},
-prepared AS (
+LINK_TARGETS = f"""prepared AS (
   SELECT source_page_id AS page_id, source_url AS url, target_url, anchor_text, is_internal, nofollow, rel, target_blocked,
     coalesce((SELECT arg_max(status_code, page_id) FROM fx_pages p WHERE p.url = l.target_url), (SELECT max(status_code) FROM fx_status s WHERE s.url = l.target_url), 200) AS target_status
   FROM fx_links l
-) {rules.to_duckdb(rules.LINK_RULES, "prepared")}""",
-)
+) {rules.to_duckdb(rules.LINK_RULES, "prepared")}"""
+
+
+@register("rules_link_targets", f"WITH {values_sql('fx_pages', 'fx_links', 'fx_status')},\n{LINK_TARGETS}")
 def rules_link_targets(spark, sf_dir):
     return rules.issues(audit.prepare_links(tables(spark)), rules.LINK_RULES)
 
@@ -121,15 +120,14 @@ def rules_pagination(spark, sf_dir):
     return rules.issues(audit.prepare_pagination(tables(spark)), rules.PAGINATION_RULES)
 
 
-@register(
-    "rules_sitemap_entries",
-    f"""WITH {values_sql("fx_pages", "fx_links", "fx_sitemap")},
-p AS (SELECT url, arg_max(status_code, page_id) AS status, arg_max(coalesce(is_indexable, false), page_id) AS indexable, max(page_id) AS id, arg_max(crawl_depth, page_id) AS depth,
+SITEMAP_ENTRIES = f"""p AS (SELECT url, arg_max(status_code, page_id) AS status, arg_max(coalesce(is_indexable, false), page_id) AS indexable, max(page_id) AS id, arg_max(crawl_depth, page_id) AS depth,
         (SELECT count(*) FROM fx_links l WHERE l.is_internal AND l.target_url = fx_pages.url) AS inlinks FROM fx_pages GROUP BY url),
 m AS (SELECT s.url, coalesce((SELECT id FROM p WHERE p.url = s.url), (SELECT max(id) FROM p WHERE rtrim(p.url, '/') = rtrim(s.url, '/'))) AS page_id FROM fx_sitemap s),
 prepared AS (SELECT m.page_id, m.url, p.id IS NOT NULL AS found, p.status AS target_status, coalesce(p.indexable, false) AS indexable, coalesce(p.inlinks, 0) AS inlinks, p.depth AS crawl_depth FROM m LEFT JOIN p ON p.id = m.page_id)
-{rules.to_duckdb(rules.SITEMAP_RULES, "prepared")}""",
-)
+{rules.to_duckdb(rules.SITEMAP_RULES, "prepared")}"""
+
+
+@register("rules_sitemap_entries", f"WITH {values_sql('fx_pages', 'fx_links', 'fx_sitemap')},\n{SITEMAP_ENTRIES}")
 def rules_sitemap_entries(spark, sf_dir):
     return rules.issues(audit.prepare_sitemap(tables(spark)), rules.SITEMAP_RULES)
 
