@@ -23,6 +23,11 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def twin(name: str) -> str:
+    """The SQL of a query that is registered already, as a part of another twin."""
+    return _oracle[name]
+
+
 def queries() -> dict[str, Query]:
     load()
     return dict(_queries)
@@ -36,3 +41,4 @@ def oracle_sql() -> dict[str, str]:
 def load() -> None:
     """Import the modules that register queries."""
     from . import audit_queries, core_queries, crawl_queries, report_queries, site_queries  # noqa: F401
+    from . import issue_queries  # noqa: F401

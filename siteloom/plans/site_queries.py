@@ -48,6 +48,19 @@ def duplicate_social_titles(spark, sf_dir):
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 
 
+@register(
+    "page_targets",
+    rf"""WITH t AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS h1 FROM pages),
+w AS (SELECT page_id, list_filter(string_split_regex(lower(title || '  ' || h1), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}') AND x NOT IN ({_STOP})) AS w FROM t),
+c AS (SELECT page_id, x, count(*) AS n, min(i) AS i FROM (SELECT page_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w) GROUP BY page_id, x) SELECT page_id, arg_min(x, (-n, i)) AS target, max(n) AS frequency FROM c GROUP BY page_id""",
+)
+def page_targets(spark, sf_dir):
+    from ..operators import keywords
+    from .core_queries import page_features
+
+    return keywords.target_keywords(page_features(table(spark, sf_dir, "pages")).withColumn("words", F.concat_ws("  ", "title", "h1")), "page_id", "words")
+
+
 @register(
     "keyword_rules",
     rf"""WITH t AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS h1 FROM pages),
