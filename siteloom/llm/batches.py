@@ -11,6 +11,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Input text of one slice, in bytes; a single longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Rows that Spark packs into one Arrow batch at most: texts of some KB make batches of some MB on both sides.
+BATCH_ROWS = 2048
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Lower the session's rows of an Arrow batch, whose default lets executors hold tens of MB of texts outside their heap for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
 
 
 def release() -> None:
@@ -41,6 +51,7 @@ def _arrow(columns: dict, target: pa.Schema) -> pa.RecordBatch:
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType, most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with slices of bounded size; ``fn`` returns columns, each a list, numpy or Arrow array."""
     target = to_arrow_schema(schema)
+    bound_batches(df)
 
     def run(batches):
         for part in slices(batches, most):
@@ -54,6 +65,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
 def map_groups(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: T.StructType, most: int = SLICE_BYTES, weight: Callable[[tuple], int] = lambda row: 64) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns a partition's slices into rows, which leave in batches of about ``most`` bytes."""
     target = to_arrow_schema(schema)
+    bound_batches(df)
 
     def run(batches):
         held, size = [], 0

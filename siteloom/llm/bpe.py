@@ -25,7 +25,6 @@ import struct
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -260,6 +259,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
 
     @F.pandas_udf(T.BinaryType())
     def run(column):
+        import pandas as pd
+
         c = codec(path or default_path())
         return pd.Series(c.encode_batch(column.tolist()))
 

@@ -25,7 +25,6 @@ import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -197,7 +196,9 @@ def judge(df: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> DataFrame
         shared = df.sparkSession.sparkContext.broadcast(Judge(tuple(rules[k : k + PART_RULES]), counts))
 
         @F.pandas_udf(RESULT)
-        def run(urls: pd.Series, places: pd.Series) -> pd.DataFrame:
+        def run(urls, places):
+            import pandas as pd
+
             best = shared.value.best  # noqa: B023
             hits = [best(u, p) if u is not None else None for u, p in zip(urls, places)]
             columns = {"tier": [h and h.tier for h in hits], "order": [h and -h.weight for h in hits], "rule": [h and h.name for h in hits], "verdict": [h and h.verdict for h in hits]}
