@@ -24,8 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _live: dict[str, list[str]] = {}
-#: Rows of a file of a small table.
-FILE_ROWS = 500_000
+#: Rows of a file of a table of a few columns, and from which such a table is cut at all; the fewest files.
+FILE_ROWS, SMALL_ROWS, LEAST_FILES = 500_000, 25_000, 4
+
+
+def files_for(spark: SparkSession, rows: int, most: int = FILE_ROWS) -> int:
+    """How many files so many rows make: some for each core, unless they are very few, and no more than ``most`` rows in one."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(LEAST_FILES, min(2 * cores, rows // (most * SMALL_ROWS // FILE_ROWS)), -(-rows // most))
 
 
 def materialize(df: DataFrame, label: str = "stage", rows: int | None = None) -> DataFrame:
@@ -37,7 +43,7 @@ def materialize(df: DataFrame, label: str = "stage", rows: int | None = None) ->
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        df = df.coalesce(files_for(spark, rows))
     path = f"{shared_dir(spark)}/siteloom-{label}-{uuid.uuid4().hex}"
     _live.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
