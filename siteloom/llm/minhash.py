@@ -305,7 +305,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = materialize(buckets.join(shared, "key"), "buckets", BANDS * total)
     stars = materialize(met.where(f"node <> first and 100 * least(n, first_n) >= {LINK_PERCENT} * greatest(n, first_n)").select("node", "first").distinct(), "stars", BANDS * total)
     wanted = stars.select(F.explode(F.array("node", "first")).alias("node")).unionByName(met.where("size > 2").select("node")).distinct()
-    sets = materialize(packed_sets(df, nodes, wanted, id_col, text_col), "sets")
+    sets = materialize(packed_sets(df, nodes, wanted, id_col, text_col), "sets", 40 * total)
     links = materialize(against_pivot(send(sets, star_places(stars))), "links", BANDS * total)
     # Rows with one id and several sets are one document.
     twice = named.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc", "a")

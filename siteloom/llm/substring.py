@@ -28,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..plans.materialize import drop_materialized, materialize
+from ..plans.materialize import drop_materialized, files_for, materialize
 from .batches import map_rows
 from .kernels import char_offsets, lower_utf8, mix, run_digests, seeded, span_digests, words
 
 #: Words of what is removed at least, and of a window.
 MIN_WORDS, WINDOW_WORDS = 20, 6
+#: Documents of a task that rewrites texts, on average.
+TASK_DOCS = 20_000
 #: Stands for a null id.
 NO_DOC = -(1 << 63)
 #: One word in CUT begins a window.
@@ -178,8 +180,8 @@ def cut(u: Units, text: str, removed: list[tuple[str, int, int, int, int]]) -> t
     return "".join(kept), spans
 
 
-def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and an array of digest and first document, for each document that holds units first met in another one or repeats its own.
+def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """The number of documents, and doc and an array of digest and first document, for each document that holds units first met in another one or repeats its own.
 
     Only these have to be read again.
     """
@@ -192,7 +194,8 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     units = materialize(map_rows(docs, run, schema), "units")
-    about = 64 * units.count()
+    count = units.count()
+    about = 64 * count
     sent = units.select("doc", F.explode("units").alias("digest"))
     shared = sent.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
     shared = materialize(shared, "shared", about)
@@ -201,14 +204,14 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(met.unionByName(own).groupBy("doc").agg(F.collect_list("unit").alias("met")), "met", about)
     for used in (units, shared):
         drop_materialized(used)
-    return found
+    return found, count
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: str = "removed") -> DataFrame:
     """The rows with ``text_col`` without its repeated units, and ``spans``: what was removed, with original offsets."""
     if spans.lower() in {c.lower() for c in df.columns} or "_met" in df.columns or "_doc" in df.columns:
         raise ValueError(f"column {spans} exists already")
-    met = repeated_units(df, id_col, text_col)
+    met, count = repeated_units(df, id_col, text_col)
     joined = df.withColumn("_doc", F.col(id_col).cast("long")).join(met.select(F.col("doc").alias("_doc"), F.col("met").alias("_met")), "_doc", "left").select("_doc", *df.columns, "_met")
     names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(spans, T.ArrayType(SPAN))])
@@ -232,7 +235,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans:
             found.append(cuts)
         return {n: part.column(n) for n in names} | {text_col: texts, spans: found}
 
-    return map_rows(joined, run, schema)
+    return map_rows(joined.coalesce(files_for(df.sparkSession, count, TASK_DOCS)), run, schema)
 
 
 def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
