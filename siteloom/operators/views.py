@@ -74,50 +74,131 @@ def with_occurrences(df: DataFrame, column: str, out: str = "occurrences") -> Da
     return df.withColumn("_v", value).join(sizes, "_v", "left").withColumn(out, F.coalesce(out, F.lit(0))).drop("_v")
 
 
-def _html_or(column: str) -> Column:
-    return F.lower(F.coalesce("content_type", F.lit(""))).contains("html") | (F.coalesce(column, F.lit("")) != "")
+def is_html() -> Column:
+    return F.lower(F.coalesce("content_type", F.lit(""))).contains("html")
 
 
-def _occurrences(column: str):
-    return lambda d: with_occurrences(d.where(_html_or(column)), column)
+def mime_kind(url: Column, content_type: Column) -> Column:
+    """html, javascript, css, images, pdf or other, by type or ending."""
+    low, kind = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(content_type, F.lit("")))
+    ends = lambda *e: U.any_of(low.endswith(x) for x in e)
+    return (
+        F.when(kind.contains("html"), "html").when(kind.contains("javascript") | ends(".js"), "javascript").when(kind.contains("css") | ends(".css"), "css")
+        .when(kind.contains("image") | ends(".png", ".jpg", ".jpeg", ".webp", ".svg", ".gif"), "images").when(kind.contains("pdf") | ends(".pdf"), "pdf").otherwise("other")
+    )
 
 
-def _inlink_shares(d: DataFrame) -> DataFrame:
-    pages = d.where("page_id is not null")
-    total = pages.agg(F.coalesce(F.sum("inlinks"), F.lit(0)).alias("_all"))
-    return pages.crossJoin(F.broadcast(total)).withColumn("inlink_share", F.round(100.0 * F.col("inlinks") / F.greatest("_all", F.lit(1)), 2)).drop("_all")
+def filled(column: str) -> Column:
+    return F.trim(F.coalesce(column, F.lit(""))) != ""
 
 
-#: Tabs by key: what they keep and add. Any other key returns all rows.
+def _shared(column: str):
+    """Pages of HTML, or with the value, with the number of rows that share it."""
+    return lambda d, t: with_occurrences(d, column).where(is_html() | filled(column))
+
+
+def _first_headings(d: DataFrame, t: dict) -> DataFrame:
+    first = t["fx_headings"].where("lower(tag) = 'h2'").groupBy("page_id").agg(F.trim(F.min_by("text", "position")).alias("h2_1"))
+    d = d.join(first, "page_id", "left").where(is_html() | F.col("h2_1").isNotNull()).withColumn("h2_1", F.coalesce("h2_1", F.lit("")))
+    return d.withColumns({"h2_1_length": F.length("h2_1"), "occurrences": (F.col("h2_1") != "").cast("long")})
+
+
+def _spread(d: DataFrame, rows: DataFrame, value: str, order: str, prefix: str) -> DataFrame:
+    from .store import expand
+
+    return d.join(expand(rows, "page_id", value, order, prefix), "page_id", "left")
+
+
+def _inlink_shares(d: DataFrame, t: dict) -> DataFrame:
+    total = d.agg(F.coalesce(F.sum("inlinks"), F.lit(0)).alias("_all"))
+    return d.where(is_html()).crossJoin(F.broadcast(total)).withColumn("inlink_share", F.round(100.0 * F.coalesce("inlinks", F.lit(0)) / F.greatest("_all", F.lit(1)), 1)).drop("_all")  # one aggregated row
+
+
+def _schema_types(d: DataFrame, t: dict) -> DataFrame:
+    from .audit import prepare_schema
+
+    rows = prepare_schema(t).groupBy("page_id").agg(F.array_sort(F.collect_set(F.nullif("schema_type", F.lit("")))).alias("_types"), F.count_if(~F.col("is_valid")).alias("sd_errors"), F.count_if(F.col("is_valid") & (F.col("schema_type") == "")).alias("sd_warnings"))
+    d = d.join(rows, "page_id", "left").where(is_html() | F.col("_types").isNotNull())
+    return d.withColumns({"sd_total_types": F.coalesce(F.size("_types"), F.lit(0)), "rich_result_features": F.coalesce(F.nullif(F.array_join("_types", ", "), F.lit("")), F.lit("—")), "sd_errors": F.coalesce("sd_errors", F.lit(0)), "sd_warnings": F.coalesce("sd_warnings", F.lit(0))}).drop("_types")
+
+
+def _in_sitemap(d: DataFrame, t: dict) -> DataFrame:
+    """Rows that a sitemap lists; all where no sitemap is known."""
+    listed = t["fx_sitemap"].select(U.rstrip_slash(F.col("url")).alias("_k")).distinct().withColumn("_in", F.lit(True))
+    some = t["fx_sitemap"].agg((F.count("*") > 0).alias("_some"))
+    d = d.withColumn("_k", U.rstrip_slash(F.col("url"))).join(listed, "_k", "left").crossJoin(F.broadcast(some))  # one aggregated row
+    return d.where("_in or not _some").drop("_k", "_in", "_some")
+
+
+def _extracted(d: DataFrame, t: dict) -> DataFrame:
+    """All rows with what the user's extraction rules found (a map in ``custom_extractions``) in one line."""
+    found = F.col("custom_extractions") if "custom_extractions" in d.columns else F.create_map().cast("map<string,string>")
+    lines = F.transform(F.filter(F.map_entries(found), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return d.withColumn("custom_extraction_summary", F.coalesce(F.nullif(F.array_join(lines, " | "), F.lit("")), F.lit("—")))
+
+
+def _searched(d: DataFrame, t: dict) -> DataFrame:
+    """All rows with the names of the searches that matched (``t['searches']``: page_id, search_name, matched, snippet)."""
+    if "searches" not in t:
+        return d.withColumns({"matched_rules": F.lit("No Matches"), "search_snippet": F.lit("—")})
+    hits = t["searches"].groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("matched"), F.col("search_name")))), ", ").alias("matched_rules"), F.min(F.nullif("snippet", F.lit(""))).alias("search_snippet"))
+    return d.join(hits, "page_id", "left").withColumns({"matched_rules": F.coalesce(F.nullif("matched_rules", F.lit("")), F.lit("No Matches")), "search_snippet": F.coalesce("search_snippet", F.lit("—"))})
+
+
+def _violated(d: DataFrame, t: dict) -> DataFrame:
+    if "violations" not in t:
+        return d.where(is_html())
+    n = t["violations"].groupBy("page_id").agg(F.count("*").alias("violations"))
+    return d.join(n, "page_id", "left").where(is_html() | (F.col("violations") > 0))
+
+
+def _html(d: DataFrame, t: dict) -> DataFrame:
+    return d.where(is_html())
+
+
+def _or_html(column: str):
+    return lambda d, t: d.where(is_html() | filled(column)) if column in d.columns else d.where(is_html())
+
+
+#: Tabs by key: what they keep and add, from the master dataset and the audit's tables. Any other key returns all rows.
 TABS = {
-    "all": lambda d: d,
-    "internal": lambda d: d.where("url_type = 'Internal'"),
-    "external": lambda d: d.where("url_type = 'External'"),
-    "response_codes": lambda d: d.where("status_code is not null"),
-    "page_titles": _occurrences("title"),
-    "meta_description": _occurrences("meta_description"),
-    "h1": _occurrences("h1"),
-    "content": lambda d: d.where(F.lower("content_type").contains("html") & F.col("page_id").isNotNull()),
-    "images": lambda d: d.where("images > 0 or kind = 'image'"),
-    "canonicals": _occurrences("canonical"),
-    "javascript": lambda d: d.where("coalesce(raw_hash, '') <> '' or coalesce(rendered_hash, '') <> ''"),
+    "all": lambda d, t: d,
+    "internal": lambda d, t: _spread(d.where("url_type = 'Internal'"), t["fx_headings"], "text", "position", "heading") if "fx_headings" in t else d.where("url_type = 'Internal'"),
+    "external": lambda d, t: d.where("url_type = 'External'"),
+    "response_codes": lambda d, t: d,
+    "page_titles": _shared("title"),
+    "meta_description": _shared("meta_description"),
+    "meta_keywords": lambda d, t: _shared("meta_keywords")(d if "meta_keywords" in d.columns else d.withColumn("meta_keywords", F.lit(None).cast("string")), t),
+    "h1": lambda d, t: _shared("h1")(d, t).withColumn("h1_1_length", F.length(F.trim(F.coalesce("h1", F.lit(""))))),
+    "h2": _first_headings,
+    "content": _html,
+    "images": lambda d, t: d.where(F.lower(F.coalesce("content_type", F.lit(""))).contains("image")),
+    "canonicals": _shared("canonical"),
+    "pagination": lambda d, t: d.join(t["fx_pagination"].select("page_id").distinct().withColumn("_tagged", F.lit(True)), "page_id", "left").where(is_html() | F.col("_tagged")).drop("_tagged"),
+    "hreflang": lambda d, t: _spread(d.where(is_html()), t["fx_hreflang"], "target_url", "lang_code", "hreflang"),
+    "javascript": _html,
     "links": _inlink_shares,
-    "structured_data": lambda d: d.where("schema_blocks > 0"),
-    "pagespeed": lambda d: d.where("lcp_ms is not null or response_time_ms is not null"),
-    "mobile": lambda d: d.where("page_id is not null"),
-    "orphans": lambda d: d.where("page_id is not null and inlinks = 0 and coalesce(crawl_depth, -1) <> 0"),
-    "redirect_chains": lambda d: d.where("redirect_length > 0"),
+    "structured_data": _schema_types,
+    "sitemaps": _in_sitemap,
+    "pagespeed": _html,
+    "mobile": _html,
+    "accessibility": _violated,
+    "amp": _or_html("amp_url"),
+    "custom_extraction": _extracted,
+    "custom_search": _searched,
+    "orphans": lambda d, t: d.where("coalesce(unique_inlinks, 1) = 0"),
+    "redirect_chains": lambda d, t: d.where((F.col("status_code").between(300, 399)) | filled("redirect_url") | (F.coalesce(F.size("redirect_chain"), F.lit(0)) > 0)),
 }
 
 
-def tab(enriched: DataFrame, name: str) -> DataFrame:
-    return TABS.get(name, TABS["all"])(enriched)
+def tab(enriched: DataFrame, name: str, t: dict[str, DataFrame] | None = None) -> DataFrame:
+    return TABS.get((name or "").lower(), TABS["all"])(enriched, t or {})
 
 
-def tab_counts(enriched: DataFrame) -> DataFrame:
+def tab_counts(enriched: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name in TABS:
-        n = tab(enriched, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n")
+        n = tab(enriched, name, t).agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -132,7 +213,7 @@ def matches(pattern: str, columns: list[Column]) -> Column:
     return U.any_of(F.coalesce(test(c.cast("string")), F.lit(False)) for c in columns)
 
 
-def facets(df: DataFrame, status: str | None = None, indexable: str | None = None, page_type: str | None = None, depth: int | None = None, words: tuple[int | None, int | None] = (None, None), include: str | None = None, exclude: str | None = None, q: str | None = None) -> DataFrame:
+def facets(df: DataFrame, status: str | None = None, indexable: str | None = None, page_type: str | None = None, depth: int | None = None, words: tuple[int | None, int | None] = (None, None), include: str | None = None, exclude: str | None = None, q: str | None = None, kind: str | None = None, issues: str | None = None) -> DataFrame:
     """Rows by status class, indexability, type, depth, word count and searches; every condition reaches the scan where it can."""
     if status:
         df = df.where(status_class(F.col("status_code")) == status)
@@ -140,6 +221,10 @@ def facets(df: DataFrame, status: str | None = None, indexable: str | None = Non
         df = df.where(F.col("indexability") == indexable)
     if page_type:
         df = df.where(F.col("page_type") == page_type)
+    if kind:
+        df = df.where(mime_kind(F.col("url"), F.col("content_type")) == kind)
+    if issues in ("with_issues", "clean"):
+        df = df.where((F.coalesce("issues_count", F.lit(0)) > 0) == (issues == "with_issues"))
     if depth is not None:
         df = df.where(F.col("crawl_depth") == depth)
     if words[0] is not None:
@@ -172,7 +257,13 @@ SORTS = {
     "words": lambda: [F.desc("word_count"), F.asc("url")],
     "slowest": lambda: [F.desc("response_time_ms"), F.asc("url")],
     "largest": lambda: [F.desc("html_size"), F.asc("url")],
+    "size": lambda: [F.desc("html_size"), F.asc("url")],
+    "response_time": lambda: [F.desc("response_time_ms"), F.asc("url")],
+    "issues": lambda: [F.desc("issues_count"), F.asc("url")],
+    "indexability": lambda: [F.asc("indexability"), F.asc("url")],
+    "page_type": lambda: [F.asc("page_type"), F.asc("url")],
     "inlinks": lambda: [F.desc("inlinks"), F.asc("url")],
+    "outlinks": lambda: [F.desc("outlinks"), F.asc("url")],
     "title": lambda: [*mixed_order("title"), F.asc("url")],
     "errors": lambda: [F.when(F.col("status_code") >= 500, 0).when(F.col("status_code") >= 400, 1).when(F.col("status_code") >= 300, 2).otherwise(3), F.asc("url")],
 }
@@ -188,6 +279,66 @@ def page_of(df: DataFrame, sort: str = "url", page: int = 1, page_size: int = 50
     return df.orderBy(*order).offset(first).limit(size).withColumn("row_index", F.row_number().over(Window.partitionBy().orderBy(*order)) + first)
 
 
+#: Columns of the table's presets; ``all`` keeps every column.
+PRESETS = {
+    "all": None,
+    "seo_basics": ("url", "status_code", "status", "indexability", "title", "meta_description", "h1", "canonical"),
+    "technical": ("url", "status_code", "canonical_status", "canonical", "indexability_status", "robots_directive", "response_time_ms", "content_type"),
+    "link_equity": ("url", "internal_pagerank", "inlinks", "unique_inlinks", "outlinks", "unique_outlinks", "crawl_depth"),
+    "content": ("url", "word_count", "sentence_count", "avg_words_per_sentence", "title_length", "meta_description_length"),
+}
+
+
+def preset(df: DataFrame, name: str) -> DataFrame:
+    """The preset's columns that the rows have, in its order; an unknown name keeps all."""
+    columns = PRESETS.get(name)
+    return df if columns is None else df.select(*[c for c in columns if c in df.columns])
+
+
+#: What status codes mean.
+PHRASES = {200: "OK", 201: "Created", 204: "No Content", 301: "Moved Permanently", 302: "Found", 303: "See Other", 304: "Not Modified", 307: "Temporary Redirect", 308: "Permanent Redirect", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 405: "Method Not Allowed", 408: "Request Timeout", 410: "Gone", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout"}
+
+
+def status_text(code: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in PHRASES.items() for x in pair]), code), F.lit("Unknown"))
+
+
+def lengths(df: DataFrame) -> DataFrame:
+    """Text lengths, pixel widths, status text and words in a sentence beside the master columns."""
+    from ..functions import text as X
+
+    n = lambda c: F.length(F.trim(F.coalesce(c, F.lit(""))))
+    out = {"title_length": n("title"), "meta_description_length": n("meta_description"), "h1_length": n("h1"), "title_pixels": X.pixel_width(F.col("title")), "meta_description_pixels": X.pixel_width(F.col("meta_description"), 14), "status": status_text(F.col("status_code"))}
+    if "sentence_count" in df.columns:
+        out["avg_words_per_sentence"] = F.when(F.col("sentence_count") > 0, F.round(F.col("word_count") / F.col("sentence_count"), 1)).otherwise(0.0)
+    return df.withColumns(out)
+
+
+def link_score(df: DataFrame) -> DataFrame:
+    """Out of 100 from the page's rank where there is one, else from the share of pages that link to it."""
+    n = df.agg(F.greatest(F.count("*"), F.lit(1)).alias("_pages"))
+    rank = F.coalesce("internal_pagerank", F.lit(0.0))
+    score = F.when(rank > 0, F.least(rank * 100, F.lit(100.0))).otherwise(F.least(100.0 * F.coalesce("unique_inlinks", F.lit(0)) / F.col("_pages"), F.lit(100.0)))
+    return df.crossJoin(F.broadcast(n)).withColumn("link_score", F.round(score, 2)).drop("_pages")  # one aggregated row
+
+
+def result_preview(df: DataFrame) -> DataFrame:
+    """url, title and description as a result page shows them."""
+    return df.select("url", F.coalesce(F.nullif("title", F.lit("")), F.lit("No title set")).alias("title"), F.coalesce(F.nullif("meta_description", F.lit("")), F.lit("No meta description set for this webpage.")).alias("description"))
+
+
+def workspace_tree(enriched: DataFrame) -> DataFrame:
+    """The summary's nodes with their rows and share: one aggregate, exploded."""
+    d = enriched.withColumn("_kind", mime_kind(F.col("url"), F.col("content_type")))
+    inside, n = F.col("url_type") == "Internal", F.count_if
+    good = F.col("indexability") == "Indexable"
+    kinds = ("html", "javascript", "css", "images", "pdf", "other")
+    a = d.agg(F.count("*").alias("encountered"), n(F.col("page_id").isNotNull()).alias("crawled"), n(inside).alias("internal"), n(~inside).alias("external"), n(inside & F.coalesce(good, F.lit(False))).alias("internal_indexable"), n(inside & ~F.coalesce(good, F.lit(False))).alias("internal_non_indexable"), *[n(inside & (F.col("_kind") == k)).alias(f"internal_{k}") for k in kinds])
+    part = lambda name, whole: F.struct(F.lit(name).alias("node"), F.col(name).alias("n"), F.round(100.0 * F.col(name) / F.greatest(whole, F.lit(1)), 1).alias("pct"))
+    rows = [part(x, "encountered") for x in ("encountered", "crawled", "internal", "external")] + [part(x, "internal") for x in ("internal_indexable", "internal_non_indexable", *[f"internal_{k}" for k in kinds])]
+    return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def sitemap_rows(enriched: DataFrame) -> DataFrame:
     """URL and priority of what belongs in a sitemap: 200, indexable, HTML, its own canonical."""
     own = F.trim(F.coalesce("canonical", F.lit("")))

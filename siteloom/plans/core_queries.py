@@ -459,9 +459,93 @@ def enriched_pages(spark, sf_dir):
     return d.select("url", "kind", "url_type", "indexability_status", "canonical_status", "inlinks", "outlinks", "parent_url", "redirect_chain_type")
 
 
-@register("tabs")
+_TAB_TABLES = ("fx_pages", "fx_links", "fx_images", "fx_headings", "fx_pagination", "fx_structured", "fx_sitemap")
+_MIME = "CASE WHEN regexp_matches(split_part(lower({u}), '?', 1), '[.]png$') THEN 'image/png' WHEN regexp_matches(split_part(lower({u}), '?', 1), '[.]jpe?g$') THEN 'image/jpeg' WHEN lower({u}) LIKE '%.webp' THEN 'image/webp' WHEN lower({u}) LIKE '%.svg' THEN 'image/svg+xml' WHEN lower({u}) LIKE '%.js' THEN 'application/javascript' WHEN lower({u}) LIKE '%.css' THEN 'text/css' ELSE 'text/html; charset=utf-8' END"
+#: Master rows: pages with their columns, then what was found but not crawled.
+_MASTER = f"""x AS (SELECT src AS url FROM fx_images UNION SELECT target_url FROM fx_links),
+e AS (SELECT page_id, url, status_code, lower(coalesce(content_type, '')) AS ct, title, meta_description, h1, canonical, redirect_url, coalesce(len(redirect_chain), 0) AS hops, CASE WHEN regexp_extract(url, '//([^/?#]*)', 1) IN ('', 'example.com') THEN 'Internal' ELSE 'External' END AS url_type,
+  (SELECT count(DISTINCT source_url) FROM fx_links l WHERE rtrim(l.target_url, '/') = rtrim(p.url, '/')) AS unique_inlinks FROM fx_pages p
+  UNION ALL SELECT NULL, url, NULL, lower({_MIME.format(u="url")}), NULL, NULL, NULL, NULL, NULL, 0, CASE WHEN regexp_extract(url, '//([^/?#]*)', 1) IN ('', 'example.com') THEN 'Internal' ELSE 'External' END, 1 FROM x WHERE url NOT IN (SELECT url FROM fx_pages))"""
+
+
+def _tab(name: str, where: str) -> str:
+    return f"SELECT '{name}' AS tab, count(*) AS n FROM e WHERE {where}"
+
+
+_HTML = "ct LIKE '%html%'"
+_TABS = " UNION ALL ".join(
+    _tab(n, w)
+    for n, w in {
+        "all": "true", "internal": "url_type = 'Internal'", "external": "url_type = 'External'", "response_codes": "true", "page_titles": f"{_HTML} OR trim(coalesce(title, '')) <> ''", "meta_description": f"{_HTML} OR trim(coalesce(meta_description, '')) <> ''", "meta_keywords": _HTML, "h1": f"{_HTML} OR trim(coalesce(h1, '')) <> ''",
+        "h2": f"{_HTML} OR page_id IN (SELECT page_id FROM fx_headings WHERE lower(tag) = 'h2')", "content": _HTML, "images": "ct LIKE '%image%'", "canonicals": f"{_HTML} OR trim(coalesce(canonical, '')) <> ''", "pagination": f"{_HTML} OR page_id IN (SELECT page_id FROM fx_pagination)", "hreflang": _HTML, "javascript": _HTML, "links": _HTML,
+        "structured_data": f"{_HTML} OR page_id IN (SELECT page_id FROM fx_structured)", "sitemaps": "rtrim(url, '/') IN (SELECT rtrim(url, '/') FROM fx_sitemap)", "pagespeed": _HTML, "mobile": _HTML, "accessibility": _HTML, "amp": _HTML, "custom_extraction": "true", "custom_search": "true", "orphans": "unique_inlinks = 0",
+        "redirect_chains": "status_code BETWEEN 300 AND 399 OR trim(coalesce(redirect_url, '')) <> '' OR hops > 0",
+    }.items()
+)
+
+
+@register("tabs", f"WITH {values_sql(*_TAB_TABLES)}, {_MASTER} {_TABS}")
 def tabs(spark, sf_dir):
-    return views.tab_counts(views.enrich(tables(spark), "example.com"))
+    t = tables(spark)
+    return views.tab_counts(views.enrich(t, "example.com"), t)
+
+
+_KINDS = "CASE WHEN ct LIKE '%html%' THEN 'html' WHEN ct LIKE '%javascript%' OR lower(url) LIKE '%.js' THEN 'javascript' WHEN ct LIKE '%css%' OR lower(url) LIKE '%.css' THEN 'css' WHEN ct LIKE '%image%' THEN 'images' WHEN ct LIKE '%pdf%' OR lower(url) LIKE '%.pdf' THEN 'pdf' ELSE 'other' END"
+_GOOD = "page_id IS NOT NULL AND coalesce(nullif(status_code, 0), 200) < 300 AND (trim(coalesce(canonical, '')) = '' OR rtrim(canonical, '/') = rtrim(url, '/')) AND page_id IN (SELECT page_id FROM fx_pages WHERE is_indexable)"
+
+
+@register(
+    "workspace_tree",
+    f"""WITH {values_sql(*_TAB_TABLES)}, {_MASTER}, k AS (SELECT *, {_KINDS} AS kind, url_type = 'Internal' AS inside FROM e), a AS (SELECT count(*) AS c, count(*) FILTER (inside) AS i FROM k),
+r AS (SELECT 'encountered' AS node, count(*) AS n, 1 AS g FROM k UNION ALL SELECT 'crawled', count(page_id), 1 FROM k UNION ALL SELECT 'internal', count(*) FILTER (inside), 1 FROM k UNION ALL SELECT 'external', count(*) FILTER (NOT inside), 1 FROM k
+  UNION ALL SELECT 'internal_indexable', count(*) FILTER (inside AND {_GOOD}), 2 FROM k UNION ALL SELECT 'internal_non_indexable', count(*) FILTER (inside AND NOT ({_GOOD})), 2 FROM k UNION ALL SELECT 'internal_' || x, (SELECT count(*) FROM k WHERE inside AND kind = x), 2 FROM (VALUES ('html'), ('javascript'), ('css'), ('images'), ('pdf'), ('other')) v(x))
+SELECT node, n, round(100.0 * n / greatest(CASE g WHEN 1 THEN c ELSE i END, 1), 1)::DOUBLE AS pct FROM r, a""",
+)
+def workspace_tree(spark, sf_dir):
+    return views.workspace_tree(views.enrich(tables(spark), "example.com"))
+
+
+@register(
+    "link_scores",
+    f"WITH {values_sql('fx_pages', 'fx_links')}, i AS (SELECT rtrim(target_url, '/') AS k, count(DISTINCT source_url) AS u FROM fx_links GROUP BY 1) SELECT page_id, CAST(round(CASE WHEN coalesce(internal_pagerank, 0) > 0 THEN least(internal_pagerank * 100, 100) ELSE least(100.0 * coalesce(u, 0) / (SELECT count(*) FROM fx_pages), 100) END, 2) AS DOUBLE) AS link_score FROM fx_pages LEFT JOIN i ON i.k = rtrim(url, '/')",
+)
+def link_scores(spark, sf_dir):
+    pages = views.enrich(tables(spark), "example.com").where("page_id is not null")
+    return views.link_score(pages).select("page_id", "link_score")
+
+
+@register("result_previews", f"WITH {values_sql('fx_pages')} SELECT url, coalesce(nullif(title, ''), 'No title set') AS title, coalesce(nullif(meta_description, ''), 'No meta description set for this webpage.') AS description FROM fx_pages")
+def result_previews(spark, sf_dir):
+    return views.result_preview(tables(spark)["fx_pages"])
+
+
+@register("page_lengths", f"WITH {_FEATURES} SELECT page_id, CAST(length(trim(title)) AS INTEGER) AS title_length, CAST(length(h1) AS INTEGER) AS h1_length, 'OK' AS status FROM f")
+def page_lengths(spark, sf_dir):
+    d = page_features(table(spark, sf_dir, "pages")).withColumns({"meta_description": F.lit(None).cast("string"), "status_code": F.lit(200)})
+    return views.preset(views.lengths(d), "all").select("page_id", "title_length", "h1_length", "status")
+
+
+@register("size_sorted_pages", f"WITH {_FEATURES} SELECT page_id, url, CAST(row_number() OVER (ORDER BY html_size DESC, url) AS INTEGER) AS row_index FROM f ORDER BY html_size DESC, url LIMIT 30")
+def size_sorted_pages(spark, sf_dir):
+    return views.page_of(page_features(table(spark, sf_dir, "pages")), sort="size", page_size=30).select("page_id", "url", "row_index")
+
+
+@register("url_search", f"WITH {_FEATURES} SELECT page_id FROM f WHERE regexp_matches(url, '(?i)/de/.*[0-9]{{3}}') OR regexp_matches(title, '(?i)/de/.*[0-9]{{3}}') OR regexp_matches(h1, '(?i)/de/.*[0-9]{{3}}')")
+def url_search(spark, sf_dir):
+    return views.facets(page_features(table(spark, sf_dir, "pages")), q="/DE/.*[0-9]{3}").select("page_id")
+
+
+@register(
+    "export_urls",
+    f"""WITH {values_sql(*_TAB_TABLES)}, {_MASTER} SELECT e.url AS "URL", url_type AS "URL Type", e.status_code AS "Status Code", trim(split_part(coalesce(p.content_type, {_MIME.format(u="e.url")}), ';', 1)) AS "MIME Type", p.lang AS "Language", p.html_size AS "Page Size (Bytes)" FROM e LEFT JOIN fx_pages p USING (page_id)""",
+)
+def export_urls(spark, sf_dir):
+    from ..operators import exports
+
+    t = tables(spark)
+    full = exports.urls_csv(views.enrich(t, "example.com"), t["fx_links"].select(F.lit(None).cast("bigint").alias("page_id")))
+    assert len(full.columns) == 28
+    return full.select("URL", "URL Type", "Status Code", "MIME Type", "Language", "Page Size (Bytes)")
 
 
 @register("sitemap_rows", f"WITH {values_sql('fx_pages')} SELECT url, CAST(CASE coalesce(crawl_depth, 0) WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS priority FROM fx_pages WHERE status_code = 200 AND coalesce(is_indexable, false) AND lower(content_type) LIKE '%html%' AND (trim(coalesce(canonical, '')) = '' OR rtrim(trim(canonical), '/') = rtrim(url, '/'))")

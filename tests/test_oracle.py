@@ -30,9 +30,3 @@ def test_equal(spark, duck, sf_dir, name):
     assert sorted(names) == sorted(df.columns)
     expected = sorted(tuple(norm(dict(zip(names, r))[c]) for c in sorted(names)) for r in cur.fetchall())
     assert sorted(tuple(norm(r[c]) for c in sorted(names)) for r in df.collect()) == expected
-
-
-def test_tabs(spark, sf_dir):
-    got = {r["tab"]: r["n"] for r in registry.queries()["tabs"](spark, sf_dir).collect()}
-    assert got["all"] == got["internal"] + got["external"] == 24
-    assert got["structured_data"] == 5 and got["javascript"] == 1
