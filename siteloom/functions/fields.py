@@ -104,3 +104,55 @@ def cookies(text: Column) -> Column:
 def script_share(raw_words: Column, rendered_words: Column) -> Column:
     """Share of the rendered words that scripts added, in percent."""
     return F.when(rendered_words > 0, F.round(100.0 * F.greatest(rendered_words - raw_words, F.lit(0)) / rendered_words, 1)).otherwise(0.0)
+
+
+#: Delivery networks by strings of the server header, header names, strings of any header, strings of the page.
+NETWORKS = (
+    ("Cloudflare", ("cloudflare",), ("cf-ray", "cf-cache-status"), (), ()), ("Fastly", ("fastly",), ("x-fastly-request-id",), ("fastly",), ()), ("Amazon CloudFront", (), ("x-amz-cf-id",), ("cloudfront",), ("cloudfront.net",)),
+    ("Shopify CDN", (), (), (), ("cdn.shopify.com",)), ("Akamai", ("akamai",), (), ("x-akamai",), ()), ("BunnyCDN", (), (), (), ("bunnycdn", "b-cdn.net")),
+)
+NO_NETWORK = "Direct Origin (No CDN detected)"
+
+
+def networks(headers: Column, html: Column) -> Column:
+    """The delivery networks that a response shows, or that there is none."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    named = F.transform_keys(F.coalesce(headers, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    names, every = F.map_keys(named), F.lower(F.array_join(F.transform(F.map_entries(named), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), " "))
+    who = F.lower(F.coalesce(F.try_element_at(named, F.lit("server")), F.lit("")))
+    no = F.lit(False)
+    found = [F.when(any_of([no, *[who.contains(s) for s in by_server], *[F.array_contains(names, h) for h in by_name], *[every.contains(s) for s in by_any], *[low.contains(s) for s in by_page]]), F.lit(name)) for name, by_server, by_name, by_any, by_page in NETWORKS]
+    hits = F.array_compact(F.array(*found))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(NO_NETWORK)))
+
+
+def duration_text(start: Column, end: Column) -> Column:
+    """The time between two moments as ``2h 3m 4s``, without leading zeros; a second at least."""
+    s = F.greatest(F.timestamp_diff("SECOND", start, end), F.lit(1))
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    t = lambda c, u: F.concat(c.cast("string"), F.lit(u))
+    return F.when(h > 0, F.concat_ws(" ", t(h, "h"), t(m, "m"), t(r, "s"))).when(m > 0, F.concat_ws(" ", t(m, "m"), t(r, "s"))).otherwise(t(r, "s"))
+
+
+def date_text(moment: Column) -> Column:
+    return F.date_format(moment, "MMM dd, yyyy HH:mm:ss")
+
+
+def console_counts(levels: Column) -> list[Column]:
+    """Numbers of errors, warnings, notes and debug lines of an array of console levels."""
+    n = lambda name, *of: F.coalesce(F.size(F.filter(levels, lambda x: F.lower(x).isin(*of))), F.lit(0)).alias(name)
+    return [n("js_errors", "error"), n("js_warnings", "warning", "warn"), n("js_info", "info"), n("js_debug", "debug", "verbose")]
+
+
+def needs_scripts(html: Column) -> Column:
+    """Whether a page seems empty without scripts: little text with many scripts, an application's root, or a plea to switch them on."""
+    h = F.coalesce(html, F.lit(""))
+    text = F.trim(F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style)\b[^>]*>.*?</\1>", ""), "<[^>]*>", ""))
+    scripts = F.regexp_count(h, F.lit(r"(?i)<script\b[^>]*\bsrc\s*="))
+    root = h.rlike(r"(?i)\bid\s*=\s*[\"']?(root|app|__next|vue-app)[\"'\s>]")
+    return ((F.length(text) < 500) & (scripts > 3)) | root | F.lower(F.regexp_extract(h, r"(?is)<noscript\b[^>]*>(.*?)</noscript>", 1)).contains("javascript")
+
+
+def has_media_query(html: Column) -> Column:
+    h = F.coalesce(html, F.lit(""))
+    return h.contains("@media") | h.rlike(r"(?i)<link\b[^>]*\bmedia\s*=")

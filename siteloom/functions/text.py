@@ -132,6 +132,14 @@ def text_batches(batches, most: int = 4 << 20):
             at += step
 
 
+def estimate_syllables(n_words: Column, *samples: Column) -> Column:
+    """Syllables of a text of which only the number of words is known, by the ratio of sample texts (title, description, heading); 1.5 a word without samples."""
+    words = white_words(F.concat_ws(" ", *[F.coalesce(s, F.lit("")) for s in samples]))
+    total = F.aggregate(F.transform(words, syllables), F.lit(0), lambda a, x: a + x)
+    ratio = F.when(F.size(words) > 0, total / F.size(words)).otherwise(1.5)
+    return F.floor(F.coalesce(n_words, F.lit(0)) * ratio).cast("bigint")
+
+
 def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
     score = 206.835 - 1.015 * (n_words / n_sentences) - 84.6 * (n_syllables / n_words)
     return F.when((n_words > 0) & (n_sentences > 0), F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 1)).otherwise(0.0)

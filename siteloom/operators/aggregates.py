@@ -85,6 +85,67 @@ def directory_tree(pages: DataFrame, url: str = "url", levels: int | None = 5) -
     return pages.select(F.explode(F.concat(F.array(F.lit("/")), prefix)).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("pages")).withColumn("level", F.size(F.filter(F.split("prefix", "/"), lambda s: s != "")))
 
 
+def duplicate_groups(pages: DataFrame, column: str, key: str = "url", shown: int = 100) -> DataFrame:
+    """Values that several pages share, with their number and pages in order; a group shows its first ``shown`` pages by name, so that one that a
+    third of all pages share is never held whole."""
+    from pyspark.sql import Window
+
+    own = pages.select(F.trim(F.coalesce(column, F.lit(""))).alias("value"), key).where("value <> ''")
+    counts = own.groupBy("value").agg(F.count("*").alias("pages")).where("pages > 1")
+    first = own.join(counts, "value").withColumn("_n", F.row_number().over(Window.partitionBy("value").orderBy(key))).where(F.col("_n") <= shown)
+    return first.groupBy("value").agg(F.max("pages").alias("pages"), F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ", ").alias("members"))
+
+
+def segment_urls(pages: DataFrame, url: str = "url", shown: int = 100) -> DataFrame:
+    """First path segments with count, share and their first URLs in order."""
+    from pyspark.sql import Window
+
+    seg = F.concat(F.lit("/"), F.coalesce(F.try_element_at(U.segments(F.col(url)), F.lit(1)), F.lit("")))
+    d = pages.select(seg.alias("segment"), url)
+    first = d.withColumn("_n", F.row_number().over(Window.partitionBy("segment").orderBy(url))).where(F.col("_n") <= shown).groupBy("segment").agg(F.array_join(F.array_sort(F.collect_list(url)), ", ").alias("urls"))
+    return first_segments(pages, url).join(first, "segment")
+
+
+def social_coverage(pages: DataFrame) -> DataFrame:
+    """Shares of the HTML pages with complete Open Graph data, its parts and a card."""
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    html = pages.where(F.lower(F.coalesce("content_type", F.lit(""))).contains("html"))
+    n = lambda c, name: share(F.count_if(c), F.count("*")).alias(name)
+    return html.agg(F.count("*").alias("pages"), n(filled("og_title") & filled("og_description") & filled("og_image"), "complete_og_pct"), n(filled("og_title"), "og_title_pct"), n(filled("og_image"), "og_image_pct"), n(filled("og_description"), "og_desc_pct"), n(filled("twitter_card"), "twitter_card_pct"))
+
+
+def sitemap_counts(sitemap: DataFrame) -> DataFrame:
+    """Entries of each sitemap file, and whether there are more than a file may hold."""
+    return sitemap.groupBy("sitemap_url").agg(F.count("*").alias("entries"), F.countDistinct("url").alias("urls")).withColumn("too_many", F.col("entries") > 50_000)
+
+
+def schema_types(blocks: DataFrame) -> DataFrame:
+    """Blocks and pages of each schema type; ``blocks`` are prepared ones."""
+    return blocks.where("schema_type <> ''").groupBy("schema_type").agg(F.count("*").alias("blocks"), F.countDistinct("page_id").alias("pages"))
+
+
+def crawl_stats(pages: DataFrame, started: str = "crawled_at") -> DataFrame:
+    """Duration in seconds, pages, pages a second and mean response time of a crawl."""
+    t = F.col(started).cast("timestamp")
+    a = pages.agg(F.count("*").alias("pages"), F.greatest(F.timestamp_diff("SECOND", F.min(t), F.max(t)), F.lit(1)).alias("seconds"), F.round(F.avg(F.nullif("response_time_ms", F.lit(0.0))), 1).alias("avg_ms"))
+    return a.withColumn("pages_per_second", F.round(F.col("pages") / F.col("seconds"), 2))
+
+
+def object_kind(url: Column, kind: Column) -> Column:
+    """javascript, css, font, image, html or other, by type or ending."""
+    low, t = F.lower(F.split_part(F.coalesce(url, F.lit("")), F.lit("?"), F.lit(1))), F.lower(F.coalesce(kind, F.lit("")))
+    ends = lambda *e: U.any_of(low.endswith(x) for x in e)
+    fonts = ends(".woff", ".woff2", ".ttf", ".eot", ".otf") | low.contains("font")
+    return F.when((t == "js") | ends(".js", ".mjs"), "javascript").when((t == "css") | ends(".css"), "css").when(fonts, "font").when(ends(".png", ".jpg", ".jpeg", ".webp", ".svg", ".gif", ".avif"), "image").when(ends(".html", ".htm"), "html").otherwise("other")
+
+
+def objects_by_kind(resources: DataFrame, images: DataFrame) -> DataFrame:
+    """Requests, known bytes and share by kind of object; sizes are those observed."""
+    files = resources.select("url", object_kind(F.col("url"), F.col("resource_type")).alias("kind"), F.lit(None).cast("long").alias("size")).unionByName(images.select(F.col("src").alias("url"), F.lit("image").alias("kind"), F.col("file_size").alias("size")))
+    g = files.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return with_total(g, files.agg(F.count("*").alias("_total"))).select("kind", "n", "bytes", share(F.col("n"), F.col("_total")).alias("pct"))
+
+
 def first_segments(pages: DataFrame, url: str = "url") -> DataFrame:
     seg = F.coalesce(F.try_element_at(U.segments(F.col(url)), F.lit(1)), F.lit(""))
     return distribution(pages, F.concat(F.lit("/"), seg), "segment")

@@ -46,6 +46,33 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str | None
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(*keys, "_r.*").select(*columns)
 
 
+def upsert_audit(audits: DataFrame, new: DataFrame, key: str = "audit_id", config: str = "config") -> DataFrame:
+    """Audits with new values of one or more of them; a configuration of ``{}`` keeps the old one."""
+    j = audits.alias("o").join(new.alias("n"), key, "full_outer")
+    pick = lambda c: F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("{}")), F.col(f"o.{c}")) if c == config else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
+    return j.select(key, *[pick(c).alias(c) for c in audits.columns if c != key]).select(*audits.columns)
+
+
+def list_audits(audits: DataFrame, limit: int = 50) -> DataFrame:
+    """The last audits, newest first."""
+    return audits.orderBy(F.desc("started_at"), F.desc("audit_id")).limit(limit)
+
+
+def count_rows(rows: DataFrame, audit_id: str | None = None, status: str | None = None) -> DataFrame:
+    """The number of an audit's rows, of one status where that is asked for."""
+    if audit_id is not None:
+        rows = rows.where(F.col("audit_id") == audit_id)
+    if status is not None:
+        rows = rows.where(F.col("status") == status)
+    return rows.agg(F.count("*").alias("n"))
+
+
+def claim(frontier: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The next batch and the frontier with that batch marked as processing, so that no other worker takes it."""
+    batch = next_batch(frontier, limit)
+    return batch, with_status(frontier, batch.select("url", F.lit("processing").alias("status")))
+
+
 def insert_new(frontier: DataFrame, found: DataFrame, key: str = "url") -> DataFrame:
     """The found rows whose key the frontier doesn't hold, once each: the one with the smallest depth."""
     rest = [c for c in found.columns if c != key]

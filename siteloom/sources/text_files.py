@@ -77,6 +77,21 @@ def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string, lastmod string").load(path).select(F.trim("loc").alias("sitemap_url"), "lastmod")
 
 
+def entries_of_index(index: DataFrame, entries: DataFrame, file: str = "sitemap_url") -> DataFrame:
+    """The entries of the sitemaps that an index lists, of indexes below it too: ``index`` has parent and sitemap_url, ``entries`` ``file`` and url.
+
+    Nested indexes are followed level by level until no new file is found, so loops end.
+    """
+    known = index.select(F.col("sitemap_url").alias(file)).distinct()
+    while True:
+        below = index.join(known.select(F.col(file).alias("parent")), "parent", "left_semi").select(F.col("sitemap_url").alias(file))
+        more = known.union(below).distinct()
+        if more.count() == known.count():
+            break
+        known = more
+    return entries.join(known, file, "left_semi")
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> '' and not startswith(url, '#')")
 
