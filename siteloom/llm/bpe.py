@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 SHORT = 100
 #: Pieces, and pre-tokens, that the young dictionary of a worker holds at most.
-PIECES, PRE_TOKENS = 250_000, 150_000
+PIECES, PRE_TOKENS = 120_000, 40_000
 #: Characters and bytes of ids that the young dictionary of a worker holds at most, and of one entry that is kept.
 YOUNG_BYTES, KEPT_BYTES = 8 << 20, 1024
 NO_RANK = 1 << 40
 #: Texts of one call, in bytes.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 256 << 10
 #: The pattern that byte-level vocabularies of this family cut text with (a fixed value of the format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -176,8 +176,9 @@ class Codec:
                 heapq.heappush(heap, (r, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
-    def learn(self, words: list[str]) -> None:
-        """Keep the ids of pre-tokens."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The packed ids of pre-tokens."""
+        out: dict[str, bytes] = {}
         by_size: dict[int, list[str]] = {}
         raw = [w.encode("utf-8") for w in words]
         for w, b in zip(words, raw):
@@ -185,10 +186,11 @@ class Codec:
                 by_size.setdefault(len(b), []).append((w, b))
             else:
                 ids = self.merge_long([self.of_byte[x] for x in b])
-                self.words.young[w] = struct.pack(f"<{len(ids)}I", *ids)
+                out[w] = struct.pack(f"<{len(ids)}I", *ids)
         for size, group in by_size.items():
             matrix = np.frombuffer(b"".join([b for _, b in group]), dtype=np.uint8).reshape(-1, size)
-            self.words.young.update(zip([w for w, _ in group], self.merge_short(matrix)))
+            out.update(zip([w for w, _ in group], self.merge_short(matrix)))
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -206,13 +208,16 @@ class Codec:
         for _, pieces in apart:
             met.update(pieces[1:])
         fresh = {p: self.cut(" " + p) for p in self.pieces.absent(met)}
+        # Most pieces are one pre-token, which is kept as the piece only.
+        single = self.learn([words[0] for words in fresh.values() if len(words) == 1])
         met = set()
-        for words in (*fresh.values(), *heads.values(), *(words for _, parts in whole for words in parts[::2])):
+        for words in (*(words for words in fresh.values() if len(words) > 1), *heads.values(), *(words for _, parts in whole for words in parts[::2])):
             met.update(words)
-        self.learn(self.words.absent(met))
+        learnt = self.learn(self.words.absent(met))  # which may begin a new young dictionary
+        self.words.young.update(learnt)
         word, piece = self.words.young.__getitem__, self.pieces.young
         for p, words in fresh.items():
-            piece[p] = b"".join(map(word, words))
+            piece[p] = single[words[0]] if len(words) == 1 else b"".join(map(word, words))
         for k, pieces in apart:
             out[k] = b"".join([*map(word, heads[k]), *map(piece.__getitem__, pieces[1:])])
         for k, parts in whole:
@@ -235,7 +240,11 @@ class Codec:
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    from .batches import release
+
+    made = Codec(path)
+    release()  # what the vocabulary's file took
+    return made
 
 
 def default_path() -> str:
