@@ -9,7 +9,9 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Widths of Arial at 20 and 14 pixels by character, from U+0020 to U+007E in order.
 WIDTHS_20 = (6, 7, 9, 12, 12, 19, 15, 5, 7, 7, 9, 13, 6, 7, 6, 6, 12, 12, 12, 12, 12, 12, 12, 12, 12, 12, 6, 6, 13, 13, 13, 12, 22, 15, 15, 16, 16, 15, 13, 17, 16, 6, 11, 15, 12, 19, 16, 17, 15, 17, 16, 15, 13, 16, 15, 21, 15, 15, 13, 6, 6, 6, 10, 12, 7, 12, 12, 11, 12, 12, 6, 12, 12, 5, 5, 11, 5, 18, 12, 12, 12, 12, 7, 11, 6, 12, 11, 16, 11, 11, 11, 7, 6, 7, 13)
@@ -182,6 +184,22 @@ def similarity(distance: Column) -> Column:
     return F.round(1 - distance / 64, 3)
 
 
+def is_pattern(text: str) -> bool:
+    """Whether a text is a regular expression both here and for the JVM, which runs it."""
+    try:
+        re.compile(text)
+    except re.error:
+        return False
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return True
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile(text)
+    except (Py4JJavaError, CapturedException):
+        return False
+    return True
+
+
 def short_label(text: Column, most: int = 36) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, 18), F.lit("..."), F.right(text, F.lit(15)))).otherwise(text)
 

@@ -36,6 +36,57 @@ def page_tests(pages: DataFrame) -> DataFrame:
     return seed.select(F.explode(rows).alias("t")).select("t.*")
 
 
+def site_tests(t: dict[str, DataFrame], issues: DataFrame) -> DataFrame:
+    """category, test and status of tests on the whole site: each input is one aggregate, all of them make one row."""
+    from .audit import header, prepare_links, prepare_schema
+
+    like = lambda part: F.count_if(F.lower("issue_type").contains(part))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    seed = t["fx_pages"].orderBy(F.coalesce("crawl_depth", F.lit(99)), "page_id").limit(1).select((~blank("title") & ~blank("meta_description")).alias("shown"), (header("strict-transport-security") != "").alias("hsts"))
+    www = U.authority(F.col("url")).startswith("www.")
+    inside, broken = F.col("is_internal"), (F.col("target_status") >= 400) | (F.col("target_status") == 0)
+    secure = t["fx_pages"].where("startswith(url, 'https://')").select("page_id")
+    facts = [
+        seed, issues.agg(like("robots").alias("robots"), like("sitemap").alias("sitemaps"), like("canonical").alias("canonicals"), F.count_if(F.col("issue_type") == "orphan_page").alias("orphans")),
+        t["fx_headings"].agg(F.count_if(F.lower("tag") == "h1").alias("h1s"), F.count_if(F.lower("tag") == "h2").alias("h2s")), t["fx_images"].agg(F.count_if(blank("alt_text")).alias("no_alt"), F.count_if(~F.coalesce("has_dimensions", F.lit(False))).alias("loose")),
+        t["fx_pages"].agg(F.count("*").alias("pages"), F.count_if(~F.coalesce("is_indexable", F.lit(False))).alias("noindex"), (F.max(www) & F.max(~www)).alias("mixed_hosts")),
+        prepare_links(t).agg(F.count_if(inside & broken).alias("broken_inside"), F.count_if(~inside & broken).alias("broken_outside")), prepare_schema(t).agg(F.countDistinct(F.nullif("schema_type", F.lit(""))).alias("types")),
+        t["fx_resources"].where("startswith(url, 'http://')").join(secure, "page_id", "left_semi").agg(F.count("*").alias("insecure")),
+    ]
+    row = facts[0]
+    for f in facts[1:]:
+        row = row.crossJoin(f)  # single rows
+    c = F.col
+    ok = lambda good, otherwise="warning": F.when(good, "passed").otherwise(otherwise)
+    tests = [
+        ("seo", "google_preview", ok(c("shown"))), ("seo", "headings", F.when(c("h1s") == 0, "failed").when((c("h1s") > 1) | (c("h2s") > 20), "warning").otherwise("passed")), ("seo", "robots_txt", ok(c("robots") == 0)), ("seo", "sitemap", ok(c("sitemaps") == 0)),
+        ("seo", "image_alt", F.when(c("no_alt") == 0, "passed").when(c("no_alt") > 10, "failed").otherwise("warning")), ("seo", "image_size", ok(c("loose") <= 5)), ("seo", "canonical_tag", ok(c("canonicals") == 0)), ("seo", "noindex", ok((c("noindex") == 0) | (c("noindex") < c("pages")))),
+        ("security", "url_canonicalization", ok(~c("mixed_hosts"))), ("security", "mixed_content", ok(c("insecure") == 0, "failed")), ("security", "hsts", ok(c("hsts"))), ("links", "broken_links", ok(c("broken_inside") + c("broken_outside") == 0, "failed")), ("links", "orphan_pages", ok(c("orphans") == 0)),
+        ("advanced", "structured_data", ok(c("types") > 0)),
+    ]
+    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("category"), F.lit(b).alias("test"), s.alias("status")) for a, b, s in tests])).alias("t")).select("t.*")
+
+
+def markup_tests(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Tests on the markup of the seed page, the one with the smallest id: media queries, plain addresses, unsafe links, words."""
+    from ..functions import fields as P, text as X
+    from ..sources import html as H
+    from . import keywords
+
+    seed = pages.orderBy("page_id").limit(1)
+    unsafe = H.unsafe_links(H.parse_pages(seed, columns=("links",))).agg(F.count("*").alias("unsafe"))
+    words = keywords.top_ngrams(seed, "page_id", html, {1: 10}).agg(F.count("*").alias("words"))
+    row = seed.select(P.has_media_query(F.col(html)).alias("media"), F.size(X.emails(F.col(html))).alias("emails")).crossJoin(unsafe).crossJoin(words)  # single rows
+    ok = lambda good, otherwise="warning": F.when(good, "passed").otherwise(otherwise)
+    tests = [("mobile", "media_queries", ok(F.col("media"), "failed")), ("security", "plain_emails", ok(F.col("emails") == 0)), ("security", "unsafe_links", ok(F.col("unsafe") == 0, "failed")), ("seo", "common_keywords", ok(F.col("words") > 0))]
+    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("category"), F.lit(b).alias("test"), s.alias("status")) for a, b, s in tests])).alias("t")).select("t.*")
+
+
+def second_score(seo_score: Column, n_keywords: Column) -> Column:
+    """A score from the first one and the number of leading keywords, within 20 and 95."""
+    return F.greatest(F.least(F.round(seo_score * 0.9 + n_keywords * 1.2), F.lit(95.0)), F.lit(20.0))
+
+
 def scores(tests: DataFrame) -> DataFrame:
     """Counts and score of each category, and of all as category ``all`` (weights 100 and 55, kept within 15 and 99)."""
     by = lambda s: F.count_if(F.col("status") == s).alias(s)

@@ -18,9 +18,10 @@ class Store:
         """Write the audits that ``rows`` holds anew and leave the others."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("audit_id").parquet(f"{self.path}/{table}")
 
-    def scan(self, table: str, audit_id: str | None = None, **equal) -> DataFrame:
-        """Rows of an audit with optional equality conditions, which reach the files' statistics."""
-        d = self.spark.read.parquet(f"{self.path}/{table}")
+    def scan(self, table: str, audit_id: str | None = None, schema: str | None = None, **equal) -> DataFrame:
+        """Rows of an audit with optional equality conditions, which reach the files' statistics. A table that may hold no rows needs its ``schema``."""
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        d = reader.parquet(f"{self.path}/{table}")
         if audit_id is not None:
             d = d.where(F.col("audit_id") == audit_id)
         for column, value in equal.items():

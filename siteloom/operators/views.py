@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
+from ..functions.text import is_pattern
 
 MAX_PAGE_SIZE = 5000
 
@@ -205,10 +204,9 @@ def tab_counts(enriched: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 
 def matches(pattern: str, columns: list[Column]) -> Column:
     """A search in any column: as an expression where the pattern is one, else as plain text, ignoring case."""
-    try:
-        re.compile(pattern)
+    if is_pattern(pattern):
         test = lambda c: c.rlike(f"(?i){pattern}")
-    except re.error:
+    else:
         test = lambda c: F.lower(c).contains(pattern.lower())
     return U.any_of(F.coalesce(test(c.cast("string")), F.lit(False)) for c in columns)
 

@@ -153,3 +153,40 @@ def keyword_level_issues(spark, sf_dir):
 def not_found_pages(spark, sf_dir):
     probes = table(spark, sf_dir, "pages").select("url", F.lit(404).alias("status_code"), F.col("html").alias("body"))
     return issues.not_found_page(probes.unionByName(spark.createDataFrame([("u", 404, "<center>nginx</center>" * 40), ("v", 200, "")], "url string, status_code int, body string")))
+
+
+_SITE_TESTS = f"""i AS (SELECT issue_type FROM ({_PAGES}) UNION ALL SELECT issue_type FROM ({twin("rules_sitemap_entries")})), s AS (SELECT * FROM fx_pages ORDER BY coalesce(crawl_depth, 99), page_id LIMIT 1), {_TARGETS},
+c AS (SELECT (SELECT trim(coalesce(title, '')) <> '' AND trim(coalesce(meta_description, '')) <> '' FROM s) AS shown, (SELECT coalesce(headers['Strict-Transport-Security'], '') <> '' FROM s) AS hsts, (SELECT count(*) FROM i WHERE issue_type LIKE '%robots%') AS robots, (SELECT count(*) FROM i WHERE issue_type LIKE '%sitemap%') AS sitemaps,
+  (SELECT count(*) FROM i WHERE issue_type LIKE '%canonical%') AS canonicals, (SELECT count(*) FROM i WHERE issue_type = 'orphan_page') AS orphans, (SELECT count(*) FROM fx_headings WHERE tag = 'h1') AS h1s, (SELECT count(*) FROM fx_headings WHERE tag = 'h2') AS h2s, (SELECT count(*) FROM fx_images WHERE trim(coalesce(alt_text, '')) = '') AS no_alt,
+  (SELECT count(*) FROM fx_images WHERE NOT coalesce(has_dimensions, false)) AS loose, (SELECT count(*) FROM fx_pages) AS pages, (SELECT count(*) FROM fx_pages WHERE NOT coalesce(is_indexable, false)) AS noindex, (SELECT bool_or(url LIKE '%//www.%') AND bool_or(url NOT LIKE '%//www.%') FROM fx_pages) AS mixed_hosts,
+  (SELECT count(*) FROM l WHERE target_status >= 400 OR target_status = 0) AS broken, (SELECT count(DISTINCT t) FROM {_SCHEMA_TYPES} WHERE t <> '') AS types, (SELECT count(*) FROM fx_resources r JOIN fx_pages p USING (page_id) WHERE r.url LIKE 'http://%' AND p.url LIKE 'https://%') AS insecure),
+tests AS (SELECT unnest([
+  {{'category': 'seo', 'test': 'google_preview', 'status': CASE WHEN shown THEN 'passed' ELSE 'warning' END}}, {{'category': 'seo', 'test': 'headings', 'status': CASE WHEN h1s = 0 THEN 'failed' WHEN h1s > 1 OR h2s > 20 THEN 'warning' ELSE 'passed' END}}, {{'category': 'seo', 'test': 'robots_txt', 'status': CASE WHEN robots = 0 THEN 'passed' ELSE 'warning' END}},
+  {{'category': 'seo', 'test': 'sitemap', 'status': CASE WHEN sitemaps = 0 THEN 'passed' ELSE 'warning' END}}, {{'category': 'seo', 'test': 'image_alt', 'status': CASE WHEN no_alt = 0 THEN 'passed' WHEN no_alt > 10 THEN 'failed' ELSE 'warning' END}}, {{'category': 'seo', 'test': 'image_size', 'status': CASE WHEN loose <= 5 THEN 'passed' ELSE 'warning' END}},
+  {{'category': 'seo', 'test': 'canonical_tag', 'status': CASE WHEN canonicals = 0 THEN 'passed' ELSE 'warning' END}}, {{'category': 'seo', 'test': 'noindex', 'status': CASE WHEN noindex = 0 OR noindex < pages THEN 'passed' ELSE 'warning' END}}, {{'category': 'security', 'test': 'url_canonicalization', 'status': CASE WHEN mixed_hosts THEN 'warning' ELSE 'passed' END}},
+  {{'category': 'security', 'test': 'mixed_content', 'status': CASE WHEN insecure = 0 THEN 'passed' ELSE 'failed' END}}, {{'category': 'security', 'test': 'hsts', 'status': CASE WHEN hsts THEN 'passed' ELSE 'warning' END}}, {{'category': 'links', 'test': 'broken_links', 'status': CASE WHEN broken = 0 THEN 'passed' ELSE 'failed' END}},
+  {{'category': 'links', 'test': 'orphan_pages', 'status': CASE WHEN orphans = 0 THEN 'passed' ELSE 'warning' END}}, {{'category': 'advanced', 'test': 'structured_data', 'status': CASE WHEN types > 0 THEN 'passed' ELSE 'warning' END}}]) AS x FROM c)"""
+
+
+@register("site_tests", f"WITH {values_sql('fx_pages', 'fx_links', 'fx_status', 'fx_headings', 'fx_images', 'fx_structured', 'fx_resources')}, {_SITE_TESTS} SELECT x.category AS category, x.test AS test, x.status AS status FROM tests")
+def site_tests(spark, sf_dir):
+    from ..operators import report
+
+    t = tables(spark)
+    found = rules.issues(audit.prepare_pages(t), rules.PAGE_RULES).select("issue_type").unionByName(rules.issues(audit.prepare_sitemap(t), rules.SITEMAP_RULES).select("issue_type"))
+    return report.site_tests(t, found)
+
+
+@register("markup_tests", r"""WITH s AS (SELECT html FROM pages ORDER BY page_id LIMIT 1) SELECT 'mobile' AS category, 'media_queries' AS test, CASE WHEN html LIKE '%@media%' THEN 'passed' ELSE 'failed' END AS status FROM s UNION ALL SELECT 'security', 'plain_emails', CASE WHEN regexp_matches(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') THEN 'warning' ELSE 'passed' END FROM s
+UNION ALL SELECT 'security', 'unsafe_links', CASE WHEN html LIKE '%_blank%' THEN 'failed' ELSE 'passed' END FROM s UNION ALL SELECT 'seo', 'common_keywords', 'passed' FROM s""")
+def markup_tests(spark, sf_dir):
+    from ..operators import report
+
+    return report.markup_tests(table(spark, sf_dir, "pages"))
+
+
+@register("second_scores", "SELECT s_suppkey, CAST(greatest(least(round(s_suppkey % 100 * 0.9::DOUBLE + s_nationkey * 1.2::DOUBLE), 95), 20) AS DOUBLE) AS score FROM supplier")
+def second_scores(spark, sf_dir):
+    from ..operators import report
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", report.second_score(F.col("s_suppkey") % 100, F.col("s_nationkey")).cast("double").alias("score"))

@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.text import is_pattern
+
 S, L, I, B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
 
 
@@ -368,12 +370,10 @@ def custom_extract(df: DataFrame, rules: list[dict], html: str = "html", most: i
         if kind == "xpath":
             found = F.expr(f"xpath({html}, '{expr.replace(chr(39), chr(92) + chr(39))}')")
         else:
-            try:
-                groups = re.compile(expr).groups
-                df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(expr)
-            except Exception:  # noqa: BLE001  (an expression that one of both engines doesn't know)
+            if not is_pattern(expr):
                 out = out.withColumn(name, F.lit(""))
                 continue
+            groups = re.compile(expr).groups
             found = F.regexp_extract_all(F.col(html), F.lit(f"(?is){expr}"), F.lit(1 if groups else 0))
         out = out.withColumn(name, F.array_join(F.slice(F.coalesce(found, F.array().cast("array<string>")), 1, most), between))
     if not chosen:
@@ -403,10 +403,8 @@ def custom_search(df: DataFrame, rules: list[dict], html: str = "html", keep: tu
     for r in rules:
         pattern = r["pattern"] if r.get("regex") else re.escape(r["pattern"])
         # What is no valid expression is searched as plain text.
-        try:
-            re.compile(pattern)
-        except re.error:
-            pattern = re.escape(pattern)
+        if not is_pattern(pattern):
+            pattern = re.escape(r["pattern"])
         pattern = pattern if r.get("case_sensitive") else f"(?i){pattern}"
         text = F.coalesce(F.col(html), F.lit(""))
         count = F.regexp_count(text, F.lit(pattern)).cast("long")

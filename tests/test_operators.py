@@ -33,6 +33,16 @@ def test_html(spark):
     assert H.properties_of(parsed, "og").collect()[0].content == "Boats"
 
 
+def test_css_selectors(spark):
+    """Tags, classes, ids, attributes, children, descendants and commas; text, markup and attributes; the first five; what is none finds nothing."""
+    html = "<div id=a class='x y'><p>one <b>two</b></p><p class=y lang=en-GB>three</p></div><ul>" + "".join(f"<li data-k='{k}'>i{k}" for k in range(7)) + "</ul><img class=y src=/i.png>"
+    rules = [("tag", "p", "text"), ("child", "div > p.y", "text"), ("deep", "#a b", "html"), ("list", "li", "text"), ("some", "[data-k='3'], [lang|=en]", "text"), ("src", "img[src^=/i]", "attribute"), ("bad", "p:hover", "text"), ("none", "ul > p", "text")]
+    d = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    got = H.custom_extract(d, [{"name": n, "expression": e, "extract_type": k, "attribute_name": "src"} for n, e, k in rules]).orderBy("page_id").collect()
+    assert [got[0][n] for n, *_ in rules] == ["onetwo | three", "three", "<b>two</b>", "i0i1i2i3i4i5i6 | i1i2i3i4i5i6 | i2i3i4i5i6 | i3i4i5i6 | i4i5i6", "three | i3i4i5i6", "/i.png", "", ""]
+    assert all(got[1][n] == "" for n, *_ in rules)
+
+
 def test_link_headers(spark):
     d = spark.createDataFrame([({"Link": '<https://a/c>; rel="canonical", <https://a/2>; rel=next'},), ({"link": '<https://a/1>; rel="prev"'},), ({},), (None,)], "headers map<string,string>")
     assert [tuple(r)[1:] for r in H.header_links(d).collect()] == [("https://a/c", "https://a/2", None), (None, None, "https://a/1"), (None, None, None), (None, None, None)]
@@ -112,6 +122,7 @@ def test_sort_and_paging(spark):
     assert [r.title for r in d.orderBy(*views.mixed_order("title")).collect()][:4] == ["2", "10", "A", "b"]
     assert [r.row_index for r in views.page_of(d, "url", page=2, page_size=2).orderBy("url").collect()] == [3, 4]
     assert d.where(views.matches("(", [F.col("title")])).count() == 0
+    assert d.where(views.matches("(?P<n>b)(?P=n)?", [F.col("title")])).count() == 0  # no pattern of the JVM: plain text
 
 
 def test_stream_equals_batch(spark, tmp_path):
