@@ -18,9 +18,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics, compression bands and verdict of every document."""
+    """Statistics, compression bands and verdict of every document, with limits fitted on texts labelled good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "zstd_ratio", "bad_chunks", "n_chunks", "reason")
+    limits = quality.fit_limits(docs, table(spark, sf_dir, "labels"), F.col("quality") == 1)
+    return quality.assess(docs, limits=limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "zstd_ratio", "bad_chunks", "n_chunks", "reason")
 
 
 #: Sites with a verdict of their own: the longest that fits decides, before the method's rules.

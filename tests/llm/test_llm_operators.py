@@ -135,6 +135,30 @@ def test_quality_bands():
     assert quality.judge("", press)[-1] is False
 
 
+def test_quality_limits_held_out(spark, sf_dir):
+    """Limits fitted on half of the labelled texts: of the others of 50 words or more, good ones stay and most low ones go."""
+    sf = sf_dir.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    limits = quality.fit_limits(docs, labels.where("xxhash64(doc_id) % 2 = 0"), F.col("quality") == 1)
+    held = docs.join(labels.where("xxhash64(doc_id) % 2 <> 0"), "doc_id").select("doc_id", "text", "quality")
+    n = {(r.quality, r.kept): r["count"] for r in quality.assess(held, limits=limits).where("not base_failed").groupBy("quality", "kept").count().collect()}
+    good, low = n.get((1, False), 0) / (n.get((1, True), 0) + n.get((1, False), 0)), n.get((0, False), 0) / (n.get((0, True), 0) + n.get((0, False), 0))
+    print("good rejected", good, "low rejected", low)
+    assert good <= 0.02 and low >= 0.5
+
+
+def test_quality_limits_edges(spark):
+    """No labels, null labels and ids, unlabelled ids: the default limits; repeated ids and rows count once."""
+    rows = [(k, sentence(random.Random(k), 150)) for k in range(100)]
+    docs = frame(spark, rows + rows[:40] + [(None, "x " * 80), (500, None)])
+    marks = lambda r: spark.createDataFrame(r, "doc_id long, quality int")
+    none = quality.fit_limits(docs, marks([(None, 1), (1, None), (2, 0), (999, 1), (500, 1)]), F.col("quality") == 1)
+    assert {(b.low, b.high) for b in none.documents} == {(b.low, b.high) for b in quality.DOCUMENT_BANDS} and none.chunk == quality.CHUNK_BAND
+    once, twice = (quality.fit_limits(d, marks([(k, 1) for k in range(100)] * n), F.col("quality") == 1) for d, n in ((frame(spark, rows), 1), (docs, 2)))
+    assert once == twice != none
+    assert quality.assess(docs, limits=once).where("doc_id < 100 and not kept").count() == 0
+
+
 def test_quality_clashing_columns(spark):
     d = frame(spark, [(1, "a b c " * 30, 5)], "doc_id long, text string, kept int")
     with pytest.raises(ValueError):

@@ -24,6 +24,7 @@ def test_planted(spark, tmp_path):
     rows += [(30, f"{words(rng, 90)} {passage} {words(rng, 90)}"), (31, f"{words(rng, 90)} {passage} {words(rng, 90)}")]
     spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == {*clean, 30, 31}
     codec = bpe.Codec(bpe.default_path())
@@ -50,6 +51,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def stored(spark, path, rows, items=(), schema=DOCS):
     spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(1, None, 1), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return str(path)
 
 
@@ -95,7 +97,11 @@ def test_pipeline_equals_stages_by_brute_force(spark, sf_dir):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    good = {k: t for k, t in rows.items() if quality.judge(t, press)[-1]}
+    labels = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality == 1}
+    fitted = [t for k, t in sorted(rows.items()) if k in labels and t and not quality.judge(t, press)[5]]
+    pairs = [quality.ratios(t.encode(), press) for t in fitted]
+    limits = quality.limits_of(np.array([len(t.encode()) for t in fitted]), np.array([w for w, _ in pairs]), np.array([c for _, each in pairs for c in each]))
+    good = {k: t for k, t in rows.items() if quality.judge(t, press, limits)[-1]}
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in good.items() for w in [word.findall(t.translate(lower))]}
     near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b) > 0
     top = {k: k for k in good}
