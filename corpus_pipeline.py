@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's
 documents. All but the last return the columns of ``documents``, whatever other columns the table has.
 
-Defined results: null and empty texts fail the quality rules; rows with a null id pass every stage on their own text and are never removed as a
+Defined results: without labels the quality rules have their default limits; null and empty texts fail the quality rules; rows with a null id pass every stage on their own text and are never removed as a
 copy of another row; of rows with one id that the quality rules keep, one stays, that whose text (then language, source, count) sorts first; a
 document left without a word by the substring stage goes; empty tables give no rows. ``materialize.release`` frees the tables that a run has written.
 """
@@ -19,8 +19,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject."""
-    return quality.keep_good(docs.select(*COLUMNS))
+    """Drop the documents that the quality rules reject, with limits fitted on documents labelled good."""
+    docs = docs.select(*COLUMNS)
+    limits = quality.fit_limits(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("quality") == 1)
+    return quality.keep_good(docs, limits=limits)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
