@@ -77,12 +77,24 @@ def response_bucket(ms: Column) -> Column:
     return F.when(s <= 0.5, "0-0.5s").when(s <= 1, "0.5-1s").when(s <= 2, "1-2s").when(s <= 5, "2-5s").otherwise(">5s")
 
 
+def path_prefixes(url: Column, levels: int | None) -> Column:
+    """The root and each path prefix of an address, down to ``levels``."""
+    parts = U.segments(url)
+    depth = F.size(parts) if levels is None else F.least(F.size(parts), F.lit(levels))
+    below = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(F.lit("/")), below)
+
+
 def directory_tree(pages: DataFrame, url: str = "url", levels: int | None = 5) -> DataFrame:
     """Pages below each path prefix: a rollup over the segments of each URL."""
-    parts = U.segments(F.col(url))
-    depth = F.size(parts) if levels is None else F.least(F.size(parts), F.lit(levels))
-    prefix = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
-    return pages.select(F.explode(F.concat(F.array(F.lit("/")), prefix)).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("pages")).withColumn("level", F.size(F.filter(F.split("prefix", "/"), lambda s: s != "")))
+    return pages.select(F.explode(path_prefixes(F.col(url), levels)).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("pages")).withColumn("level", F.size(F.filter(F.split("prefix", "/"), lambda s: s != "")))
+
+
+def status_tree(pages: DataFrame, url: str = "url", levels: int | None = 5) -> DataFrame:
+    """The same with how the pages below answer."""
+    code = F.col("status_code")
+    d = pages.select("status_code", F.explode(path_prefixes(F.col(url), levels)).alias("prefix"))
+    return d.groupBy("prefix").agg(F.count("*").alias("pages"), F.count_if(code.between(200, 299)).alias("ok"), F.count_if(code.between(300, 399)).alias("redirects"), F.count_if(code >= 400).alias("errors"))
 
 
 def duplicate_groups(pages: DataFrame, column: str, key: str = "url", shown: int = 100) -> DataFrame:

@@ -154,6 +154,13 @@ def prepare_sitemap(t: dict[str, DataFrame]) -> DataFrame:
     return d.select(F.col("_p.id").alias("page_id"), "url", "sitemap_url", F.col("_p").isNotNull().alias("found"), F.col("_p.status").alias("target_status"), F.coalesce("_p.indexable", F.lit(False)).alias("indexable"), F.coalesce("_p.inlinks", F.lit(0)).alias("inlinks"), F.col("_p.depth").alias("crawl_depth"))
 
 
+def missing_from_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """Pages that answer 200 and may be indexed but are in no sitemap, whatever slash their address ends with."""
+    key = U.rstrip_slash(F.col("url")).alias("_k")
+    good = pages.where("status_code = 200 and coalesce(is_indexable, false)").withColumn("_k", U.rstrip_slash(F.col("url")))
+    return good.join(sitemap.select(key).distinct(), "_k", "left_anti").drop("_k")
+
+
 def prepare_schema(t: dict[str, DataFrame]) -> DataFrame:
     """Flags of the first object of each JSON-LD block."""
     j = F.try_parse_json("data_json")

@@ -161,3 +161,44 @@ def index_entries(spark, sf_dir):
 @register("first_values", "SELECT conv_id, arg_min(role, turn) AS role FROM conversations WHERE role IS NOT NULL GROUP BY conv_id")
 def first_values(spark, sf_dir):
     return store.first_by(table(spark, sf_dir, "conversations").where("role is not null"), "conv_id", "role", "turn")
+
+
+_PATHS = "s AS (SELECT list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages)"
+
+
+@register("site_tree", f"WITH {_PATHS}, x AS (SELECT '/' AS prefix FROM s UNION ALL SELECT '/' || array_to_string(list_slice(p, 1, i), '/') FROM (SELECT p, unnest(range(1, 1 + len(p))) AS i FROM s)) SELECT prefix, count(*) AS pages, CAST(len(list_filter(string_split(prefix, '/'), lambda x: x <> '')) AS INTEGER) AS level FROM x GROUP BY prefix")
+def site_tree(spark, sf_dir):
+    """All levels of all paths."""
+    return aggregates.directory_tree(table(spark, sf_dir, "pages"), levels=None)
+
+
+@register("status_tree", f"WITH {_PATHS.replace('AS p FROM pages', 'AS p, 200 + 100 * (page_id % 4) AS code FROM pages')}, x AS (SELECT '/' AS prefix, code FROM s UNION ALL SELECT '/' || array_to_string(list_slice(p, 1, i), '/'), code FROM (SELECT p, code, unnest(range(1, 1 + least(2, len(p)))) AS i FROM s)) SELECT prefix, count(*) AS pages, count(*) FILTER (code = 200) AS ok, count(*) FILTER (code BETWEEN 300 AND 399) AS redirects, count(*) FILTER (code >= 400) AS errors FROM x GROUP BY prefix")
+def status_tree(spark, sf_dir):
+    """The directory tree with how its pages answer."""
+    return aggregates.status_tree(table(spark, sf_dir, "pages").withColumn("status_code", (200 + 100 * (F.col("page_id") % 4)).cast("int")), levels=2)
+
+
+@register("missing_from_sitemap", "SELECT page_id, url FROM pages WHERE rtrim(url, '/') NOT IN (SELECT rtrim(url, '/') FROM pages WHERE url LIKE 'https%')")
+def missing_from_sitemap(spark, sf_dir):
+    """Good pages that no sitemap lists: here one that lists the secure ones."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit(200).alias("status_code"), F.lit(True).alias("is_indexable"))
+    return audit.missing_from_sitemap(pages, pages.where("startswith(url, 'https')").select("url")).select("page_id", "url")
+
+
+@register("errors_first", "SELECT event_id, CAST(row_number() OVER (ORDER BY g, url) AS INTEGER) AS row_index FROM (SELECT event_id, lpad(CAST(event_id AS VARCHAR), 9, '0') AS url, CASE event_id % 4 WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS g FROM events) ORDER BY g, url LIMIT 40")
+def errors_first(spark, sf_dir):
+    from ..operators import views
+
+    k = F.col("event_id")
+    d = table(spark, sf_dir, "events").select(k, F.lpad(k.cast("string"), 9, "0").alias("url"), (200 + 100 * (k % 4)).cast("int").alias("status_code"))
+    return views.page_of(d, "errors", page_size=40).select("event_id", "row_index")
+
+
+@register("mixed_sort", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY n IS NULL, n, lower(t), u) AS INTEGER) AS row_index FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 90 AS VARCHAR) ELSE p_name END AS t, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 90 END AS n, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS u FROM part) ORDER BY n IS NULL, n, lower(t), u LIMIT 30 OFFSET 30")
+def mixed_sort(spark, sf_dir):
+    """Numbers before texts, texts ignoring case."""
+    from ..operators import views
+
+    k = F.col("p_partkey")
+    d = table(spark, sf_dir, "part").select(k, F.when(k % 2 == 0, (k % 90).cast("string")).otherwise(F.col("p_name")).alias("title"), F.lpad(k.cast("string"), 9, "0").alias("url"))
+    return views.page_of(d, "title", page=2, page_size=30).select("p_partkey", "row_index")
