@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 SHORT = 100
 #: Pieces, and pre-tokens, that the young dictionary of a worker holds at most.
-PIECES, PRE_TOKENS = 120_000, 40_000
+PIECES, PRE_TOKENS = 220_000, 50_000
 #: Characters and bytes of ids that the young dictionary of a worker holds at most, and of one entry that is kept.
 YOUNG_BYTES, KEPT_BYTES = 8 << 20, 1024
 NO_RANK = 1 << 40
 #: Texts of one call, in bytes.
-BATCH_BYTES = 256 << 10
+BATCH_BYTES = 512 << 10
 #: The pattern that byte-level vocabularies of this family cut text with (a fixed value of the format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -58,19 +58,20 @@ class Kept:
         """Those of ``keys`` that aren't kept; the others are in ``young`` after the call."""
         for k in self.long:
             self.young.pop(k, None)
-        more = sum(map(len, keys))
-        if len(self.young) + len(keys) > self.most or self.size + more > self.most_bytes:
-            self.young, self.old, self.size = {}, self.young, 0
-        self.long = [k for k in keys if len(k) > KEPT_BYTES] if more > KEPT_BYTES else []
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                v = old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    young[k] = v
-                self.size += 2 * len(k)
+        missing = keys.difference(self.young)
+        more = 2 * sum(map(len, missing))
+        if len(self.young) + len(missing) > self.most or self.size + more > self.most_bytes:
+            self.young, self.old, self.size, missing = {}, self.young, 0, keys
+            more = 2 * sum(map(len, missing))
+        self.size += more
+        young, old, out = self.young, self.old.get, []
+        for k in missing:
+            v = old(k)
+            if v is None:
+                out.append(k)
+            else:
+                young[k] = v
+        self.long = [k for k in missing if len(k) > KEPT_BYTES] if more > KEPT_BYTES else []
         return out
 
 
