@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..plans.materialize import drop_materialized, materialize
+from ..plans.materialize import materialize, release, written
 from .batches import map_groups, map_rows
 from .components import connected_components
 from .kernels import lower_utf8, mix, seeded, shingle_set
@@ -256,27 +256,31 @@ def place(group, blocks, side, label, skip=0, behind=0):
     return F.struct(value(group, "long").alias("group"), value(blocks, "int").alias("blocks"), value(side, "int").alias("side"), value(label, "long").alias("label"), value(skip, "int").alias("skip"), value(behind, "int").alias("behind"))
 
 
-def star_places(stars: DataFrame) -> DataFrame:
-    """Where nodes are sent to be compared with pivots: members to one part of the star, pivots to all parts."""
-    parts = stars.groupBy("first").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
+def star_places(stars: DataFrame, about: int) -> DataFrame:
+    """Where nodes are sent to be compared with pivots: members to one part of the star, pivots to all parts.
+
+    Counts by pivot are written, here and below, so that both sides of the join with them are plain exchanges and AQE can split a hot pivot's rows.
+    """
+    parts = materialize(stars.groupBy("first").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts")), "parts", about)
     members = stars.join(parts, "first").select("node", place("first", 0, F.pmod(F.xxhash64("node"), F.col("parts")), "first").alias("p"))
     pivots = parts.select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("first").alias("node"), place("first", 0, "part", "first").alias("p"))
     return members.unionByName(pivots).groupBy("node").agg(F.collect_list("p").alias("to"))
 
 
-def tile_places(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
+def tile_places(members: DataFrame, block: int, block_bytes: int, about: int) -> DataFrame:
     """Where the nodes of each group are sent: to the tiles of their block with others. ``members`` has group, node, label and bytes.
 
     A label with half a block of nodes or more has blocks of its own, which are not compared with each other; so a group of one large class and a
     few strangers costs a tile for each block of the class, not for each pair of blocks. The other labels share blocks by hash.
     """
     full = lambda n, size: F.greatest(F.ceil(n / F.lit(block)), F.ceil(size / F.lit(block_bytes))).cast("int")
-    labels = members.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    labels = materialize(members.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")), "sizes", about)
     large = labels.where(f"2 * n >= {block}").select("group", "label", full(F.col("n"), F.col("size")).alias("own"))
     # Rows here are large labels of one group: at most its nodes over half a block.
-    large = large.withColumn("behind", F.sum("own").over(Window.partitionBy("group").orderBy("label")))
+    large = materialize(large.withColumn("behind", F.sum("own").over(Window.partitionBy("group").orderBy("label"))), "large", about)
     shared = labels.groupBy("group").agg(full(F.coalesce(F.sum(F.when(2 * F.col("n") < block, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(2 * F.col("n") < block, F.col("size"))), F.lit(0))).alias("shared"))
     sizes = shared.join(large.groupBy("group").agg(F.max("behind").alias("large")), "group", "left").select("group", "shared", (F.col("shared") + F.coalesce("large", F.lit(0))).alias("blocks"))
+    sizes = materialize(sizes, "groups", about)
     dealt = members.join(sizes, "group").join(large, ["group", "label"], "left")
     h = F.xxhash64("node")
     first = F.col("shared") + F.col("behind") - F.col("own")
@@ -285,16 +289,18 @@ def tile_places(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
     return dealt.select("node", place("group", "blocks", side, "label", skip, behind).alias("p")).groupBy("node").agg(F.collect_list("p").alias("to"))
 
 
-def leftovers(met: DataFrame, labels: DataFrame) -> DataFrame:
+def leftovers(met: DataFrame, labels: DataFrame, about: int) -> DataFrame:
     """key, node, label and n of the members of buckets that hold pairs not yet compared, pivots left out."""
     rest = met.where("size > 2 and node <> first").select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    mixed = materialize(rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "mixed", about)
     return rest.join(mixed, "key", "left_semi")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc, n_shingles, component (the smallest linked id) and kept."""
+    before = written(df.sparkSession)
     sig = materialize(signatures(df, id_col, text_col), "signatures")
+    kept = written(df.sparkSession)[-1]
     named = sig.where("digest is not null and doc is not null")
     first = named.groupBy("digest").agg(F.min(F.struct("doc", "n_shingles", "keys")).alias("first"), F.count("*").alias("copies"))
     # Numbers are fixed once the table is written.
@@ -306,34 +312,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = materialize(met.where(f"node <> first and 100 * least(n, first_n) >= {LINK_PERCENT} * greatest(n, first_n)").select("node", "first").distinct(), "stars", BANDS * total)
     wanted = stars.select(F.explode(F.array("node", "first")).alias("node")).unionByName(met.where("size > 2").select("node")).distinct()
     sets = materialize(packed_sets(df, nodes, wanted, id_col, text_col), "sets", 40 * total)
-    links = materialize(against_pivot(send(sets, star_places(stars))), "links", BANDS * total)
+    links = materialize(against_pivot(send(sets, star_places(stars, total))), "links", BANDS * total)
     # Rows with one id and several sets are one document.
     twice = named.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc", "a")
     number = nodes.select("digest", F.col("node"))
     alike = named.join(twice, "doc").select("digest", "a").distinct().join(number, "digest").select(F.col("node").alias("u"), "a").join(number.select(F.col("digest").alias("a"), F.col("node").alias("v")), "a").select("u", "v")
     labels = materialize(connected_components(links.unionByName(alike), BANDS * total), "labels", total)
-    rest = materialize(leftovers(met, labels), "leftovers", BANDS * total)
-    more = []
+    rest = materialize(leftovers(met, labels, total), "leftovers", BANDS * total)
     if not rest.isEmpty():
         tiles = rest.select(F.col("key").alias("group"), "node", "label", F.lit(BANDS * ROWS).alias("bytes"))
         label = labels.select("node", "component")
         classes = lambda e: e.join(label.toDF("u", "cu"), "u", "left").join(label.toDF("v", "cv"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-        near = grouped(send(sets, tile_places(tiles, SKETCHES, 1 << 40), sketch), _tile_pairs(_sketch_pairs))
+        near = grouped(send(sets, tile_places(tiles, SKETCHES, 1 << 40, total), sketch), _tile_pairs(_sketch_pairs))
         families = materialize(connected_components(classes(near), total), "families", total)
         if not families.isEmpty():
             members = rest.select("node", "label", "n").distinct().join(families.select(F.col("node").alias("label"), F.col("component").alias("group")), "label").select("group", "node", "label", (8 * F.col("n")).alias("bytes"))
-            found = grouped(send(sets, tile_places(members, BLOCK, BLOCK_BYTES)), _tile_pairs(_set_pairs))
+            found = grouped(send(sets, tile_places(members, BLOCK, BLOCK_BYTES, total)), _tile_pairs(_set_pairs))
             joined = materialize(connected_components(classes(found), total), "joined", total)
             labels_new = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select("node", F.coalesce("further", "component").alias("component"))
             alone = joined.join(labels, "node", "left_anti")
-            old, labels = labels, materialize(labels_new.unionByName(alone), "labels", total)
-            more = [old, joined]
-        more.append(families)
+            labels = materialize(labels_new.unionByName(alone), "labels", total)
     own = nodes.select("node", "digest", "doc", "copies").join(labels, "node", "left")
-    smallest = own.where("component is not null").groupBy("component").agg(F.min("doc").alias("low"))
+    smallest = materialize(own.where("component is not null").groupBy("component").agg(F.min("doc").alias("low")), "smallest", total)
     classes = materialize(own.where("copies > 1 or component is not null").join(smallest, "component", "left").select("digest", F.coalesce("low", "doc").alias("component")), "classes", total)
-    for used in (nodes, shared, met, stars, sets, links, labels, rest, *more):
-        drop_materialized(used)
+    release(df.sparkSession, [x for x in written(df.sparkSession)[:-1] if x != kept and x not in before])
     out = sig.select("doc", "n_shingles", "digest").join(classes, "digest", "left")
     out = out.select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
     return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component"), F.col("component").isNull()))
