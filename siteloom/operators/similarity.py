@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import hamming, similarity
+from ..functions.text import similarity
 
 
 def members(hashes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -15,6 +15,10 @@ def members(hashes: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(rows.groupBy("simhash").agg(F.min(key).alias("representative"), F.count("*").alias("copies")), "simhash").select(key, "simhash", "representative", "copies")
 
 
+#: Hashes of a bucket in one task.
+BUCKET = 256
+
+
 def blocks_for(n: int, most: int = 6) -> int:
     """How many blocks must agree so that a key has about as many values as there are hashes."""
     agree = 1
@@ -28,8 +32,8 @@ def simhash_pairs(hashes: DataFrame, key: str = "doc_id", most: int = 6, agree:
 
     The 64 bits are cut into ``most + agree`` blocks; two hashes within ``most`` bits agree on ``agree`` blocks at least, so they
     meet under the key of those blocks. ``agree`` follows the number of hashes: keys grow with the data, so that a bucket holds a few
-    hashes at any size, and the result is the same for every value. A pair that meets under several keys is compared under the
-    first of them only, without a distinct. Equal hashes are one node with a count, so copies make no pairs.
+    hashes at any size, and the result is the same for every value. A pair may meet under several keys; only pairs that are near are made distinct. Equal hashes are one node with a count, so copies make no pairs. A bucket of more than ``BUCKET`` hashes is
+    dealt over several tasks: one side by hash, the other to each part.
     """
     rows = hashes.where("simhash is not null and simhash <> '0000000000000000'")
     nodes = rows.groupBy("simhash").agg(F.min(key).alias("id"), F.count("*").alias("copies")).withColumn("h", F.conv("simhash", 16, -10).cast("bigint"))
@@ -40,19 +44,16 @@ def simhash_pairs(hashes: DataFrame, key: str = "doc_id", most: int = 6, agree:
     mask = lambda k: ((1 << width[k]) - 1) << starts[k]
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     keys = [(sum(1 << k for k in c), signed(sum(mask(k) for k in c))) for c in combinations(range(count), agree)]
-    cut = nodes.select("id", "simhash", "copies", "h", F.explode(F.array(*[F.struct(F.lit(c).alias("band"), F.col("h").bitwiseAND(F.lit(m).cast("bigint")).alias("value")) for c, m in keys])).alias("k")).select("id", "simhash", "copies", "h", "k.*")
-    a, b = (cut.select(F.col("id").alias(f"{x}_id"), F.col("simhash").alias(f"{x}_hash"), F.col("copies").alias(f"{x}_copies"), F.col("h").alias(f"{x}_h"), "band", "value") for x in "xy")
+    cut = nodes.select("id", "copies", "h", F.explode(F.array(*[F.struct(F.lit(c).alias("band"), F.col("h").bitwiseAND(F.lit(m).cast("bigint")).alias("value")) for c, m in keys])).alias("k")).select("id", "copies", "h", "k.*")
+    a, b = (cut.select(F.col("id").alias(f"{x}_id"), F.col("copies").alias(f"{x}_copies"), F.col("h").alias(f"{x}_h"), "band", "value") for x in "xy")
+    hot = cut.groupBy("band", "value").agg(F.count("*").alias("n")).where(f"n > {BUCKET}").select("band", "value", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(hot, ["band", "value"], "left").withColumn("part", F.pmod(F.xxhash64("x_id"), parts).cast("int")).drop("parts")
+    b = b.join(hot, ["band", "value"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     differ = F.col("x_h").bitwiseXOR(F.col("y_h"))
-    equal = F.lit(0)
-    for k in range(count):
-        equal = equal.bitwiseOR(F.when(differ.bitwiseAND(F.lit(signed(mask(k))).cast("bigint")) == 0, 1 << k).otherwise(0))
-    near = a.join(b, ["band", "value"]).where((F.col("x_h") < F.col("y_h")) & (F.bit_count(differ) <= most)).withColumn("_equal", equal)
-    rest = F.col("_equal")
-    for _ in range(agree):
-        rest = rest.bitwiseAND(rest - 1)
-    near = near.where(F.col("_equal").bitwiseXOR(rest) == F.col("band"))
+    near = a.join(b, ["band", "value", "part"]).where((F.col("x_h") < F.col("y_h")) & (F.bit_count(differ) <= most)).select("x_id", "y_id", "x_copies", "y_copies", "x_h", "y_h").distinct()
     first = F.col("x_id") < F.col("y_id")
-    distance = hamming(F.col("x_hash"), F.col("y_hash"))
+    distance = F.bit_count(differ)
     return near.select(
         F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), distance.alias("distance"), similarity(distance).alias("similarity"),
         F.when(first, F.col("x_copies")).otherwise(F.col("y_copies")).alias("copies_a"), F.when(first, F.col("y_copies")).otherwise(F.col("x_copies")).alias("copies_b"),
