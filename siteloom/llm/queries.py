@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, html_text, minhash, quality, sharding, substring, toxicity, urls
+from . import bpe, chat, collocations, decontaminate, html_text, minhash, quality, sharding, substring, toxicity, twins, urls, vector_codes, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,23 @@ SELECT conv_id, n_turns, turns_sha256, length(trained) AS loss_chars, sha256(tra
 FROM g
 """
 
+
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate class of every embedding."""
+    found = vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select(F.col("doc").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code and error of every embedding."""
+    return vector_codes.quantise(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).withColumnRenamed("doc", "vec_id")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best collocations, over all texts."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -136,9 +153,15 @@ QUERIES = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op11_vectors": op11_vectors,
+    "op12_codes": op12_codes,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op10_chat": OP10_SQL,
+    "op11_vectors": twins.OP11_SQL,
+    "op12_codes": twins.OP12_SQL,
+    "op13_phrases": twins.OP13_SQL,
 }
