@@ -1,6 +1,6 @@
 """Prepared relations for the rules: joins and aggregates that flags need, each input scanned once.
 
-Inputs are the audit's silver tables (``plans.fixtures`` lists their columns). Child tables are aggregated by page
+Inputs are the audit's silver tables (``schemas`` lists their columns). Child tables are aggregated by page
 before they are joined; lookups by URL use one row for each URL (the largest page_id, as later captures replace earlier).
 """
 
@@ -47,7 +47,8 @@ def chain_columns(df: DataFrame) -> DataFrame:
 
 
 def header(name: str) -> F.Column:
-    return F.coalesce(F.try_element_at(F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k)), F.lit(name)), F.lit(""))
+    """A header's value, empty if the response had none, null if no headers were captured: a rule needs to know the difference."""
+    return F.when(F.col("headers").isNotNull(), F.coalesce(F.try_element_at(F.transform_keys("headers", lambda k, v: F.lower(k)), F.lit(name)), F.lit("")))
 
 
 def group_size(df: DataFrame, column: str, out: str) -> DataFrame:

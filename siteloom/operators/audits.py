@@ -10,8 +10,9 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.materialize import release, written
-from . import compare, issues, store
+from ..plans.materialize import materialize, release, written
+from . import capture, compare, issues, store
+from .schemas import TABLES
 
 #: What an audit keeps of its tables.
 KEPT = ("fx_pages", "fx_links", "fx_headings", "fx_images", "fx_structured", "fx_hreflang", "fx_pagination", "fx_resources", "fx_sitemap", "fx_status")
@@ -21,15 +22,24 @@ def with_audit(df: DataFrame, audit_id: str) -> DataFrame:
     return df.withColumn("audit_id", F.lit(audit_id))
 
 
-def run_audit(spark: SparkSession, pages_dir: str, path: str, domain: str, audit_id: str, now: datetime | None = None) -> dict:
-    """Audit the captured pages of ``pages_dir`` (``pages.parquet``) into the store at ``path``; id, number of pages, issues by severity and score.
+def responses_of(spark: SparkSession, pages_dir: str) -> DataFrame | None:
+    """The responses that were captured beside the pages (``responses.parquet``), if any were."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{pages_dir}/responses.parquet")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(f"{pages_dir}/responses.parquet") if there else None
+
+
+def run_audit(spark: SparkSession, pages_dir: str, path: str, domain: str, audit_id: str, now: datetime | None = None, start: str | None = None) -> dict:
+    """Audit the captured pages of ``pages_dir`` (``pages.parquet``, and ``responses.parquet`` if it is there) into the store at ``path``; id, number of pages, issues by severity and score.
+
+    Depths count from ``start``, by default from the root of each host.
 
     Running an audit again replaces its rows, so one that was lost half-way can be repeated.
     """
-    from ..plans.site_tables import site_tables
-
     s, before = store.Store(spark, path), written(spark)
-    for name, rows in site_tables(spark, pages_dir).items():
+    parsed = materialize(capture.parse(spark.read.parquet(f"{pages_dir}/pages.parquet")), "parsed")
+    for name, rows in capture.tables(parsed, responses_of(spark, pages_dir), start).items():
         s.replace(name.removeprefix("fx_"), with_audit(rows, audit_id))
     t = stored_tables(s, audit_id)
     s.replace("issues", with_audit(issues.all_issues(t, domain), audit_id))
@@ -43,9 +53,7 @@ def run_audit(spark: SparkSession, pages_dir: str, path: str, domain: str, audit
 
 
 def stored_tables(s: store.Store, audit_id: str) -> dict[str, DataFrame]:
-    from ..plans.fixtures import SCHEMAS
-
-    return {name: s.scan(name.removeprefix("fx_"), audit_id, f"{SCHEMAS[name][1]}, audit_id string").drop("audit_id") for name in KEPT}
+    return {name: s.scan(name.removeprefix("fx_"), audit_id, f"{TABLES[name]}, audit_id string").drop("audit_id") for name in KEPT}
 
 
 def compare_audits(s: store.Store, base: str, other: str) -> DataFrame:

@@ -25,7 +25,35 @@ def bucketed(edges: DataFrame, column: str, label: str) -> tuple[DataFrame, str]
     return spark.table(name), name
 
 
-def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+class EdgeTable:
+    """Distinct edges s, t between known nodes with the weight 1 / outgoing edges, in buckets of s; several operators can share it until it is dropped."""
+
+    def __init__(self, nodes: DataFrame, links: DataFrame):
+        self.spark = nodes.sparkSession
+        edges = internal_edges(links, nodes.select("node").distinct())
+        self.degree = edges.groupBy("s").agg(F.count("*").alias("d"))
+        self.frame, self.name = bucketed(edges.join(self.degree, "s").select("s", "t", (1.0 / F.col("d")).alias("w")), "s", "edges")
+        self.degree = self.frame.groupBy("s").agg(F.count("*").alias("d"))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        discard(self.spark, f"{shared_dir(self.spark)}/{self.name}")
+
+
+def url_dictionary(urls: DataFrame, column: str = "url") -> DataFrame:
+    """url and id: dense ids from 0 in the order of the distinct URLs. Tasks number their own range; only the sizes of ranges come to the driver."""
+    ordered = urls.select(F.col(column).alias("url")).where("url is not null").distinct().repartitionByRange("url").sortWithinPartitions("url")
+    placed = materialize(ordered.withColumn("place", F.monotonically_increasing_id()), "urls")
+    starts, at = [], 0
+    for r in placed.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts.append((r["part"], at))
+        at += r["n"]
+    starts = placed.sparkSession.createDataFrame(starts, "part long, start long")  # a row for each partition
+    numbered = placed.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(starts), "part")
+    return numbered.select("url", (F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("id"))
+
+
+def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, table: EdgeTable | None = None) -> DataFrame:
     """node, rank (sums to 1) and score (scaled to 0..100 and rounded).
 
     ``nodes`` has node, ``links`` s and t. The mass of nodes without outgoing edges is spread evenly. Stops after ``rounds`` or,
@@ -33,13 +61,14 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     shuffles ranks and partial sums only; a round is one written table and one aggregate, of which two sums come to the driver.
     """
     nodes = nodes.select("node").distinct()
-    links = internal_edges(links, nodes)
-    degree = links.groupBy("s").agg(F.count("*").alias("d"))
-    edges, name = bucketed(links.join(degree, "s").select("s", "t", (1.0 / F.col("d")).alias("w")), "s", "edges")
+    shared, table = table is not None, table or EdgeTable(nodes, links)
+    edges, degree = table.frame, table.degree
     state = materialize(nodes.join(degree.select(F.col("s").alias("node"), F.lit(False).alias("dangling")), "node", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))), "nodes")
     begun = state.agg(F.count("*").alias("n"), F.count_if("dangling").alias("lost")).first()
     n = begun["n"]
     if not n:
+        if not shared:
+            table.drop()
         return state.select("node", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
     ranks, lost, written = state.withColumn("rank", F.lit(1.0 / n)), begun["lost"] / n, state
     for _ in range(rounds):
@@ -51,24 +80,24 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
         written, ranks, lost = new, new.drop("old"), sums["lost"]
         if tolerance is not None and sums["moved"] < tolerance:
             break
-    nodes.sparkSession.sql(f"DROP TABLE {name}")
-    discard(nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/{name}")
+    if not shared:
+        table.drop()
     if rounds < 1:
         return ranks.select("node", "rank", F.lit(0.0).alias("score"))
     spread = (sums["hi"] - sums["lo"]) or 1.0
     return ranks.select("node", "rank", F.round((F.col("rank") - sums["lo"]) / spread * 100, 2).alias("score"))
 
 
-def click_depth(nodes: DataFrame, links: DataFrame, seeds: DataFrame, most: int | None = None, unreached: int | None = None) -> DataFrame:
+def click_depth(nodes: DataFrame, links: DataFrame, seeds: DataFrame, most: int | None = None, unreached: int | None = None, table: EdgeTable | None = None) -> DataFrame:
     """node and depth: the fewest links from a seed; ``unreached`` where none leads, or none of up to ``most`` links.
 
     Without a seed among the nodes the one with the most links to it is the seed, the smallest of equals. Edges are written once in
     buckets of their source; each level is one join and one small written table. Levels so far are folded into one table now and then, so
     that a long chain grows neither the plan nor the number of scans.
     """
-    spark = nodes.sparkSession
     nodes = nodes.select("node").distinct()
-    edges, name = bucketed(internal_edges(links, nodes), "s", "edges")
+    shared, table = table is not None, table or EdgeTable(nodes, links)
+    edges = table.frame.select("s", "t")
     seen = materialize(seeds.select("node").distinct().join(nodes, "node", "left_semi").withColumn("depth", F.lit(0)), "seen", 1)
     if seen.isEmpty():
         best = edges.groupBy("t").agg(F.count("*").alias("n")).agg(F.max_by("t", F.struct("n", -F.col("t")) if dict(edges.dtypes)["t"] != "string" else F.struct("n")).alias("node"))
@@ -86,8 +115,8 @@ def click_depth(nodes: DataFrame, links: DataFrame, seeds: DataFrame, most: int
             for used in parts[:-1]:
                 drop_materialized(used)
             parts = [seen, frontier]
-    spark.sql(f"DROP TABLE {name}")
-    discard(spark, f"{shared_dir(spark)}/{name}")
+    if not shared:
+        table.drop()
     out = nodes.join(seen, "node", "left")
     return out if unreached is None else out.withColumn("depth", F.coalesce("depth", F.lit(unreached)))
 

@@ -18,8 +18,8 @@ base AS (
     coalesce(robots_blocked, false) AS robots_blocked),
     coalesce(is_indexable, false) AS indexable, lower(coalesce(content_type, '')) LIKE '%html%' AS is_html, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS url_scheme,
     regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS url_path, string_split(regexp_extract(url, '\?(.*)$', 1), '&') AS parts,
-    coalesce(headers['Strict-Transport-Security'], '') AS hsts, lower(coalesce(headers['Content-Security-Policy'], '')) AS csp, coalesce(headers['X-Content-Type-Options'], '') AS xcto,
-    coalesce(headers['X-Frame-Options'], '') AS xfo, coalesce(headers['Referrer-Policy'], '') AS referrer, coalesce(len(redirect_chain), 0) AS chain_length,
+    CASE WHEN headers IS NOT NULL THEN coalesce(headers['Strict-Transport-Security'], '') END AS hsts, lower(CASE WHEN headers IS NOT NULL THEN coalesce(headers['Content-Security-Policy'], '') END) AS csp, CASE WHEN headers IS NOT NULL THEN coalesce(headers['X-Content-Type-Options'], '') END AS xcto,
+    CASE WHEN headers IS NOT NULL THEN coalesce(headers['X-Frame-Options'], '') END AS xfo, CASE WHEN headers IS NOT NULL THEN coalesce(headers['Referrer-Policy'], '') END AS referrer, coalesce(len(redirect_chain), 0) AS chain_length,
     coalesce(status_code, 0) = 310 OR coalesce(redirect_type LIKE '%Loop%', false) AS loop_exceeded
   FROM fx_pages p
 ), hops AS (

@@ -8,6 +8,7 @@ from ..functions import text as X, urls as U
 from ..operators import aggregates, compare, graph, keywords, similarity, views
 from ..sources import html as H, text_files as S
 from ..streaming import ingest
+from . import graph_sql
 from .fixtures import tables, values_sql
 from .materialize import materialize
 from .registry import register
@@ -312,15 +313,7 @@ def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def _pagerank_sql(rounds: int) -> str:
-    """Rounds are unrolled further than they take; the first that moves less than the tolerance is chosen."""
-    steps = [f"WITH {_EDGES}, d AS MATERIALIZED (SELECT s, count(*) AS d FROM e GROUP BY s), c AS (SELECT count(*) AS c FROM n), w AS MATERIALIZED (SELECT e.s, e.t, 1.0::DOUBLE / d.d AS w FROM e JOIN d ON d.s = e.s), p0 AS (SELECT node, 1.0::DOUBLE / c AS r FROM n, c)"]
-    for k in range(rounds):
-        steps.append(
-            f"p{k + 1} AS MATERIALIZED (SELECT n.node, 0.15 / c + 0.85 * (coalesce(g.x, 0) + (SELECT coalesce(sum(r), 0) FROM p{k} WHERE node NOT IN (SELECT s FROM d)) / c) AS r FROM n CROSS JOIN c LEFT JOIN (SELECT w.t AS node, sum(p.r * w.w) AS x FROM w JOIN p{k} p ON p.node = w.s GROUP BY w.t) g ON g.node = n.node)"
-        )
-    steps.append("u AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k + 1} AS k, node, p{k + 1}.r AS r, abs(p{k + 1}.r - p{k}.r) AS moved FROM p{k + 1} JOIN p{k} USING (node)" for k in range(rounds)) + ")")
-    steps.append("f AS MATERIALIZED (SELECT node, r FROM u WHERE k = (SELECT min(k) FROM (SELECT k, sum(moved) AS m FROM u GROUP BY k) WHERE m < 1e-6))")
-    return ", ".join(steps) + " SELECT node, round(1000 * r, 6) AS rank, round((r - (SELECT min(r) FROM f)) / (SELECT max(r) - min(r) FROM f) * 100, 1) AS score FROM f"
+    return f"WITH {_EDGES}, {graph_sql.ranks(rounds)} SELECT node, round(1000 * r, 6) AS rank, round((r - (SELECT min(r) FROM f)) / (SELECT max(r) - min(r) FROM f) * 100, 1) AS score FROM f"
 
 
 @register("pagerank", _pagerank_sql(24))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.schemas import TABLES
+
 _PAGE = dict(
     page_id=0, url="", status_code=200, content_type="text/html; charset=utf-8", title="A title that is neither short nor long", meta_description="A description of this page that is long enough for a result page to show it whole.", h1="A heading", canonical=None, is_indexable=True,
     crawl_depth=1, word_count=400, html_size=12000, response_time_ms=200.0, redirect_url=None, redirect_type=None, redirect_chain=None, viewport="width=device-width, initial-scale=1", lang="en",
@@ -78,18 +80,8 @@ STRUCTURED = [
 ]
 STATUS = [dict(url="https://outside.org/dead", status_code=404), dict(url="https://outside.org/b", status_code=200), dict(url=E1 + "/not-crawled", status_code=500)]
 
-SCHEMAS = {
-    "fx_pages": (PAGES, "page_id bigint, url string, status_code int, content_type string, title string, meta_description string, h1 string, canonical string, is_indexable boolean, crawl_depth int, word_count int, html_size bigint, response_time_ms double, redirect_url string, redirect_type string, redirect_chain array<struct<url:string,status:int>>, viewport string, lang string, og_title string, og_description string, og_image string, og_type string, twitter_card string, content_hash string, raw_hash string, rendered_hash string, dom_size int, internal_pagerank double, robots_blocked boolean, lcp_ms double, cls double, fcp_ms double, headers map<string,string>"),
-    "fx_links": (LINKS, "link_id bigint, source_page_id bigint, source_url string, target_url string, anchor_text string, is_internal boolean, nofollow boolean, rel string, target_blocked boolean"),
-    "fx_images": (IMAGES, "page_id bigint, url string, src string, alt_text string, format string, file_size bigint, has_dimensions boolean, is_lazy_loaded boolean, is_broken boolean"),
-    "fx_headings": (HEADINGS, "page_id bigint, position int, tag string, text string"),
-    "fx_resources": (RESOURCES, "page_id bigint, url string, resource_type string, is_render_blocking boolean"),
-    "fx_hreflang": (HREFLANG, "page_id bigint, url string, lang_code string, target_url string"),
-    "fx_pagination": (PAGINATION, "tag_id int, page_id bigint, url string, rel_type string, target_url string"),
-    "fx_sitemap": (SITEMAP, "url string, sitemap_url string"),
-    "fx_structured": (STRUCTURED, "page_id bigint, url string, data_json string"),
-    "fx_status": (STATUS, "url string, status_code int"),
-}
+ROWS = {"fx_pages": PAGES, "fx_links": LINKS, "fx_images": IMAGES, "fx_headings": HEADINGS, "fx_resources": RESOURCES, "fx_hreflang": HREFLANG, "fx_pagination": PAGINATION, "fx_sitemap": SITEMAP, "fx_structured": STRUCTURED, "fx_status": STATUS}
+SCHEMAS = {name: (ROWS[name], schema) for name, schema in TABLES.items()}
 
 
 def tables(spark: SparkSession) -> dict[str, DataFrame]:

@@ -1,65 +1,36 @@
-"""The audit's silver tables from captured pages: one parse of the HTML, child relations from it, and the same by patterns in SQL.
-
-What a capture without headers doesn't hold (status, times, redirects) has the value of a plain successful fetch; depth is that of the folder.
-"""
+"""The audit's silver tables from the captured pages of a folder, and the same by patterns in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import urls as U
-from ..sources import html as H
-from .fixtures import SCHEMAS
+from ..operators import capture
+from ..operators.schemas import TABLES
+from . import graph_sql
 from .materialize import materialize, written
 
-PARSED = ("title", "meta_description", "meta_robots", "viewport", "canonical_url", "language", "h1", "word_count", "content_hash", "dom_size", "og", "twitter", "links", "images", "headings", "structured_data", "resources", "hreflang", "pagination")
-_kept: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+_kept: dict[tuple, tuple[list[str], object]] = {}
 
 
-def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed pages, written once for a session and folder while their table lives."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _kept or _kept[key][0] not in written(spark):
-        pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html_size", F.length("html").cast("long"))
-        parsed = materialize(H.parse_pages(pages, keep=("page_id", "url", "html_size"), columns=PARSED), "parsed")
-        _kept[key] = (written(spark)[-1], parsed)
+def _once(spark: SparkSession, key: tuple, make):
+    """What ``make`` returns, made once for a session and key while all tables that it wrote live."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept or not set(_kept[key][0]) <= set(written(spark)):
+        before = set(written(spark))
+        made = make()
+        _kept[key] = ([t for t in written(spark) if t not in before], made)
     return _kept[key][1]
 
 
-def absolute(base, href):
-    """A link's target: as it is, or below the page's origin or folder."""
-    origin = F.concat(U.scheme(base), F.lit("://"), U.authority(base))
-    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(U.scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(origin, F.regexp_replace(U.path(base), "[^/]*$", ""), href))
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed pages, written once."""
+    return _once(spark, ("parsed", sf_dir), lambda: materialize(capture.parse(spark.read.parquet(f"{sf_dir}/pages.parquet")), "parsed"))
 
 
 def site_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables of ``fixtures.SCHEMAS`` for the captured pages."""
+    """The tables of ``schemas.TABLES`` for the captured pages."""
     parsed = parsed_pages(spark, sf_dir)
-    url, p = F.col("url"), lambda n: F.col(f"page.{n}")
-    values = {
-        "status_code": F.lit(200), "content_type": F.lit("text/html; charset=utf-8"), "title": p("title"), "meta_description": p("meta_description"), "h1": p("h1"), "canonical": p("canonical_url"),
-        "is_indexable": ~F.coalesce(F.lower(p("meta_robots")).contains("noindex"), F.lit(False)), "crawl_depth": U.folder_depth(url), "word_count": p("word_count"), "viewport": p("viewport"), "lang": p("language"),
-        "og_title": p("og")["og:title"], "og_description": p("og")["og:description"], "og_image": p("og")["og:image"], "og_type": p("og")["og:type"], "twitter_card": p("twitter")["twitter:card"],
-        "content_hash": p("content_hash"), "dom_size": p("dom_size"), "robots_blocked": F.lit(False), "page_id": F.col("page_id"), "url": url, "html_size": F.col("html_size"),
-    }
-    kinds = {f.name: f.dataType for f in spark.createDataFrame([], SCHEMAS["fx_pages"][1]).schema}
-    out = {"fx_pages": parsed.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])}
-    child = lambda n: H.child(parsed, n)
-    links = child("links").withColumn("target_url", absolute(url, F.col("href")))
-    host = lambda c: F.lower(U.authority(c))
-    out["fx_links"] = links.select(
-        (F.col("page_id") * 100_000 + F.col("position")).alias("link_id"), F.col("page_id").alias("source_page_id"), url.alias("source_url"), "target_url", F.col("text").alias("anchor_text"),
-        (host(F.col("target_url")) == host(url)).alias("is_internal"), "nofollow", "rel", F.lit(False).alias("target_blocked"),
-    )
-    out["fx_images"] = child("images").select("page_id", "url", absolute(url, F.col("src")).alias("src"), F.col("alt").alias("alt_text"), "format", F.lit(None).cast("long").alias("file_size"), "has_dimensions", "is_lazy_loaded", F.lit(False).alias("is_broken"))
-    out["fx_headings"] = child("headings").select("page_id", "position", "tag", "text")
-    out["fx_resources"] = H.child(parsed, "resources", keep=("page_id",)).select("page_id", "url", "resource_type", "is_render_blocking")
-    out["fx_hreflang"] = child("hreflang").select("page_id", "url", "lang_code", absolute(url, F.col("target_url")).alias("target_url"))
-    out["fx_pagination"] = child("pagination").select((F.col("page_id") * 100 + F.col("position")).cast("int").alias("tag_id"), "page_id", "url", "rel_type", absolute(url, F.col("target_url")).alias("target_url"))
-    out["fx_structured"] = child("structured_data").select("page_id", "url", "data_json")
-    out["fx_sitemap"] = parsed.select("url", F.concat(U.scheme(url), F.lit("://"), U.authority(url), F.lit("/sitemap.xml")).alias("sitemap_url"))
-    out["fx_status"] = spark.createDataFrame([], SCHEMAS["fx_status"][1])
-    return out
+    return _once(spark, ("tables", sf_dir), lambda: capture.tables(parsed))
 
 
 def _decoded(x: str) -> str:
@@ -82,14 +53,15 @@ def site_sql(*names: str) -> str:
     h1 = _words(_decoded("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))
     text = "regexp_replace(regexp_replace(html, '(?is)<(title|style|script)[^>]*>.*?</(title|style|script)>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
     body = _words(_decoded(text))
+    links = f"""SELECT page_id * 1048576 + i - 1 AS link_id, page_id AS source_page_id, url AS source_url, {_ABSOLUTE.format(h="h")} AS target_url, {_words(_decoded("regexp_replace(a, '<[^>]*>', '', 'g')"))} AS anchor_text, h LIKE '/%' AS is_internal, false AS nofollow, '' AS rel, false AS target_blocked
+  FROM (SELECT page_id, url, unnest(hs) AS h0, unnest(anchors) AS a, generate_subscripts(hs, 1) AS i, {_decoded("h0")} AS h FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a href="([^"]*)"', 1) AS hs, regexp_extract_all(html, '(?is)<a href="[^"]*"[^>]*>(.*?)</a>', 1) AS anchors FROM pages))"""
     known = {
         "fx_pages": f"""SELECT page_id, url, 200 AS status_code, 'text/html; charset=utf-8' AS content_type, nullif({title}, '') AS title, NULL::VARCHAR AS meta_description, {h1} AS h1, NULL::VARCHAR AS canonical, true AS is_indexable,
-  CAST(len(list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) AS INTEGER) AS crawl_depth, CAST(len(list_filter(string_split({body}, ' '), lambda w: w <> '')) AS INTEGER) AS word_count, CAST(length(html) AS BIGINT) AS html_size,
+  g.depth AS crawl_depth, CAST(len(list_filter(string_split({body}, ' '), lambda w: w <> '')) AS INTEGER) AS word_count, CAST(length(html) AS BIGINT) AS html_size,
   NULL::DOUBLE AS response_time_ms, NULL::VARCHAR AS redirect_url, NULL::VARCHAR AS redirect_type, NULL::STRUCT(url VARCHAR, status INTEGER)[] AS redirect_chain, NULL::VARCHAR AS viewport, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang,
   NULL::VARCHAR AS og_title, NULL::VARCHAR AS og_description, NULL::VARCHAR AS og_image, NULL::VARCHAR AS og_type, NULL::VARCHAR AS twitter_card, md5({body}) AS content_hash, NULL::VARCHAR AS raw_hash, NULL::VARCHAR AS rendered_hash,
-  CAST(len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS INTEGER) AS dom_size, NULL::DOUBLE AS internal_pagerank, false AS robots_blocked, NULL::DOUBLE AS lcp_ms, NULL::DOUBLE AS cls, NULL::DOUBLE AS fcp_ms, NULL::MAP(VARCHAR, VARCHAR) AS headers FROM pages""",
-        "fx_links": f"""SELECT page_id * 100000 + i - 1 AS link_id, page_id AS source_page_id, url AS source_url, {_ABSOLUTE.format(h="h")} AS target_url, {_words(_decoded("regexp_replace(a, '<[^>]*>', '', 'g')"))} AS anchor_text, h LIKE '/%' AS is_internal, false AS nofollow, '' AS rel, false AS target_blocked
-  FROM (SELECT page_id, url, unnest(hs) AS h0, unnest(anchors) AS a, generate_subscripts(hs, 1) AS i, {_decoded("h0")} AS h FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a href="([^"]*)"', 1) AS hs, regexp_extract_all(html, '(?is)<a href="[^"]*"[^>]*>(.*?)</a>', 1) AS anchors FROM pages))""",
+  CAST(len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS INTEGER) AS dom_size, g.score AS internal_pagerank, false AS robots_blocked, NULL::DOUBLE AS lcp_ms, NULL::DOUBLE AS cls, NULL::DOUBLE AS fcp_ms, NULL::MAP(VARCHAR, VARCHAR) AS headers FROM pages LEFT JOIN ({graph_sql.captured('pages', f"({links})")}) g USING (url)""",
+        "fx_links": links,
         "fx_headings": f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS position, tag, {_words(_decoded("regexp_replace(t, '<[^>]*>', '', 'g')"))} AS text FROM (SELECT page_id, unnest(tags) AS tag, unnest(texts) AS t, generate_subscripts(tags, 1) AS i
   FROM (SELECT page_id, regexp_extract_all(html, '(?i)<(h[1-6])[^>]*>', 1) AS tags, regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS texts FROM pages))""",
         "fx_sitemap": "SELECT url, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) || '/sitemap.xml' AS sitemap_url FROM pages",
@@ -97,7 +69,7 @@ def site_sql(*names: str) -> str:
     out = []
     for name in names:
         if name not in known:
-            fields = [f.strip().split(" ", 1) for f in SCHEMAS[name][1].split(", ")]
+            fields = [f.strip().split(" ", 1) for f in TABLES[name].split(", ")]
             known[name] = "SELECT " + ", ".join(f"NULL::{_EMPTY[t]} AS {f}" for f, t in fields) + " WHERE false"
         out.append(f"{name} AS MATERIALIZED ({known[name]})")
     return ",\n".join(out)
