@@ -37,13 +37,13 @@ from .components import connected_components
 #: Links have a cosine of at least this.
 COSINE = 0.93
 #: The sample on which the model is fitted: vectors, and bytes of its components as doubles.
-SAMPLE, SAMPLE_BYTES = 16_384, 32 << 20
-#: Bytes of the coarse centroids, of which a vector of 64 components allows 32,768; members of a list aimed at; components and entries of a part.
-MODEL_BYTES, LIST_ROWS, PART, ENTRIES = 8 << 20, 2048, 4, 16
+SAMPLE, SAMPLE_BYTES = 65_536, 64 << 20
+#: Bytes of the coarse centroids, of which a vector of 64 components allows 32,768; vectors (of all labels) for a list; components and entries of a part.
+MODEL_BYTES, LIST_ROWS, PART, ENTRIES = 8 << 20, 512, 4, 16
 #: Standard deviations of a neighbour's direction that probes allow for.
-Z = 2.5
+Z = 2.0
 #: Members of a block; a tile holds two blocks.
-BLOCK = 512
+BLOCK = 1024
 #: Added to distances, against rounding in single precision.
 SLACK = 1e-4
 _L, _B, _I = T.LongType(), T.BinaryType(), T.IntegerType()
@@ -142,9 +142,8 @@ def fit(units: list[np.ndarray], total: int, z: float | None = Z) -> Model:
     lengths = np.bincount([len(u) for u in units])
     x = np.stack([u for u in units if len(u) == lengths.argmax()])
     dim = x.shape[1]
-    # As many lists as the root of the vectors, so that lists and their members grow alike, and no more than the sample and the bytes can carry.
-    want = max(total / LIST_ROWS, math.sqrt(total) / 8)
-    k = int(max(1, min(want, len(x) // 8, MODEL_BYTES // (4 * dim))))
+    # Lists of the same size for any number of vectors, as far as the sample and the bytes carry; beyond that lists grow and are cut into more tiles.
+    k = int(max(1, min(total // LIST_ROWS, len(x) // 8, MODEL_BYTES // (4 * dim))))
     lists = k_means(x, k, 10, spherical=True)
     size = np.sqrt((lists * lists).sum(1))
     lists[size == 0] = x[0]
@@ -222,17 +221,19 @@ class Tile:
     def __post_init__(self) -> None:
         self.node = np.array([r[0] for r in self.rows], dtype=np.int64)
         self.copies = np.array([r[1] for r in self.rows], dtype=np.int64)
-        self.units = np.stack([unit(doubles(r[2], self.single)) for r in self.rows])
+        v = doubles(b"".join(r[2] for r in self.rows), self.single).reshape(len(self.rows), -1)  # of one length
+        v = v / np.abs(v).max(1)[:, None]
+        self.units = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
         self.home = np.array([r[3] for r in self.rows])
         self.probes = np.zeros((len(self.rows), len(self.model.lists)), dtype=bool)
         for k, r in enumerate(self.rows):
             self.probes[k, r[4]] = True
-        self.codes = np.stack([np.frombuffer(r[5], dtype=np.uint8) for r in self.rows]).astype(np.int64)
+        self.codes = np.frombuffer(b"".join(r[5] for r in self.rows), dtype=np.uint8).reshape(len(self.rows), -1).astype(np.int64)
         self.errors = np.array([r[6] for r in self.rows])
         self.side = np.array([r[7] for r in self.rows])
-        heads = [self.model.head(u) for u in self.units]
-        self.residuals = np.stack([h for h, _ in heads]) - self.model.lists[self.at]
-        self.tails = np.array([t for _, t in heads])
+        width = min(v.shape[1], self.model.dim)
+        self.residuals = np.pad(self.units[:, :width], ((0, 0), (0, self.model.dim - width))) - self.model.lists[self.at]
+        self.tails = (self.units[:, width:] ** 2).sum(1)
 
     def candidates(self, asking: np.ndarray, coded: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (asking, coded) whose look-up distance leaves room for a link."""

@@ -71,7 +71,7 @@ def planted(seed=3):
     return [(int(a), [float(x) for x in b], int(c)) for a, b, c in rows]
 
 
-@pytest.mark.parametrize("block", [8, 512])
+@pytest.mark.parametrize("block", [8, 1024])
 def test_vectors_equal_brute_force(spark, block, monkeypatch):
     """Pairs at the threshold, chains, dense groups and exact copies; several lists, and blocks of a list in several tiles."""
     monkeypatch.setattr(vectors, "LIST_ROWS", 40)
