@@ -16,11 +16,13 @@ BATCH_ROWS = 2048
 
 
 def bound_batches(df: DataFrame) -> None:
-    """Lower the session's rows of an Arrow batch, whose default lets executors hold tens of MB of texts outside their heap for each task."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Lower the session's rows and bytes of an Arrow batch, whose defaults let executors hold tens of MB of texts outside their heap for each task, and workers as much."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows, "10000")) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if not 0 < int(conf.get(size, str(SLICE_BYTES + 1)).removesuffix("b")) <= SLICE_BYTES:
+        conf.set(size, str(SLICE_BYTES))
 
 
 def release() -> None:

@@ -30,7 +30,9 @@ from .batches import bound_batches, map_groups, release, slices
 LEAST, WORDS, PERCENT, TOP = 30, 4, 80, 2000
 SCORE = 2_000_000
 #: Text of a chunk, and of all languages that a task holds before the largest goes.
-CHUNK_BYTES, HELD_BYTES = 8 << 20, 24 << 20
+CHUNK_BYTES, HELD_BYTES = 6 << 20, 18 << 20
+#: Places of frequent pairs that a task holds before it packs them by chunk.
+PLACES = 1 << 20
 #: Groups in which a language's best phrases are sought before they meet.
 SALTS = 64
 _L, _B, _I, _S = T.LongType(), T.BinaryType(), T.IntegerType(), T.StringType()
@@ -201,8 +203,8 @@ def pairs_in_chunks(streams: DataFrame) -> DataFrame:
 
 
 def longer_in_chunks(streams: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, chunk and n: phrases of three and four words whose pairs are frequent. ``pairs`` has chunk and pair."""
-    own = pairs.groupBy("chunk").agg(F.collect_list("pair").alias("pairs"))
+    """key, chunk and n: phrases of three and four words whose pairs are frequent. ``pairs`` has chunk and pairs, several rows for a chunk."""
+    own = pairs.groupBy("chunk").agg(F.collect_list("pairs").alias("pairs"))
     both = streams.join(own, "chunk").select("chunk", "stream", "pairs")
     bound_batches(both)
 
@@ -210,7 +212,7 @@ def longer_in_chunks(streams: DataFrame, pairs: DataFrame) -> DataFrame:
         for part in batches:
             for chunk, stream, often in zip(part.column("chunk").to_pylist(), part.column("stream").to_pylist(), part.column("pairs")):
                 g = np.frombuffer(stream, dtype="<u4")
-                key, often = pair_keys(g), np.sort(often.values.to_numpy().view(np.uint64))
+                key, often = pair_keys(g), np.sort(np.frombuffer(b"".join(often.as_py()), dtype="<u8"))
                 good = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
                 three = np.flatnonzero(good[:-1] & good[1:])
                 four = three[:-1][np.diff(three) == 1] if len(three) else three
@@ -223,11 +225,11 @@ def longer_in_chunks(streams: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def frequent(counted: DataFrame, least: int, chunks_too: bool) -> DataFrame:
-    """Keys that sum up to ``least`` or more: i1 to i4 and a (one row a key); with ``chunks_too`` also rows of chunk and pair for the chunks that hold them.
+    """Keys that sum up to ``least`` or more: i1 to i4 and a (one row a key); with ``chunks_too`` also rows of chunk and pairs (packed 64-bit keys) for the chunks that hold them.
 
     A stream over rows that are partitioned by range and sorted. Rows of a key that hasn't reached ``least`` yet wait, and each counts one or more, so that fewer than ``least`` rows wait.
     """
-    schema = _schema(i1=_L, i2=_L, i3=_L, i4=_L, a=_L, chunk=_L, pair=_L)
+    schema = _schema(i1=_L, i2=_L, i3=_L, i4=_L, a=_L, chunk=_L, pairs=_B)
     bound_batches(counted)
     dealt = counted.repartitionByRange("key").sortWithinPartitions("key")
 
@@ -236,14 +238,26 @@ def frequent(counted: DataFrame, least: int, chunks_too: bool) -> DataFrame:
             words = np.zeros((len(keys), WORDS), dtype=np.int64)
             packed = np.frombuffer(b"".join(keys), dtype=">u4").reshape(len(keys), -1)
             words[:, : packed.shape[1]] = packed
-            yield pa.RecordBatch.from_arrays([*[pa.array(words[:, k]) for k in range(WORDS)], pa.array(sums), *[pa.nulls(len(keys), pa.int64())] * 2], names=schema.names)
-
-    def places(chunk: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if chunks_too and len(chunk):
-            pair = np.ascontiguousarray(key).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(chunk), pa.int64())] * 5, pa.array(chunk), pa.array(pair)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[pa.array(words[:, k]) for k in range(WORDS)], pa.array(sums), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary())], names=schema.names)
 
     def run(batches):
+        held, size = [], 0  # chunks and keys of places that aren't packed yet
+
+        def places(chunk: np.ndarray, key: np.ndarray, most: int = PLACES) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if not chunks_too:
+                return
+            held.append((chunk, np.ascontiguousarray(key).view(">u8").reshape(-1).astype("<u8")))
+            size += len(chunk)
+            if size > most:
+                at, pair = (np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+                order = np.argsort(at, kind="stable")
+                at, pair = at[order], pair[order]
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                for a, b in zip(first, [*first[1:], len(at)]):
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.array(at[a : a + 1]), pa.array([pair[a:b].tobytes()], type=pa.binary())], names=schema.names)
+
         last, total, waiting = None, 0, []  # the key whose run may go on, its sum, chunks not yet told
         for part in batches:
             if not part.num_rows:
@@ -274,6 +288,7 @@ def frequent(counted: DataFrame, least: int, chunks_too: bool) -> DataFrame:
                 waiting = waiting + chunk[first[-1] :].tolist() if len(first) == 1 else chunk[first[-1] :].tolist()
         if last is not None and total >= least:
             yield from totals([last], np.array([total]))
+        yield from places(np.zeros(0, np.int64), np.zeros((0, 8), np.uint8), 0)
         release()
 
     return dealt.mapInArrow(run, schema)
@@ -345,7 +360,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     streams = materialize(id_streams(cut_up, ids), "streams")
     drop_materialized(cut_up)
     pairs = materialize(frequent(pairs_in_chunks(streams), least, True), "pairs")
-    longer = frequent(longer_in_chunks(streams, pairs.where("chunk is not null").select("chunk", "pair")), least, False)
+    longer = frequent(longer_in_chunks(streams, pairs.where("chunk is not null").select("chunk", "pairs")), least, False)
     phrases = materialize(pairs.where("a is not null").select(*IDS, "a").unionByName(longer.select(*IDS, "a")), "phrases")
     drop_materialized(streams)
     drop_materialized(pairs)

@@ -225,8 +225,10 @@ def test_phrases_equal_brute_force(spark, least, chunk, top):
     assert rows_of(collocations.collocations(df, least=least, chunk_bytes=chunk, top=top)) == brute_phrases(rows, least, top=top)
 
 
-def test_runs_cross_batches(spark, monkeypatch):
-    """A key in every chunk, seen through batches of a few rows."""
+@pytest.mark.parametrize("places", [1, 10, 1 << 20])
+def test_runs_cross_batches(spark, monkeypatch, places):
+    """A key in every chunk, seen through batches of a few rows; places are packed now and then."""
+    monkeypatch.setattr(collocations, "PLACES", places)
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
@@ -237,7 +239,7 @@ def test_runs_cross_batches(spark, monkeypatch):
             sums[key] += n
         key = lambda a, b: a.to_bytes(4) + b.to_bytes(4)
         assert {key(r.i1, r.i2): r.a for r in out if r.a is not None} == {k: v for k, v in sums.items() if v >= 13}
-        told = sorted((r.pair.to_bytes(8), r.chunk) for r in out if r.a is None)
+        told = sorted((int(p).to_bytes(8), r.chunk) for r in out if r.a is None for p in np.frombuffer(r.pairs, dtype="<u8"))
         assert told == sorted((k, c) for k, c, _ in rows if sums[k] >= 13)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
