@@ -53,6 +53,24 @@ def script_shares(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", P.script_share(F.col("l_linenumber") * 5, F.col("l_quantity")).cast("double").alias("pct"))
 
 
+_HREFS = "regexp_extract_all(html, '(?is)<a href=\"([^\"]*)\"', 1)"
+
+
+@register(
+    "xpath_extract",
+    rf"""SELECT page_id, trim(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&amp;', '&')) AS heading, array_to_string(list_slice(list_transform({_HREFS}, lambda h: replace(h, '&amp;', '&')), 1, 5), ' | ') AS links, coalesce(replace({_HREFS}[2], '&amp;', '&'), '') AS second,
+array_to_string(list_slice(list_filter({_HREFS}, lambda h: h LIKE '%the%'), 1, 5), ' | ') AS of_the, CAST(len(regexp_extract_all(html, '(?i)<a[ >]')) AS VARCHAR) AS anchors, coalesce(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, CASE WHEN regexp_matches(html, '(?i)<article[ >]') THEN 'h1' ELSE '' END AS inside, '' AS none, '' AS bad FROM pages""",
+)
+def xpath_extract(spark, sf_dir):
+    """XPath over the pages' markup as it is, unclosed elements included."""
+    rules = {
+        "heading": "//h1", "links": "//a/@href", "second": "(//nav//li/a)[2]/@href", "of_the": "//a[contains(@href, 'the')]/@href", "anchors": "count(//a)", "lang": "/html/@lang", "inside": "name(//article//*[self::h1][1])",
+        "none": "//h1[false()] | //nosuch", "bad": "//a[",
+    }
+    out = H.custom_extract(table(spark, sf_dir, "pages"), [{"name": n, "type": "xpath", "expression": e} for n, e in rules.items()])
+    return out.select("page_id", *[F.trim(n).alias(n) for n in rules])
+
+
 @register("css_extract", r"SELECT page_id, trim(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&amp;', '&')) AS heading, array_to_string(list_slice(regexp_extract_all(html, '(?is)<li><a href=\"([^\"]*)\"', 1), 1, 5), ' | ') AS links, '' AS none FROM pages")
 def css_extract(spark, sf_dir):
     rules = [{"name": "heading", "expression": "article > h1"}, {"name": "links", "expression": "nav li a[href^='/']", "extract_type": "attribute", "attribute_name": "href"}, {"name": "none", "expression": "div.missing, #nothing"}]

@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import is_pattern
+from . import xpath
 
 S, L, I, B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
 
@@ -356,9 +357,9 @@ class Chosen(HTMLParser):
 
 
 def custom_extract(df: DataFrame, rules: list[dict], html: str = "html", most: int = 5, between: str = " | ") -> DataFrame:
-    """One column for each rule, what it finds first (``most``) joined: regular expressions and XPath of XHTML as expressions of the plan,
-    CSS selectors (text, html or an attribute) in one pass of a parser for all of them. A rule that is none gives empty texts."""
-    out, chosen = df, []
+    """One column for each rule, what it finds first (``most``) joined: regular expressions as expressions of the plan,
+    CSS selectors and XPath (text, html or an attribute) in one pass of a parser for all of either. A rule that is none gives empty texts."""
+    out, chosen, paths = df, [], []
     for r in rules:
         name, kind, expr = r["name"], r.get("type", "css"), r["expression"]
         if kind == "css":
@@ -368,14 +369,20 @@ def custom_extract(df: DataFrame, rules: list[dict], html: str = "html", most: i
                 out = out.withColumn(name, F.lit(""))
             continue
         if kind == "xpath":
-            found = F.expr(f"xpath({html}, '{expr.replace(chr(39), chr(92) + chr(39))}')")
-        else:
-            if not is_pattern(expr):
+            try:
+                xpath.compiled(expr)
+                paths.append((name, expr, r.get("extract_type", "text"), r.get("attribute_name", "")))
+            except ValueError:
                 out = out.withColumn(name, F.lit(""))
-                continue
-            groups = re.compile(expr).groups
-            found = F.regexp_extract_all(F.col(html), F.lit(f"(?is){expr}"), F.lit(1 if groups else 0))
+            continue
+        if not is_pattern(expr):
+            out = out.withColumn(name, F.lit(""))
+            continue
+        groups = re.compile(expr).groups
+        found = F.regexp_extract_all(F.col(html), F.lit(f"(?is){expr}"), F.lit(1 if groups else 0))
         out = out.withColumn(name, F.array_join(F.slice(F.coalesce(found, F.array().cast("array<string>")), 1, most), between))
+    if paths:
+        out = _by_path(out, paths, html, most, between)
     if not chosen:
         return out
     schema = T.StructType([T.StructField(n, S) for n, *_ in chosen])
@@ -397,6 +404,29 @@ def custom_extract(df: DataFrame, rules: list[dict], html: str = "html", most: i
     return out.select(*[c for c in out.columns if c != "_chosen"], "_chosen.*")
 
 
+def _by_path(df: DataFrame, rules: list[tuple], html: str, most: int, between: str) -> DataFrame:
+    """A column for each XPath rule; the tree of a page is built once. What an expression can't do on a page (a step from a number) gives an empty text."""
+    schema = T.StructType([T.StructField(n, S) for n, *_ in rules])
+
+    @F.pandas_udf(schema)
+    def run(pages):
+        import pandas as pd
+
+        compiled, rows = [xpath.compiled(e) for _, e, *_ in rules], []
+        for page in pages:
+            tree, row = xpath.Tree(page or ""), []
+            for f, (_, _, kind, attribute) in zip(compiled, rules):
+                try:
+                    row.append(between.join(xpath.evaluate(f, tree, kind, attribute, most)))
+                except (ValueError, TypeError):
+                    row.append("")
+            rows.append(row)
+        return pd.DataFrame(rows, columns=schema.names)
+
+    out = df.withColumn("_paths", run(F.col(html)))
+    return out.select(*df.columns, "_paths.*")
+
+
 def custom_search(df: DataFrame, rules: list[dict], html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """A row for each page and search rule: matched, count and a snippet of 40 characters around the first hit."""
     out = None
