@@ -1,7 +1,7 @@
 """Cutting lineage through storage that every executor shares.
 
 A materialised frame is a Parquet table below ``spark.checkpoint.dir``, so losing an executor never
-loses its rows. Nothing is kept on one machine's disk: ``localCheckpoint`` and temp folders are not used.
+loses its rows. ``localCheckpoint`` is not used; a folder of this machine (``LOCAL_DIR``) only where the session names none and all its tasks run here, as in tests.
 """
 
 from __future__ import annotations
@@ -77,3 +77,10 @@ def release(spark: SparkSession, tables: list[str] | None = None) -> None:
     for path in [p for p in live if tables is None or p in tables]:
         discard(spark, path)
         live.remove(path)
+
+
+def reserve(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared storage, which ``release`` deletes like a written table."""
+    path = f"{shared_dir(spark)}/siteloom-{label}-{uuid.uuid4().hex}"
+    _live.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path

@@ -41,4 +41,4 @@ def oracle_sql() -> dict[str, str]:
 def load() -> None:
     """Import the modules that register queries."""
     from . import audit_queries, core_queries, crawl_queries, report_queries, site_queries  # noqa: F401
-    from . import issue_queries, more_queries, shop  # noqa: F401  # noqa: F401
+    from . import issue_queries, more_queries, shop, stream_queries  # noqa: F401
