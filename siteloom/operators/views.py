@@ -195,11 +195,24 @@ def tab(enriched: DataFrame, name: str, t: dict[str, DataFrame] | None = None) -
 
 
 def tab_counts(enriched: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for name in TABS:
-        n = tab(enriched, name, t).agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    """tab and n for every tab, in one pass: what a tab keeps is a flag of the row, and flags from other tables are joined once as page sets."""
+    flag = lambda rows, name: rows.select("page_id").distinct().withColumn(name, F.lit(True))
+    sets = {"_h2": t["fx_headings"].where("lower(tag) = 'h2'"), "_paged": t["fx_pagination"], "_data": t["fx_structured"]} | ({"_violated": t["violations"]} if "violations" in t else {})
+    d = enriched
+    for name, rows in sets.items():
+        d = d.join(flag(rows, name), "page_id", "left")
+    listed = t["fx_sitemap"].select(U.rstrip_slash(F.col("url")).alias("_k")).distinct().withColumn("_listed", F.lit(True))
+    known = t["fx_sitemap"].agg((F.count("*") == 0).alias("_unlisted"))
+    d = d.withColumn("_k", U.rstrip_slash(F.col("url"))).join(listed, "_k", "left").crossJoin(F.broadcast(known))  # one aggregated row
+    or_html = lambda c: is_html() | filled(c) if c in enriched.columns else is_html()
+    every, of = F.lit(True), {c: F.coalesce(c, F.lit(False)) for c in (*sets, "_listed")}
+    keeps = dict.fromkeys(TABS, every) | dict.fromkeys(("content", "hreflang", "javascript", "links", "pagespeed", "mobile"), is_html())
+    keeps |= {"internal": F.col("url_type") == "Internal", "external": F.col("url_type") == "External", "images": F.lower(F.coalesce("content_type", F.lit(""))).contains("image"), "sitemaps": of["_listed"] | F.col("_unlisted"), "orphans": F.coalesce("unique_inlinks", F.lit(1)) == 0}
+    keeps |= {tab_: or_html(c) for tab_, c in (("page_titles", "title"), ("meta_description", "meta_description"), ("meta_keywords", "meta_keywords"), ("h1", "h1"), ("canonicals", "canonical"), ("amp", "amp_url"))}
+    keeps |= {"h2": is_html() | of["_h2"], "pagination": is_html() | of["_paged"], "structured_data": is_html() | of["_data"], "accessibility": is_html() | of["_violated"] if "_violated" in of else is_html()}
+    keeps["redirect_chains"] = F.col("status_code").between(300, 399) | filled("redirect_url") | (F.coalesce(F.size("redirect_chain"), F.lit(0)) > 0)
+    counts = d.agg(*[F.count_if(F.coalesce(keep, F.lit(False))).alias(name) for name, keep in keeps.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("tab"), F.col(name).alias("n")) for name in keeps])).alias("c")).select("c.*")
 
 
 def matches(pattern: str, columns: list[Column]) -> Column:

@@ -62,7 +62,7 @@ def _pack_query(name: str):
 
     @register(f"rules_{name}", sql)
     def run(spark, sf_dir):
-        return rules.issues(audit.prepare_pages(tables(spark)), chosen)
+        return rules.issues(audit.prepare_pages(tables(spark, sf_dir)), chosen)
 
     return run
 
@@ -80,12 +80,12 @@ LINK_TARGETS = f"""prepared AS (
 
 @register("rules_link_targets", f"WITH {values_sql('fx_pages', 'fx_links', 'fx_status')},\n{LINK_TARGETS}")
 def rules_link_targets(spark, sf_dir):
-    return rules.issues(audit.prepare_links(tables(spark)), rules.LINK_RULES)
+    return rules.issues(audit.prepare_links(tables(spark, sf_dir)), rules.LINK_RULES)
 
 
 @register("rules_images", f"WITH {values_sql('fx_images')}, prepared AS (SELECT *, regexp_replace(regexp_extract(split_part(src, '?', 1), '([^/]*)$', 1), '\\.[^.]*$', '') AS file_stem FROM fx_images) {rules.to_duckdb(rules.IMAGE_RULES, 'prepared')}")
 def rules_images(spark, sf_dir):
-    return rules.issues(audit.prepare_images(tables(spark)), rules.IMAGE_RULES)
+    return rules.issues(audit.prepare_images(tables(spark, sf_dir)), rules.IMAGE_RULES)
 
 
 @register(
@@ -98,7 +98,7 @@ prepared AS (
 {rules.to_duckdb(rules.HREFLANG_RULES, "prepared")} UNION ALL {rules.to_duckdb(rules.HREFLANG_SOURCE_RULES, "sources")}""",
 )
 def rules_hreflang(spark, sf_dir):
-    rows, sources = audit.prepare_hreflang(tables(spark))
+    rows, sources = audit.prepare_hreflang(tables(spark, sf_dir))
     return rules.issues(rows, rules.HREFLANG_RULES).unionByName(rules.issues(sources, rules.HREFLANG_SOURCE_RULES))
 
 
@@ -117,7 +117,7 @@ prepared AS (
 ) {rules.to_duckdb(rules.PAGINATION_RULES, "prepared")}""",
 )
 def rules_pagination(spark, sf_dir):
-    return rules.issues(audit.prepare_pagination(tables(spark)), rules.PAGINATION_RULES)
+    return rules.issues(audit.prepare_pagination(tables(spark, sf_dir)), rules.PAGINATION_RULES)
 
 
 SITEMAP_ENTRIES = f"""p AS (SELECT url, arg_max(status_code, page_id) AS status, arg_max(coalesce(is_indexable, false), page_id) AS indexable, max(page_id) AS id, arg_max(crawl_depth, page_id) AS depth,
@@ -129,7 +129,7 @@ prepared AS (SELECT m.page_id, m.url, p.id IS NOT NULL AS found, p.status AS tar
 
 @register("rules_sitemap_entries", f"WITH {values_sql('fx_pages', 'fx_links', 'fx_sitemap')},\n{SITEMAP_ENTRIES}")
 def rules_sitemap_entries(spark, sf_dir):
-    return rules.issues(audit.prepare_sitemap(tables(spark)), rules.SITEMAP_RULES)
+    return rules.issues(audit.prepare_sitemap(tables(spark, sf_dir)), rules.SITEMAP_RULES)
 
 
 @register(
@@ -141,12 +141,12 @@ prepared AS (SELECT page_id, url, v IS NOT NULL AS is_valid, coalesce(json_exist
 {rules.to_duckdb(rules.SCHEMA_RULES, "prepared")}""",
 )
 def rules_schema_blocks(spark, sf_dir):
-    return rules.issues(audit.prepare_schema(tables(spark)), rules.SCHEMA_RULES)
+    return rules.issues(audit.prepare_schema(tables(spark, sf_dir)), rules.SCHEMA_RULES)
 
 
 @register("rules_render_blocking", f"WITH {values_sql('fx_resources')}, prepared AS (SELECT *, count(*) FILTER (is_render_blocking) OVER (PARTITION BY page_id) AS blocking_count FROM fx_resources) {rules.to_duckdb(rules.RESOURCE_RULES, 'prepared')}")
 def rules_render_blocking(spark, sf_dir):
-    return rules.issues(audit.prepare_resources(tables(spark)), rules.RESOURCE_RULES)
+    return rules.issues(audit.prepare_resources(tables(spark, sf_dir)), rules.RESOURCE_RULES)
 
 
 @register(
@@ -171,7 +171,7 @@ UNION ALL SELECT 'indexable_counts', 'info', indexable || '/' || pages FROM a"""
 def site_checks(spark, sf_dir):
     from ..operators.aggregates import site_checks as checks
 
-    return checks(tables(spark)["fx_pages"])
+    return checks(tables(spark, sf_dir)["fx_pages"])
 
 
 @register(
@@ -186,4 +186,4 @@ SELECT *, round(.25 * hsts_pct + .25 * csp_pct + .2 * xcto_pct + .15 * xfo_pct +
 def security_header_coverage(spark, sf_dir):
     from ..operators.aggregates import header_coverage
 
-    return header_coverage(tables(spark)["fx_pages"])
+    return header_coverage(tables(spark, sf_dir)["fx_pages"])

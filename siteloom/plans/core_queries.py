@@ -347,12 +347,14 @@ _HOPS_SQL = ", ".join(f"('{u}', '{t}')" for u, t in _HOPS)
 
 @register(
     "redirect_chains",
-    f"""WITH RECURSIVE h(url, target) AS (VALUES {_HOPS_SQL}), w(url, path, is_loop) AS (SELECT url, [url, target], url = target FROM h UNION ALL
+    f"""WITH RECURSIVE h(url, target) AS (SELECT * FROM (VALUES {_HOPS_SQL}) UNION ALL SELECT 's' || s_suppkey, 's' || ((s_suppkey * 7 + 3) % 97) FROM supplier WHERE s_suppkey % 5 <> 0), w(url, path, is_loop) AS (SELECT url, [url, target], url = target FROM h UNION ALL
   SELECT w.url, list_append(path, h.target), list_contains(path, h.target) FROM w JOIN h ON h.url = path[len(path)] WHERE NOT is_loop AND len(path) < 10)
 SELECT url, array_to_string(arg_max(path, len(path)), ' -> ') AS path, bool_or(is_loop) AS is_loop, CAST(max(len(path)) - 1 AS INTEGER) AS hops FROM w GROUP BY url""",
 )
 def redirect_chains(spark, sf_dir):
-    d = graph.redirect_chains(spark.createDataFrame(_HOPS, "url string, target string"))
+    k, name = F.col("s_suppkey"), lambda c: F.concat(F.lit("s"), c.cast("string"))
+    hops = table(spark, sf_dir, "supplier").where(k % 5 != 0).select(name(k).alias("url"), name((k * 7 + 3) % 97).alias("target"))
+    d = graph.redirect_chains(hops.unionByName(spark.createDataFrame(_HOPS, "url string, target string")))
     return d.select("url", F.array_join("path", " -> ").alias("path"), "is_loop", "hops")
 
 
@@ -448,7 +450,7 @@ SELECT url, kind, url_type, indexability_status, canonical_status, inlinks, outl
 UNION ALL SELECT url, kind, CASE WHEN regexp_extract(url, '//([^/?#]*)', 1) = 'example.com' THEN 'Internal' ELSE 'External' END, NULL, NULL, NULL, NULL, parent_url, NULL FROM x WHERE url NOT IN (SELECT url FROM fx_pages)""",
 )
 def enriched_pages(spark, sf_dir):
-    d = views.enrich(tables(spark), "example.com")
+    d = views.enrich(tables(spark, sf_dir), "example.com")
     return d.select("url", "kind", "url_type", "indexability_status", "canonical_status", "inlinks", "outlinks", "parent_url", "redirect_chain_type")
 
 
@@ -479,7 +481,7 @@ _TABS = " UNION ALL ".join(
 
 @register("tabs", f"WITH {values_sql(*_TAB_TABLES)}, {_MASTER} {_TABS}")
 def tabs(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     return views.tab_counts(views.enrich(t, "example.com"), t)
 
 
@@ -495,7 +497,7 @@ r AS (SELECT 'encountered' AS node, count(*) AS n, 1 AS g FROM k UNION ALL SELEC
 SELECT node, n, round(100.0 * n / greatest(CASE g WHEN 1 THEN c ELSE i END, 1), 1)::DOUBLE AS pct FROM r, a""",
 )
 def workspace_tree(spark, sf_dir):
-    return views.workspace_tree(views.enrich(tables(spark), "example.com"))
+    return views.workspace_tree(views.enrich(tables(spark, sf_dir), "example.com"))
 
 
 @register(
@@ -503,13 +505,13 @@ def workspace_tree(spark, sf_dir):
     f"WITH {values_sql('fx_pages', 'fx_links')}, i AS (SELECT rtrim(target_url, '/') AS k, count(DISTINCT source_url) AS u FROM fx_links GROUP BY 1) SELECT page_id, CAST(round(CASE WHEN coalesce(internal_pagerank, 0) > 0 THEN least(internal_pagerank * 100, 100) ELSE least(100.0 * coalesce(u, 0) / (SELECT count(*) FROM fx_pages), 100) END, 2) AS DOUBLE) AS link_score FROM fx_pages LEFT JOIN i ON i.k = rtrim(url, '/')",
 )
 def link_scores(spark, sf_dir):
-    pages = views.enrich(tables(spark), "example.com").where("page_id is not null")
+    pages = views.enrich(tables(spark, sf_dir), "example.com").where("page_id is not null")
     return views.link_score(pages).select("page_id", "link_score")
 
 
 @register("result_previews", f"WITH {values_sql('fx_pages')} SELECT url, coalesce(nullif(title, ''), 'No title set') AS title, coalesce(nullif(meta_description, ''), 'No meta description set for this webpage.') AS description FROM fx_pages")
 def result_previews(spark, sf_dir):
-    return views.result_preview(tables(spark)["fx_pages"])
+    return views.result_preview(tables(spark, sf_dir)["fx_pages"])
 
 
 @register("page_lengths", f"WITH {_FEATURES} SELECT page_id, CAST(length(trim(title)) AS INTEGER) AS title_length, CAST(length(h1) AS INTEGER) AS h1_length, 'OK' AS status FROM f")
@@ -535,7 +537,7 @@ def url_search(spark, sf_dir):
 def export_urls(spark, sf_dir):
     from ..operators import exports
 
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     full = exports.urls_csv(views.enrich(t, "example.com"), t["fx_links"].select(F.lit(None).cast("bigint").alias("page_id")))
     assert len(full.columns) == 28
     return full.select("URL", "URL Type", "Status Code", "MIME Type", "Language", "Page Size (Bytes)")
@@ -543,12 +545,12 @@ def export_urls(spark, sf_dir):
 
 @register("sitemap_rows", f"WITH {values_sql('fx_pages')} SELECT url, CAST(CASE coalesce(crawl_depth, 0) WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS priority FROM fx_pages WHERE status_code = 200 AND coalesce(is_indexable, false) AND lower(content_type) LIKE '%html%' AND (trim(coalesce(canonical, '')) = '' OR rtrim(trim(canonical), '/') = rtrim(url, '/'))")
 def sitemap_rows(spark, sf_dir):
-    return views.sitemap_rows(tables(spark)["fx_pages"])
+    return views.sitemap_rows(tables(spark, sf_dir)["fx_pages"])
 
 
 @register("crawl_graph_edges", f"WITH {values_sql('fx_pages', 'fx_links')}, n AS (SELECT p.url FROM fx_pages p LEFT JOIN (SELECT target_url, count(*) AS c FROM fx_links WHERE is_internal GROUP BY 1) i ON i.target_url = p.url ORDER BY coalesce(crawl_depth, 99) <> 0, coalesce(c, 0) DESC, crawl_depth NULLS LAST, p.url LIMIT 6) SELECT DISTINCT source_url, target_url FROM fx_links WHERE is_internal AND source_url IN (SELECT url FROM n) AND target_url IN (SELECT url FROM n)")
 def crawl_graph_edges(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     return views.crawl_graph(t["fx_pages"], t["fx_links"], most_nodes=6)[1]
 
 
@@ -560,8 +562,8 @@ def upsert_latest(spark, sf_dir):
 
 @register("resource_totals", f"WITH {values_sql('fx_resources')} SELECT resource_type, count(*) AS n, count(*) FILTER (is_render_blocking) AS blocking, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM fx_resources GROUP BY resource_type")
 def resource_totals(spark, sf_dir):
-    g = tables(spark)["fx_resources"].groupBy("resource_type").agg(F.count("*").alias("n"), F.count_if("is_render_blocking").alias("blocking"))
-    total = tables(spark)["fx_resources"].agg(F.count("*").alias("_total"))
+    g = tables(spark, sf_dir)["fx_resources"].groupBy("resource_type").agg(F.count("*").alias("n"), F.count_if("is_render_blocking").alias("blocking"))
+    total = tables(spark, sf_dir)["fx_resources"].agg(F.count("*").alias("_total"))
     return aggregates.with_total(g, total).withColumn("pct", aggregates.share(F.col("n"), F.col("_total"))).drop("_total")
 
 

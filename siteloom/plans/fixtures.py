@@ -1,6 +1,7 @@
-"""Small crawl tables with one case or more for each rule, in Spark and as SQL values.
+"""Crawl tables for the audit's queries, in Spark and as SQL: a page and more for each supplier of the given tables, and rows with one case or more for each rule.
 
-The synthetic tables hold no headers, redirects or tags, so the rules that read these run over these rows.
+The captured pages of the given tables hold no headers, redirects or tags, so these are derived from the suppliers: a row of the supplier table makes a page, its links, images, headings, tags,
+structured data, responses and sitemap entries.
 """
 
 from __future__ import annotations
@@ -84,13 +85,71 @@ ROWS = {"fx_pages": PAGES, "fx_links": LINKS, "fx_images": IMAGES, "fx_headings"
 SCHEMAS = {name: (ROWS[name], schema) for name, schema in TABLES.items()}
 
 
-def tables(spark: SparkSession) -> dict[str, DataFrame]:
+_K, _ABOUT = "s_suppkey", "All the parts that ' || s_name || ' supplies, with prices, stock and times of delivery for each nation"
+_TEXT = f"CAST({_K} AS STRING)"
+_HERE = f"CASE WHEN {_K} % 13 = 5 THEN 'http' ELSE 'https' END || '://example.com/s/' || {_TEXT} || CASE WHEN {_K} % 9 = 4 THEN '/' ELSE '' END"
+
+
+def _at(shift: str) -> str:
+    return f"'{E1}/s/' || CAST({_K} {shift} AS STRING)"
+
+
+#: Columns of the rows that a supplier makes; CHAIN and MAP stand for what the two engines write differently. Columns that aren't named are null.
+DERIVED = {
+    "fx_pages": [
+        dict(
+            page_id=f"1000 + {_K}", url=_HERE, status_code=f"CASE {_K} % 12 WHEN 3 THEN 404 WHEN 7 THEN 503 WHEN 5 THEN 301 ELSE 200 END", content_type=f"CASE WHEN {_K} % 11 = 10 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END",
+            title=f"CASE {_K} % 10 WHEN 0 THEN NULL WHEN 1 THEN 'Short' WHEN 2 THEN 'The same title for many suppliers, long enough' ELSE s_name || ' and the parts it supplies' END",
+            meta_description=f"CASE {_K} % 6 WHEN 0 THEN NULL WHEN 1 THEN 'short' ELSE '{_ABOUT}' END", h1=f"CASE WHEN {_K} % 8 <> 0 THEN s_name END", canonical=f"CASE {_K} % 5 WHEN 0 THEN NULL WHEN 1 THEN {_at('+ 1')} ELSE {_HERE} END",
+            is_indexable=f"{_K} % 7 <> 2", crawl_depth=f"CASE WHEN {_K} % 15 <> 14 THEN 1 + {_K} % 7 END", word_count=f"{_K} * 37 % 900", html_size=f"CASE WHEN {_K} % 20 = 19 THEN 6000000 + {_K} ELSE 5000 + {_K} * 1013 END", response_time_ms=f"{_K} * 131 % 4000",
+            redirect_url=f"CASE WHEN {_K} % 12 = 5 THEN {_at('+ 2')} END", redirect_chain=f"CASE WHEN {_K} % 12 = 5 THEN CHAIN({_HERE};301;{_at('+ 2')};200) END", viewport=f"CASE WHEN {_K} % 4 <> 0 THEN 'width=device-width, initial-scale=1' END", lang=f"CASE WHEN {_K} % 9 <> 0 THEN 'en' END",
+            og_title=f"CASE WHEN {_K} % 3 <> 0 THEN s_name END", og_description=f"CASE WHEN {_K} % 3 = 1 THEN '{_ABOUT}' END", og_image=f"CASE WHEN {_K} % 3 <> 0 THEN '/img/' || {_TEXT} || '.jpg' END", og_type=f"CASE WHEN {_K} % 4 = 1 THEN 'website' END", twitter_card=f"CASE WHEN {_K} % 2 = 0 THEN 'summary' END",
+            content_hash=f"'c' || CAST({_K} % 40 AS STRING)", raw_hash=f"'r' || {_TEXT}", rendered_hash=f"'r' || CAST({_K} - {_K} % 2 AS STRING)", dom_size=f"{_K} * 53 % 2500", internal_pagerank=f"{_K} * 17 % 100", robots_blocked=f"{_K} % 16 = 9", lcp_ms=f"{_K} * 97 % 5000", cls=f"{_K} % 32 * 0.0078125", fcp_ms=f"{_K} * 61 % 4000",
+            headers=f"CASE {_K} % 3 WHEN 0 THEN MAP('Strict-Transport-Security';'max-age=60';'X-Frame-Options';'DENY') WHEN 1 THEN MAP('Content-Security-Policy';'default-src *';'X-Content-Type-Options';'nosniff') END",
+        ),
+    ],
+    "fx_links": [
+        dict(link_id=f"100000 + 4 * {_K}", source_page_id=f"1000 + {_K}", source_url=_HERE, target_url=_at("+ 1"), anchor_text=f"CASE {_K} % 4 WHEN 0 THEN 'read more' WHEN 1 THEN '' ELSE 'the next supplier' END", is_internal="true", nofollow=f"{_K} % 6 = 0", rel=f"CASE WHEN {_K} % 6 = 0 THEN 'nofollow' END", target_blocked=f"{_K} % 14 = 3"),
+        dict(link_id=f"100001 + 4 * {_K}", source_page_id=f"1000 + {_K}", source_url=_HERE, target_url=f"'{E1}/'", anchor_text="'Home of the shop'", is_internal="true", nofollow="false", target_blocked="false"),
+        dict(link_id=f"100002 + 4 * {_K}", source_page_id=f"1000 + {_K}", source_url=_HERE, target_url=f"'https://other.org/p/' || {_TEXT}", anchor_text="s_name", is_internal="false", nofollow="false", rel="'noopener'", target_blocked="false"),
+    ],
+    "fx_images": [dict(page_id=f"1000 + {_K}", url=_HERE, src=f"'{E1}/img/' || {_TEXT} || '.jpg'", alt_text=f"CASE WHEN {_K} % 3 <> 0 THEN s_name END", format="'jpg'", file_size=f"{_K} * 3000", has_dimensions=f"{_K} % 2 = 0", is_lazy_loaded=f"{_K} % 5 = 0", is_broken=f"{_K} % 10 = 9")],
+    "fx_headings": [dict(page_id=f"1000 + {_K}", position="0", tag="'h1'", text="s_name"), dict(page_id=f"1000 + {_K}", position="1", tag=f"CASE {_K} % 4 WHEN 0 THEN 'h3' WHEN 1 THEN 'h1' ELSE 'h2' END", text="'Parts'")],
+    "fx_resources": [dict(page_id=f"1000 + {_K}", url=f"'{E1}/s.css'", resource_type="'css'", is_render_blocking="true"), dict(page_id=f"1000 + {_K}", url=f"CASE WHEN {_K} % 8 = 1 THEN 'http' ELSE 'https' END || '://cdn.test/' || {_TEXT} || '.js'", resource_type="'js'", is_render_blocking=f"{_K} % 3 = 0")],
+    "fx_hreflang": [dict(page_id=f"1000 + {_K}", url=_HERE, lang_code="'en'", target_url=_HERE), dict(page_id=f"1000 + {_K}", url=_HERE, lang_code=f"CASE WHEN {_K} % 5 = 0 THEN 'deutsch' ELSE 'de' END", target_url=f"CASE WHEN {_K} % 2 = 0 THEN {_at('+ 1')} ELSE {_at('- 1')} END")],
+    "fx_pagination": [dict(tag_id=f"1000 + 2 * {_K}", page_id=f"1000 + {_K}", url=_HERE, rel_type="'next'", target_url=_at("+ 1")), dict(tag_id=f"1001 + 2 * {_K}", page_id=f"1000 + {_K}", url=_HERE, rel_type="'prev'", target_url=_at("- 1"))],
+    "fx_sitemap": [dict(url=f"CASE WHEN {_K} % 4 <> 3 THEN {_HERE} ELSE {_at('+ 1000000')} END", sitemap_url=f"'{E1}/sitemap-suppliers.xml'")],
+    "fx_structured": [dict(page_id=f"1000 + {_K}", url=_HERE, data_json=f"""CASE {_K} % 4 WHEN 0 THEN '{{"@context": "https://schema.org", "@type": "Organization", "name": "' || s_name || '"}}' WHEN 1 THEN '{{"@type": "Product"}}' WHEN 2 THEN '{{broken' ELSE '[{{"@context": "https://schema.org", "@type": "Article", "headline": "h"}}]' END""")],
+    "fx_status": [dict(url=f"'https://other.org/p/' || {_TEXT}", status_code=f"CASE WHEN {_K} % 5 = 0 THEN 404 ELSE 200 END")],
+}
+
+
+def _expression(text: str, chain: str, hop: str, pairs: str, between: str) -> str:
+    import re
+
+    def chained(m) -> str:
+        a, s, b, t = m[1].split(";")
+        return chain.format(", ".join(hop.format(u, c) for u, c in ((a, s), (b, t))))
+
+    def mapped(m) -> str:
+        parts = m[1].split(";")
+        return pairs.format(", ".join(f"{k}{between}{v}" for k, v in zip(parts[::2], parts[1::2])))
+
+    return re.sub(r"MAP\(([^()]*)\)", mapped, re.sub(r"CHAIN\((.*)\)(?= END$)", chained, text))
+
+
+def tables(spark: SparkSession, sf_dir: str | None = None) -> dict[str, DataFrame]:
+    """The tables; without a folder only the rows with a case for each rule."""
     from pyspark.sql import types as T
 
     out = {}
     for name, (rows, schema) in SCHEMAS.items():
         shape = T._parse_datatype_string(schema)
         out[name] = spark.createDataFrame([tuple(r[f.name] for f in shape.fields) for r in rows], shape)
+        for made in DERIVED[name] if sf_dir else ():
+            of = lambda e: _expression(e, "array({})", "named_struct('url', {}, 'status', {})", "map({})", ", ")
+            more = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(*[f"CAST({of(made[f.name]) if f.name in made else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in shape.fields])
+            out[name] = out[name].unionByName(more)
     return out
 
 
@@ -112,7 +171,7 @@ _TYPES = {"string": "VARCHAR", "int": "INTEGER", "array<struct<url:string,status
 
 
 def values_sql(*names: str) -> str:
-    """CTE definitions of fixture tables."""
+    """CTE definitions of the same tables."""
     import re
 
     out = []
@@ -122,5 +181,7 @@ def values_sql(*names: str) -> str:
         columns = [f for f, _ in fields]
         casts = ", ".join(f"CAST({f} AS {_TYPES.get(t, t.upper())}) AS {f}" for f, t in fields)
         body = ", ".join("(" + ", ".join(_value(r[c]) for c in columns) + ")" for r in rows)
-        out.append(f"{name} AS (SELECT {casts} FROM (VALUES {body}) v({', '.join(columns)}))")
+        of = lambda e: _expression(e, "[{}]", "{{'url': {}, 'status': {}}}", "MAP {{{}}}", ": ")
+        more = "".join(f" UNION ALL SELECT {', '.join(f'CAST({of(made.get(f, 'NULL'))} AS {_TYPES.get(t, t.upper())}) AS {f}' for f, t in fields)} FROM supplier" for made in DERIVED[name])
+        out.append(f"{name} AS MATERIALIZED (SELECT {casts} FROM (VALUES {body}) v({', '.join(columns)}){more})")
     return ",\n".join(out)

@@ -23,7 +23,7 @@ derivable AS (SELECT p.page_id, p.url, status_code, coalesce(content_type, '') =
 
 @register("derived_issues", f"WITH {values_sql(*_PARTS)}, {_DERIVABLE} {rules.to_duckdb(issues.DERIVED_RULES, 'derivable')}")
 def derived_issues(spark, sf_dir):
-    return issues.derived_issues(tables(spark), DOMAIN)
+    return issues.derived_issues(tables(spark, sf_dir), DOMAIN)
 
 
 @register("crawl_derived_issues", f"WITH {site_sql(*_PARTS)}, {_DERIVABLE} {rules.to_duckdb(issues.DERIVED_RULES, 'derivable')}")
@@ -40,7 +40,7 @@ _CATALOGUE = ", ".join(f"('{c}', '{n}', '{a}')" for c, n, a, _ in issues.CATALOG
 SELECT page_id, issue_type, coalesce(issue_name, array_to_string(list_transform(string_split(issue_type, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')) AS issue_name, coalesce(area, 'Technical SEO') AS area, count(*) AS n FROM i LEFT JOIN c USING (issue_type) GROUP BY ALL""",
 )
 def catalogued_issues(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     technical = rules.issues(audit.prepare_pages(t), tuple(r for r in rules.PAGE_RULES if r.pack == "technical"))
     both = issues.derived_issues(t, DOMAIN).unionByName(technical)
     return issues.catalogued(both).groupBy("page_id", "issue_type", "issue_name", "area").agg(F.count("*").alias("n"))
@@ -57,14 +57,14 @@ UNION ALL SELECT 'sitewide', 'avg_page_load_time', 'info', CAST(round(avg(nullif
 UNION ALL SELECT 'sitewide', 'no_social_links', 'info', '' WHERE NOT EXISTS (SELECT 1 FROM fx_links WHERE NOT is_internal AND regexp_matches(lower(regexp_extract(target_url, '//([^/?#]*)', 1)), 'facebook[.]com|twitter[.]com|instagram[.]com|linkedin[.]com|youtube[.]com'))
 UNION ALL SELECT 'performance', 'largest_pages', 'info', string_agg(url, ', ' ORDER BY html_size DESC, url) FROM (SELECT * FROM fx_pages WHERE html_size > 0 ORDER BY html_size DESC, url LIMIT 5) HAVING count(*) > 0
 UNION ALL SELECT 'performance', 'slowest_pages', 'warning', string_agg(url, ', ' ORDER BY response_time_ms DESC, url) FROM (SELECT * FROM fx_pages WHERE response_time_ms > 0 ORDER BY response_time_ms DESC, url LIMIT 5) HAVING count(*) > 0
-UNION ALL SELECT 'security', 'site_wide_missing_hsts', 'warning', CAST(count(*) AS VARCHAR) FROM fx_pages WHERE url LIKE 'https://%' AND coalesce(headers['Strict-Transport-Security'], '') = '' HAVING count(*) > 0
+UNION ALL SELECT 'security', 'site_wide_missing_hsts', 'warning', CAST(count(*) AS VARCHAR) FROM fx_pages WHERE url LIKE 'https://%' AND headers IS NOT NULL AND coalesce(headers['Strict-Transport-Security'], '') = '' HAVING count(*) > 0
 UNION ALL SELECT 'structured_data', 'schema_distribution', 'info', {_histogram("t", f"{_SCHEMA_TYPES} WHERE t <> '' AND t").replace("WHERE t <> '' AND t WHERE", "WHERE t <> '' AND")} WHERE EXISTS (SELECT 1 FROM {_SCHEMA_TYPES} WHERE t <> '')"""
 _COVERED = f"UNION ALL SELECT 'security', 'security_headers_summary', severity, CAST(score AS VARCHAR) FROM ({twin('security_header_coverage')})"
 
 
 @register("site_level_issues", f"WITH {values_sql('fx_pages', 'fx_links', 'fx_structured')} {_SITE_LEVEL} {_COVERED}")
 def site_level_issues(spark, sf_dir):
-    return issues.site_level(tables(spark))
+    return issues.site_level(tables(spark, sf_dir))
 
 
 _RELATION_TWINS = ("rules_link_targets", "rules_images", "rules_hreflang", "rules_pagination", "rules_sitemap_entries", "rules_schema_blocks", "rules_render_blocking", "derived_issues")
@@ -78,7 +78,7 @@ _ALL_ISSUES = (
 
 @register("issues", _ALL_ISSUES)
 def all_issues(spark, sf_dir):
-    return issues.all_issues(tables(spark), DOMAIN)
+    return issues.all_issues(tables(spark, sf_dir), DOMAIN)
 
 
 #: The list page reads the issues of the captured pages.
@@ -113,7 +113,7 @@ _TARGETS = "l AS (SELECT source_url AS url, target_url, anchor_text, is_internal
 
 @register("link_list", f"WITH {values_sql('fx_pages', 'fx_links', 'fx_status')}, {_TARGETS} SELECT 'broken' AS list, url, target_url FROM l WHERE is_internal AND (target_status >= 400 OR target_status = 0) UNION ALL SELECT 'redirects', url, target_url FROM l WHERE is_internal AND target_status IN (301, 302, 307, 308) UNION ALL SELECT '200', url, target_url FROM l WHERE is_internal AND target_status = 200 AND (lower(target_url) LIKE '%about%' OR lower(url) LIKE '%about%' OR lower(anchor_text) LIKE '%about%') UNION ALL SELECT 'nofollow', url, target_url FROM l WHERE is_internal AND nofollow")
 def link_list(spark, sf_dir):
-    links, out = audit.prepare_links(tables(spark)), None
+    links, out = audit.prepare_links(tables(spark, sf_dir)), None
     for status in ("broken", "redirects", "200", "nofollow"):
         d = issues.filter_links(links, status, "About" if status == "200" else None).select(F.lit(status).alias("list"), "url", "target_url")
         out = d if out is None else out.unionByName(d)
@@ -122,7 +122,7 @@ def link_list(spark, sf_dir):
 
 @register("link_stats", f"WITH {values_sql('fx_pages', 'fx_links', 'fx_status')}, {_TARGETS} SELECT count(*) AS links, count(*) FILTER (target_status >= 400 OR target_status = 0) AS broken, count(*) FILTER (target_status IN (301, 302, 307, 308)) AS redirects, count(*) FILTER (nofollow) AS nofollow, count(DISTINCT target_url) AS targets FROM l WHERE is_internal")
 def link_stats(spark, sf_dir):
-    return issues.link_stats(audit.prepare_links(tables(spark)))
+    return issues.link_stats(audit.prepare_links(tables(spark, sf_dir)))
 
 
 @register("search_issues", "SELECT page_id, url, 'technical' AS category, 'warning' AS severity, 'custom_search_match' AS issue_type FROM pages WHERE html LIKE '%class=\"ad\"%' AND html LIKE '%an%' UNION ALL SELECT page_id, url, 'technical', 'warning', 'custom_search_match' FROM pages WHERE html NOT LIKE '%The%'")
@@ -172,7 +172,7 @@ tests AS (SELECT unnest([
 def site_tests(spark, sf_dir):
     from ..operators import report
 
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     found = rules.issues(audit.prepare_pages(t), rules.PAGE_RULES).select("issue_type").unionByName(rules.issues(audit.prepare_sitemap(t), rules.SITEMAP_RULES).select("issue_type"))
     return report.site_tests(t, found)
 

@@ -128,7 +128,7 @@ _HAS = "trim(coalesce({c}, '')) <> ''"
 
 @register("social_coverage", f"WITH {values_sql('fx_pages')} SELECT count(*) AS pages, {_SHARE.format(c=' AND '.join(_HAS.format(c=c) for c in ('og_title', 'og_description', 'og_image')), n='complete_og_pct')}, {', '.join(_SHARE.format(c=_HAS.format(c=c), n=n) for c, n in (('og_title', 'og_title_pct'), ('og_image', 'og_image_pct'), ('og_description', 'og_desc_pct'), ('twitter_card', 'twitter_card_pct')))} FROM fx_pages WHERE lower(content_type) LIKE '%html%'")
 def social_coverage(spark, sf_dir):
-    return aggregates.social_coverage(tables(spark)["fx_pages"])
+    return aggregates.social_coverage(tables(spark, sf_dir)["fx_pages"])
 
 
 @register("sitemap_counts", "SELECT regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS sitemap_url, count(*) AS entries, count(DISTINCT url) AS urls, count(*) > 50000 AS too_many FROM pages GROUP BY 1")
@@ -138,7 +138,7 @@ def sitemap_counts(spark, sf_dir):
 
 @register("schema_types", f"WITH {values_sql('fx_structured')}, t AS (SELECT page_id, json_extract_string(CASE WHEN json_valid(data_json) THEN CASE WHEN data_json LIKE '[%' THEN json_extract(data_json, '$[0]') ELSE CAST(data_json AS JSON) END END, '$.\"@type\"') AS schema_type FROM fx_structured) SELECT schema_type, count(*) AS blocks, count(DISTINCT page_id) AS pages FROM t WHERE schema_type <> '' GROUP BY 1")
 def schema_types(spark, sf_dir):
-    return aggregates.schema_types(audit.prepare_schema(tables(spark)))
+    return aggregates.schema_types(audit.prepare_schema(tables(spark, sf_dir)))
 
 
 @register("crawl_stats", "SELECT count(*) AS pages, greatest(1, date_diff('second', min(ts), max(ts))) AS seconds, round(avg(nullif(value, 0)), 1) AS avg_ms, round(count(*) / greatest(1, date_diff('second', min(ts), max(ts))), 2) AS pages_per_second FROM events")
@@ -148,7 +148,7 @@ def crawl_stats(spark, sf_dir):
 
 @register("objects_by_kind", f"WITH {values_sql('fx_resources', 'fx_images')}, o AS (SELECT CASE WHEN resource_type = 'js' THEN 'javascript' ELSE 'css' END AS kind, NULL AS size FROM fx_resources UNION ALL SELECT 'image', file_size FROM fx_images) SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, round(100.0 * count(*) / (SELECT count(*) FROM o), 1)::DOUBLE AS pct FROM o GROUP BY kind")
 def objects_by_kind(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     return aggregates.objects_by_kind(t["fx_resources"], t["fx_images"])
 
 

@@ -82,7 +82,7 @@ _BLANK = "trim(coalesce({c}, '')) = ''"
 SELECT a.*, (SELECT count(*) FROM (SELECT url FROM fx_pages UNION SELECT target_url FROM fx_links)) AS discovered FROM a""",
 )
 def site_overview(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     return report.overview(t["fx_pages"], t["fx_links"])
 
 
@@ -97,7 +97,7 @@ g AS (SELECT category, count(*) FILTER (status = 'passed') AS passed, count(*) F
 SELECT coalesce(category, 'all') AS category, passed, warning, failed, CAST(CASE WHEN category IS NULL THEN least(greatest(round((passed * 100 + warning * 55) / (passed + warning + failed)), 15), 99) ELSE least(greatest(round((passed * 100 + warning * 50) / (passed + warning + failed)), 0), 100) END AS DOUBLE) AS score FROM g""",
 )
 def report_scores(spark, sf_dir):
-    return report.scores(report.page_tests(tables(spark)["fx_pages"]))
+    return report.scores(report.page_tests(tables(spark, sf_dir)["fx_pages"]))
 
 
 @register(
@@ -109,28 +109,28 @@ e AS (SELECT 'desktop' AS device, ttfb, fcp, lcp, cls, score FROM d UNION ALL SE
 SELECT *, CASE WHEN ttfb < 0.8 THEN 'good' WHEN ttfb < 1.8 THEN 'moderate' ELSE 'poor' END AS ttfb_status, CASE WHEN fcp < 1.8 THEN 'good' WHEN fcp < 3 THEN 'moderate' ELSE 'poor' END AS fcp_status, CASE WHEN lcp < 2.5 THEN 'good' WHEN lcp < 4 THEN 'moderate' ELSE 'poor' END AS lcp_status, CASE WHEN cls < 0.1 THEN 'good' WHEN cls < 0.25 THEN 'moderate' ELSE 'poor' END AS cls_status FROM e""",
 )
 def loading_metrics(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     return report.loading_metrics(t["fx_pages"], t["fx_images"])
 
 
 @register("measured_metrics", f"WITH {values_sql('fx_pages')} SELECT round(avg(nullif(lcp_ms, 0)) / 1000, 2) AS lcp_s, round(avg(cls), 3) AS cls, round(avg(nullif(fcp_ms, 0)) / 1000, 2) AS fcp_s, count(*) AS pages FROM fx_pages")
 def measured_metrics(spark, sf_dir):
-    return report.measured_metrics(tables(spark)["fx_pages"])
+    return report.measured_metrics(tables(spark, sf_dir)["fx_pages"])
 
 
 @register("objects_by_domain", f"WITH {values_sql('fx_resources')} SELECT regexp_extract(url, '//([^/?#]*)', 1) AS domain, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM fx_resources), 1) AS pct FROM fx_resources GROUP BY ALL ORDER BY n DESC, domain LIMIT 12")
 def objects_by_domain(spark, sf_dir):
-    return report.objects_by_domain(tables(spark)["fx_resources"])
+    return report.objects_by_domain(tables(spark, sf_dir)["fx_resources"])
 
 
 @register("slowest_pages", f"WITH {values_sql('fx_pages')} SELECT url, response_time_ms FROM fx_pages WHERE response_time_ms IS NOT NULL ORDER BY response_time_ms DESC, url LIMIT 5")
 def slowest_pages(spark, sf_dir):
-    return report.slowest(tables(spark)["fx_pages"])
+    return report.slowest(tables(spark, sf_dir)["fx_pages"])
 
 
 @register("sitemap_coverage", f"WITH {values_sql('fx_pages', 'fx_sitemap')}, g AS (SELECT DISTINCT rtrim(url, '/') AS k FROM fx_pages WHERE status_code = 200 AND coalesce(is_indexable, false)), c AS (SELECT count(*) AS indexable, count(*) FILTER (k IN (SELECT rtrim(url, '/') FROM fx_sitemap)) AS in_sitemap FROM g), p AS (SELECT *, round(100.0 * in_sitemap / indexable, 1)::DOUBLE AS pct FROM c) SELECT *, CASE WHEN pct >= 90 THEN 'info' WHEN pct >= 70 THEN 'warning' ELSE 'critical' END AS severity FROM p")
 def sitemap_coverage(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     return report.coverage(t["fx_pages"], t["fx_sitemap"])
 
 
@@ -169,17 +169,17 @@ def low_ctr(spark, sf_dir):
 
 @register("export_images", f"WITH {values_sql('fx_images')} SELECT url, src, coalesce(alt_text, '') AS alt_text, CASE WHEN trim(coalesce(alt_text, '')) = '' THEN 'Missing' ELSE 'OK' END AS alt_status, format, file_size FROM fx_images")
 def export_images(spark, sf_dir):
-    return exports.images_csv(tables(spark)["fx_images"])
+    return exports.images_csv(tables(spark, sf_dir)["fx_images"])
 
 
 @register("export_redirects", f"WITH {values_sql('fx_pages')} SELECT url, status_code, CAST(len(redirect_chain) AS INTEGER) AS hops, array_to_string(list_transform(redirect_chain, lambda c: c.url || ' (' || c.status || ')'), ' -> ') AS chain, redirect_chain[len(redirect_chain)].url AS final_url FROM fx_pages WHERE len(redirect_chain) > 0")
 def export_redirects(spark, sf_dir):
-    return exports.redirects_csv(tables(spark)["fx_pages"])
+    return exports.redirects_csv(tables(spark, sf_dir)["fx_pages"])
 
 
 @register("export_links", f"WITH {values_sql('fx_links')} SELECT source_url, target_url, anchor_text, is_internal, nofollow FROM fx_links")
 def export_links(spark, sf_dir):
-    return exports.links_csv(tables(spark)["fx_links"])
+    return exports.links_csv(tables(spark, sf_dir)["fx_links"])
 
 
 _MOBILE = tuple(r for r in rules.PAGE_RULES if r.pack == "mobile")
@@ -191,13 +191,13 @@ _MOBILE = tuple(r for r in rules.PAGE_RULES if r.pack == "mobile")
 SELECT page_id, url, status_code, title, word_count, CAST(n AS BIGINT) AS issue_count FROM fx_pages JOIN n USING (page_id)""",
 )
 def export_pages(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     return exports.pages_csv(t["fx_pages"], rules.issues(audit.prepare_pages(t), _MOBILE))
 
 
 @register("inspector_links", f"WITH {values_sql('fx_pages', 'fx_links')} SELECT 'in' AS side, source_url AS url, anchor_text FROM fx_links WHERE rtrim(target_url, '/') = 'https://example.com/about' UNION ALL SELECT 'out', target_url, anchor_text FROM fx_links WHERE source_page_id = 2")
 def inspector_links(spark, sf_dir):
-    return inspect(tables(spark), 2)
+    return inspect(tables(spark, sf_dir), 2)
 
 
 def inspect(t, page_id: int):
@@ -216,6 +216,6 @@ def emails_in_pages(spark, sf_dir):
 @register("status_classes", f"WITH {values_sql('fx_pages')} SELECT CASE WHEN status_code IS NULL THEN NULL ELSE (status_code // 100) || 'xx' END AS class, CASE status_code WHEN 301 THEN 'Permanent (301)' WHEN 302 THEN 'Temporary (302)' WHEN 307 THEN 'Temporary (307)' WHEN 308 THEN 'Permanent (308)' END AS kind, count(*) AS n FROM fx_pages GROUP BY ALL")
 def status_classes(spark, sf_dir):
     c = F.col("status_code")
-    return tables(spark)["fx_pages"].groupBy(views.status_class(c).alias("class"), views.redirect_kind(c).alias("kind")).agg(F.count("*").alias("n"))
+    return tables(spark, sf_dir)["fx_pages"].groupBy(views.status_class(c).alias("class"), views.redirect_kind(c).alias("kind")).agg(F.count("*").alias("n"))
 
 

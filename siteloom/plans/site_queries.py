@@ -24,7 +24,7 @@ UNION ALL SELECT 'images', 'site_wide_missing_alt', 'warning', CAST(count(*) AS
 UNION ALL SELECT 'pagination', 'pagination_summary', 'info', count(*) || '/' || count(DISTINCT url) FROM fx_pagination HAVING count(*) > 0 UNION ALL SELECT 'structured_data', 'schema_coverage', 'info', CAST(round(100.0 * marked / greatest(html, 1), 1)::DOUBLE AS VARCHAR) FROM m, p WHERE marked > 0""",
 )
 def site_findings(spark, sf_dir):
-    return site_rules.site_findings(tables(spark))
+    return site_rules.site_findings(tables(spark, sf_dir))
 
 
 @register(
@@ -34,7 +34,7 @@ SELECT 'links' AS category, 'total_broken_internal_links' AS issue_type, 'critic
 UNION ALL SELECT 'robots', 'site_wide_blocked_internal_urls', 'warning', CAST(count(DISTINCT target_url) AS VARCHAR) FROM l WHERE is_internal AND target_blocked""",
 )
 def link_totals(spark, sf_dir):
-    return site_rules.link_totals(audit.prepare_links(tables(spark)))
+    return site_rules.link_totals(audit.prepare_links(tables(spark, sf_dir)))
 
 
 @register(
@@ -42,7 +42,7 @@ def link_totals(spark, sf_dir):
     f"WITH {values_sql('fx_pages')}, d AS (SELECT trim(og_title) AS og_title, url, count(*) OVER (PARTITION BY trim(og_title)) AS pages, row_number() OVER (PARTITION BY trim(og_title) ORDER BY url) AS n FROM fx_pages WHERE trim(coalesce(og_title, '')) <> '') SELECT og_title, max(pages) AS pages, string_agg(url, ', ' ORDER BY url) AS urls FROM d WHERE pages > 1 AND n <= 5 GROUP BY og_title",
 )
 def duplicate_social_titles(spark, sf_dir):
-    return site_rules.duplicate_social_titles(tables(spark)["fx_pages"])
+    return site_rules.duplicate_social_titles(tables(spark, sf_dir)["fx_pages"])
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
@@ -77,7 +77,7 @@ def keyword_rules(spark, sf_dir):
 
 @register("heading_order", f"WITH {values_sql('fx_headings')}, h AS (SELECT *, CAST(substr(tag, 2) AS INTEGER) AS l, lag(CAST(substr(tag, 2) AS INTEGER)) OVER (PARTITION BY page_id ORDER BY position) AS b FROM fx_headings) SELECT page_id, position, 'heading-order' AS rule_id, 'moderate' AS impact, text FROM h WHERE l > b + 1")
 def heading_order(spark, sf_dir):
-    return site_rules.heading_order(tables(spark)["fx_headings"])
+    return site_rules.heading_order(tables(spark, sf_dir)["fx_headings"])
 
 
 @register("rank_shifts", "SELECT s_suppkey AS url, round((s_acctbal + CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE 1 END) - s_acctbal, 2) AS shift FROM supplier WHERE s_suppkey % 3 = 0")
@@ -100,7 +100,7 @@ def accessibility_totals(spark, sf_dir):
 
 @register("graph_lines", f"WITH {values_sql('fx_pages', 'fx_links')} SELECT count(*) AS lines FROM (SELECT url FROM fx_pages UNION ALL SELECT DISTINCT source_url || ' ' || target_url FROM fx_links WHERE is_internal AND source_url IN (SELECT url FROM fx_pages) AND target_url IN (SELECT url FROM fx_pages))")
 def graph_lines(spark, sf_dir):
-    t = tables(spark)
+    t = tables(spark, sf_dir)
     return exports.graph_json(*views.crawl_graph(t["fx_pages"], t["fx_links"])).agg(F.count("*").alias("lines"))
 
 
@@ -108,4 +108,4 @@ def graph_lines(spark, sf_dir):
 def running_progress(spark, sf_dir):
     from ..streaming.ingest import progress
 
-    return progress(tables(spark)["fx_pages"])
+    return progress(tables(spark, sf_dir)["fx_pages"])
