@@ -122,5 +122,5 @@ def test_pipeline_equals_stages_by_brute_force(spark, sf_dir):
 
 
 def test_registered():
-    assert [n for n in queries.QUERIES] == ["op1_bpe", "op2_quality", "op3_url_filter", "op4_minhash", "op5_html_text", "op6_decontaminate", "op7_substring", "op8_hilbert_shards", "op9_toxicity", "op10_chat"]
+    assert [n for n in queries.QUERIES] == ["op1_bpe", "op2_quality", "op3_url_filter", "op4_minhash", "op5_html_text", "op6_decontaminate", "op7_substring", "op8_hilbert_shards", "op9_toxicity", "op10_chat", "op11_vectors", "op12_codes", "op13_phrases"]
     assert len(corpus_pipeline.STAGES) == 5
