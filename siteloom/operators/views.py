@@ -359,11 +359,12 @@ def sitemap_rows(enriched: DataFrame) -> DataFrame:
     return enriched.where(keep).select("url", priority.alias("priority"))
 
 
-def crawl_graph(pages: DataFrame, links: DataFrame, most_nodes: int = 100, most_edges: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """The seed and the pages with most inlinks, and the edges between them: a report's limits, in a defined order."""
+def crawl_graph(pages: DataFrame, links: DataFrame, most_nodes: int | None = 100, most_edges: int | None = 2000) -> tuple[DataFrame, DataFrame]:
+    """The seed and the pages with most inlinks, and the edges between them: a report's limits, in a defined order; without a limit all of them."""
     into = links.where("is_internal").groupBy(F.col("target_url").alias("url")).agg(F.count("*").alias("inlinks"))
     nodes = pages.join(into, "url", "left").select("page_id", "url", "crawl_depth", F.coalesce("inlinks", F.lit(0)).alias("inlinks"))
-    nodes = nodes.orderBy((F.coalesce("crawl_depth", F.lit(99)) != 0), F.desc("inlinks"), F.asc_nulls_last("crawl_depth"), "url").limit(most_nodes)
+    if most_nodes is not None:
+        nodes = nodes.orderBy((F.coalesce("crawl_depth", F.lit(99)) != 0), F.desc("inlinks"), F.asc_nulls_last("crawl_depth"), "url").limit(most_nodes)
     ends = nodes.select("url")
     edges = links.where("is_internal").select("source_url", "target_url").distinct().join(ends.withColumnRenamed("url", "source_url"), "source_url", "left_semi").join(ends.withColumnRenamed("url", "target_url"), "target_url", "left_semi")
-    return nodes, edges.orderBy("source_url", "target_url").limit(most_edges)
+    return nodes, edges if most_edges is None else edges.orderBy("source_url", "target_url").limit(most_edges)

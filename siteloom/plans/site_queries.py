@@ -101,7 +101,7 @@ def accessibility_totals(spark, sf_dir):
 @register("graph_lines", f"WITH {values_sql('fx_pages', 'fx_links')} SELECT count(*) AS lines FROM (SELECT url FROM fx_pages UNION ALL SELECT DISTINCT source_url || ' ' || target_url FROM fx_links WHERE is_internal AND source_url IN (SELECT url FROM fx_pages) AND target_url IN (SELECT url FROM fx_pages))")
 def graph_lines(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return exports.graph_json(*views.crawl_graph(t["fx_pages"], t["fx_links"])).agg(F.count("*").alias("lines"))
+    return exports.graph_json(*views.crawl_graph(t["fx_pages"], t["fx_links"], None, None)).agg(F.count("*").alias("lines"))
 
 
 @register("running_progress", f"WITH {values_sql('fx_pages')} SELECT count(*) AS pages, count(*) FILTER (status_code >= 400) AS errors, round(avg(response_time_ms), 1) AS avg_ms FROM fx_pages")
