@@ -70,7 +70,9 @@ def shop_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The audit's tables of the site, with its link graph as ``graph``; made once."""
 
     def make():
-        parsed = materialize(capture.parse(shop_pages(spark, sf_dir)), "shop")
+        # Small files of keys make large pages, so rows are dealt out before they are parsed: one file would be one task.
+        made = shop_pages(spark, sf_dir).repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        parsed = materialize(capture.parse(made), "shop")
         found = materialize(capture.link_graph(parsed.select("page_id", "url"), capture.links_of(parsed), f"{ROOT}/"), "graph")
         return capture.tables(parsed, shop_responses(spark, sf_dir), found=found) | {"graph": found}
 
