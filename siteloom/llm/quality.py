@@ -5,8 +5,8 @@ band of its length, incompressible text (random letters, encoded data) rises abo
 badly by nature, so the limits depend on length. The same is asked of fixed chunks, which catches a long
 text that is only in part junk: it is rejected when half of its chunks or more lie outside the chunk band.
 
-Good text of one length lies in a narrow range of ratios, which differs by language and source, so limits are fitted: ``fit_limits`` takes at most
-``MAX_LABELLED`` texts that are labelled good and sets each half-octave of lengths to the range of their ratios with a margin. Lengths with too
+Good text of one length lies in a narrow range of ratios, which differs by language and source, so limits are fitted: ``fit_limits`` takes all
+texts that are labelled good and sets each half-octave of lengths to the range of their ratios with a margin. Lengths with too
 few labelled texts, and corpora without labels, have the wide default bands, which reject what is plainly repetitive or random.
 
 Defined results: a null or empty text has zero counts, no ratio and fails the base rules; texts are judged
@@ -16,12 +16,15 @@ gives an empty result; other columns pass through, and clashing names are refuse
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..plans.materialize import drop_materialized, materialize
 from .batches import map_rows
 from .kernels import window_digests, span_digests, words
 
@@ -39,8 +42,12 @@ DOCUMENT_BANDS = (Band(0, 0.0, 9.0), Band(256, 0.30, 1.00), Band(512, 0.27, 0.80
 #: Of chunks of CHUNK bytes; a last chunk under half of that is judged with the whole text only.
 CHUNK, CHUNK_BAND, CHUNK_SHARE, LEVEL = 4096, Band(2048, 0.22, 0.70), 0.5, 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Labelled texts to fit limits on; of one length at least; the share of them that may lie outside, and the margin in standard deviations.
-MAX_LABELLED, MIN_LABELLED, OUTSIDE, MARGIN = 6000, 60, 0.001, (0.5, 1.0)
+#: Labelled texts of one length at least; the share of them that may lie outside, and the margin in standard deviations.
+MIN_LABELLED, OUTSIDE, MARGIN = 60, 0.001, (0.5, 1.0)
+#: Lengths from which a band is fitted: half-octaves and those of the default bands.
+EDGES = sorted({b.size for b in DOCUMENT_BANDS} | {int(256 * 2 ** (k / 2)) for k in range(24)})
+#: Limits are fitted on ratios in whole steps, whose sums are exact in any order; so many steps make a bin of the first count.
+STEPS, BIN = 1 << 20, 1 << 10
 SYMBOLS = b"#*$%&|<>"
 WHITE = " \t\n\v\f\r"
 
@@ -108,13 +115,19 @@ def ratios(raw: bytes, compress) -> tuple[float | None, list[float]]:
     return whole, [whole if len(c) == len(raw) else len(compress(c)) / len(c) for c in chunks if len(c) >= CHUNK_BAND.size]
 
 
+def base(raw: bytes) -> tuple:
+    """The words of a text, how many are repeated, and whether it fails the base rules."""
+    w = words(raw)
+    n = len(w.start)
+    repeat = repeated_words(span_digests(w.data, w.start, w.end))
+    return w, repeat, n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
+
+
 def judge(text: str, compress, limits: Limits = Limits()) -> tuple:
     raw = text.encode("utf-8", "surrogatepass")
-    w = words(raw)
+    w, repeat, failed = base(raw)
     n = len(w.start)
     points = int(np.count_nonzero((w.data & 0xC0) != 0x80))
-    repeat = repeated_words(span_digests(w.data, w.start, w.end))
-    failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
     ratio, each = ratios(raw, compress)
     bad, reason = sum(not limits.chunk.low <= r <= limits.chunk.high for r in each), None
     if raw:
@@ -124,54 +137,95 @@ def judge(text: str, compress, limits: Limits = Limits()) -> tuple:
     return n, points - w.separators, int(np.count_nonzero(_IS_SYMBOL[w.data])), dup_lines(text), repeat, failed, ratio, bad, len(each), reason, reason is None
 
 
-def _range(values: np.ndarray) -> tuple[float, float]:
-    """Where nearly all values lie, with a margin: narrow below, wide above, where good text ends less sharply."""
-    spread = float(values.std())
-    return float(np.quantile(values, OUTSIDE)) - MARGIN[0] * spread, float(np.quantile(values, 1 - OUTSIDE)) + MARGIN[1] * spread
-
-
-def limits_of(sizes: np.ndarray, whole: np.ndarray, chunks: np.ndarray) -> Limits:
-    """Limits from the sizes and ratios of good texts and the ratios of their chunks."""
-    edges = sorted({b.size for b in DOCUMENT_BANDS} | {int(256 * 2 ** (k / 2)) for k in range(24)})
+def _limits(range_of: Callable[[int], tuple[float, float] | None]) -> Limits:
+    """Limits from the range of each edge's lengths, and of chunks behind the last edge; None where too few texts are labelled."""
     bands = []
-    for low, high in zip(edges, [*edges[1:], 1 << 62]):
+    for k, low in enumerate(EDGES):
         band = band_of(low, DOCUMENT_BANDS)._replace(size=low)
-        here = whole[(sizes >= low) & (sizes < high)]
-        if low >= 256 and len(here) >= MIN_LABELLED:
-            a, b = _range(here)
-            band = Band(low, max(band.low, a), min(band.high, b))
+        if low >= 256 and (found := range_of(k)):
+            band = Band(low, max(band.low, found[0]), min(band.high, found[1]))
         bands.append(band)
-    a, b = _range(chunks) if len(chunks) >= MIN_LABELLED else (0.0, 9.0)
+    a, b = range_of(len(EDGES)) or (0.0, 9.0)
     return Limits(tuple(bands), Band(CHUNK_BAND.size, max(CHUNK_BAND.low, a), min(CHUNK_BAND.high, b)))
 
 
-def fit_limits(docs: DataFrame, labels: DataFrame, good: F.Column, id_col: str = "doc_id", text: str = "text", most: int = MAX_LABELLED) -> Limits:
-    """Limits from at most ``most`` documents whose label is ``good``, those with the smallest digest of their id; texts that fail the base rules are left out.
+def _range(low: float, high: float, spread: float) -> tuple[float, float]:
+    """Where nearly all values lie, with a margin: narrow below, wide above, where good text ends less sharply."""
+    return low - MARGIN[0] * spread, high + MARGIN[1] * spread
+
+
+def limits_of(sizes: np.ndarray, whole: np.ndarray, chunks: np.ndarray) -> Limits:
+    """Limits from the sizes and ratios of good texts and the ratios of their chunks, all in memory."""
+
+    def range_of(k: int) -> tuple[float, float] | None:
+        here = whole[(sizes >= EDGES[k]) & (sizes < [*EDGES, 1 << 62][k + 1])] if k < len(EDGES) else chunks
+        return _range(float(np.quantile(here, OUTSIDE)), float(np.quantile(here, 1 - OUTSIDE)), float(here.std())) if len(here) >= MIN_LABELLED else None
+
+    return _limits(range_of)
+
+
+def fit_limits(docs: DataFrame, labels: DataFrame, good: F.Column, id_col: str = "doc_id", text: str = "text") -> Limits:
+    """Limits from all documents whose label is ``good``; texts that fail the base rules are left out.
 
     Of several documents with one id the one with the smallest ratio counts; null ids and labels count for nothing.
+    Texts aren't shuffled: tasks turn all of them into ratios, those of labelled ones are counted by band and ratio. The driver gets counts of bins,
+    then those of the single ratios in the bins where a quantile lies, so many at most by ``STEPS``, ``BIN`` and the number of bands.
     """
-    marked = labels.where(good).select(F.col(id_col).cast("long").alias("doc")).where("doc is not null").distinct()
-    # At most ``most`` ids: their size is bounded by the parameter.
-    chosen = marked.orderBy(F.xxhash64("doc"), "doc").limit(most)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc")
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("size", T.LongType()), T.StructField("chunks", T.ArrayType(T.DoubleType()))])
+    marked = labels.where(good).select(F.col(id_col).cast("long").alias("doc"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("ratio", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("chunks", T.ArrayType(T.LongType()))])
 
     def run(part: pa.RecordBatch) -> dict:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
-        out = {"doc": [], "ratio": [], "size": [], "chunks": []}
+        out = {"doc": [], "ratio": [], "band": [], "chunks": []}
         for doc, t in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
-            if t and not judge(t, compress)[5]:
-                raw = t.encode("utf-8", "surrogatepass")
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            if raw and not base(raw)[2]:
                 whole, each = ratios(raw, compress)
-                for name, value in zip(out, (doc, whole, len(raw), each)):
+                for name, value in zip(out, (doc, round(whole * STEPS), bisect_right(EDGES, len(raw)) - 1, [round(r * STEPS) for r in each])):
                     out[name].append(value)
         return out
 
-    found = map_rows(rows, run, schema).groupBy("doc").agg(F.min(F.struct("ratio", "size", "chunks")).alias("r")).select("doc", "r.*").collect()
-    found.sort(key=lambda r: r["doc"])
-    return limits_of(np.array([r["size"] for r in found], dtype=np.int64), np.array([r["ratio"] for r in found]), np.array([c for r in found for c in r["chunks"]]))
+    fitted = map_rows(rows, run, schema).join(marked.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min(F.struct("ratio", "band", "chunks")).alias("r"))
+    one = lambda band, ratio: F.struct(band.alias("band"), ratio.alias("ratio"))
+    every = F.concat(F.array(one(F.col("r.band"), F.col("r.ratio"))), F.transform("r.chunks", lambda c: one(F.lit(len(EDGES)), c)))
+    counts = materialize(fitted.select(F.inline(every)).groupBy("band", "ratio").agg(F.count("*").alias("n")), "ratios")
+    limits = _limits(_ranges(counts).get)
+    drop_materialized(counts)
+    return limits
+
+
+def _ranges(counts: DataFrame) -> dict[int, tuple[float, float]]:
+    """The range of each band with enough texts, from the counts of ``band`` and ``ratio``: quantiles as numpy's, between two neighbours."""
+    r, n = F.col("ratio").cast("decimal(19,0)"), F.col("n").cast("decimal(19,0)")
+    bin_of = F.floor(F.col("ratio") / BIN)
+    bins: dict[int, list] = {}
+    for x in counts.groupBy("band", bin_of.alias("bin")).agg(F.sum("n").alias("n"), F.sum(n * r).alias("s"), F.sum((n * r).cast("decimal(19,0)") * r).alias("q")).orderBy("band", "bin").collect():
+        bins.setdefault(x["band"], []).append(x)
+    bins = {band: found for band, found in bins.items() if sum(x["n"] for x in found) >= MIN_LABELLED}
+    wanted: dict[int, list[tuple[int, int, float]]] = {}
+    for band, found in bins.items():
+        ends = np.cumsum([x["n"] for x in found])
+        for share in (OUTSIDE, 1 - OUTSIDE):
+            at = (int(ends[-1]) - 1) * share
+            for place, weight in ((int(at), 1 - at % 1), (min(int(at) + 1, int(ends[-1]) - 1), at % 1)):
+                k = int(np.searchsorted(ends, place, side="right"))
+                wanted.setdefault(band, []).append((found[k]["bin"], place - int(ends[k] - found[k]["n"]), weight))
+    keys = sorted({(band << 32) + k for band, places in wanted.items() for k, _, _ in places})
+    single: dict[tuple[int, int], list] = {}
+    for x in counts.where(((F.col("band").cast("long") * (1 << 32)) + bin_of).isin(keys)).orderBy("band", "ratio").collect():
+        single.setdefault((x["band"], x["ratio"] // BIN), []).append(x)
+    out = {}
+    for band, places in wanted.items():
+        values = []
+        for k, place, weight in places:
+            ends = np.cumsum([x["n"] for x in single[band, k]])
+            values.append(weight * single[band, k][int(np.searchsorted(ends, place, side="right"))]["ratio"] / STEPS)
+        n, s, q = (sum(int(x[c]) for x in bins[band]) for c in ("n", "s", "q"))
+        out[band] = _range(values[0] + values[1], values[2] + values[3], (n * q - s * s) ** 0.5 / n / STEPS)
+    return out
 
 
 def assess(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:

@@ -159,6 +159,24 @@ def test_quality_limits_edges(spark):
     assert quality.assess(docs, limits=once).where("doc_id < 100 and not kept").count() == 0
 
 
+def test_quality_limits_of_all_labels(spark):
+    """Every labelled text counts, however many there are: the limits equal those of all texts in memory, which a part of them doesn't give."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{rng.randrange(9 ** (2 + k % 5))}" for _ in range(52 + k % 40))) for k in range(9000)] + [(9000 + k, sentence(rng, 3000)) for k in range(40)]
+    good = [t for k, t in rows if k % 7 and not quality.judge(t, press)[5]]
+    pairs = [quality.ratios(t.encode(), press) for t in good]
+    assert len(good) > 7000
+    limits = lambda n: quality.limits_of(np.array([len(t.encode()) for t in good[:n]]), np.array([w for w, _ in pairs[:n]]), np.array([c for _, each in pairs[:n] for c in each]))
+    marks = spark.createDataFrame([(k, int(k % 7 > 0)) for k, _ in rows], "doc_id long, quality int")
+    got, expected = quality.fit_limits(frame(spark, rows).repartition(5), marks, F.col("quality") == 1), limits(len(good))
+    gap = lambda a, b: max(max(abs(x.low - y.low), abs(x.high - y.high)) for x, y in zip((*a.documents, a.chunk), (*b.documents, b.chunk), strict=True))
+    assert [b.size for b in got.documents] == [b.size for b in expected.documents]
+    assert gap(got, expected) < 4 / quality.STEPS < gap(limits(6000), expected)
+
+
 def test_quality_clashing_columns(spark):
     d = frame(spark, [(1, "a b c " * 30, 5)], "doc_id long, text string, kept int")
     with pytest.raises(ValueError):
