@@ -5,7 +5,7 @@ import pytest
 
 from siteloom.plans import registry
 
-QUERIES = ("crawl_page_rules",)
+QUERIES = ("crawl_page_rules", "issue_list")
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +27,9 @@ def test_equals_sql(spark, cut, name):
     names = [d[0] for d in cur.description]
     expected = sorted(tuple(map(str, r)) for r in cur.fetchall())
     assert expected and sorted(tuple(map(str, r)) for r in registry.queries()[name](spark, cut).select(*names).collect()) == expected
+
+
+def test_issue_list_has_one_order(spark, cut):
+    """Issues of one type and URL are ordered by their element."""
+    found = [tuple(r) for r in registry.queries()["issue_list"](spark, cut).select("issue_type", "url", "element").collect()]
+    assert len(found) > len({r[:2] for r in found}) and found == sorted(found)
