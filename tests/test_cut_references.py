@@ -5,7 +5,7 @@ import pytest
 
 from siteloom.plans import registry
 
-QUERIES = ("crawl_page_rules", "issue_list")
+QUERIES = ("crawl_page_rules", "issue_list", "issue_groups")
 
 
 @pytest.fixture(scope="module")
