@@ -5,7 +5,7 @@ import pytest
 
 from siteloom.plans import registry
 
-QUERIES = ("crawl_page_rules", "issue_list", "issue_groups", "issues_by_severity")
+QUERIES = ("crawl_page_rules", "issue_list", "issue_groups", "issues_by_severity", "crawl_issue_summary")
 
 
 @pytest.fixture(scope="module")
