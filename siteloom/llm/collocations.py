@@ -4,10 +4,9 @@
    words with their counts and its stream of local word numbers, zero standing for the end of a piece.
 2. Words that occur ``LEAST`` times or more get dense 32-bit ids (one numbering for all languages, so an id names its language). All others break pieces: no phrase that occurs so often
    holds them. Each chunk gets the ids of its own words only, so the dictionary is never in one place.
-3. Runs of ids are packed into fixed-width binary keys, sorted and run-length counted within the chunk; the counted keys are partitioned by range, sorted again (Spark's radix sort on
-   their prefixes) and run-length counted in a stream over the sorted rows. A key has a row for each chunk at most, so a hot phrase is a short run.
-4. Pairs come first. The run-length pass also names the chunks that hold each frequent pair, and phrases of three and four words are only packed where all
-   their pairs are frequent.
+3. Runs of ids are packed into fixed-width binary keys, sorted and run-length counted within the chunk and dealt by a hash into buckets, whose number grows with the words. A chunk sends
+   one row to each bucket, its keys and counts as bytes; a task merges the rows of a bucket. A key counts once for each chunk at most, so a hot phrase makes no large bucket.
+4. Pairs come first. The merge also names the chunks that hold each frequent pair, and phrases of three and four words are only packed where all their pairs are frequent.
 5. Cuts, scores, containment and ranks are joins and aggregates over the frequent phrases.
 
 Defined results: a null text is empty; a null language is ``und`` and one with rows of that name; words differ by bytes after A-Z are lower-cased; scores are floors of exact quotients; an
@@ -24,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..plans.materialize import drop_materialized, materialize, release as free, written
-from .batches import bound_batches, map_groups, release, slices
+from .batches import SLICE_BYTES, bound_batches, map_groups, release, slices
 
 #: A phrase occurs so often at least; words of the longest; the share of a phrase's occurrences from which a longer one replaces it; phrases a language lists.
 LEAST, WORDS, PERCENT, TOP = 30, 4, 80, 2000
 SCORE = 2_000_000
 #: Text of a chunk, and of all languages that a task holds before the largest goes.
 CHUNK_BYTES, HELD_BYTES = 6 << 20, 18 << 20
-#: Places of frequent pairs that a task holds before it packs them by chunk.
+#: Keys of all chunks in a bucket, about.
 PLACES = 1 << 20
 #: Groups in which a language's best phrases are sought before they meet.
 SALTS = 64
@@ -162,63 +161,83 @@ def pair_keys(g: np.ndarray) -> np.ndarray:
     return key
 
 
-def run_lengths(high: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys as big-endian bytes (rows x width), ascending, and their counts."""
-    order = np.argsort(high, kind="stable") if low is None else np.lexsort((low, high))
-    columns = [c[order] for c in ([high] if low is None else [high, low])]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    first = np.flatnonzero(new)
-    keys = np.stack([c[first] for c in columns], axis=1).astype(">u8") if len(first) else np.zeros((0, len(columns)), dtype=">u8")
-    return keys.view(np.uint8).reshape(len(first), 8 * len(columns)), np.diff(first, append=len(order))
+def run_lengths(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their counts."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(first, append=len(keys))
 
 
-def binary(keys: np.ndarray) -> pa.Array:
-    """Rows of bytes as an Arrow column of fixed width."""
-    n, width = keys.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(keys))])
+def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive values as an Arrow column of bytes; a row goes up to its end."""
+    offsets = np.append(0, ends).astype(np.int32) * np.int32(values.itemsize * (values.shape[1] if values.ndim > 1 else 1))
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-COUNTED = _schema(key=_B, chunk=_L, n=_L)
+COUNTED = _schema(bucket=_I, chunk=_L, key=_B, n=_B)
 
 
-def _counted(chunk: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(keys), 65536):
-        some = keys[k : k + 65536]
-        yield pa.RecordBatch.from_arrays([binary(some), pa.array(np.full(len(some), chunk)), pa.array(counts[k : k + 65536].astype(np.int64))], names=COUNTED.names)
+def buckets_for(words: int) -> int:
+    """Buckets of about ``PLACES`` keys for a stream of so many words."""
+    return min(max(1, -(-words // PLACES)), 1 << 16)
 
 
-def pairs_in_chunks(streams: DataFrame) -> DataFrame:
-    """key, chunk and n: the counted pairs of each chunk."""
+def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, a row of 64-bit numbers, by a hash."""
+    mixed = np.zeros(len(keys), dtype=np.uint64)
+    for column in keys.T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16)
+
+
+def _counted(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket with its keys (big-endian) and their counts (32 bits, little-endian)."""
+    bucket = buckets_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    keys, counts, size = keys[order].astype(">u8"), counts[order].astype("<u4"), np.bincount(bucket, minlength=buckets)
+    ends = np.cumsum(size)
+    for some in np.array_split(np.flatnonzero(size), 1 + keys.nbytes // SLICE_BYTES):
+        if len(some):
+            a, b = ends[some[0]] - size[some[0]], ends[some[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), binary(keys[a:b], ends[some] - a), binary(counts[a:b], ends[some] - a)], names=COUNTED.names)
+
+
+def pairs_in_chunks(streams: DataFrame, buckets: int) -> DataFrame:
+    """bucket, chunk, key and n: the counted pairs of each chunk."""
     bound_batches(streams)
 
     def run(batches):
         for part in batches:
             for chunk, stream in zip(part.column("chunk").to_pylist(), part.column("stream").to_pylist()):
                 key = pair_keys(np.frombuffer(stream, dtype="<u4"))
-                yield from _counted(chunk, *run_lengths(key[key > 0]))
+                keys, counts = run_lengths(key[key > 0])
+                yield from _counted(chunk, keys[:, None], counts, buckets)
         release()
 
     return streams.mapInArrow(run, COUNTED)
 
 
-def longer_in_chunks(streams: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, chunk and n: phrases of three and four words whose pairs are frequent. ``pairs`` has chunk and pairs, several rows for a chunk."""
+def longer_in_chunks(streams: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, chunk, key and n: phrases of three and four words whose pairs are frequent. ``pairs`` has chunk and pairs, several rows for a chunk."""
     own = pairs.groupBy("chunk").agg(F.collect_list("pairs").alias("pairs"))
     both = streams.join(own, "chunk").select("chunk", "stream", "pairs")
     bound_batches(both)
 
     def run(batches):
+        half, last = np.uint64(32), np.uint64(0xFFFFFFFF)
         for part in batches:
             for chunk, stream, often in zip(part.column("chunk").to_pylist(), part.column("stream").to_pylist(), part.column("pairs")):
-                g = np.frombuffer(stream, dtype="<u4")
-                key, often = pair_keys(g), np.sort(np.frombuffer(b"".join(often.as_py()), dtype="<u8"))
-                good = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
+                key, often = pair_keys(np.frombuffer(stream, dtype="<u4")), np.sort(np.frombuffer(b"".join(often.as_py()), dtype="<u8"))
+                at = np.minimum(np.searchsorted(often, key), len(often) - 1).astype(np.uint64)
+                good = often[at] == key
                 three = np.flatnonzero(good[:-1] & good[1:])
                 four = three[:-1][np.diff(three) == 1] if len(three) else three
-                high = np.concatenate([key[three], key[four]])
-                low = np.concatenate([g[three + 2].astype(np.uint64) << np.uint64(32), key[four + 2]])
-                yield from _counted(chunk, *run_lengths(high, low))
+                # Numbers of the first and the last pair name a phrase in 64 bits.
+                threes, n3 = run_lengths((at[three] << half) | at[three + 1])
+                fours, n4 = run_lengths((at[four] << half) | at[four + 2])
+                low = np.concatenate([often[threes & last] << half, often[fours & last]])
+                yield from _counted(chunk, np.stack([often[np.concatenate([threes, fours]) >> half], low], axis=1), np.concatenate([n3, n4]), buckets)
         release()
 
     return both.mapInArrow(run, COUNTED)
@@ -227,68 +246,48 @@ def longer_in_chunks(streams: DataFrame, pairs: DataFrame) -> DataFrame:
 def frequent(counted: DataFrame, least: int, chunks_too: bool) -> DataFrame:
     """Keys that sum up to ``least`` or more: i1 to i4 and a (one row a key); with ``chunks_too`` also rows of chunk and pairs (packed 64-bit keys) for the chunks that hold them.
 
-    A stream over rows that are partitioned by range and sorted. Rows of a key that hasn't reached ``least`` yet wait, and each counts one or more, so that fewer than ``least`` rows wait.
+    ``counted`` has rows of ``COUNTED``, or a key and its count (long) in each and no bucket. A task merges one bucket after the other.
     """
     schema = _schema(i1=_L, i2=_L, i3=_L, i4=_L, a=_L, chunk=_L, pairs=_B)
+    if "bucket" not in counted.columns:
+        counted = counted.select(F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("bucket"), "chunk", "key", "n")
     bound_batches(counted)
-    dealt = counted.repartitionByRange("key").sortWithinPartitions("key")
-
-    def totals(keys: list[bytes], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if keys:
-            words = np.zeros((len(keys), WORDS), dtype=np.int64)
-            packed = np.frombuffer(b"".join(keys), dtype=">u4").reshape(len(keys), -1)
-            words[:, : packed.shape[1]] = packed
-            yield pa.RecordBatch.from_arrays([*[pa.array(words[:, k]) for k in range(WORDS)], pa.array(sums), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary())], names=schema.names)
+    dealt = counted.repartition("bucket").sortWithinPartitions("bucket")
+
+    def merged(rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        n = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u4").astype(np.int64)
+        keys = np.frombuffer(b"".join(r[1] for r in rows), dtype=">u8").reshape(len(n), -1).astype(np.uint64)
+        order = np.argsort(keys[:, 0], kind="stable") if keys.shape[1] == 1 else np.lexsort(keys.T[::-1])
+        ranked = keys[order]
+        first = np.flatnonzero(np.append(True, (ranked[1:] != ranked[:-1]).any(1)))
+        sums = np.add.reduceat(n[order], first)
+        often = sums >= least
+        if not often.any():
+            return
+        words = np.zeros((often.sum(), WORDS), dtype=np.int64)
+        packed = ranked[first[often]].astype(">u8").view(">u4")
+        words[:, : packed.shape[1]] = packed
+        yield pa.RecordBatch.from_arrays([*[pa.array(words[:, k]) for k in range(WORDS)], pa.array(sums[often]), pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.binary())], names=schema.names)
+        if chunks_too:
+            told = np.empty(len(n), dtype=bool)
+            told[order] = np.repeat(often, np.diff(first, append=len(n)))
+            ends = np.cumsum([len(r[2]) // 4 for r in rows])
+            ends = np.append(0, np.cumsum(told))[ends]
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            chunk = np.array([r[0] for r in rows])[some]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64())] * 5, pa.array(chunk), binary(keys[told, 0].astype("<u8"), ends[some])], names=schema.names)
 
     def run(batches):
-        held, size = [], 0  # chunks and keys of places that aren't packed yet
-
-        def places(chunk: np.ndarray, key: np.ndarray, most: int = PLACES) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            if not chunks_too:
-                return
-            held.append((chunk, np.ascontiguousarray(key).view(">u8").reshape(-1).astype("<u8")))
-            size += len(chunk)
-            if size > most:
-                at, pair = (np.concatenate(x) for x in zip(*held))
-                held, size = [], 0
-                order = np.argsort(at, kind="stable")
-                at, pair = at[order], pair[order]
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                for a, b in zip(first, [*first[1:], len(at)]):
-                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.array(at[a : a + 1]), pa.array([pair[a:b].tobytes()], type=pa.binary())], names=schema.names)
-
-        last, total, waiting = None, 0, []  # the key whose run may go on, its sum, chunks not yet told
+        held, now = [], None  # rows of the bucket that may go on
         for part in batches:
-            if not part.num_rows:
-                continue
-            keys = np.frombuffer(b"".join(part.column("key").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-            n, chunk = part.column("n").to_numpy(), part.column("chunk").to_numpy()
-            new = np.ones(len(keys), dtype=bool)
-            new[1:] = (keys[1:] != keys[:-1]).any(1)
-            first = np.flatnonzero(new)
-            sums = np.add.reduceat(n, first)
-            told = np.repeat(sums >= least, np.diff(first, append=len(keys)))  # rows that leave now
-            stop = first[1] if len(first) > 1 else len(keys)
-            if last == keys[0].tobytes():
-                sums[0] += total
-                told[:stop] = sums[0] >= least
-                if sums[0] >= least and waiting:
-                    yield from places(np.array(waiting), np.repeat(keys[:1], len(waiting), axis=0))
-                    waiting = []
-            elif last is not None and total >= least:
-                yield from totals([last], np.array([total]))
-            if last != keys[0].tobytes() or len(first) > 1:
-                waiting = []
-            yield from places(chunk[told], keys[told])
-            done = np.flatnonzero(sums[:-1] >= least)
-            yield from totals([keys[k].tobytes() for k in first[done]], sums[done])
-            last, total = keys[-1].tobytes(), int(sums[-1])
-            if total < least:
-                waiting = waiting + chunk[first[-1] :].tolist() if len(first) == 1 else chunk[first[-1] :].tolist()
-        if last is not None and total >= least:
-            yield from totals([last], np.array([total]))
-        yield from places(np.zeros(0, np.int64), np.zeros((0, 8), np.uint8), 0)
+            for bucket, chunk, key, n in zip(*[part.column(c).to_pylist() for c in COUNTED.names]):
+                if bucket != now:
+                    yield from merged(held)
+                    held, now = [], bucket
+                held.append((chunk, key, n if isinstance(n, bytes) else n.to_bytes(4, "little")))
+        yield from merged(held)
         release()
 
     return dealt.mapInArrow(run, schema)
@@ -359,8 +358,9 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     ids = materialize(dictionary(each, least), "dictionary")
     streams = materialize(id_streams(cut_up, ids), "streams")
     drop_materialized(cut_up)
-    pairs = materialize(frequent(pairs_in_chunks(streams), least, True), "pairs")
-    longer = frequent(longer_in_chunks(streams, pairs.where("chunk is not null").select("chunk", "pairs")), least, False)
+    buckets = buckets_for(totals.agg(F.sum("n")).first()[0] or 0)
+    pairs = materialize(frequent(pairs_in_chunks(streams, buckets), least, True), "pairs")
+    longer = frequent(longer_in_chunks(streams, pairs.where("chunk is not null").select("chunk", "pairs"), buckets), least, False)
     phrases = materialize(pairs.where("a is not null").select(*IDS, "a").unionByName(longer.select(*IDS, "a")), "phrases")
     drop_materialized(streams)
     drop_materialized(pairs)

@@ -245,6 +245,29 @@ def test_runs_cross_batches(spark, monkeypatch, places):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
 
 
+def test_chunks_send_a_row_to_each_bucket(spark):
+    """Counted pairs leave a chunk packed by bucket, not in a row each; a pair of several chunks has one bucket."""
+    rng = np.random.default_rng(7)
+    streams = {k: rng.integers(0, 60, size=4000).astype("<u4") for k in range(5)}
+    out = collocations.pairs_in_chunks(spark.createDataFrame([(k, s.tobytes()) for k, s in streams.items()], "chunk long, stream binary").repartition(3), 9).collect()
+    assert len(out) == 5 * 9 and {r.bucket for r in out} == set(range(9))
+    found, places = collections.Counter(), collections.defaultdict(set)
+    for r in out:
+        for key, n in zip(np.frombuffer(r.key, dtype=">u4").reshape(-1, 2).tolist(), np.frombuffer(r.n, dtype="<u4").tolist()):
+            found[r.chunk, *key] += n
+            places[tuple(key)].add(r.bucket)
+    assert found == collections.Counter((k, a, b) for k, s in streams.items() for a, b in zip(s[:-1].tolist(), s[1:].tolist()) if a and b)
+    assert all(len(x) == 1 for x in places.values())
+
+
+@pytest.mark.parametrize(("least", "chunk", "places"), [(30, 8 << 20, 500), (5, 300, 40)])
+def test_phrases_in_many_buckets(spark, monkeypatch, least, chunk, places):
+    monkeypatch.setattr(collocations, "PLACES", places)
+    rows = corpus(8)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert rows_of(collocations.collocations(df, least=least, chunk_bytes=chunk)) == brute_phrases(rows, least)
+
+
 def test_scores_pass_64_bits(spark):
     """Counts of 10^13 make products beyond a long."""
     words = spark.createDataFrame([("en", "a", 1, 9 * 10**12), ("en", "b", 2, 8 * 10**12)], "lang string, word string, id long, a long")
